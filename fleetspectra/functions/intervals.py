@@ -24,11 +24,10 @@ def bin_center(col: Column | str, strict: bool = False) -> Column:
     NULL stays NULL in both.
     """
     text = _column(col)
-    bare = F.translate(text, "()[]", "")
-    comma = F.locate(",", bare)
-    # Without a comma the left piece is empty; with two the right piece is no number: both NULL.
-    left = F.substring(bare, F.lit(1), comma - 1).try_cast("double")
-    right = F.substring(bare, comma + 1, F.length(bare)).try_cast("double")
+    pieces = F.split(F.translate(text, "()[]", ""), ",", 2)
+    # A missing second piece is NULL, and a piece that still holds a comma is no number.
+    left = F.get(pieces, F.lit(0)).try_cast("double")
+    right = F.get(pieces, F.lit(1)).try_cast("double")
     center = (left + right) / 2
     if not strict:
         return center

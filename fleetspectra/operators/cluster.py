@@ -21,7 +21,7 @@ from fleetspectra.functions.arrays import (
     l1,
     nearest,
 )
-from fleetspectra.operators.distance import SlicedFleet, cluster_totals, fleet_totals
+from fleetspectra.operators.distance import SlicedFleet, cluster_totals, fleet_totals, spread
 
 # Rows of the cluster summary (clusters x bins x cells), which is broadcast.
 SUMMARY_ROWS = 200_000
@@ -82,7 +82,7 @@ def kmedoids_sweep(
         raise ValueError("k must be at least 1")
     if fleet.n < ks[-1]:
         raise ValueError(f"{fleet.n} vehicles cannot form {ks[-1]} clusters")
-    frame = fleet.frame.select("vin", "sales_group", "point", "slice").persist()
+    frame = spread(fleet.frame).persist()
     cached = SlicedFleet(frame, fleet.n, fleet.scales, fleet.n_slices)
     try:
         start = [r["vin"] for r in central_vehicles(cached, ks[-1]).collect()]
@@ -209,12 +209,14 @@ def _update(
     bounded = _bounded(fleet, labelled, n_clusters).persist()
     best_high = bounded.groupBy("q").agg(F.min("high").alias("best"))
     slack = F.lit(_SLACK) + F.lit(1e-12) * F.abs("best")
-    # Copies of one distribution have one cost; the lowest vin stands for them.
+    # Copies of one distribution have one cost. The lowest vin stands for them, unless one of them is
+    # the medoid already.
+    is_medoid = F.col("vin") == F.get(F.array(*[F.lit(v) for v in current]), F.col("q"))
     candidates = (
         bounded.join(F.broadcast(best_high), "q")
         .where(F.col("low") <= F.col("best") + slack)
         .groupBy("q", "sig")
-        .agg(F.min("vin").alias("vin"), F.max(F.col("vin").isin(current)).alias("holds_medoid"))
+        .agg(F.min("vin").alias("vin"), F.max(is_medoid).alias("stays"))
     )
     limit = direct_candidates * n_clusters
     found = candidates.limit(limit + 1).collect()
@@ -236,28 +238,20 @@ def _update(
 
 def _best_by_distance(fleet, labelled, found, current, points) -> dict[int, str]:
     """Choose among the candidates by their exact mean distance to the members."""
-    by_cluster: dict[int, list[str]] = {}
+    options: dict[int, set[str]] = {}
     for row in found:
-        by_cluster.setdefault(row["q"], []).append(row["vin"])
-    names = {v for vins in by_cluster.values() for v in vins} - set(points)
-    vectors = dict(points)
-    if names:
-        vectors.update(_points_of(fleet, sorted(names)))
-    chosen: dict[int, str] = {}
-    contested = []
-    for q, vins in by_cluster.items():
-        same = [v for v in vins if vectors[v] == vectors[current[q]]]
-        options = {current[q] if v in same else v for v in vins}
-        if len(options) == 1:
-            chosen[q] = options.pop()
-        else:
-            contested += [(q, v, vectors[v]) for v in sorted(options)]
+        options.setdefault(row["q"], set()).add(current[row["q"]] if row["stays"] else row["vin"])
+    chosen = {q: next(iter(vins)) for q, vins in options.items() if len(vins) == 1}
+    contested = [(q, v) for q, vins in options.items() if len(vins) > 1 for v in sorted(vins)]
     if not contested:
         return chosen
-    spark = fleet.frame.sparkSession
-    options = spark.createDataFrame(contested, "q int, option string, ref array<double>")
+    missing = {v for _, v in contested} - set(points)
+    if missing:
+        points.update(_points_of(fleet, sorted(missing)))
+    rows = [(q, v, points[v]) for q, v in contested]
+    refs = fleet.frame.sparkSession.createDataFrame(rows, "q int, option string, ref array<double>")
     costs = (
-        labelled.join(F.broadcast(options), "q")
+        labelled.join(F.broadcast(refs), "q")
         .groupBy("q", "option")
         .agg((F.sum(l1(F.col("point"), F.col("ref"))) / F.count("*")).alias("cost"))
         .collect()

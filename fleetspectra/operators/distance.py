@@ -50,11 +50,12 @@ class SlicedFleet:
 def slice_fleet(
     dists: DataFrame, scales: Sequence[float] | None = None, slice_rows: int = SLICE_ROWS
 ) -> SlicedFleet:
-    """Sort all (bin, value) pairs of the fleet into evenly filled slices, once.
+    """Write the fleet out and sort all its (bin, value) pairs into evenly filled slices, once.
 
     ``dists`` has ``vin, sales_group, cdf``; with ``scales`` the column is taken as already scaled.
-    The range sort includes the vin, so one value shared by a third of the fleet is still split. The
-    slice number is fixed by writing it out, as range bounds may differ when recomputed.
+    A fleet of at most ``slice_rows`` vehicles needs no sort, as each bin is one slice. Otherwise the
+    range sort includes the vin, so one value shared by a third of the fleet is still split. The slice
+    number is fixed by writing it out, as range bounds may differ when recomputed.
     """
     spark = dists.sparkSession
     points = materialize(
@@ -64,22 +65,32 @@ def slice_fleet(
     if scales is None:
         width = points.select(F.size("point").alias("b")).first()
         scales = [1.0] * (width["b"] if width else 1)
-    default = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_slices = max(default, -(-n * len(scales) // slice_rows))
+    scales = tuple(float(s) for s in scales)
+    if n <= slice_rows:
+        whole = F.array_repeat(F.lit(0), len(scales))
+        return SlicedFleet(points.withColumn("slice", whole), n, scales, 1)
+    n_slices = -(-n * len(scales) // slice_rows)
     sorted_values = (
         points.select("vin", F.posexplode("point").alias("bin", "x"))
         .repartitionByRange(n_slices, "bin", "x", "vin")
         .select("vin", "bin", F.spark_partition_id().alias("slice"))
     )
     # One exchange serves both the regrouping and the join, with as many tasks as the data needs.
+    n_tasks = max(n_slices, int(spark.conf.get("spark.sql.shuffle.partitions")))
     tags = (
-        sorted_values.repartition(n_slices, "vin")
+        sorted_values.repartition(n_tasks, "vin")
         .groupBy("vin")
         .agg(F.sort_array(F.collect_list(F.struct("bin", "slice"))).alias("tags"))
         .select("vin", F.col("tags.slice").alias("slice"))
     )
-    frame = materialize(points.repartition(n_slices, "vin").join(tags, "vin"), "sliced")
-    return SlicedFleet(frame, n, tuple(float(s) for s in scales), n_slices)
+    frame = materialize(points.repartition(n_tasks, "vin").join(tags, "vin"), "sliced")
+    return SlicedFleet(frame, n, scales, n_slices)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores; large frames are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def cluster_totals(

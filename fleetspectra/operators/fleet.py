@@ -131,6 +131,12 @@ def kpi_crosstab(
     return joined.withColumn("n_vehicles", F.coalesce("n_vehicles", F.lit(0).cast("bigint")))
 
 
+def decimal_text(value: Column, digits: int) -> Column:
+    """A number as text with a fixed number of decimals; NULL stays NULL."""
+    text = F.format_string(f"%.{digits}f", F.round(value, digits))
+    return F.when(value.isNotNull(), text)
+
+
 def display_cell(gradient: Column, weight: Column) -> Column:
     """Heading of a cross-table column: gradient over weight, in display text."""
 
@@ -159,7 +165,7 @@ def kpi_text(crosstab: DataFrame, kpis: dict[str, str] = KPIS) -> DataFrame:
         "sales_group",
         "velocity",
         display_cell(F.col("gradient"), F.col("weight")).alias("cell"),
-        *[F.format_string("%.1f", F.round(a, 1)).alias(f"{a}_text") for a in kpis.values()],
+        *[decimal_text(F.col(a), 1).alias(f"{a}_text") for a in kpis.values()],
         *[F.isnull(a).alias(f"{a}_masked") for a in kpis.values()],
     )
 
@@ -208,7 +214,7 @@ def cluster_share(
         "cluster",
         "n_vehicles",
         share.alias("percent"),
-        F.concat(F.format_string(f"%.{digits}f", share), F.lit("%")).alias("percent_text"),
+        F.concat(decimal_text(share, digits), F.lit("%")).alias("percent_text"),
     )
     if groups is None:
         return out

@@ -55,17 +55,16 @@ class GridSpec:
         i = F.col(index) if isinstance(index, str) else index
         return F.lit(self.first) + i * F.lit(self.step)
 
-    def index_of(self, center: Column | str, tolerance: float = 0.0) -> Column:
-        """Bin index of a center, or NULL when it does not lie on the grid."""
+    def position_of(self, center: Column | str, tolerance: float = 0.0) -> Column:
+        """Position of a center on the grid, counted from 1; 0 or NULL when it is not on it."""
         c = F.col(center) if isinstance(center, str) else center
         if tolerance == 0:
-            position = F.array_position(F.lit(self.centers), c)
-            return F.nullif(position, F.lit(0).cast("bigint")).cast("int") - 1
+            return F.array_position(F.lit(self.centers), c).cast("int")
 
         def checked(value: Column, i: Column) -> Column:
             off = F.abs(value - self.center_of(i))
             on_grid = i.between(0, self.n - 1) & (off <= F.lit(float(tolerance)))
-            return F.when(on_grid, i.cast("int"))
+            return F.when(on_grid, i.cast("int") + 1)
 
         return let(
             c,

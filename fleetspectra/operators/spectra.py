@@ -42,11 +42,11 @@ def binned(spectra: DataFrame, grid: GridSpec, tolerance: float = 0.0) -> DataFr
         .select(
             "vin",
             "sales_group",
-            grid.index_of(bin_center("x1_interval"), tolerance).alias("bin"),
+            grid.position_of(bin_center("x1_interval"), tolerance).alias("position"),
             _mass().alias("mass"),
         )
-        .where(F.col("bin").isNotNull())
-        .groupBy("vin", "bin")
+        .where(F.col("position") > 0)
+        .groupBy("vin", (F.col("position") - 1).alias("bin"))
         .agg(
             F.coalesce(F.sum("mass"), F.lit(0.0)).alias("mass"),
             F.min("sales_group").alias("sg_low"),
@@ -144,7 +144,7 @@ def pivot_wide(spectra: DataFrame, grid: GridSpec) -> DataFrame:
 
 def zero_mass(spectra: DataFrame, grid: GridSpec) -> DataFrame:
     """Vehicles without any mass on the grid: ``vin, total`` with the total over all bins."""
-    on_grid = F.when(grid.index_of(bin_center("x1_interval")).isNotNull(), _mass())
+    on_grid = F.when(grid.position_of(bin_center("x1_interval")) > 0, _mass())
     return (
         spectra.where(F.col("vin").isNotNull())
         .groupBy("vin")
@@ -159,7 +159,7 @@ def zero_mass(spectra: DataFrame, grid: GridSpec) -> DataFrame:
 
 def dropped_mass(spectra: DataFrame, grid: GridSpec) -> DataFrame:
     """One row: total count, count kept on the grid, and the share lost by truncation."""
-    on_grid = F.when(grid.index_of(bin_center("x1_interval")).isNotNull(), _mass())
+    on_grid = F.when(grid.position_of(bin_center("x1_interval")) > 0, _mass())
     return (
         spectra.where(F.col("vin").isNotNull())
         .agg(F.sum(_mass()).alias("total"), F.coalesce(F.sum(on_grid), F.lit(0.0)).alias("kept"))

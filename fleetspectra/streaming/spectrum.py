@@ -8,6 +8,7 @@ overwrites its own output and nothing is counted twice.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,12 +43,20 @@ def read_spectrum(spark: SparkSession, target: str) -> DataFrame:
 
 
 def spectrum_of_files(
-    spark: SparkSession, path: str, to_samples, step: float, files_per_batch: int = 1000
+    spark: SparkSession,
+    folder: str,
+    to_samples: Callable[[DataFrame], DataFrame],
+    step: float,
+    pattern: str = "*.parquet",
+    files_per_batch: int = 1000,
 ) -> DataFrame:
-    """Drain parquet files through the stream; ``to_samples`` maps their rows to ``vin, signal``."""
-    schema = spark.read.parquet(path).schema
+    """Drain a folder's parquet files through the stream; ``to_samples`` gives ``vin, signal``."""
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
     stream = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", pattern)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .parquet(folder)
     )
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = start_spectrum_stream(to_samples(stream), f"{base}/rows", f"{base}/progress", step)
