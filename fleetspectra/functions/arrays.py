@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fleetspectra.functions.intervals import let
+
 # Distances are compared in bin units, rounded to this many decimals, so that float noise cannot
 # decide an argmin. Ties are then broken by stated rules.
 TIE_DECIMALS = 9
@@ -66,7 +68,6 @@ def distances_to(point: Column, refs: Sequence[Sequence[float]]) -> Column:
 
 def nearest(point: Column, refs: Sequence[Sequence[float]]) -> Column:
     """Position (from 0) of the nearest constant reference; the lowest position wins a tie."""
-    d = distances_to(point, refs)
-    position = (F.array_position(d, F.array_min(d)) - 1).cast("int")
+    position = let(distances_to(point, refs), lambda d: F.array_position(d, F.array_min(d)))
     # Never NULL; saying so keeps the optimizer from adding a filter that labels every row again.
-    return F.coalesce(position, F.lit(0))
+    return F.coalesce((position - 1).cast("int"), F.lit(0))

@@ -130,67 +130,67 @@ def _labelled(
 
 
 def _cell(fleet: SlicedFleet, n_cells: int) -> Column:
-    """Equal-width cells of a value; exact zeros and exact maxima get cells of their own."""
+    """Number of the (cluster, bin, cell) a value falls in, over all clusters and bins.
+
+    Cells have equal width; exact zeros and exact maxima get cells of their own.
+    """
     scale = fleet.scales[0]
     top: Column = F.lit(scale)
     if any(s != scale for s in fleet.scales):
         top = F.get(double_array(fleet.scales), F.col("bin"))
     x = F.col("x")
-    cell = F.when(x >= top, F.lit(n_cells + 1)).otherwise(F.ceil(x / top * n_cells).cast("int"))
-    return F.coalesce(cell, F.lit(0))
+    cell = F.when(x >= top, F.lit(n_cells + 1)).otherwise(F.ceil(x / top * n_cells))
+    place = (F.col("q") * fleet.n_bins + F.col("bin")).cast("bigint") * (n_cells + 2)
+    return F.coalesce(place + cell, F.lit(0))
 
 
 def _bounded(fleet: SlicedFleet, labelled: DataFrame, n_clusters: int) -> DataFrame:
     """Bounds on every member's mean distance to its own cluster: ``vin, q, sig, low, high``.
 
     Members in other cells count exactly through sums. Those in the same cell count at least as much
-    as if they all sat at their mean, and at most as the chord over the cell.
+    as if they all sat at their mean, and at most as the chord over the cell. Both are linear in the
+    value but for one absolute term, so the summary holds their coefficients.
     """
     n_cells = max(16, min(256, SUMMARY_ROWS // (n_clusters * fleet.n_bins)))
-    values = labelled.select(
-        "vin", "q", F.xxhash64("point").alias("sig"), F.posexplode("point").alias("bin", "x")
-    ).withColumn("cell", _cell(fleet, n_cells))
-    cells = values.groupBy("q", "bin", "cell").agg(
-        F.count("*").alias("m"),
-        F.sum("x").alias("s"),
-        F.min("x").alias("lo"),
-        F.max("x").alias("hi"),
+    # The signature is made before the explode, once per vehicle.
+    values = (
+        labelled.withColumn("sig", F.xxhash64("point"))
+        .select("vin", "q", "sig", F.posexplode("point").alias("bin", "x"))
+        .select("vin", "q", "sig", "x", _cell(fleet, n_cells).alias("cell"))
+    )
+    cells = values.groupBy("cell").agg(
+        F.count("*").alias("m"), F.sum("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi")
     )
-    whole = W.partitionBy("q", "bin")
+    # A window holds the cells of one cluster and bin.
+    whole = W.partitionBy(F.floor(F.col("cell") / (n_cells + 2)))
     below = whole.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    c_below = F.coalesce(F.sum("m").over(below), F.lit(0))
-    s_below = F.coalesce(F.sum("s").over(below), F.lit(0.0))
-    n_all = F.sum("m").over(whole)
-    slope = 2 * c_below - n_all + F.col("m")
-    const = F.sum("s").over(whole) - F.col("s") - 2 * s_below
-    span = F.col("hi") - F.col("lo")
-    at_lo = F.col("s") - F.col("m") * F.col("lo")
-    at_hi = F.col("m") * F.col("hi") - F.col("s")
+    m, s, lo, hi, size = (F.col(c) for c in ("m", "s", "lo", "hi", "size"))
+    span = hi - lo
+    chord = (m * (hi + lo) - 2 * s) / span
     summary = cells.select(
-        "q",
-        "bin",
+        "*",
+        F.sum("m").over(whole).alias("size"),
+        F.sum("s").over(whole).alias("sum"),
+        F.coalesce(F.sum("m").over(below), F.lit(0)).alias("m_below"),
+        F.coalesce(F.sum("s").over(below), F.lit(0.0)).alias("s_below"),
+    ).select(
         "cell",
-        n_all.alias("size"),
-        "m",
-        "s",
-        slope.alias("slope"),
-        const.alias("const"),
-        F.when(span > 0, (at_hi - at_lo) / span).otherwise(0.0).alias("chord_slope"),
-        F.when(span > 0, at_lo - F.col("lo") * (at_hi - at_lo) / span)
-        .otherwise(0.0)
-        .alias("chord_const"),
-        (span > 0).alias("wide"),
+        ((2 * F.col("m_below") + m - size) / size).alias("slope"),
+        ((F.col("sum") - s - 2 * F.col("s_below")) / size).alias("const"),
+        F.when(span > 0, m / size).otherwise(0.0).alias("pull"),
+        F.when(span > 0, s / size).otherwise(0.0).alias("pivot"),
+        F.when(span > 0, chord / size).otherwise(0.0).alias("chord_slope"),
+        F.when(span > 0, (s - m * lo - lo * chord) / size).otherwise(0.0).alias("chord_const"),
     )
     x = F.col("x")
     outside = x * F.col("slope") + F.col("const")
-    inside_low = F.when(F.col("wide"), F.abs(F.col("m") * x - F.col("s"))).otherwise(0.0)
+    inside_low = F.abs(F.col("pull") * x - F.col("pivot"))
     inside_high = x * F.col("chord_slope") + F.col("chord_const")
     return (
-        values.join(F.broadcast(summary), ["q", "bin", "cell"])
+        values.join(F.broadcast(summary), "cell")
         .groupBy("vin", "q", "sig")
         .agg(
-            (F.sum(outside + inside_low) / F.first("size")).alias("low"),
-            (F.sum(outside + inside_high) / F.first("size")).alias("high"),
+            F.sum(outside + inside_low).alias("low"), F.sum(outside + inside_high).alias("high")
         )
     )
 

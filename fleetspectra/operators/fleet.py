@@ -96,39 +96,38 @@ def of_group(df: DataFrame, sales_group: int) -> DataFrame:
     return df.where(F.col("sales_group") == F.lit(sales_group))
 
 
-def cell_skeleton(groups: DataFrame, order: dict = CELL_ORDER) -> DataFrame:
-    """Every (velocity, gradient, weight) cell of every sales group in ``groups``."""
-    out = groups.select("sales_group").distinct()
-    for signal, names in order.items():
-        out = out.withColumn(signal, F.explode(F.array(*[F.lit(n) for n in names])))
-    return out
-
-
 def kpi_crosstab(
     subpop: DataFrame, sales_group: int | None = None, kpis: dict[str, str] = KPIS
 ) -> DataFrame:
     """Vehicle count and KPI means per sub-population: 12 rows for each sales group.
 
-    An empty cell has count 0 and NULL means. NULL and NaN statistics are left out of a mean.
+    An empty cell has count 0 and NULL means. NULL and NaN statistics are left out of a mean. The fleet
+    is read and aggregated once; the empty cells are filled in from each group's short list of cells.
     """
-    if sales_group is None:
-        groups = subpop
-    else:
-        subpop = of_group(subpop, sales_group)
-        groups = subpop.sparkSession.range(1).select(F.lit(sales_group).alias("sales_group"))
-    cells = subpop.groupBy(
-        "sales_group",
-        F.col("cluster_velocity_text").alias("velocity"),
-        F.col("cluster_gradient_text").alias("gradient"),
-        F.col("cluster_weight_text").alias("weight"),
-    ).agg(
+    signals = {s: F.col(f"cluster_{s}_text").alias(s) for s in CELL_ORDER}
+    rows = subpop if sales_group is None else of_group(subpop, sales_group)
+    cells = rows.groupBy("sales_group", *signals.values()).agg(
         F.count("*").alias("n_vehicles"),
         *[F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(a) for c, a in kpis.items()],
     )
-    joined = cell_skeleton(groups).join(
-        cells, ["sales_group", "velocity", "gradient", "weight"], "left"
+    found = F.collect_list(F.struct(*signals, "n_vehicles", *kpis.values())).alias("found")
+    if sales_group is None:
+        groups = cells.groupBy("sales_group").agg(found)
+    else:
+        groups = cells.agg(found).withColumn("sales_group", F.lit(sales_group))
+    for signal, names in CELL_ORDER.items():
+        groups = groups.withColumn(signal, F.explode(F.array(*[F.lit(n) for n in names])))
+
+    def in_cell(cell: Column) -> Column:
+        return reduce(lambda a, b: a & b, [cell[s] == F.col(s) for s in CELL_ORDER])
+
+    hit = groups.withColumn("hit", F.get(F.filter("found", in_cell), F.lit(0)))
+    return hit.select(
+        "sales_group",
+        *CELL_ORDER,
+        F.coalesce("hit.n_vehicles", F.lit(0).cast("bigint")).alias("n_vehicles"),
+        *[F.col(f"hit.{a}").alias(a) for a in kpis.values()],
     )
-    return joined.withColumn("n_vehicles", F.coalesce("n_vehicles", F.lit(0).cast("bigint")))
 
 
 def decimal_text(value: Column, digits: int) -> Column:
@@ -233,17 +232,22 @@ def configuration_fit(subpop: DataFrame, expected: DataFrame) -> DataFrame:
         + F.when(F.col("cluster_gradient_text") == "Hilly", 1).otherwise(0)
     )
     fit = (
-        F.when(F.col("expected_rank") > demand, "over")
-        .when(F.col("expected_rank") < demand, "under")
+        F.when(F.col("expected_rank") > F.col("demand"), "over")
+        .when(F.col("expected_rank") < F.col("demand"), "under")
         .otherwise("match")
     )
+    # At most three rows per sales group meet the expectations.
+    counted = subpop.groupBy("sales_group", demand.alias("demand")).agg(F.count("*").alias("n"))
+    total = F.sum("n")
     return (
-        subpop.join(expected.select("sales_group", "expected_rank"), "sales_group")
+        counted.join(expected.select("sales_group", "expected_rank"), "sales_group")
         .groupBy("sales_group")
         .agg(
-            F.count("*").alias("n_vehicles"),
+            total.alias("n_vehicles"),
             *[
-                F.round(100.0 * F.count_if(fit == name) / F.count("*"), 1).alias(f"{name}_percent")
+                F.round(
+                    100.0 * F.coalesce(F.sum(F.when(fit == name, F.col("n"))), F.lit(0)) / total, 1
+                ).alias(f"{name}_percent")
                 for name in ("over", "under", "match")
             ],
         )
