@@ -21,7 +21,12 @@ from fleetspectra.functions.arrays import (
     l1,
     nearest,
 )
-from fleetspectra.operators.distance import SlicedFleet, cluster_totals, fleet_totals, spread
+from fleetspectra.operators.distance import (
+    Fleet,
+    cluster_totals,
+    default_tasks,
+    fleet_totals,
+)
 
 # Rows of the cluster summary (clusters x bins x cells), which is broadcast.
 SUMMARY_ROWS = 200_000
@@ -44,29 +49,28 @@ class Medoids:
     def label(self, point: str = "point") -> Column:
         return nearest(F.col(point), self.points)
 
-    def labels(self, fleet: SlicedFleet) -> DataFrame:
+    def labels(self, fleet: Fleet) -> DataFrame:
         """``vin, sales_group, cluster``: map-only over the fleet."""
         return fleet.frame.select("vin", "sales_group", self.label().alias("cluster"))
 
 
-def central_vehicles(fleet: SlicedFleet, n: int) -> DataFrame:
-    """The ``n`` vehicles with the least mean distance to the fleet; the lowest vin wins a tie."""
-    mean = F.round(F.col("total") / fleet.n, TIE_DECIMALS)
-    return (
-        fleet_totals(fleet)
-        .select("vin", "total", mean.alias("mean_distance"))
-        .orderBy("mean_distance", "vin")
-        .limit(n)
-    )
+def central_vehicles(
+    fleet: Fleet, n: int, direct_candidates: int = DIRECT_CANDIDATES
+) -> list[tuple[str, float]]:
+    """The ``n`` vehicles with the least mean distance to the fleet, in bin units, best first.
+
+    The lowest vin wins a tie.
+    """
+    return _central(fleet, fleet.frame, n, direct_candidates)
 
 
-def kmedoids(fleet: SlicedFleet, k: int, max_iter: int = 300) -> Medoids:
+def kmedoids(fleet: Fleet, k: int, max_iter: int = 300) -> Medoids:
     """Alternating k-medoids for one k."""
     return kmedoids_sweep(fleet, [k], max_iter)[k]
 
 
 def kmedoids_sweep(
-    fleet: SlicedFleet,
+    fleet: Fleet,
     ks: Iterable[int],
     max_iter: int = 300,
     direct_candidates: int = DIRECT_CANDIDATES,
@@ -82,25 +86,26 @@ def kmedoids_sweep(
         raise ValueError("k must be at least 1")
     if fleet.n < ks[-1]:
         raise ValueError(f"{fleet.n} vehicles cannot form {ks[-1]} clusters")
-    frame = spread(fleet.frame).persist()
-    cached = SlicedFleet(frame, fleet.n, fleet.scales, fleet.n_slices)
+    # Hashed by vin once, so that no round has to bring a vehicle's bins together again.
+    frame = fleet.frame.repartition(default_tasks(fleet.frame), "vin").persist()
     try:
-        start = [r["vin"] for r in central_vehicles(cached, ks[-1]).collect()]
-        points = _points_of(cached, start)
+        start = [vin for vin, _ in _central(fleet, frame, ks[-1], direct_candidates)]
+        points = _points_of(frame, start)
         state = {k: start[:k] for k in ks}
         done: dict[int, Medoids] = {}
         rounds = 0
         while len(done) < len(ks) and rounds < max_iter:
             rounds += 1
             moving = {k: state[k] for k in ks if k not in done}
-            moved = _update(cached, moving, points, direct_candidates)
+            moved = _update(fleet, frame, moving, points, direct_candidates)
             for k, vins in moved.items():
                 if vins == state[k]:
                     done[k] = _outcome(k, vins, points, rounds, True)
                 state[k] = vins
         for k in ks:
-            done.setdefault(k, _outcome(k, state[k], points, rounds, False))
-        return done
+            if k not in done:
+                done[k] = _outcome(k, state[k], points, rounds, False)
+        return {k: done[k] for k in ks}
     finally:
         frame.unpersist()
 
@@ -109,14 +114,14 @@ def _outcome(k, vins, points, rounds, converged) -> Medoids:
     return Medoids(k, tuple(vins), tuple(tuple(points[v]) for v in vins), rounds, converged)
 
 
-def _points_of(fleet: SlicedFleet, vins: Sequence[str]) -> dict[str, list[float]]:
+def _points_of(frame: DataFrame, vins: Sequence[str]) -> dict[str, list[float]]:
     """Vectors of a short, stated list of vehicles."""
-    rows = fleet.frame.where(F.col("vin").isin(list(vins))).select("vin", "point").collect()
+    rows = frame.where(F.col("vin").isin(list(vins))).select("vin", "point").collect()
     return {r["vin"]: r["point"] for r in rows}
 
 
 def _labelled(
-    fleet: SlicedFleet, medoids: dict[int, list[str]], points: dict[str, list[float]]
+    frame: DataFrame, medoids: dict[int, list[str]], points: dict[str, list[float]]
 ) -> DataFrame:
     """``vin, point, q``: one row per vehicle and run, ``q`` numbering the clusters of all runs."""
     first = 0
@@ -125,11 +130,11 @@ def _labelled(
         codes.append(nearest(F.col("point"), [points[v] for v in vins]) + F.lit(first))
         first += len(vins)
     if len(codes) == 1:
-        return fleet.frame.select("vin", "point", codes[0].alias("q"))
-    return fleet.frame.select("vin", "point", F.explode(F.array(*codes)).alias("q"))
+        return frame.select("vin", "point", codes[0].alias("q"))
+    return frame.select("vin", "point", F.explode(F.array(*codes)).alias("q"))
 
 
-def _cell(fleet: SlicedFleet, n_cells: int) -> Column:
+def _cell(fleet: Fleet, n_cells: int) -> Column:
     """Number of the (cluster, bin, cell) a value falls in, over all clusters and bins.
 
     Cells have equal width; exact zeros and exact maxima get cells of their own.
@@ -144,7 +149,7 @@ def _cell(fleet: SlicedFleet, n_cells: int) -> Column:
     return F.coalesce(place + cell, F.lit(0))
 
 
-def _bounded(fleet: SlicedFleet, labelled: DataFrame, n_clusters: int) -> DataFrame:
+def _bounded(fleet: Fleet, labelled: DataFrame, n_clusters: int) -> DataFrame:
     """Bounds on every member's mean distance to its own cluster: ``vin, q, sig, low, high``.
 
     Members in other cells count exactly through sums. Those in the same cell count at least as much
@@ -195,8 +200,66 @@ def _bounded(fleet: SlicedFleet, labelled: DataFrame, n_clusters: int) -> DataFr
     )
 
 
+def _exact_costs(labelled: DataFrame, options: list[tuple[int, str, list[float]]]) -> dict:
+    """Mean distance from each of a few stated vehicles to the members of a cluster, rounded."""
+    spark = labelled.sparkSession
+    refs = spark.createDataFrame(options, "q int, option string, ref array<double>")
+    rows = (
+        labelled.join(F.broadcast(refs), "q")
+        .groupBy("q", "option")
+        .agg((F.sum(l1(F.col("point"), F.col("ref"))) / F.count("*")).alias("cost"))
+        .collect()
+    )
+    return {(r["q"], r["option"]): round(r["cost"], TIE_DECIMALS) for r in rows}
+
+
+def _central(
+    fleet: Fleet, frame: DataFrame, n: int, direct_candidates: int
+) -> list[tuple[str, float]]:
+    """The most central vehicles: bounds first, exact costs for those that may be among them.
+
+    A fleet small enough to need no slicing takes the exact totals at once.
+    """
+    if fleet.n <= fleet.slice_rows:
+        return _central_by_totals(fleet, n)
+    labelled = frame.select("vin", "point", F.lit(0).alias("q"))
+    bounded = _bounded(fleet, labelled, 1).persist()
+    limit = direct_candidates * n
+    reach = bounded.orderBy("high").limit(n).agg(F.max("high")).first()[0]
+    found = (
+        bounded.where(F.col("low") <= reach + _SLACK + 1e-12 * reach)
+        .groupBy("sig")
+        .agg(F.min("vin").alias("vin"), F.count("*").alias("copies"))
+        .limit(limit + 1)
+        .collect()
+    )
+    if len(found) > limit:
+        bounded.unpersist()
+        return _central_by_totals(fleet, n)
+    points = _points_of(frame, [r["vin"] for r in found])
+    costs = _exact_costs(labelled, [(0, v, p) for v, p in points.items()])
+    # Each of the first n distributions has at least one vehicle, so no other can reach the list.
+    best = sorted(found, key=lambda r: (costs[0, r["vin"]], r["vin"]))[:n]
+    ranked = [(r["vin"], costs[0, r["vin"]]) for r in best]
+    if any(r["copies"] > 1 for r in best):
+        cost_of = F.coalesce(
+            *[F.when(F.col("sig") == r["sig"], F.lit(costs[0, r["vin"]])) for r in best]
+        )
+        rows = bounded.select("vin", cost_of.alias("cost")).where(F.col("cost").isNotNull())
+        ranked = [tuple(r) for r in rows.orderBy("cost", "vin").limit(n).collect()]
+    bounded.unpersist()
+    return ranked
+
+
+def _central_by_totals(fleet: Fleet, n: int) -> list[tuple[str, float]]:
+    mean = F.round(F.col("total") / fleet.n, TIE_DECIMALS)
+    rows = fleet_totals(fleet).select("vin", mean.alias("cost")).orderBy("cost", "vin").limit(n)
+    return [(r["vin"], r["cost"]) for r in rows.collect()]
+
+
 def _update(
-    fleet: SlicedFleet,
+    fleet: Fleet,
+    frame: DataFrame,
     medoids: dict[int, list[str]],
     points: dict[str, list[float]],
     direct_candidates: int,
@@ -204,7 +267,7 @@ def _update(
     """One round for all given runs. Vectors of new medoids are added to ``points``."""
     current = [v for vins in medoids.values() for v in vins]
     n_clusters = len(current)
-    labelled = _labelled(fleet, medoids, points)
+    labelled = _labelled(frame, medoids, points)
     # Read twice below: for the best bound, then for those that reach it.
     bounded = _bounded(fleet, labelled, n_clusters).persist()
     best_high = bounded.groupBy("q").agg(F.min("high").alias("best"))
@@ -224,11 +287,11 @@ def _update(
     if len(found) > limit:
         chosen = _best_by_totals(fleet, medoids, points)
     else:
-        chosen = _best_by_distance(fleet, labelled, found, current, points)
+        chosen = _best_by_distance(frame, labelled, found, current, points)
     new = [chosen.get(q, vin) for q, vin in enumerate(current)]
     missing = [v for v in new if v not in points]
     if missing:
-        points.update(_points_of(fleet, missing))
+        points.update(_points_of(frame, missing))
     out, first = {}, 0
     for k, vins in medoids.items():
         out[k] = new[first : first + len(vins)]
@@ -236,7 +299,7 @@ def _update(
     return out
 
 
-def _best_by_distance(fleet, labelled, found, current, points) -> dict[int, str]:
+def _best_by_distance(frame, labelled, found, current, points) -> dict[int, str]:
     """Choose among the candidates by their exact mean distance to the members."""
     options: dict[int, set[str]] = {}
     for row in found:
@@ -247,21 +310,11 @@ def _best_by_distance(fleet, labelled, found, current, points) -> dict[int, str]
         return chosen
     missing = {v for _, v in contested} - set(points)
     if missing:
-        points.update(_points_of(fleet, sorted(missing)))
-    rows = [(q, v, points[v]) for q, v in contested]
-    refs = fleet.frame.sparkSession.createDataFrame(rows, "q int, option string, ref array<double>")
-    costs = (
-        labelled.join(F.broadcast(refs), "q")
-        .groupBy("q", "option")
-        .agg((F.sum(l1(F.col("point"), F.col("ref"))) / F.count("*")).alias("cost"))
-        .collect()
-    )
-    for q in {row["q"] for row in costs}:
-        chosen[q] = min(
-            (round(r["cost"], TIE_DECIMALS), r["option"] != current[q], r["option"])
-            for r in costs
-            if r["q"] == q
-        )[2]
+        points.update(_points_of(frame, sorted(missing)))
+    costs = _exact_costs(labelled, [(q, v, points[v]) for q, v in contested])
+    for q, vins in options.items():
+        if len(vins) > 1:
+            chosen[q] = min((costs[q, v], v != current[q], v) for v in vins)[2]
     return chosen
 
 
@@ -295,7 +348,7 @@ def _best_by_totals(fleet, medoids, points) -> dict[int, str]:
     return chosen
 
 
-def silhouette_vehicles(fleet: SlicedFleet, runs: dict[str, tuple[Column, int]]) -> DataFrame:
+def silhouette_vehicles(fleet: Fleet, runs: dict[str, tuple[Column, int]]) -> DataFrame:
     """Silhouette of every vehicle for each run: ``vin`` and, per run, ``{run}``, ``{run}_score``.
 
     A run is a label column on ``fleet.frame`` with its number of clusters. The score is 0 for the
@@ -335,7 +388,7 @@ def silhouette_vehicles(fleet: SlicedFleet, runs: dict[str, tuple[Column, int]])
 
 
 def silhouette(
-    fleet: SlicedFleet, label: Column, k: int, level: str = "overall"
+    fleet: Fleet, label: Column, k: int, level: str = "overall"
 ) -> DataFrame:
     """Silhouette at ``level`` overall (one row), cluster or vehicle."""
     rows = silhouette_vehicles(fleet, {"cluster": (label, k)}).withColumnRenamed(
@@ -352,7 +405,7 @@ def silhouette(
     raise ValueError(f"unknown level {level!r}")
 
 
-def score_sweep(fleet: SlicedFleet, outcomes: dict[int, Medoids]) -> DataFrame:
+def score_sweep(fleet: Fleet, outcomes: dict[int, Medoids]) -> DataFrame:
     """Mean silhouette of each k, all from one sorted pass: ``k, silhouette``."""
     runs = {f"k{k}": (m.label(), k) for k, m in outcomes.items()}
     means = silhouette_vehicles(fleet, runs).agg(
@@ -368,7 +421,7 @@ def score_sweep(fleet: SlicedFleet, outcomes: dict[int, Medoids]) -> DataFrame:
 
 
 def k_sweep(
-    fleet: SlicedFleet, ks: Iterable[int] = range(2, 7), max_iter: int = 300
+    fleet: Fleet, ks: Iterable[int] = range(2, 7), max_iter: int = 300
 ) -> tuple[dict[int, Medoids], DataFrame]:
     """k-medoids for each k and the table ``k, silhouette``."""
     outcomes = kmedoids_sweep(fleet, ks, max_iter)
@@ -392,7 +445,7 @@ def choose_k(scores: DataFrame, policy: str = "best", k: int | None = None) -> i
     raise ValueError(f"unknown policy {policy!r}")
 
 
-def soft_membership(fleet: SlicedFleet, medoids: Medoids) -> DataFrame:
+def soft_membership(fleet: Fleet, medoids: Medoids) -> DataFrame:
     """Weights by inverse distance to the medoids: ``vin, cluster, weight``, summing to 1.
 
     A vehicle that coincides with medoids belongs to them alone, in equal parts.

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,80 +31,83 @@ BROADCAST_ROWS = 400_000
 
 
 @dataclass(frozen=True)
-class SlicedFleet:
-    """Distributions written to the shared folder, every value tagged with its slice.
+class Fleet:
+    """Distributions written to the shared folder.
 
-    ``frame`` has ``vin, sales_group, point array<double>, slice array<int>``. ``scales`` holds the
-    largest value a point can have in each bin: 1 for a plain cumulative distribution.
+    ``frame`` has ``vin, sales_group, point array<double>``. ``scales`` holds the largest value a point
+    can have in each bin: 1 for a plain cumulative distribution.
     """
 
     frame: DataFrame
     n: int
     scales: tuple[float, ...]
-    n_slices: int
+    slice_rows: int = SLICE_ROWS
 
     @property
     def n_bins(self) -> int:
         return len(self.scales)
 
-
-def slice_fleet(
+    @cached_property
+    def sliced(self) -> tuple[DataFrame, int]:
+        """``frame`` with ``slice array<int>``, and the number of slices; sorted on first use.
+
+        All (bin, value) pairs are cut into evenly filled slices. A fleet of at most ``slice_rows``
+        vehicles needs no sort, as each bin is one slice. Otherwise the range sort includes the vin, so
+        one value shared by a third of the fleet is still split. The slice number is fixed by writing
+        it out, as range bounds may differ when recomputed.
+        """
+        if self.n <= self.slice_rows:
+            return self.frame.withColumn("slice", F.array_repeat(F.lit(0), self.n_bins)), 1
+        n_slices = -(-self.n * self.n_bins // self.slice_rows)
+        sorted_values = (
+            self.frame.select("vin", F.posexplode("point").alias("bin", "x"))
+            .repartitionByRange(n_slices, "bin", "x", "vin")
+            .select("vin", "bin", F.spark_partition_id().alias("slice"))
+        )
+        # One exchange serves both the regrouping and the join.
+        n_tasks = max(n_slices, default_tasks(self.frame))
+        tags = (
+            sorted_values.repartition(n_tasks, "vin")
+            .groupBy("vin")
+            .agg(F.sort_array(F.collect_list(F.struct("bin", "slice"))).alias("tags"))
+            .select("vin", F.col("tags.slice").alias("slice"))
+        )
+        rows = self.frame.repartition(n_tasks, "vin").join(tags, "vin")
+        return materialize(rows, "sliced"), n_slices
+
+
+def default_tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(shuffles, spark.sparkContext.defaultParallelism)
+
+
+def write_fleet(
     dists: DataFrame, scales: Sequence[float] | None = None, slice_rows: int = SLICE_ROWS
-) -> SlicedFleet:
-    """Write the fleet out and sort all its (bin, value) pairs into evenly filled slices, once.
+) -> Fleet:
+    """Write ``vin, sales_group, cdf`` out for the many passes to come.
 
-    ``dists`` has ``vin, sales_group, cdf``; with ``scales`` the column is taken as already scaled.
-    A fleet of at most ``slice_rows`` vehicles needs no sort, as each bin is one slice. Otherwise the
-    range sort includes the vin, so one value shared by a third of the fleet is still split. The slice
-    number is fixed by writing it out, as range bounds may differ when recomputed.
+    With ``scales`` the cumulative column is taken as already scaled.
     """
-    spark = dists.sparkSession
-    points = materialize(
-        dists.select("vin", "sales_group", F.col("cdf").alias("point")), "points"
+    frame = materialize(
+        dists.select("vin", "sales_group", F.col("cdf").alias("point")), "fleet"
     )
-    n = points.count()
+    n = frame.count()
     if scales is None:
-        width = points.select(F.size("point").alias("b")).first()
+        width = frame.select(F.size("point").alias("b")).first()
         scales = [1.0] * (width["b"] if width else 1)
-    scales = tuple(float(s) for s in scales)
-    if n <= slice_rows:
-        whole = F.array_repeat(F.lit(0), len(scales))
-        return SlicedFleet(points.withColumn("slice", whole), n, scales, 1)
-    n_slices = -(-n * len(scales) // slice_rows)
-    sorted_values = (
-        points.select("vin", F.posexplode("point").alias("bin", "x"))
-        .repartitionByRange(n_slices, "bin", "x", "vin")
-        .select("vin", "bin", F.spark_partition_id().alias("slice"))
-    )
-    # One exchange serves both the regrouping and the join, with as many tasks as the data needs.
-    n_tasks = max(n_slices, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tags = (
-        sorted_values.repartition(n_tasks, "vin")
-        .groupBy("vin")
-        .agg(F.sort_array(F.collect_list(F.struct("bin", "slice"))).alias("tags"))
-        .select("vin", F.col("tags.slice").alias("slice"))
-    )
-    frame = materialize(points.repartition(n_tasks, "vin").join(tags, "vin"), "sliced")
-    return SlicedFleet(frame, n, scales, n_slices)
+    return Fleet(frame, n, tuple(float(s) for s in scales), slice_rows)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores; large frames are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def cluster_totals(
-    fleet: SlicedFleet, labels: dict[str, tuple[Column, int]], keep: Sequence[str] = ()
-) -> DataFrame:
+def cluster_totals(fleet: Fleet, labels: dict[str, tuple[Column, int]]) -> DataFrame:
     """Exact sum of distances from every vehicle to every cluster, in bin units.
 
     ``labels`` maps a run name to a label column on ``fleet.frame`` and its number of clusters; many
-    runs share one shuffle. The result has ``vin``, the ``keep`` columns and one array
-    ``{run}_totals`` per run, by cluster.
+    runs share one shuffle. The result has ``vin`` and one array ``{run}_totals`` per run, by cluster.
     """
     runs = list(labels)
-    tagged = fleet.frame.select(
+    frame, n_slices = fleet.sliced
+    tagged = frame.select(
         "vin", "point", "slice", *[labels[r][0].cast("int").alias(r) for r in runs]
     )
     values = tagged.select(
@@ -136,7 +140,7 @@ def cluster_totals(
         *[(2 * prior(f"c_{m}") - F.sum(f"c_{m}").over(whole)).alias(f"k_{m}") for m in names],
         *[(F.sum(f"s_{m}").over(whole) - 2 * prior(f"s_{m}")).alias(f"t_{m}") for m in names],
     )
-    if (fleet.n_slices + fleet.n_bins) * len(names) <= BROADCAST_ROWS:
+    if (n_slices + fleet.n_bins) * len(names) <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
 
     running = (
@@ -166,19 +170,16 @@ def cluster_totals(
             for m in names
         ]
     )
-    totals = summed.select(
+    return summed.select(
         "vin",
         *[
             F.array(*[F.col(f"{r}_{q}") for q in range(labels[r][1])]).alias(f"{r}_totals")
             for r in runs
         ],
     )
-    if not keep:
-        return totals
-    return fleet.frame.select("vin", *keep).join(totals, "vin")
 
 
-def fleet_totals(fleet: SlicedFleet) -> DataFrame:
+def fleet_totals(fleet: Fleet) -> DataFrame:
     """Exact sum of distances from each vehicle to the whole fleet: ``vin, total`` in bin units."""
     totals = cluster_totals(fleet, {"all": (F.lit(0), 1)})
     return totals.select("vin", F.get("all_totals", F.lit(0)).alias("total"))

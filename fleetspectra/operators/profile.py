@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetspectra.operators.cluster import Medoids
-from fleetspectra.operators.distance import SlicedFleet
+from fleetspectra.operators.distance import Fleet
 from fleetspectra.operators.grid import GridSpec
 
 
@@ -129,7 +129,7 @@ def pca_coordinates(dists: DataFrame, n: int = 2) -> tuple[DataFrame, list[float
 
 
 def pca_by_k(
-    coordinates: DataFrame, fleet: SlicedFleet, outcomes: dict[int, Medoids]
+    coordinates: DataFrame, fleet: Fleet, outcomes: dict[int, Medoids]
 ) -> DataFrame:
     """Scatter data ``k, vin, pc1, pc2, cluster`` for every k of a sweep, by one join."""
     labels = F.array(

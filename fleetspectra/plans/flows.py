@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetspectra.operators.cluster import Medoids, best_k, kmedoids, k_sweep
-from fleetspectra.operators.distance import SlicedFleet, slice_fleet
+from fleetspectra.operators.distance import Fleet, write_fleet
 from fleetspectra.operators.fleet import SIGNALS, apply_labels, join_subpopulations
 from fleetspectra.operators.grid import GRADIENT_GRID, WEIGHT_GRID, GridSpec
 from fleetspectra.operators.profile import NAMES_BY_RANK, auto_labels, label_names
@@ -23,7 +23,7 @@ class ClusteredSignal:
     signal: str
     grid: GridSpec
     dists: DataFrame
-    fleet: SlicedFleet
+    fleet: Fleet
     medoids: Medoids
     scores: DataFrame | None
 
@@ -66,7 +66,7 @@ def cluster_signal(
     if k == "default":
         k = CLUSTER_COUNTS[signal]
     dists, grid = signal_distributions(spectra, outliers, signal)
-    fleet = slice_fleet(dists)
+    fleet = write_fleet(dists)
     if k is None:
         outcomes, scores = k_sweep(fleet)
         return ClusteredSignal(

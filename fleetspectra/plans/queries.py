@@ -54,8 +54,8 @@ def supplier_distributions(spark, folder):
     return spectra.to_distributions(usage.spectra(spark, folder, "weight", "S"), WEIGHT_GRID)
 
 
-def sliced(spark, folder, signal="weight") -> distance.SlicedFleet:
-    return distance.slice_fleet(distributions(spark, folder, signal)[0])
+def written(spark, folder, signal="weight") -> distance.Fleet:
+    return distance.write_fleet(distributions(spark, folder, signal)[0])
 
 
 def stand_ins(spark, folder, signal) -> DataFrame:
@@ -233,14 +233,15 @@ def w1_from_probabilities(spark, folder):
 
 @query
 def fleet_total_distance(spark, folder):
-    totals = distance.fleet_totals(sliced(spark, folder, "weight"))
+    totals = distance.fleet_totals(written(spark, folder, "weight"))
     return totals.select("vin", F.round(F.col("total") * WEIGHT_GRID.step, 2).alias("total"))
 
 
 @query
 def central_vehicles(spark, folder):
-    top = cluster.central_vehicles(sliced(spark, folder, "weight"), 10)
-    return rounded(top.select("vin", "mean_distance"), 6, "mean_distance")
+    top = cluster.central_vehicles(written(spark, folder, "weight"), 10)
+    rows = spark.createDataFrame(top, "vin string, mean_distance double")
+    return rounded(rows, 6, "mean_distance")
 
 
 # Clustering
@@ -248,13 +249,13 @@ def central_vehicles(spark, folder):
 
 @query
 def kmedoids_k2(spark, folder):
-    data = sliced(spark, folder, "gradient")
+    data = written(spark, folder, "gradient")
     return cluster.kmedoids(data, 2).labels(data)
 
 
 @query
 def kmedoids_k3(spark, folder):
-    data = sliced(spark, folder, "weight")
+    data = written(spark, folder, "weight")
     return cluster.kmedoids(data, 3).labels(data)
 
 
@@ -270,47 +271,47 @@ def kmedoids_labels_velocity(spark, folder):
 @query
 def medoid_profile(spark, folder):
     dists, grid = distributions(spark, folder, "weight")
-    data = distance.slice_fleet(dists)
+    data = distance.write_fleet(dists)
     medoids = cluster.kmedoids(data, 3)
     return rounded(profile.medoid_profile(dists, medoids.vins, grid), 6, "p")
 
 
 @query
 def silhouette_k3(spark, folder):
-    data = sliced(spark, folder, "weight")
+    data = written(spark, folder, "weight")
     medoids = cluster.kmedoids(data, 3)
     return rounded(cluster.silhouette(data, medoids.label(), 3), 6, "silhouette")
 
 
 @query
 def silhouette_by_cluster(spark, folder):
-    data = sliced(spark, folder, "weight")
+    data = written(spark, folder, "weight")
     medoids = cluster.kmedoids(data, 3)
     return rounded(cluster.silhouette(data, medoids.label(), 3, "cluster"), 6, "silhouette")
 
 
 @query
 def silhouette_by_vehicle(spark, folder):
-    data = sliced(spark, folder, "weight")
+    data = written(spark, folder, "weight")
     medoids = cluster.kmedoids(data, 3)
     return rounded(cluster.silhouette(data, medoids.label(), 3, "vehicle"), 6, "silhouette")
 
 
 @query
 def k_sweep(spark, folder):
-    _, scores = cluster.k_sweep(sliced(spark, folder, "weight"))
+    _, scores = cluster.k_sweep(written(spark, folder, "weight"))
     return rounded(scores, 6, "silhouette")
 
 
 @query
 def best_k(spark, folder):
-    _, scores = cluster.k_sweep(sliced(spark, folder, "weight"))
+    _, scores = cluster.k_sweep(written(spark, folder, "weight"))
     return rounded(cluster.best_k(scores), 6, "silhouette")
 
 
 @query
 def soft_membership(spark, folder):
-    data = sliced(spark, folder, "gradient")
+    data = written(spark, folder, "gradient")
     return rounded(cluster.soft_membership(data, cluster.kmedoids(data, 2)), 6, "weight")
 
 
@@ -321,7 +322,7 @@ def multi_signal_k2(spark, folder):
     gradient, _ = distributions(spark, folder, "gradient")
     joint = flows.joint_distributions({"weight": (weight, 1.0), "gradient": (gradient, 2.0)})
     scales = [1.0] * WEIGHT_GRID.n + [2.0] * GRADIENT_GRID.n
-    data = distance.slice_fleet(joint, scales)
+    data = distance.write_fleet(joint, scales)
     return cluster.kmedoids(data, 2).labels(data)
 
 
@@ -415,7 +416,7 @@ def pca_2d(spark, folder):
 def pca_by_k(spark, folder):
     dists, _ = distributions(spark, folder, "gradient")
     dists = tables.materialize(dists, "dists")
-    data = distance.slice_fleet(dists)
+    data = distance.write_fleet(dists)
     coordinates, _ = profile.pca_coordinates(dists)
     return rounded(
         profile.pca_by_k(coordinates, data, cluster.kmedoids_sweep(data, range(2, 7))),

@@ -35,10 +35,11 @@ def test_totals_match_brute_force(spark, slice_rows):
     cdfs = random_cdfs(120, 9, 1)
     # A third of the fleet are copies of one vehicle.
     cdfs[40:80] = cdfs[40]
-    fleet = di.slice_fleet(fleet_frame(spark, cdfs), slice_rows=slice_rows)
-    assert fleet.n == 120 and (fleet.n_slices > 1) == (slice_rows == 37)
-    if fleet.n_slices > 1:
-        sizes = fleet.frame.select(F.explode("slice").alias("s")).groupBy("s").count().collect()
+    fleet = di.write_fleet(fleet_frame(spark, cdfs), slice_rows=slice_rows)
+    frame, n_slices = fleet.sliced
+    assert fleet.n == 120 and (n_slices > 1) == (slice_rows == 37)
+    if n_slices > 1:
+        sizes = frame.select(F.explode("slice").alias("s")).groupBy("s").count().collect()
         assert len(sizes) > 10 and max(r["count"] for r in sizes) < 4 * slice_rows
     got = {r["vin"]: r["total"] for r in di.fleet_totals(fleet).collect()}
     want = distances(cdfs).sum(axis=1)
@@ -58,7 +59,7 @@ def test_totals_match_brute_force(spark, slice_rows):
 def test_kmedoids_matches_brute_force(spark, seed, direct):
     cdfs = random_cdfs(150, 8, seed)
     cdfs[30:60] = cdfs[31]
-    fleet = di.slice_fleet(fleet_frame(spark, cdfs), slice_rows=60 if direct else 500_000)
+    fleet = di.write_fleet(fleet_frame(spark, cdfs), slice_rows=500_000 if direct else 60)
     ks = [2, 3, 5]
     got = cl.kmedoids_sweep(fleet, ks, direct_candidates=direct)
     for k in ks:
@@ -69,11 +70,25 @@ def test_kmedoids_matches_brute_force(spark, seed, direct):
         assert got[k].rounds == n_rounds and got[k].converged
 
 
+def test_central_vehicles(spark):
+    cdfs = random_cdfs(90, 7, 21)
+    middle = int(distances(cdfs).sum(axis=1).argmin())
+    # Four copies of the most central vehicle, one of them first by vin.
+    cdfs[[0, 50, 70]] = cdfs[middle]
+    mean = np.round(distances(cdfs).mean(axis=1), 9)
+    want = np.lexsort((np.arange(90), mean))[:6]
+    fleet = di.write_fleet(fleet_frame(spark, cdfs), slice_rows=50)
+    for direct in (64, 0):
+        got = cl.central_vehicles(fleet, 6, direct)
+        assert [int(v[1:]) for v, _ in got] == list(want)
+        assert np.allclose([c for _, c in got], mean[want], atol=2e-9)
+
+
 def test_bounds_hold(spark):
     cdfs = random_cdfs(90, 7, 8)
-    fleet = di.slice_fleet(fleet_frame(spark, cdfs))
+    fleet = di.write_fleet(fleet_frame(spark, cdfs))
     points = {f"V{i:05d}": list(map(float, cdfs[i])) for i in (0, 1)}
-    labelled = cl._labelled(fleet, {2: ["V00000", "V00001"]}, points)
+    labelled = cl._labelled(fleet.frame, {2: ["V00000", "V00001"]}, points)
     codes = {r["vin"]: r["q"] for r in labelled.collect()}
     own = np.array([codes[f"V{i:05d}"] for i in range(90)])
     d = distances(cdfs)
@@ -86,7 +101,7 @@ def test_bounds_hold(spark):
 def test_silhouette_matches_brute_force(spark):
     cdfs = random_cdfs(80, 6, 5)
     cdfs[79] = [1.0] * 6
-    fleet = di.slice_fleet(fleet_frame(spark, cdfs), slice_rows=50)
+    fleet = di.write_fleet(fleet_frame(spark, cdfs), slice_rows=50)
     # The last vehicle is alone in its cluster.
     label = F.when(F.col("vin") == "V00079", 2).otherwise(F.substring("vin", 6, 1).cast("int") % 2)
     labels = np.array([2 if i == 79 else i % 10 % 2 for i in range(80)])
@@ -104,7 +119,7 @@ def test_silhouette_matches_brute_force(spark):
 
 def test_planted_clusters_are_found(spark):
     cdfs = planted_cdfs()
-    fleet = di.slice_fleet(fleet_frame(spark, cdfs))
+    fleet = di.write_fleet(fleet_frame(spark, cdfs))
     outcomes, scores = cl.k_sweep(fleet)
     assert cl.choose_k(scores) == 3 and cl.choose_k(scores, "fixed", 2) == 2
     rows = {r["vin"]: r["cluster"] for r in outcomes[3].labels(fleet).collect()}
@@ -118,7 +133,7 @@ def test_planted_clusters_are_found(spark):
 
 def test_identical_vehicles(spark):
     cdfs = np.array([[0.5, 1.0]] * 5 + [[0.0, 1.0]])
-    fleet = di.slice_fleet(fleet_frame(spark, cdfs))
+    fleet = di.write_fleet(fleet_frame(spark, cdfs))
     found = cl.kmedoids(fleet, 2)
     assert found.vins == ("V00000", "V00001") and found.converged
     rows = {r["cluster"] for r in found.labels(fleet).collect()}
@@ -128,15 +143,15 @@ def test_identical_vehicles(spark):
 def test_labels_do_not_depend_on_partitioning(spark):
     cdfs = random_cdfs(100, 7, 11, atoms=False)
     df = fleet_frame(spark, cdfs)
-    a = cl.kmedoids(di.slice_fleet(df.coalesce(1)), 3)
-    b = cl.kmedoids(di.slice_fleet(df.repartition(11).orderBy(F.rand(3)), slice_rows=40), 3)
+    a = cl.kmedoids(di.write_fleet(df.coalesce(1)), 3)
+    b = cl.kmedoids(di.write_fleet(df.repartition(11).orderBy(F.rand(3)), slice_rows=40), 3)
     assert a == b
 
 
 def test_unequal_scales(spark):
     cdfs = np.hstack([random_cdfs(60, 5, 2), 3 * random_cdfs(60, 4, 6)])
     scales = [1.0] * 5 + [3.0] * 4
-    fleet = di.slice_fleet(fleet_frame(spark, cdfs), scales)
+    fleet = di.write_fleet(fleet_frame(spark, cdfs), scales)
     labels, medoids, _ = kmedoids(distances(cdfs), 3)
     assert [int(v[1:]) for v in cl.kmedoids(fleet, 3).vins] == medoids
 
@@ -161,7 +176,7 @@ def test_pairs_and_guard(spark):
 
 def test_soft_membership(spark):
     cdfs = random_cdfs(40, 6, 12)
-    fleet = di.slice_fleet(fleet_frame(spark, cdfs))
+    fleet = di.write_fleet(fleet_frame(spark, cdfs))
     found = cl.kmedoids(fleet, 3)
     rows = cl.soft_membership(fleet, found).collect()
     totals = {}
@@ -173,7 +188,7 @@ def test_soft_membership(spark):
 
 
 def test_bad_arguments(spark):
-    fleet = di.slice_fleet(fleet_frame(spark, random_cdfs(4, 3, 1)))
+    fleet = di.write_fleet(fleet_frame(spark, random_cdfs(4, 3, 1)))
     with pytest.raises(ValueError):
         cl.kmedoids(fleet, 5)
     with pytest.raises(ValueError):
@@ -185,9 +200,9 @@ def test_bad_arguments(spark):
 
 
 def test_plans_stay_in_the_jvm_without_cartesian_products(spark):
-    fleet = di.slice_fleet(fleet_frame(spark, random_cdfs(50, 5, 1)), slice_rows=20)
+    fleet = di.write_fleet(fleet_frame(spark, random_cdfs(50, 5, 1)), slice_rows=20)
     points = {v: p for v, p in fleet.frame.select("vin", "point").limit(2).collect()}
-    labelled = cl._labelled(fleet, {2: list(points)}, points)
+    labelled = cl._labelled(fleet.frame, {2: list(points)}, points)
     label = F.lit(0)
     for df in (
         cl._bounded(fleet, labelled, 2),
