@@ -21,12 +21,7 @@ from fleetspectra.functions.arrays import (
     l1,
     nearest,
 )
-from fleetspectra.operators.distance import (
-    Fleet,
-    cluster_totals,
-    default_tasks,
-    fleet_totals,
-)
+from fleetspectra.operators.distance import Fleet, cluster_totals, fleet_totals
 
 # Rows of the cluster summary (clusters x bins x cells), which is broadcast.
 SUMMARY_ROWS = 200_000
@@ -87,7 +82,7 @@ def kmedoids_sweep(
     if fleet.n < ks[-1]:
         raise ValueError(f"{fleet.n} vehicles cannot form {ks[-1]} clusters")
     # Hashed by vin once, so that no round has to bring a vehicle's bins together again.
-    frame = fleet.frame.repartition(default_tasks(fleet.frame), "vin").persist()
+    frame = fleet.frame.repartition(fleet.n_tasks, "vin").persist()
     try:
         start = [vin for vin, _ in _central(fleet, frame, ks[-1], direct_candidates)]
         points = _points_of(frame, start)

@@ -26,6 +26,8 @@ from fleetspectra.sources.tables import materialize
 
 # A slice of sorted values aims at this many rows.
 SLICE_ROWS = 500_000
+# A task over whole vehicles aims at this many values.
+TASK_VALUES = 4_000_000
 # Tables with at most this many narrow rows are broadcast; larger ones are left to the optimizer.
 BROADCAST_ROWS = 400_000
 
@@ -47,6 +49,14 @@ class Fleet:
     def n_bins(self) -> int:
         return len(self.scales)
 
+    @property
+    def n_tasks(self) -> int:
+        """Tasks for a pass over the fleet: enough for the data, and for the cores."""
+        spark = self.frame.sparkSession
+        shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        by_data = -(-self.n * self.n_bins // TASK_VALUES)
+        return max(by_data, shuffles, spark.sparkContext.defaultParallelism)
+
     @cached_property
     def sliced(self) -> tuple[DataFrame, int]:
         """``frame`` with ``slice array<int>``, and the number of slices; sorted on first use.
@@ -65,7 +75,7 @@ class Fleet:
             .select("vin", "bin", F.spark_partition_id().alias("slice"))
         )
         # One exchange serves both the regrouping and the join.
-        n_tasks = max(n_slices, default_tasks(self.frame))
+        n_tasks = max(n_slices, self.n_tasks)
         tags = (
             sorted_values.repartition(n_tasks, "vin")
             .groupBy("vin")
@@ -76,12 +86,6 @@ class Fleet:
         return materialize(rows, "sliced"), n_slices
 
 
-def default_tasks(df: DataFrame) -> int:
-    spark = df.sparkSession
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffles, spark.sparkContext.defaultParallelism)
-
-
 def write_fleet(
     dists: DataFrame, scales: Sequence[float] | None = None, slice_rows: int = SLICE_ROWS
 ) -> Fleet:
