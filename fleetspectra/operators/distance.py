@@ -52,10 +52,8 @@ class Fleet:
     @property
     def n_tasks(self) -> int:
         """Tasks for a pass over the fleet: enough for the data, and for the cores."""
-        spark = self.frame.sparkSession
-        shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
         by_data = -(-self.n * self.n_bins // TASK_VALUES)
-        return max(by_data, shuffles, spark.sparkContext.defaultParallelism)
+        return max(by_data, self.frame.sparkSession.sparkContext.defaultParallelism)
 
     @cached_property
     def sliced(self) -> tuple[DataFrame, int]:
