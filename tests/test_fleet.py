@@ -176,3 +176,11 @@ def test_stream_over_several_batches(spark, tmp_path):
     rows = {(r["vin"], r["x1_interval"]): r["count"] for r in read_spectrum(spark, target).collect()}
     assert rows == {("A", "[0, 10)"): 3.0, ("B", "[20, 30)"): 3.0}
     assert spark.read.parquet(target).select("batch").distinct().count() == 3
+
+
+def test_shared_folder_can_be_cleared(spark):
+    old = tables.materialize(spark.range(3), "old").inputFiles()[0]
+    tables.clear_shared_folder(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(old)
+    assert tables.materialize(spark.range(4), "new").count() == 4
