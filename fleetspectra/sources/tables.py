@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fleetspectra.operators.fleet import union_stats
 
-_local_folders: dict[str, str] = {}
-
 
 def _is_path(source: str) -> bool:
     return "/" in source
@@ -51,40 +49,49 @@ def save(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's part of the folder named by ``spark.checkpoint.dir``.
+    """This application's part of the folder that all executors share.
 
-    Only a local master may run without that setting; it then gets a temporary folder.
+    The session names it in ``spark.checkpoint.dir``; without that setting a folder in the warehouse
+    is taken, which is shared as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    app = context.applicationId
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         set_by_hand = context._jsc.sc().getCheckpointDir()
         root = set_by_hand.get() if set_by_hand.isDefined() else None
     if not root:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        if app not in _local_folders:
-            _local_folders[app] = tempfile.mkdtemp(prefix="fleetspectra-")
-        root = _local_folders[app]
-    return f"{root.rstrip('/')}/{app}"
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+    return f"{root.rstrip('/')}/{context.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage that survives executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return read_back(df.sparkSession, write_aside(df, name, compression), df.schema)
 
 
-def clear_shared_folder(spark: SparkSession) -> None:
-    """Delete everything this application has materialised."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+def write_aside(df: DataFrame, name: str, compression: str = "snappy") -> str:
+    """Write ``df`` to a new path in the shared folder; returns the path, for ``discard``."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    return path
+
+
+def read_back(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def discard(spark: SparkSession, where: str) -> None:
+    """Delete what was written to a path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(path, True)
 
 
+def clear_shared_folder(spark: SparkSession) -> None:
+    """Delete everything this application has materialised."""
+    discard(spark, shared_folder(spark))
+
+
 def preview(df: DataFrame, n: int = 10, *order: str) -> DataFrame:
     """The first ``n`` rows in a stated order."""
     keys = order or tuple(df.columns)
