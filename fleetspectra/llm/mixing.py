@@ -88,19 +88,20 @@ def targets(
     )
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed and written into the plan once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def log_factorial(n: Column) -> Column:
     """Natural logarithm of n!: exact products up to 20, Stirling's series beyond."""
     small = F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))
-    x = F.greatest(n, F.lit(1)).cast("double")
-    series = (
-        x * F.log(x)
-        - x
-        + 0.5 * F.log(2 * math.pi * x)
-        + 1 / (12 * x)
-        - 1 / (360 * x * x * x)
-        + 1 / (1260 * x * x * x * x * x)
-    )
-    return F.when(n <= 20, small).otherwise(series)
+
+    def series(x: Column) -> Column:
+        tail = 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
+        return x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + tail
+
+    return F.when(n <= 20, small).otherwise(let(n.cast("double"), series))
 
 
 def hypergeometric(good: Column, bad: Column, draws: Column, u: Column) -> Column:
@@ -109,40 +110,54 @@ def hypergeometric(good: Column, bad: Column, draws: Column, u: Column) -> Colum
     Probabilities are summed over twelve standard deviations around the mean, which leaves out less
     than the rounding of a double.
     """
-    total = good + bad
-    mean = draws * good / F.greatest(total, F.lit(1))
-    variance = (
-        mean
-        * (bad / F.greatest(total, F.lit(1)))
-        * ((total - draws) / F.greatest(total - 1, F.lit(1)))
-    )
-    reach = 12 * F.sqrt(F.greatest(variance, F.lit(0.0))) + 12
-    low = F.greatest(F.lit(0), draws - bad, F.floor(mean - reach)).cast("long")
-    high = F.least(good, draws, F.ceil(mean + reach)).cast("long")
 
-    def choose(n: Column, k: Column) -> Column:
-        return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+    def bounds(a: Column) -> Column:
+        good, bad, draws = a["good"], a["bad"], a["draws"]
+        total = F.greatest(good + bad, F.lit(1))
+        mean = draws * good / total
+        variance = mean * (bad / total) * ((total - draws) / F.greatest(total - 1, F.lit(1)))
+        reach = 12 * F.sqrt(F.greatest(variance, F.lit(0.0))) + 12
+        low = F.greatest(F.lit(0), draws - bad, F.floor(mean - reach)).cast("long")
+        high = F.least(good, draws, F.ceil(mean + reach)).cast("long")
+        return F.struct(
+            good.alias("good"),
+            bad.alias("bad"),
+            draws.alias("draws"),
+            a["u"].alias("u"),
+            low.alias("low"),
+            high.alias("high"),
+        )
+
+    def quantile(b: Column) -> Column:
+        good, bad, draws, low = b["good"], b["bad"], b["draws"], b["low"]
+        plus = [good, bad, draws, good + bad - draws]
+        minus = [low, good - low, draws - low, bad - draws + low, good + bad]
 
-    p_low = F.exp(choose(good, low) + choose(bad, draws - low) - choose(total, draws))
-    start = F.struct(low.alias("at"), p_low.alias("p"), p_low.alias("sum"))
+        def total(terms: list[Column]) -> Column:
+            logs = F.transform(F.array(*terms), log_factorial)
+            return F.aggregate(logs, F.lit(0.0), lambda s, x: s + x)
 
-    def step(state: Column, k: Column) -> Column:
-        up = (
-            state["p"]
-            * ((good - k + 1) / k)
-            * ((draws - k + 1) / F.greatest(bad - draws + k, F.lit(1)))
+        start = let(
+            F.exp(total(plus) - total(minus)),
+            lambda p: F.struct(low.alias("at"), p.alias("p"), p.alias("sum")),
         )
-        go_on = (state["sum"] < u) & (state["at"] == k - 1)
-        return F.struct(
-            F.when(go_on, k).otherwise(state["at"]).alias("at"),
-            F.when(go_on, up).otherwise(state["p"]).alias("p"),
-            F.when(go_on, state["sum"] + up).otherwise(state["sum"]).alias("sum"),
+
+        def step(state: Column, k: Column) -> Column:
+            up = (
+                state["p"]
+                * ((good - k + 1) / k)
+                * ((draws - k + 1) / F.greatest(bad - draws + k, F.lit(1)))
+            )
+            more = F.struct(k.alias("at"), up.alias("p"), (state["sum"] + up).alias("sum"))
+            return F.when((state["sum"] < b["u"]) & (state["at"] == k - 1), more).otherwise(state)
+
+        steps = F.when(b["high"] > low, F.sequence(low + 1, b["high"])).otherwise(
+            F.array().cast("array<bigint>")
         )
+        return F.aggregate(steps, start, step, lambda s: s["at"])
 
-    steps = F.when(high > low, F.sequence(low + 1, high)).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    return F.aggregate(steps, start, step, lambda s: s["at"])
+    given = F.struct(good.alias("good"), bad.alias("bad"), draws.alias("draws"), u.alias("u"))
+    return let(let(given, bounds), quantile)
 
 
 def split_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
@@ -153,69 +168,60 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     most and every source's blocks add up to its quota.
     """
     total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)
-    nodes = quotas.agg(
-        F.sort_array(F.collect_list(F.struct("source_no", F.col("quota").cast("long").alias("n"))))
-        .alias("s")
-    ).select(
-        F.lit(0).alias("low"),
-        F.lit(shards).alias("high"),
-        F.col("s.source_no").alias("sources"),
-        F.col("s.n").alias("q"),
+    nodes = (
+        quotas.agg(
+            F.sort_array(
+                F.collect_list(F.struct("source_no", F.col("quota").cast("long").alias("n")))
+            ).alias("s")
+        )
+        .select(
+            F.lit(0).alias("low"),
+            F.lit(shards).alias("high"),
+            F.col("s.source_no").alias("sources"),
+            F.col("s.n").alias("q"),
+        )
+        .withColumns({"begin": F.lit(0).cast("long"), "end": total, "all_blocks": total})
     )
-    nodes = nodes.withColumns({"begin": F.lit(0).cast("long"), "end": total})
-    whole = F.col("all_blocks")
-    nodes = nodes.withColumn("all_blocks", F.col("end"))
-    for _ in range(max(0, math.ceil(math.log2(shards)))):
-        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
-        cut = F.floor(whole * middle / F.lit(shards)).cast("long")
-        inner = F.col("high") - F.col("low") > 1
-        start = F.struct(
-            (cut - F.col("begin")).alias("draws"),
-            (F.col("end") - F.col("begin")).alias("rest"),
-            F.array().cast("array<bigint>").alias("out"),
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    cut = F.floor(F.col("all_blocks") * middle / F.lit(shards)).cast("long")
+    names = ["low", "high", "begin", "end", "q"]
+
+    def draw(state: Column, x: Column) -> Column:
+        u = uniform(F.lit(seed), F.col("low"), F.col("high"), x["no"])
+        k = hypergeometric(x["n"], state["rest"] - x["n"], state["draws"], u)
+        return let(
+            k,
+            lambda d: F.struct(
+                (state["draws"] - d).alias("draws"),
+                (state["rest"] - x["n"]).alias("rest"),
+                F.concat(state["out"], F.array(d)).alias("out"),
+            ),
         )
 
-        def draw(state: Column, x: Column) -> Column:
-            k = hypergeometric(
-                x["n"], state["rest"] - x["n"], state["draws"], uniform(
-                    F.lit(seed), F.col("low"), F.col("high"), x["no"]
-                )
-            )
-            # One-element lists give the drawn number a name without drawing it again.
-            return F.element_at(
-                F.transform(
-                    F.array(k),
-                    lambda d: F.struct(
-                        (state["draws"] - d).alias("draws"),
-                        (state["rest"] - x["n"]).alias("rest"),
-                        F.concat(state["out"], F.array(d)).alias("out"),
-                    ),
-                ),
-                1,
-            )
-
-        pairs = F.zip_with("sources", "q", lambda no, n: F.struct(no.alias("no"), n.alias("n")))
-        left = F.aggregate(pairs, start, draw, lambda s: s["out"])
-        drawn = nodes.withColumns(
-            {"left": F.when(inner, left), "middle": middle, "cut": cut}
+    start = F.struct(
+        (cut - F.col("begin")).alias("draws"),
+        (F.col("end") - F.col("begin")).alias("rest"),
+        F.array().cast("array<bigint>").alias("out"),
+    )
+    pairs = F.zip_with("sources", "q", lambda no, n: F.struct(no.alias("no"), n.alias("n")))
+
+    def halves(left: Column) -> Column:
+        right = F.zip_with("q", left, lambda a, b: a - b)
+        return F.array(
+            F.struct(
+                F.col("low"), middle.alias("high"), F.col("begin"), cut.alias("end"), left.alias("q")
+            ),
+            F.struct(
+                middle.alias("low"), F.col("high"), cut.alias("begin"), F.col("end"), right.alias("q")
+            ),
         )
-        child = F.explode(
-            F.when(
-                inner,
-                F.array(
-                    F.struct("low", F.col("middle").alias("high"), "begin", F.col("cut").alias("end"),
-                             F.col("left").alias("q")),
-                    F.struct(
-                        F.col("middle").alias("low"),
-                        "high",
-                        F.col("cut").alias("begin"),
-                        "end",
-                        F.zip_with("q", "left", lambda a, b: a - b).alias("q"),
-                    ),
-                ),
-            ).otherwise(F.array(F.struct("low", "high", "begin", "end", "q")))
+
+    for _ in range(max(0, math.ceil(math.log2(shards)))):
+        drawn = let(F.aggregate(pairs, start, draw, lambda s: s["out"]), halves)
+        children = F.when(F.col("high") - F.col("low") > 1, drawn).otherwise(
+            F.array(F.struct(*names))
         )
-        nodes = drawn.select("sources", "all_blocks", child.alias("c")).select(
+        nodes = nodes.select("sources", "all_blocks", F.explode(children).alias("c")).select(
             "sources", "all_blocks", "c.*"
         )
     return nodes.select(
