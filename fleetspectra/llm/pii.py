@@ -185,15 +185,15 @@ def normalised(text: str) -> Tape | None:
 
 
 def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Identifiers that show in the normalised text only, as source spans apart from the plain ones."""
+    """Identifiers that show in the normalised text only, or reach farther there, as source spans."""
     tape = normalised(text)
     if tape is None:
         return []
     out = []
     for a, b, k in plain_spans(tape.text):
         start, end = tape.starts[a], tape.ends[b - 1]
-        # A plain span of any kind that overlaps says the same or more.
-        if all(end <= s or start >= e for s, e, _ in plain):
+        # A plain span that covers it says the same or more.
+        if not any(s <= start and end <= e for s, e, _ in plain):
             out.append((start, end, k))
     return out
 
