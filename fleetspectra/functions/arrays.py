@@ -43,22 +43,26 @@ def w1(cdf_a: Column, cdf_b: Column, step: float = 1.0) -> Column:
 
 
 def w1_probs(probs_a: Column, probs_b: Column, centers: Sequence[float]) -> Column:
-    """The same distance from two probability arrays on any ordered grid of bin centers."""
+    """The same distance from two probability arrays on any ordered grid of bin centers: one pass."""
     widths = [b - a for a, b in zip(centers, centers[1:])] + [1.0]
-    gaps = F.zip_with(running_total(probs_a), running_total(probs_b), lambda x, y: F.abs(x - y))
-    return array_total(F.zip_with(gaps, double_array(widths), lambda g, w: g * w))
-
-
-def running_total(col: Column) -> Column:
-    """Prefix sums of an array."""
-    empty = F.array().cast("array<double>")
-    return F.aggregate(
-        col,
-        empty,
-        lambda acc, v: F.concat(
-            acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) + v)
-        ),
+    steps = F.zip_with(
+        F.zip_with(probs_a, probs_b, lambda x, y: x - y),
+        double_array(widths),
+        lambda d, w: F.struct(d.alias("d"), w.alias("w")),
     )
+    start = F.struct(F.lit(0.0).alias("gap"), F.lit(0.0).alias("total"))
+
+    def add(state: Column, v: Column) -> Column:
+        gap = state["gap"] + v["d"]
+        return F.struct(gap.alias("gap"), (state["total"] + F.abs(gap) * v["w"]).alias("total"))
+
+    return F.aggregate(steps, start, add, lambda state: state["total"])
+
+
+def differences(col: Column | str) -> Column:
+    """What each element adds to the one before: the inverse of prefix sums."""
+    before = F.concat(F.array(F.lit(0.0)), F.slice(col, F.lit(1), F.size(col) - 1))
+    return F.zip_with(col, before, lambda a, b: a - b)
 
 
 def distances_to(point: Column, refs: Sequence[Sequence[float]]) -> Column:

@@ -1,13 +1,17 @@
 """k-medoids, silhouette and the choice of k, exact and without a distance matrix.
 
-The driver holds only medoid vectors and short candidate lists. A round is one or two jobs: label the
-fleet against constant medoids, summarise each cluster by (bin, cell), bound every member's in-cluster
-cost from the summary, and evaluate the few members whose bounds overlap the best one exactly.
+One path serves all fleets. Cells are fitted once to the fleet's own values, so that each holds a like
+share of them, however concentrated they are. A round labels the fleet against constant medoids, sums
+each cluster by (bin, cell), and bounds every member's in-cluster cost from these sums. Members whose
+bounds overlap the best one are survivors. Their exact costs follow from the same sums once the members
+that share a cell with a survivor's value are sorted inside that cell; with one survivor per cluster there
+is nothing to sort. No list of candidates is collected, and all k of a sweep share every job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,19 +22,24 @@ from fleetspectra.functions.arrays import (
     TIE_DECIMALS,
     distances_to,
     double_array,
-    l1,
+    double_matrix,
     nearest,
 )
-from fleetspectra.operators.distance import Fleet, cluster_totals, fleet_totals
+from fleetspectra.operators.distance import Fleet, cluster_totals
 
-# Rows of the cluster summary (clusters x bins x cells), which is broadcast.
-SUMMARY_ROWS = 200_000
-# Candidates per cluster evaluated directly; with more, the sorted totals decide instead.
-DIRECT_CANDIDATES = 64
+# Rows of the cluster summary (clusters x bins x cells) up to which it is broadcast.
+SUMMARY_ROWS = 250_000
+# A bin's cells: so many parts of like mass, each cut into so many of like width.
+PARTS = 16
+SUBCELLS = 15
 # Slack on bounds: ties by rounding plus float noise.
 _SLACK = 2 * 10.0**-TIE_DECIMALS
 
 
+class NotConverged(RuntimeError):
+    """Medoids still moved in the last allowed round."""
+
+
 @dataclass(frozen=True)
 class Medoids:
     """The outcome of k-medoids for one k; labels are positions in ``vins``."""
@@ -49,14 +58,13 @@ class Medoids:
         return fleet.frame.select("vin", "sales_group", self.label().alias("cluster"))
 
 
-def central_vehicles(
-    fleet: Fleet, n: int, direct_candidates: int = DIRECT_CANDIDATES
-) -> list[tuple[str, float]]:
+def central_vehicles(fleet: Fleet, n: int) -> list[tuple[str, float]]:
     """The ``n`` vehicles with the least mean distance to the fleet, in bin units, best first.
 
     The lowest vin wins a tie.
     """
-    return _central(fleet, fleet.frame, n, direct_candidates)
+    with _celled(fleet) as frame:
+        return _central(fleet, frame, n)
 
 
 def kmedoids(fleet: Fleet, k: int, max_iter: int = 300) -> Medoids:
@@ -65,26 +73,22 @@ def kmedoids(fleet: Fleet, k: int, max_iter: int = 300) -> Medoids:
 
 
 def kmedoids_sweep(
-    fleet: Fleet,
-    ks: Iterable[int],
-    max_iter: int = 300,
-    direct_candidates: int = DIRECT_CANDIDATES,
+    fleet: Fleet, ks: Iterable[int], max_iter: int = 300, must_converge: bool = True
 ) -> dict[int, Medoids]:
     """Alternating k-medoids for several k at once: every job serves all k still moving.
 
     Start: the k most central vehicles. Round: label by nearest medoid, the lowest position winning a
     tie; each medoid moves to the member of least in-cluster cost when that is strictly better, the
-    lowest vin winning a tie. Stop when no medoid moves. An empty cluster keeps its medoid.
+    lowest vin winning a tie. Stop when no medoid moves. An empty cluster keeps its medoid. Raises
+    ``NotConverged`` after ``max_iter`` rounds, unless an unfinished outcome is asked for.
     """
     ks = sorted(set(ks))
     if not ks or ks[0] < 1:
         raise ValueError("k must be at least 1")
     if fleet.n < ks[-1]:
         raise ValueError(f"{fleet.n} vehicles cannot form {ks[-1]} clusters")
-    # Hashed by vin once, so that no round has to bring a vehicle's bins together again.
-    frame = fleet.frame.repartition(fleet.n_tasks, "vin").persist()
-    try:
-        start = [vin for vin, _ in _central(fleet, frame, ks[-1], direct_candidates)]
+    with _celled(fleet) as frame:
+        start = [vin for vin, _ in _central(fleet, frame, ks[-1])]
         points = _points_of(frame, start)
         state = {k: start[:k] for k in ks}
         done: dict[int, Medoids] = {}
@@ -92,17 +96,17 @@ def kmedoids_sweep(
         while len(done) < len(ks) and rounds < max_iter:
             rounds += 1
             moving = {k: state[k] for k in ks if k not in done}
-            moved = _update(fleet, frame, moving, points, direct_candidates)
+            moved = _update(fleet, frame, moving, points)
             for k, vins in moved.items():
                 if vins == state[k]:
                     done[k] = _outcome(k, vins, points, rounds, True)
                 state[k] = vins
         for k in ks:
             if k not in done:
+                if must_converge:
+                    raise NotConverged(f"k = {k} still moves after {max_iter} rounds")
                 done[k] = _outcome(k, state[k], points, rounds, False)
         return {k: done[k] for k in ks}
-    finally:
-        frame.unpersist()
 
 
 def _outcome(k, vins, points, rounds, converged) -> Medoids:
@@ -115,65 +119,113 @@ def _points_of(frame: DataFrame, vins: Sequence[str]) -> dict[str, list[float]]:
     return {r["vin"]: r["point"] for r in rows}
 
 
+@contextmanager
+def _celled(fleet: Fleet) -> Iterator[DataFrame]:
+    """``vin, point, cells, sig``, hashed by vin and cached while in use.
+
+    Hashed once, so that no round has to bring a vehicle's bins together again. ``sig`` stands for the
+    distribution: copies of one share it (96 bits of two unrelated hashes).
+    """
+    frame = (
+        fleet.frame.select("vin", "point", _cells(fleet).alias("cells"))
+        .withColumn("sig", F.struct(F.xxhash64("point").alias("a"), F.hash("point").alias("b")))
+        .repartition(fleet.n_tasks, "vin")
+        .persist()
+    )
+    try:
+        yield frame
+    finally:
+        frame.unpersist()
+
+
+def _width() -> int:
+    return PARTS * (SUBCELLS + 1) + 2
+
+
+def _cells(fleet: Fleet) -> Column:
+    """Cell numbers of a vehicle's values, by cut points of each bin's values in the whole fleet.
+
+    Lowest and highest values have cells of their own, as many vehicles share them (0 and 1).
+    """
+    shares = [i / PARTS for i in range(1, PARTS)]
+    x = F.col("x")
+    rows = (
+        fleet.frame.select(F.posexplode("point").alias("bin", "x"))
+        .groupBy("bin")
+        .agg(F.min(x).alias("low"), F.percentile_approx(x, shares, 1000).alias("cuts"), F.max(x).alias("high"))
+        .orderBy("bin")
+        .collect()
+    )
+    edges = [[r["low"], *r["cuts"], r["high"]] for r in rows]
+
+    def cell(x: Column, cuts: Column) -> Column:
+        part = F.size(F.filter(F.slice(cuts, 2, PARTS - 1), lambda v: v < x))
+        low, high = F.get(cuts, part), F.get(cuts, part + 1)
+        inside = F.ceil(F.coalesce(F.try_divide(x - low, high - low), F.lit(0.0)) * SUBCELLS)
+        number = part * (SUBCELLS + 1) + F.least(F.greatest(inside, F.lit(0)), F.lit(SUBCELLS)) + 1
+        top = F.get(cuts, F.lit(PARTS))
+        bottom = F.get(cuts, F.lit(0))
+        return F.when(x >= top, _width() - 1).when(x <= bottom, 0).otherwise(number).cast("int")
+
+    return F.zip_with("point", double_matrix(edges), cell)
+
+
 def _labelled(
     frame: DataFrame, medoids: dict[int, list[str]], points: dict[str, list[float]]
 ) -> DataFrame:
-    """``vin, point, q``: one row per vehicle and run, ``q`` numbering the clusters of all runs."""
+    """The frame with ``codes``: per run the vehicle's cluster, numbered over all runs."""
     first = 0
     codes = []
     for vins in medoids.values():
         codes.append(nearest(F.col("point"), [points[v] for v in vins]) + F.lit(first))
         first += len(vins)
-    if len(codes) == 1:
-        return frame.select("vin", "point", codes[0].alias("q"))
-    return frame.select("vin", "point", F.explode(F.array(*codes)).alias("q"))
+    return frame.withColumn("codes", F.array(*codes))
 
 
-def _cell(fleet: Fleet, n_cells: int) -> Column:
-    """Number of the (cluster, bin, cell) a value falls in, over all clusters and bins.
-
-    Cells have equal width; exact zeros and exact maxima get cells of their own.
-    """
-    scale = fleet.scales[0]
-    top: Column = F.lit(scale)
-    if any(s != scale for s in fleet.scales):
-        top = F.get(double_array(fleet.scales), F.col("bin"))
-    x = F.col("x")
-    cell = F.when(x >= top, F.lit(n_cells + 1)).otherwise(F.ceil(x / top * n_cells))
-    place = (F.col("q") * fleet.n_bins + F.col("bin")).cast("bigint") * (n_cells + 2)
-    return F.coalesce(place + cell, F.lit(0))
-
+def _values(fleet: Fleet, labelled: DataFrame) -> DataFrame:
+    """``vin, q, sig, x, cell``: one row per vehicle, run and bin; cells numbered over all clusters."""
+    place = (F.col("q") * fleet.n_bins + F.col("bin")).cast("bigint") * _width() + F.col("v.cells")
+    return (
+        labelled.select("vin", "sig", "point", "cells", F.explode("codes").alias("q"))
+        .select("vin", "sig", "q", F.posexplode(F.arrays_zip("point", "cells")).alias("bin", "v"))
+        .select("vin", "q", "sig", F.col("v.point").alias("x"), place.alias("cell"))
+    )
 
-def _bounded(fleet: Fleet, labelled: DataFrame, n_clusters: int) -> DataFrame:
-    """Bounds on every member's mean distance to its own cluster: ``vin, q, sig, low, high``.
 
-    Members in other cells count exactly through sums. Those in the same cell count at least as much
-    as if they all sat at their mean, and at most as the chord over the cell. Both are linear in the
-    value but for one absolute term, so the summary holds their coefficients.
-    """
-    n_cells = max(16, min(256, SUMMARY_ROWS // (n_clusters * fleet.n_bins)))
-    # The signature is made before the explode, once per vehicle.
-    values = (
-        labelled.withColumn("sig", F.xxhash64("point"))
-        .select("vin", "q", "sig", F.posexplode("point").alias("bin", "x"))
-        .select("vin", "q", "sig", "x", _cell(fleet, n_cells).alias("cell"))
-    )
+def _summary(values: DataFrame) -> DataFrame:
+    """Per cell: its own count, sum and range, and counts and sums below it and in its cluster's bin."""
     cells = values.groupBy("cell").agg(
         F.count("*").alias("m"), F.sum("x").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi")
     )
     # A window holds the cells of one cluster and bin.
-    whole = W.partitionBy(F.floor(F.col("cell") / (n_cells + 2)))
+    whole = W.partitionBy(F.floor(F.col("cell") / _width()))
     below = whole.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-    m, s, lo, hi, size = (F.col(c) for c in ("m", "s", "lo", "hi", "size"))
-    span = hi - lo
-    chord = (m * (hi + lo) - 2 * s) / span
-    summary = cells.select(
+    return cells.select(
         "*",
         F.sum("m").over(whole).alias("size"),
         F.sum("s").over(whole).alias("sum"),
         F.coalesce(F.sum("m").over(below), F.lit(0)).alias("m_below"),
         F.coalesce(F.sum("s").over(below), F.lit(0.0)).alias("s_below"),
-    ).select(
+    )
+
+
+def _small(fleet: Fleet, n_clusters: int, cells: DataFrame) -> DataFrame:
+    """Broadcast what has a row per cell at most, unless the cells themselves are many."""
+    few = n_clusters * fleet.n_bins * _width() <= SUMMARY_ROWS
+    return F.broadcast(cells) if few else cells
+
+
+def _bounded(fleet: Fleet, values: DataFrame, summary: DataFrame, n_clusters: int) -> DataFrame:
+    """Bounds on every member's mean distance to its own cluster: ``vin, q, sig, low, high``.
+
+    Members in other cells count exactly through sums. Those in the same cell count at least as much
+    as if they all sat at their mean, and at most as the chord over the cell. Both are linear in the
+    value but for one absolute term.
+    """
+    m, s, lo, hi, size = (F.col(c) for c in ("m", "s", "lo", "hi", "size"))
+    span = hi - lo
+    chord = (m * (hi + lo) - 2 * s) / span
+    lines = summary.select(
         "cell",
         ((2 * F.col("m_below") + m - size) / size).alias("slope"),
         ((F.col("sum") - s - 2 * F.col("s_below")) / size).alias("const"),
@@ -187,7 +239,7 @@ def _bounded(fleet: Fleet, labelled: DataFrame, n_clusters: int) -> DataFrame:
     inside_low = F.abs(F.col("pull") * x - F.col("pivot"))
     inside_high = x * F.col("chord_slope") + F.col("chord_const")
     return (
-        values.join(F.broadcast(summary), "cell")
+        values.join(_small(fleet, n_clusters, lines), "cell")
         .groupBy("vin", "q", "sig")
         .agg(
             F.sum(outside + inside_low).alias("low"), F.sum(outside + inside_high).alias("high")
@@ -195,94 +247,106 @@ def _bounded(fleet: Fleet, labelled: DataFrame, n_clusters: int) -> DataFrame:
     )
 
 
-def _exact_costs(labelled: DataFrame, options: list[tuple[int, str, list[float]]]) -> dict:
-    """Mean distance from each of a few stated vehicles to the members of a cluster, rounded."""
-    spark = labelled.sparkSession
-    refs = spark.createDataFrame(options, "q int, option string, ref array<double>")
-    rows = (
-        labelled.join(F.broadcast(refs), "q")
-        .groupBy("q", "option")
-        .agg((F.sum(l1(F.col("point"), F.col("ref"))) / F.count("*")).alias("cost"))
-        .collect()
-    )
-    return {(r["q"], r["option"]): round(r["cost"], TIE_DECIMALS) for r in rows}
-
-
-def _central(
-    fleet: Fleet, frame: DataFrame, n: int, direct_candidates: int
-) -> list[tuple[str, float]]:
-    """The most central vehicles: bounds first, exact costs for those that may be among them.
+def _exact(
+    fleet: Fleet, values: DataFrame, summary: DataFrame, survivors: DataFrame, n_clusters: int
+) -> DataFrame:
+    """Exact mean distance of each survivor (``vin, q``) to its cluster: ``vin, q, cost``, rounded.
 
-    A fleet small enough to need no slicing takes the exact totals at once.
+    A survivor's value needs count and sum of the members at or below it. Below its cell they are in the
+    summary; inside they come from sorting the cell, where survivors are laid between the members. Order
+    among equal values does not matter.
     """
-    if fleet.n <= fleet.slice_rows:
-        return _central_by_totals(fleet, n)
-    labelled = frame.select("vin", "point", F.lit(0).alias("q"))
-    bounded = _bounded(fleet, labelled, 1).persist()
-    limit = direct_candidates * n
-    reach = bounded.orderBy("high").limit(n).agg(F.max("high")).first()[0]
-    found = (
-        bounded.where(F.col("low") <= reach + _SLACK + 1e-12 * reach)
-        .groupBy("sig")
-        .agg(F.min("vin").alias("vin"), F.count("*").alias("copies"))
-        .limit(limit + 1)
-        .collect()
+    asked = values.join(survivors.select("vin", "q"), ["vin", "q"], "left_semi")
+    mixed = F.col("hi") > F.col("lo")
+    wide = summary.where(mixed).select("cell")
+    contested = asked.select("cell").distinct().join(wide, "cell", "left_semi")
+    members = values.join(_small(fleet, n_clusters, contested), "cell", "left_semi").select(
+        "cell", "x", F.lit(1).alias("w"), F.lit(None).cast("string").alias("vin"), F.lit(None).cast("int").alias("q")
     )
-    if len(found) > limit:
-        bounded.unpersist()
-        return _central_by_totals(fleet, n)
-    points = _points_of(frame, [r["vin"] for r in found])
-    costs = _exact_costs(labelled, [(0, v, p) for v, p in points.items()])
-    # Each of the first n distributions has at least one vehicle, so no other can reach the list.
-    best = sorted(found, key=lambda r: (costs[0, r["vin"]], r["vin"]))[:n]
-    ranked = [(r["vin"], costs[0, r["vin"]]) for r in best]
-    if any(r["copies"] > 1 for r in best):
-        cost_of = F.coalesce(
-            *[F.when(F.col("sig") == r["sig"], F.lit(costs[0, r["vin"]])) for r in best]
+    points = asked.select("cell", "x", F.lit(0).alias("w"), "vin", F.col("q").cast("int").alias("q"))
+    upto = W.partitionBy("cell").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = (
+        members.unionByName(points)
+        .select(
+            "*", F.sum("w").over(upto).alias("le"), F.sum(F.col("w") * F.col("x")).over(upto).alias("sum_le")
         )
-        rows = bounded.select("vin", cost_of.alias("cost")).where(F.col("cost").isNotNull())
-        ranked = [tuple(r) for r in rows.orderBy("cost", "vin").limit(n).collect()]
-    bounded.unpersist()
-    return ranked
+        .where("w = 0")
+    )
+    # In a cell of one value all its members may stand at or below it.
+    le = F.when(mixed, F.col("le")).otherwise(F.col("m"))
+    sum_le = F.when(mixed, F.col("sum_le")).otherwise(F.col("s"))
+    part = F.col("x") * (2 * (F.col("m_below") + le) - F.col("size")) + (
+        F.col("sum") - 2 * (F.col("s_below") + sum_le)
+    )
+    return (
+        placed.join(_small(fleet, n_clusters, summary), "cell")
+        .groupBy("vin", "q")
+        .agg(F.round(F.sum(part / F.col("size")), TIE_DECIMALS).alias("cost"))
+    )
 
 
-def _central_by_totals(fleet: Fleet, n: int) -> list[tuple[str, float]]:
-    mean = F.round(F.col("total") / fleet.n, TIE_DECIMALS)
-    rows = fleet_totals(fleet).select("vin", mean.alias("cost")).orderBy("cost", "vin").limit(n)
-    return [(r["vin"], r["cost"]) for r in rows.collect()]
+def _central(fleet: Fleet, frame: DataFrame, n: int) -> list[tuple[str, float]]:
+    """The most central vehicles: bounds first, exact costs for those that may be among them."""
+    values = _values(fleet, frame.withColumn("codes", F.array(F.lit(0))))
+    summary = _summary(values).persist()
+    bounded = _bounded(fleet, values, summary, 1).persist()
+    try:
+        reach = bounded.orderBy("high").limit(n).agg(F.max("high")).first()[0]
+        near = bounded.where(F.col("low") <= reach + _SLACK + 1e-12 * reach)
+        # One vehicle stands for all of its distribution.
+        kinds = near.groupBy("q", "sig").agg(F.min("vin").alias("vin"))
+        costs = _exact(fleet, values, summary, kinds, 1).join(kinds, ["vin", "q"]).select("sig", "cost")
+        best = near.select("vin", "sig").join(costs, "sig").orderBy("cost", "vin").limit(n)
+        return [(r["vin"], r["cost"]) for r in best.select("vin", "cost").collect()]
+    finally:
+        bounded.unpersist()
+        summary.unpersist()
 
 
 def _update(
-    fleet: Fleet,
-    frame: DataFrame,
-    medoids: dict[int, list[str]],
-    points: dict[str, list[float]],
-    direct_candidates: int,
+    fleet: Fleet, frame: DataFrame, medoids: dict[int, list[str]], points: dict[str, list[float]]
 ) -> dict[int, list[str]]:
     """One round for all given runs. Vectors of new medoids are added to ``points``."""
     current = [v for vins in medoids.values() for v in vins]
     n_clusters = len(current)
-    labelled = _labelled(frame, medoids, points)
-    # Read twice below: for the best bound, then for those that reach it.
-    bounded = _bounded(fleet, labelled, n_clusters).persist()
-    best_high = bounded.groupBy("q").agg(F.min("high").alias("best"))
-    slack = F.lit(_SLACK) + F.lit(1e-12) * F.abs("best")
-    # Copies of one distribution have one cost. The lowest vin stands for them, unless one of them is
-    # the medoid already.
-    is_medoid = F.col("vin") == F.get(F.array(*[F.lit(v) for v in current]), F.col("q"))
-    candidates = (
-        bounded.join(F.broadcast(best_high), "q")
-        .where(F.col("low") <= F.col("best") + slack)
-        .groupBy("q", "sig")
-        .agg(F.min("vin").alias("vin"), F.max(is_medoid).alias("stays"))
-    )
-    limit = direct_candidates * n_clusters
-    found = candidates.limit(limit + 1).collect()
-    bounded.unpersist()
-    if len(found) > limit:
-        chosen = _best_by_totals(fleet, medoids, points)
-    else:
-        chosen = _best_by_distance(frame, labelled, found, current, points)
+    # Labels are made once a round; everything below reads them.
+    labelled = _labelled(frame, medoids, points).persist()
+    values = _values(fleet, labelled)
+    summary = _summary(values).persist()
+    bounded = _bounded(fleet, values, summary, n_clusters).persist()
+    try:
+        best_high = bounded.groupBy("q").agg(F.min("high").alias("best"))
+        slack = F.lit(_SLACK) + F.lit(1e-12) * F.abs("best")
+        mine = F.get(F.array(*[F.lit(v) for v in current]), F.col("q"))
+        # Copies of one distribution have one cost. The lowest vin stands for them, unless one of them
+        # is the medoid already. There is a row of best bounds per cluster.
+        candidates = (
+            bounded.join(F.broadcast(best_high), "q")
+            .where(F.col("low") <= F.col("best") + slack)
+            .groupBy("q", "sig")
+            .agg(F.min("vin").alias("low_vin"), F.max(F.col("vin") == mine).alias("stays"))
+            .select("q", F.when(F.col("stays"), mine).otherwise(F.col("low_vin")).alias("vin"))
+        ).persist()
+        try:
+            found = candidates.groupBy("q").agg(F.min("vin").alias("vin"), F.count("*").alias("n")).collect()
+            chosen = {r["q"]: r["vin"] for r in found if r["n"] == 1}
+            open_ = [r["q"] for r in found if r["n"] > 1]
+            if open_:
+                rivals = candidates.where(F.col("q").isin(open_))
+                rank = F.struct("cost", (F.col("vin") != mine).alias("other"), "vin")
+                rows = (
+                    _exact(fleet, values, summary, rivals, n_clusters)
+                    .groupBy("q")
+                    .agg(F.min(rank).alias("rank"))
+                    .collect()
+                )
+                chosen.update({r["q"]: r["rank"]["vin"] for r in rows})
+        finally:
+            candidates.unpersist()
+    finally:
+        bounded.unpersist()
+        summary.unpersist()
+        labelled.unpersist()
     new = [chosen.get(q, vin) for q, vin in enumerate(current)]
     missing = [v for v in new if v not in points]
     if missing:
@@ -294,55 +358,6 @@ def _update(
     return out
 
 
-def _best_by_distance(frame, labelled, found, current, points) -> dict[int, str]:
-    """Choose among the candidates by their exact mean distance to the members."""
-    options: dict[int, set[str]] = {}
-    for row in found:
-        options.setdefault(row["q"], set()).add(current[row["q"]] if row["stays"] else row["vin"])
-    chosen = {q: next(iter(vins)) for q, vins in options.items() if len(vins) == 1}
-    contested = [(q, v) for q, vins in options.items() if len(vins) > 1 for v in sorted(vins)]
-    if not contested:
-        return chosen
-    missing = {v for _, v in contested} - set(points)
-    if missing:
-        points.update(_points_of(frame, sorted(missing)))
-    costs = _exact_costs(labelled, [(q, v, points[v]) for q, v in contested])
-    for q, vins in options.items():
-        if len(vins) > 1:
-            chosen[q] = min((costs[q, v], v != current[q], v) for v in vins)[2]
-    return chosen
-
-
-def _best_by_totals(fleet, medoids, points) -> dict[int, str]:
-    """Choose by the exact in-cluster totals of all members: two shuffles, no candidate list."""
-    chosen: dict[int, str] = {}
-    first = 0
-    for vins in medoids.values():
-        label = nearest(F.col("point"), [points[v] for v in vins])
-        sizes = {r["c"]: r["count"] for r in fleet.frame.groupBy(label.alias("c")).count().collect()}
-        size = F.get(double_array([sizes.get(c, 0) for c in range(len(vins))]), F.col("c"))
-        totals = cluster_totals(fleet, {"c": (label, len(vins))})
-        rows = (
-            fleet.frame.select("vin", label.alias("c"))
-            .join(totals, "vin")
-            .select(
-                "c",
-                F.struct(
-                    F.round(F.get("c_totals", F.col("c")) / size, TIE_DECIMALS).alias("cost"),
-                    (~F.col("vin").isin(vins)).alias("other"),
-                    "vin",
-                ).alias("rank"),
-            )
-            .groupBy("c")
-            .agg(F.min("rank").alias("rank"))
-            .collect()
-        )
-        for row in rows:
-            chosen[first + row["c"]] = row["rank"]["vin"]
-        first += len(vins)
-    return chosen
-
-
 def silhouette_vehicles(fleet: Fleet, runs: dict[str, tuple[Column, int]]) -> DataFrame:
     """Silhouette of every vehicle for each run: ``vin`` and, per run, ``{run}``, ``{run}_score``.
 

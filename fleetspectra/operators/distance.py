@@ -13,16 +13,16 @@ before it, and no task ever holds more than one slice.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetspectra.functions.arrays import double_array, w1
-from fleetspectra.sources.tables import materialize
+from fleetspectra.functions.arrays import TIE_DECIMALS, double_array, w1
+from fleetspectra.sources.tables import discard, read_back, write_aside
 
 # A slice of sorted values aims at this many rows.
 SLICE_ROWS = 500_000
@@ -44,6 +44,18 @@ class Fleet:
     n: int
     scales: tuple[float, ...]
     slice_rows: int = SLICE_ROWS
+    paths: list[str] = field(default_factory=list, compare=False)
+
+    def close(self) -> None:
+        """Delete the fleet's files; nothing read from it can be evaluated afterwards."""
+        while self.paths:
+            discard(self.frame.sparkSession, self.paths.pop())
+
+    def __enter__(self) -> Fleet:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     @property
     def n_bins(self) -> int:
@@ -59,14 +71,14 @@ class Fleet:
     def sliced(self) -> tuple[DataFrame, int]:
         """``frame`` with ``slice array<int>``, and the number of slices; sorted on first use.
 
-        All (bin, value) pairs are cut into evenly filled slices. A fleet of at most ``slice_rows``
-        vehicles needs no sort, as each bin is one slice. Otherwise the range sort includes the vin, so
+        All (bin, value) pairs are cut into evenly filled slices. The range sort includes the vin, so
         one value shared by a third of the fleet is still split. The slice number is fixed by writing
-        it out, as range bounds may differ when recomputed.
+        it out, as range bounds may differ when recomputed. A single slice holds everything and needs
+        no sort.
         """
-        if self.n <= self.slice_rows:
-            return self.frame.withColumn("slice", F.array_repeat(F.lit(0), self.n_bins)), 1
         n_slices = -(-self.n * self.n_bins // self.slice_rows)
+        if n_slices <= 1:
+            return self.frame.withColumn("slice", F.array_repeat(F.lit(0), self.n_bins)), 1
         sorted_values = (
             self.frame.select("vin", F.posexplode("point").alias("bin", "x"))
             .repartitionByRange(n_slices, "bin", "x", "vin")
@@ -81,7 +93,8 @@ class Fleet:
             .select("vin", F.col("tags.slice").alias("slice"))
         )
         rows = self.frame.repartition(n_tasks, "vin").join(tags, "vin")
-        return materialize(rows, "sliced"), n_slices
+        self.paths.append(write_aside(rows, "sliced"))
+        return read_back(rows.sparkSession, self.paths[-1], rows.schema), n_slices
 
 
 def write_fleet(
@@ -91,14 +104,18 @@ def write_fleet(
 
     With ``scales`` the cumulative column is taken as already scaled.
     """
-    frame = materialize(
-        dists.select("vin", "sales_group", F.col("cdf").alias("point")), "fleet"
+    whole = F.col("cdf").isNotNull() & ~F.exists("cdf", lambda v: v.isNull())
+    point = F.when(whole, F.col("cdf")).otherwise(
+        F.raise_error(F.concat(F.lit("missing values in the distribution of "), F.col("vin")))
     )
+    rows = dists.select("vin", "sales_group", point.cast("array<double>").alias("point"))
+    path = write_aside(rows, "fleet")
+    frame = read_back(rows.sparkSession, path, rows.schema)
     n = frame.count()
     if scales is None:
         width = frame.select(F.size("point").alias("b")).first()
         scales = [1.0] * (width["b"] if width else 1)
-    return Fleet(frame, n, tuple(float(s) for s in scales), slice_rows)
+    return Fleet(frame, n, tuple(float(s) for s in scales), slice_rows, [path])
 
 
 def cluster_totals(fleet: Fleet, labels: dict[str, tuple[Column, int]]) -> DataFrame:
@@ -203,60 +220,87 @@ def distance_to(
     return dists.select("vin", F.inline(pairs))
 
 
-def pairwise(
-    dists: DataFrame, step: float, max_pairs: int = 50_000_000, blocks: int | None = None
+# Stated vehicles whose vectors one pass carries along.
+STATED_AT_ONCE = 200
+
+
+def matrix_rows(
+    dists: DataFrame, stated: Sequence[str], step: float, metric: Callable = w1
 ) -> DataFrame:
-    """The distance matrix as rows ``vin_i < vin_j, distance``: n * (n - 1) / 2 of them.
+    """Rows of the distance matrix for a stated list of vehicles: ``vin_i`` (stated), ``vin_j, distance``.
+
+    Every vehicle meets the list in a map-only pass, list x fleet rows in all; a long list is taken in
+    blocks. Listed vehicles that are not in the fleet give no rows.
+    """
+    out = None
+    for low in range(0, max(1, len(stated)), STATED_AT_ONCE):
+        block = list(stated[low : low + STATED_AT_ONCE])
+        found = dists.where(F.col("vin").isin(block)).select("vin", "cdf").collect()
+        if not found:
+            continue
+        pairs = F.array(
+            *[
+                F.struct(
+                    F.lit(vin).alias("vin_i"),
+                    metric(double_array(cdf), F.col("cdf"), step).alias("distance"),
+                )
+                for vin, cdf in found
+            ]
+        )
+        rows = dists.select(F.col("vin").alias("vin_j"), F.inline(pairs))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        none = [F.lit(None).cast(t).alias(n) for n, t in (("vin_i", "string"), ("distance", "double"))]
+        out = dists.where(F.lit(False)).select(F.col("vin").alias("vin_j"), *none)
+    return out.select("vin_i", "vin_j", "distance")
+
+
+def nearest_vehicles(rows: DataFrame, n: int, parts: int = 64) -> DataFrame:
+    """The ``n`` nearest others of each stated vehicle: ``vin_i, rank, vin_j, distance``.
 
-    Only for a fleet whose full matrix is wanted; nothing else in the library needs it. Raises when
-    the matrix would exceed ``max_pairs``. Vehicles are hashed into blocks and every two blocks meet
-    in one equi-join key, so the work is spread evenly whatever the data.
+    Each part of the fleet names its own ``n`` first, so no task holds a whole row of the matrix.
     """
-    spark = dists.sparkSession
-    n = dists.count()
-    if n * (n - 1) // 2 > max_pairs:
-        raise ValueError(f"{n} vehicles have more than {max_pairs} pairs")
-    if blocks is None:
-        blocks = max(2, int((2 * int(spark.conf.get("spark.sql.shuffle.partitions"))) ** 0.5))
-    own = F.pmod(F.xxhash64("vin"), F.lit(blocks)).cast("int")
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    side = dists.select("vin", "cdf", own.alias("own"), F.explode(others).alias("other"))
-    a = side.select(
-        F.col("vin").alias("vin_a"), F.col("cdf").alias("cdf_a"),
-        F.col("own").alias("block_a"), F.col("other").alias("block_b"),
-    ).where("block_a <= block_b")
-    b = side.select(
-        F.col("vin").alias("vin_b"), F.col("cdf").alias("cdf_b"),
-        F.col("other").alias("block_a"), F.col("own").alias("block_b"),
-    ).where("block_a <= block_b")
-    met = a.join(b, ["block_a", "block_b"]).where(
-        (F.col("block_a") < F.col("block_b")) | (F.col("vin_a") < F.col("vin_b"))
+    others = rows.where("vin_i != vin_j").select(
+        "vin_i", F.round("distance", TIE_DECIMALS).alias("distance"), "vin_j"
     )
-    return met.select(
-        F.least("vin_a", "vin_b").alias("vin_i"),
-        F.greatest("vin_a", "vin_b").alias("vin_j"),
-        w1(F.col("cdf_a"), F.col("cdf_b"), step).alias("distance"),
+    part = F.pmod(F.xxhash64("vin_j"), F.lit(parts))
+    order = [F.col("distance"), F.col("vin_j")]
+    some = (
+        others.withColumn("part", part)
+        .withColumn("r", F.row_number().over(W.partitionBy("vin_i", "part").orderBy(*order)))
+        .where(F.col("r") <= n)
+    )
+    return (
+        some.withColumn("rank", F.row_number().over(W.partitionBy("vin_i").orderBy(*order)))
+        .where(F.col("rank") <= n)
+        .select("vin_i", "rank", "vin_j", "distance")
     )
 
 
-def pair_diagnostics(pairs: DataFrame, dists: DataFrame, step: float) -> DataFrame:
-    """One row of invariants of the matrix: size, extremes, diagonal, asymmetry, negative entries."""
-    own = dists.select(
-        F.col("vin").alias("vin_i"),
-        F.col("vin").alias("vin_j"),
-        w1(F.col("cdf"), F.col("cdf"), step).alias("distance"),
-    )
+def matrix_diagnostics(rows: DataFrame) -> DataFrame:
+    """One row of invariants over stated rows of the matrix, each computed from what is there.
+
+    ``n_asymmetric`` compares the two directions of every pair of stated vehicles, which were computed
+    apart; ``max_diagonal`` is the largest distance of a vehicle to itself.
+    """
     on_diagonal = F.col("vin_i") == F.col("vin_j")
     distance = F.col("distance")
-    return pairs.unionByName(own).agg(
-        F.count_if(on_diagonal).alias("n"),
-        F.count_if(~on_diagonal).alias("n_pairs"),
+    back = rows.select(
+        F.col("vin_j").alias("vin_i"), F.col("vin_i").alias("vin_j"), distance.alias("back")
+    )
+    both = rows.join(back, ["vin_i", "vin_j"]).agg(
+        F.count_if(F.abs(distance - F.col("back")) > 1e-6).alias("n_asymmetric")
+    )
+    whole = rows.agg(
+        F.count_if(on_diagonal).alias("n_stated"),
+        F.count("*").alias("n_rows"),
         F.max(F.when(on_diagonal, distance)).alias("max_diagonal"),
         F.min(F.when(~on_diagonal, distance)).alias("min_distance"),
         F.max(F.when(~on_diagonal, distance)).alias("max_distance"),
         F.count_if(distance < 0).alias("n_negative"),
-        F.count_if(F.col("vin_i") > F.col("vin_j")).alias("n_misordered"),
     )
+    # Two tables of one row each.
+    return whole.withColumn("one", F.lit(1)).join(both.withColumn("one", F.lit(1)), "one").drop("one")
 
 
 def leading_matrix(dists: DataFrame, step: float, size: int = 5) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,12 +81,14 @@ def join_subpopulations(
 ) -> DataFrame:
     """Labelled cluster tables of the three signals joined per vehicle, optionally with statistics.
 
-    A vehicle absent from any table is left out. All joins share one key, so one hash distribution
-    serves them all.
+    A vehicle absent from any table is left out. The joins are on the vin, by which the tables are
+    hashed already; sales groups are compared.
     """
-    keys = ["vin", "sales_group"]
-    out = velocity.join(weight, keys).join(gradient, keys)
-    return out if stats is None else out.join(stats, keys)
+    out = velocity
+    for side in (weight, gradient, *([] if stats is None else [stats])):
+        other = side.withColumnRenamed("sales_group", "_group")
+        out = out.join(other, "vin").where(F.col("sales_group") == F.col("_group")).drop("_group")
+    return out
 
 
 def vehicles_per_group(df: DataFrame) -> DataFrame:
@@ -101,11 +104,16 @@ def kpi_crosstab(
 ) -> DataFrame:
     """Vehicle count and KPI means per sub-population: 12 rows for each sales group.
 
-    An empty cell has count 0 and NULL means. NULL and NaN statistics are left out of a mean. The fleet
+    Vehicles that lack a label text stand in one more row of their sales group, with NULL for all three
+    signals, so that the counts add up to the joined fleet. An empty cell has count 0 and NULL means. NULL and NaN statistics are left out of a mean. The fleet
     is read and aggregated once; the empty cells are filled in from each group's short list of cells.
     """
-    signals = {s: F.col(f"cluster_{s}_text").alias(s) for s in CELL_ORDER}
     rows = subpop if sales_group is None else of_group(subpop, sales_group)
+    texts = {s: F.col(f"cluster_{s}_text") for s in CELL_ORDER}
+    named = reduce(
+        lambda a, b: a & b, [texts[s].isin(*CELL_ORDER[s]) & texts[s].isNotNull() for s in CELL_ORDER]
+    )
+    signals = {s: F.when(named, t).alias(s) for s, t in texts.items()}
     cells = rows.groupBy("sales_group", *signals.values()).agg(
         F.count("*").alias("n_vehicles"),
         *[F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(a) for c, a in kpis.items()],
@@ -115,11 +123,20 @@ def kpi_crosstab(
         groups = cells.groupBy("sales_group").agg(found)
     else:
         groups = cells.agg(found).withColumn("sales_group", F.lit(sales_group))
-    for signal, names in CELL_ORDER.items():
-        groups = groups.withColumn(signal, F.explode(F.array(*[F.lit(n) for n in names])))
+    whole = F.array(
+        *[
+            F.struct(*[F.lit(n).alias(s) for s, n in zip(CELL_ORDER, names)])
+            for names in product(*CELL_ORDER.values())
+        ]
+    )
+    rest = F.filter("found", lambda c: c["velocity"].isNull())
+    unnamed = F.transform(rest, lambda c: F.struct(*[c[s].alias(s) for s in CELL_ORDER]))
+    groups = groups.withColumn("place", F.explode(F.concat(whole, unnamed))).select(
+        "sales_group", "found", "place.*"
+    )
 
     def in_cell(cell: Column) -> Column:
-        return reduce(lambda a, b: a & b, [cell[s] == F.col(s) for s in CELL_ORDER])
+        return reduce(lambda a, b: a & b, [cell[s].eqNullSafe(F.col(s)) for s in CELL_ORDER])
 
     hit = groups.withColumn("hit", F.get(F.filter("found", in_cell), F.lit(0)))
     return hit.select(

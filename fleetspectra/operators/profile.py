@@ -98,15 +98,19 @@ NAMES_BY_RANK = {
 def auto_labels(labelled: DataFrame, grid: GridSpec, names: Sequence[str]) -> DataFrame:
     """Name clusters by their mean signal: ``cluster, mean_center, rank, label``.
 
-    A rank beyond the names gets NULL.
+    Names are spread over the ranks, the first for the lowest and the last for the highest mean, so
+    that several clusters share a name when there are more of them than names.
     """
     ranked = mean_centers(labelled, grid)
-    return ranked.withColumn("label", F.get(F.array(*[F.lit(n) for n in names]), F.col("rank")))
+    n = F.count("*").over(W.partitionBy())
+    share = F.try_divide(F.col("rank") * F.lit(len(names) - 1), n - 1)
+    place = F.floor(F.coalesce(share, F.lit(0.0)) + 0.5).cast("int")
+    return ranked.withColumn("label", F.get(F.array(*[F.lit(n) for n in names]), place))
 
 
 def label_names(auto: DataFrame) -> dict[int, str]:
     """The automatic map as a dictionary for ``apply_labels``."""
-    return {r["cluster"]: r["label"] for r in auto.collect() if r["label"] is not None}
+    return {r["cluster"]: r["label"] for r in auto.collect()}
 
 
 def pca_coordinates(dists: DataFrame, n: int = 2) -> tuple[DataFrame, list[float]]:

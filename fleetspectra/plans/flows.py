@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetspectra.functions.arrays import differences
 from fleetspectra.operators.cluster import Medoids, best_k, kmedoids, k_sweep
 from fleetspectra.operators.distance import Fleet, write_fleet
 from fleetspectra.operators.fleet import SIGNALS, apply_labels, join_subpopulations
@@ -33,9 +34,12 @@ class ClusteredSignal:
         return self.medoids.labels(self.fleet).withColumnRenamed("cluster", "cluster_wasserstein")
 
     def labelled(self) -> DataFrame:
-        """``vin, sales_group, probs, cluster``."""
-        return self.dists.select(
-            "vin", "sales_group", "probs", self.medoids.label("cdf").alias("cluster")
+        """``vin, sales_group, probs, cluster``, from the written fleet."""
+        return self.fleet.frame.select(
+            "vin",
+            "sales_group",
+            differences("point").alias("probs"),
+            self.medoids.label().alias("cluster"),
         )
 
 

@@ -6,6 +6,8 @@ from unrolled rounds.
 
 from __future__ import annotations
 
+import re
+
 ORACLES: dict[str, str] = {}
 
 USAGE = """usage AS (
@@ -113,21 +115,25 @@ sil{tag} AS (
                     ELSE 0 END AS s FROM ab{tag})"""
 
 
-def stand_in(signal: str) -> str:
-    """``s_{signal}``: vin, sales_group, mean_center, cluster by cuts on the mean center."""
-    band = {
-        "velocity": "CASE WHEN mean_center < 24.1234567 THEN 2 WHEN mean_center < 26.7654321 THEN 0 ELSE 1 END",
-        "weight": "CASE WHEN mean_center < 28123.4567 THEN 1 ELSE 0 END",
-        "gradient": "CASE WHEN mean_center < 4.7123457 THEN 1 ELSE 0 END",
-    }[signal]
+REPORT_K = {"velocity": 3, "weight": 2, "gradient": 2}
+
+
+def clustered(signal: str, k: int | None = None) -> str:
+    """``s_{signal}``: vin, sales_group, mean_center, cluster by k-medoids."""
+    own = f"{MATRIX}, {rounds(k or REPORT_K[signal], 16, '_' + signal)}"
+    own = re.sub(r"\bdm\b", f"dm_{signal}", own)
+    own = re.sub(r"\bc ([ab])\b", rf"c_{signal} \1", own)
     return f"""{dense(signal)},
+c_{signal} AS MATERIALIZED (SELECT vin AS v, bin AS b, cdf AS x FROM d_{signal}),
+{own},
 s_{signal} AS MATERIALIZED (
-  SELECT vin, sales_group, mean_center, cast({band} AS int) AS cluster
-  FROM (SELECT vin, sales_group, sum(p * center) AS mean_center FROM d_{signal} GROUP BY ALL))"""
+  SELECT vin, sales_group, mean_center, l AS cluster
+  FROM (SELECT vin, sales_group, sum(p * center) AS mean_center FROM d_{signal} GROUP BY ALL)
+  JOIN lab_{signal} ON j = vin)"""
 
 
-ALL_STAND_INS = ",\n".join(stand_in(s) for s in ("velocity", "weight", "gradient"))
-SUBPOP = f"""{ALL_STAND_INS},
+ALL_CLUSTERS = ",\n".join(clustered(s) for s in ("velocity", "weight", "gradient"))
+SUBPOP = f"""{ALL_CLUSTERS},
 subpop AS MATERIALIZED (
   SELECT v.vin, v.sales_group,
          v.cluster AS cluster_wasserstein_velocity,
@@ -239,15 +245,19 @@ SUPPLIERS = """c AS MATERIALIZED (
                       cast(floor(l_extendedprice / 1000) AS int) - 12 AS b, count(*) AS m
                FROM lineitem GROUP BY 1, 2) USING (v, b)))"""
 
-ORACLES["w1_pairs"] = f"""WITH {SUPPLIERS}, {MATRIX}
-SELECT i AS vin_i, j AS vin_j, round(d * 1000, 4) AS distance FROM dm WHERE i < j"""
-
-ORACLES["w1_diagnostics"] = f"""WITH {SUPPLIERS}, {MATRIX}
-SELECT count(*) FILTER (WHERE i = j) AS n, count(*) FILTER (WHERE i < j) AS n_pairs,
-  round(max(d * 1000) FILTER (WHERE i = j), 4) AS max_diagonal,
-  round(min(d * 1000) FILTER (WHERE i < j), 4) AS min_distance,
-  round(max(d * 1000) FILTER (WHERE i < j), 4) AS max_distance,
-  count(*) FILTER (WHERE d < 0) AS n_negative, cast(0 AS bigint) AS n_misordered FROM dm"""
+_STATED = f"""WITH {SUPPLIERS}, {MATRIX},
+r AS (SELECT i, j, d * 1000 AS d FROM dm WHERE cast(substr(i, 2) AS bigint) % 20 = 0)"""
+ORACLES["w1_pairs"] = f"{_STATED} SELECT i AS vin_i, j AS vin_j, round(d, 4) AS distance FROM r"
+ORACLES["w1_nearest"] = f"""{_STATED},
+o AS (SELECT i, j, d, cast(row_number() OVER (PARTITION BY i ORDER BY round(d, 9), j) AS int) AS rank FROM r WHERE i <> j)
+SELECT i AS vin_i, rank, j AS vin_j, round(d, 4) AS distance FROM o WHERE rank <= 5"""
+ORACLES["w1_diagnostics"] = f"""{_STATED}
+SELECT (SELECT count(*) FROM r a JOIN r b ON a.i = b.j AND a.j = b.i WHERE abs(a.d - b.d) > 1e-6) AS n_asymmetric,
+  count(*) FILTER (WHERE i = j) AS n_stated, count(*) AS n_rows,
+  round(max(d) FILTER (WHERE i = j), 4) AS max_diagonal,
+  round(min(d) FILTER (WHERE i <> j), 4) AS min_distance,
+  round(max(d) FILTER (WHERE i <> j), 4) AS max_distance,
+  count(*) FILTER (WHERE d < 0) AS n_negative FROM r"""
 
 ORACLES["w1_leading_matrix"] = f"""WITH {SUPPLIERS}, {MATRIX},
 top AS (SELECT DISTINCT v FROM c ORDER BY v LIMIT 5)
@@ -265,6 +275,8 @@ SELECT vin, round(sum(abs(cdf - (bin + 1) / 10.0::double)), 6) AS distance FROM
 ORACLES["fleet_total_distance"] = f"""{head(points("weight"), MATRIX)}
 SELECT i AS vin, round(1000 * sum(d), 2) AS total FROM dm GROUP BY 1"""
 
+ORACLES["fleet_total_distance_sliced"] = ORACLES["fleet_total_distance"]
+
 ORACLES["central_vehicles"] = f"""{head(points("weight"), MATRIX)}
 SELECT i AS vin, round(round(avg(d), 9), 6) AS mean_distance FROM dm GROUP BY 1
 ORDER BY round(avg(d), 9), 1 LIMIT 10"""
@@ -278,6 +290,16 @@ SELECT j AS vin, sales_group, l AS cluster FROM lab JOIN ({_GROUP}) g ON g.vin =
 ORACLES["kmedoids_k3"] = f"""{head(points("weight"), MATRIX, rounds(3))}
 SELECT j AS vin, sales_group, l AS cluster FROM lab JOIN ({_GROUP}) g ON g.vin = j"""
 
+ORACLES["kmedoids_dense_k3"] = f"""{head(dense("weight"))},
+w AS (SELECT vin, bin + o AS bin, sum(m * (13 - abs(o))) AS m
+      FROM d_weight CROSS JOIN (SELECT unnest(range(-12, 13)) AS o) WHERE m > 0 AND bin + o BETWEEN 0 AND 37 GROUP BY ALL),
+c AS MATERIALIZED (
+  SELECT vin AS v, bin AS b,
+    sum(coalesce(m, 0)) OVER (PARTITION BY vin ORDER BY bin) / sum(m) OVER (PARTITION BY vin) AS x
+  FROM (SELECT DISTINCT vin FROM w) CROSS JOIN (SELECT unnest(range(38)) AS bin) LEFT JOIN w USING (vin, bin)),
+{MATRIX}, {rounds(3)}
+SELECT j AS vin, sales_group, l AS cluster FROM lab JOIN ({_GROUP}) g ON g.vin = j"""
+
 ORACLES["kmedoids_labels_velocity"] = f"""{head(points("velocity"), MATRIX, rounds(3))}
 SELECT j AS vin, sales_group, l AS cluster_wasserstein FROM lab JOIN ({_GROUP}) g ON g.vin = j"""
 
@@ -317,17 +339,17 @@ SELECT j AS vin, sales_group, l AS cluster FROM lab JOIN ({_GROUP}) g ON g.vin =
 
 # Reports on clusters
 
-ORACLES["cluster_sizes"] = f"""{head(stand_in("velocity"))}
+ORACLES["cluster_sizes"] = f"""{head(clustered("velocity"))}
 SELECT cluster AS cluster_wasserstein, count(*) AS n_vehicles FROM s_velocity GROUP BY 1"""
 
-ORACLES["cluster_sales_group_crosstab"] = f"""{head(stand_in("velocity"))}
+ORACLES["cluster_sales_group_crosstab"] = f"""{head(clustered("velocity"))}
 SELECT cluster AS cluster_wasserstein,
  {", ".join(f"count(*) FILTER (WHERE sales_group = {g}) AS sg_{g}" for g in range(1, 16))}
 FROM s_velocity GROUP BY 1"""
 
 
 def _shares(signal: str, codes: int, digits: int, where: str = "") -> str:
-    return f"""{head(stand_in(signal))},
+    return f"""{head(clustered(signal))},
 n AS (SELECT g.sales_group, k.cluster, count(s.vin) AS n_vehicles
       FROM (SELECT DISTINCT sales_group FROM s_{signal} {where}) g
       CROSS JOIN (SELECT cast(unnest(range({codes})) AS int) AS cluster) k
@@ -343,16 +365,16 @@ ORACLES["cluster_share_selected"] = (
 ORDER BY position, cluster"""
 )
 
-ORACLES["sales_groups_sorted"] = f"""{head(stand_in("velocity"))}
+ORACLES["sales_groups_sorted"] = f"""{head(clustered("velocity"))}
 SELECT DISTINCT sales_group FROM s_velocity ORDER BY 1"""
 
-ORACLES["cluster_profile_mean"] = f"""{head(stand_in("weight"))}
+ORACLES["cluster_profile_mean"] = f"""{head(clustered("weight"))}
 SELECT cluster, bin, center AS bin_center, round(avg(p), 6) AS mean_p
 FROM d_weight JOIN s_weight USING (vin) GROUP BY 1, 2, 3"""
 
 
 def _density(signal: str) -> str:
-    return f"""{head(stand_in(signal))},
+    return f"""{head(clustered(signal))},
 e AS (SELECT cluster, bin, center, sum(m) AS m FROM d_{signal} JOIN s_{signal} USING (vin)
       GROUP BY 1, 2, 3 HAVING sum(m) > 0),
 y AS (SELECT cluster, bin, center, m / sum(m) OVER (PARTITION BY cluster) / {_WIDTH[signal]} AS density,
@@ -367,15 +389,32 @@ SELECT cluster, min(center) FILTER (WHERE cumulative >= 0.25 - 1e-12) AS q25,
        min(center) FILTER (WHERE cumulative >= 0.5 - 1e-12) AS q50,
        min(center) FILTER (WHERE cumulative >= 0.75 - 1e-12) AS q75 FROM y GROUP BY 1"""
 
-ORACLES["auto_labels"] = f"""{head(stand_in("velocity"))},
+ORACLES["auto_labels"] = f"""{head(clustered("velocity"))},
 r AS (SELECT cluster, avg(mean_center) AS mean_center FROM s_velocity GROUP BY 1),
 o AS (SELECT *, cast(row_number() OVER (ORDER BY mean_center) - 1 AS int) AS rank FROM r)
 SELECT cluster, round(mean_center, 6) AS mean_center, rank,
        CASE rank WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' END AS label FROM o"""
 
+ORACLES["auto_labels_k4"] = f"""{head(clustered("gradient", 4))},
+r AS (SELECT cluster, avg(mean_center) AS mean_center FROM s_gradient GROUP BY 1),
+o AS (SELECT *, cast(row_number() OVER (ORDER BY round(mean_center, 9), cluster) - 1 AS int) AS rank FROM r)
+SELECT cluster, round(mean_center, 6) AS mean_center, rank,
+       CASE WHEN rank < 2 THEN 'Flat' ELSE 'Hilly' END AS label FROM o"""
+
+ORACLES["weight_labels_of_best_k"] = f"""{_SWEEP},
+best AS (SELECT k FROM scores ORDER BY round(silhouette, 9) DESC, k LIMIT 1),
+labs AS ({" UNION ALL ".join(f"SELECT {k} AS k, j, l FROM lab{k}" for k in _KS)}),
+pick AS (SELECT j, l FROM labs WHERE k = (SELECT k FROM best)),
+means AS (SELECT l, avg(mc) AS m FROM pick JOIN
+  (SELECT vin, sum(p * center) AS mc FROM d_weight GROUP BY 1) ON vin = j GROUP BY 1),
+named AS (SELECT l, CASE WHEN floor((row_number() OVER (ORDER BY round(m, 9), l) - 1)
+  / cast((SELECT count(*) FROM means) - 1 AS double) + 0.5) < 1 THEN 'Low' ELSE 'High' END AS text FROM means)
+SELECT j AS vin, sales_group, l AS cluster_wasserstein_weight, text AS cluster_weight_text
+FROM pick JOIN named USING (l) JOIN ({_GROUP}) g ON g.vin = j"""
+
 # Sub-populations
 
-ORACLES["label_map"] = f"""{head(ALL_STAND_INS)},
+ORACLES["label_map"] = f"""{head(ALL_CLUSTERS)},
 u AS (SELECT 'velocity' AS signal, cluster FROM s_velocity
       UNION ALL SELECT 'weight', cluster FROM s_weight UNION ALL SELECT 'gradient', cluster FROM s_gradient)
 SELECT u.signal, u.cluster, label, display_label, count(*) AS n_vehicles FROM u JOIN (VALUES
@@ -384,11 +423,13 @@ SELECT u.signal, u.cluster, label, display_label, count(*) AS n_vehicles FROM u
  ('gradient', 0, 'Hilly', 'Hilly Road'), ('gradient', 1, 'Flat', 'Flat Road')
 ) l(signal, cluster, label, display_label) ON l.signal = u.signal AND l.cluster = u.cluster GROUP BY ALL"""
 
-ORACLES["unmapped_codes"] = f"""{head(stand_in("velocity"))}
+ORACLES["unmapped_codes"] = f"""{head(clustered("velocity"))}
 SELECT cluster, count(*) AS n_vehicles FROM s_velocity WHERE cluster NOT IN (0, 1) GROUP BY 1"""
 
 ORACLES["stats_union"] = f"""{head(SUBPOP)}
-SELECT vin, sales_group, mileage_km, round(gc_weight_avg_kg, 4) AS gc_weight_avg_kg FROM stats"""
+SELECT vin, sales_group, mileage_km, round(vehicle_speed_avg_driving_kmh, 4) AS vehicle_speed_avg_driving_kmh,
+ round(gc_weight_avg_kg, 4) AS gc_weight_avg_kg, round(stddev_road_gradient, 4) AS stddev_road_gradient,
+ round(fuel_cons_driving_l_per_100km, 4) AS fuel_cons_driving_l_per_100km FROM stats"""
 
 ORACLES["stats_of_one_group"] = f"""{head(SUBPOP)}
 SELECT vin, sales_group, mileage_km FROM stats WHERE sales_group = 7"""
@@ -414,16 +455,23 @@ _EVERY = cells(
 )
 ORACLES["kpi_crosstab_one_group"] = f"{head(SUBPOP, _ONE)} SELECT * FROM kpi"
 ORACLES["kpi_crosstab_all_groups"] = f"{head(SUBPOP, _EVERY)} SELECT * FROM kpi"
-ORACLES["kpi_matrix_vehicles"] = f"""{head(SUBPOP, _EVERY)}
-SELECT sales_group, velocity, {", ".join(
-    f"max(n_vehicles) FILTER (WHERE gradient = '{g}' AND weight = '{w}') AS {g}_{w}"
+ORACLES["kpi_matrix_vehicles"] = f"{head(SUBPOP, _EVERY)} " + " UNION ALL ".join(
+    f"""SELECT sales_group, velocity, '{m}' AS metric, {", ".join(
+    f"round(cast(max({m}) FILTER (WHERE gradient = '{g}' AND weight = '{w}') AS double), 4) AS {g}_{w}"
     for g in ("Hilly", "Flat") for w in ("High", "Low"))}
 FROM kpi GROUP BY 1, 2"""
+    for m in ("n_vehicles", "avg_speed", "avg_weight", "avg_gradient_std", "avg_fuel")
+)
+_TEXTS = {
+    "avg_speed": "vehicle_speed_avg_driving_kmh",
+    "avg_weight": "gc_weight_avg_kg",
+    "avg_gradient_std": "stddev_road_gradient",
+    "avg_fuel": "fuel_cons_driving_l_per_100km",
+}
 ORACLES["kpi_display"] = f"""{head(SUBPOP, cells("SELECT 1 AS sales_group",
-    "avg(vehicle_speed_avg_driving_kmh) AS speed, avg(gc_weight_avg_kg) AS mass"))}
+    ", ".join(f"avg({c}) AS {a}" for a, c in _TEXTS.items())))}
 SELECT sales_group, velocity, gradient || ' Road' || chr(10) || weight || ' Weight' AS cell,
- printf('%.1f', round(speed, 1)) AS avg_speed_text, printf('%.1f', round(mass, 1)) AS avg_weight_text,
- speed IS NULL AS avg_speed_masked, mass IS NULL AS avg_weight_masked FROM kpi"""
+ {", ".join(f"printf('%.1f', round({a}, 1)) AS {a}_text, {a} IS NULL AS {a}_masked" for a in _TEXTS)} FROM kpi"""
 
 ORACLES["config_fit"] = f"""{head(SUBPOP)},
 f AS (SELECT sales_group, sales_group % 3 AS e,
@@ -451,8 +499,15 @@ SELECT vin, sum(count) AS total FROM clean_velocity WHERE vin IN (
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   WHERE r_name = 'EUROPE' AND c_mktsegment = 'BUILDING') GROUP BY 1"""
 
+_SPECTRUM = """b AS (SELECT 'V' || lpad(cast(user_id AS varchar), 8, '0') AS vin,
+ cast(user_id % 15 + 1 AS int) AS sales_group, cast(floor(value / 10) AS bigint) AS bin,
+ cast(count(*) AS double) AS count FROM events GROUP BY 1, 2, 3)"""
 for _s in ("spectrum_build", "spectrum_build_stream"):
-    ORACLES[_s] = """
-SELECT 'V' || lpad(cast(user_id AS varchar), 8, '0') AS vin,
- '[' || cast(floor(value / 10) AS bigint) * 10 || ', ' || (cast(floor(value / 10) AS bigint) * 10 + 10) || ')' AS x1_interval,
- cast(count(*) AS double) AS count FROM events GROUP BY 1, 2"""
+    ORACLES[_s] = f"""WITH {_SPECTRUM}
+SELECT vin, sales_group, '[' || bin * 10 || ', ' || (bin * 10 + 10) || ')' AS x1_interval, count FROM b"""
+ORACLES["spectrum_distributions"] = f"""WITH {_SPECTRUM},
+g AS (SELECT unnest(range((SELECT max(bin) + 1 FROM b))) AS bin),
+t AS (SELECT vin, sum(count) AS total FROM b WHERE bin >= 0 GROUP BY 1)
+SELECT vin, cast(bin AS int) AS bin, round(coalesce(count, 0) / total, 6) AS p,
+ round(sum(coalesce(count, 0)) OVER (PARTITION BY vin ORDER BY bin) / total, 6) AS cdf
+FROM t CROSS JOIN g LEFT JOIN b USING (vin, bin)"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspectra.functions.arrays import double_array, w1_probs
+from fleetspectra.functions.intervals import interval_text
 from fleetspectra.operators import cluster, distance, fleet, profile, spectra
 from fleetspectra.operators.grid import (
     GRADIENT_GRID,
@@ -58,17 +59,33 @@ def written(spark, folder, signal="weight") -> distance.Fleet:
     return distance.write_fleet(distributions(spark, folder, signal)[0])
 
 
-def stand_ins(spark, folder, signal) -> DataFrame:
-    dists, grid = distributions(spark, folder, signal)
-    return usage.stand_in_clusters(dists, grid, signal)
+# Clusters per signal in the reports: three by two by two sub-populations.
+REPORT_K = {"velocity": 3, "weight": 2, "gradient": 2}
+_CLUSTERED: dict[tuple[str, str, str], str] = {}
 
 
-def stand_in_codes(spark, folder, signal="velocity") -> DataFrame:
-    return stand_ins(spark, folder, signal).select("vin", "sales_group", "cluster_wasserstein")
+def clusters(spark, folder, signal) -> DataFrame:
+    """``vin, sales_group, probs, cluster_wasserstein`` by k-medoids.
+
+    Reports share one clustering per application and folder, as they share a table in a catalog.
+    """
+    key = (spark.sparkContext.applicationId, folder, signal)
+    if key not in _CLUSTERED or not tables.exists(spark, _CLUSTERED[key]):
+        found = flows.cluster_signal(
+            raw(spark, folder, signal), usage.outliers(spark, folder), signal, REPORT_K[signal]
+        )
+        rows = found.labelled().withColumnRenamed("cluster", "cluster_wasserstein")
+        _CLUSTERED[key] = tables.write_aside(rows, f"clusters-{signal}")
+        found.fleet.close()
+    return spark.read.parquet(_CLUSTERED[key])
+
+
+def codes(spark, folder, signal="velocity") -> DataFrame:
+    return clusters(spark, folder, signal).select("vin", "sales_group", "cluster_wasserstein")
 
 
 def labelled_codes(spark, folder) -> dict[str, DataFrame]:
-    return {s: fleet.apply_labels(stand_in_codes(spark, folder, s), s) for s in SIGNALS}
+    return {s: fleet.apply_labels(codes(spark, folder, s), s) for s in SIGNALS}
 
 
 def subpopulation(spark, folder) -> DataFrame:
@@ -191,18 +208,29 @@ def spectra_pivot_wide(spark, folder):
 # Distances
 
 
+def _stated_rows(spark, folder) -> DataFrame:
+    """Every twentieth supplier against all suppliers."""
+    dists = tables.materialize(supplier_distributions(spark, folder), "suppliers")
+    number = F.substring("vin", 2, 20).cast("bigint")
+    stated = [r["vin"] for r in dists.where(number % 20 == 0).select("vin").collect()]
+    return distance.matrix_rows(dists, sorted(stated), WEIGHT_GRID.step)
+
+
 @query
 def w1_pairs(spark, folder):
-    """The whole distance matrix, suppliers seen as vehicles."""
-    pairs = distance.pairwise(supplier_distributions(spark, folder), WEIGHT_GRID.step)
-    return rounded(pairs, 4, "distance")
+    """Rows of the distance matrix of stated suppliers, seen as vehicles."""
+    return rounded(_stated_rows(spark, folder), 4, "distance")
+
+
+@query
+def w1_nearest(spark, folder):
+    rows = _stated_rows(spark, folder)
+    return rounded(distance.nearest_vehicles(rows, 5), 4, "distance")
 
 
 @query
 def w1_diagnostics(spark, folder):
-    dists = supplier_distributions(spark, folder)
-    pairs = distance.pairwise(dists, WEIGHT_GRID.step)
-    out = distance.pair_diagnostics(pairs, dists, WEIGHT_GRID.step)
+    out = distance.matrix_diagnostics(_stated_rows(spark, folder))
     return rounded(out, 4, "max_diagonal", "min_distance", "max_distance")
 
 
@@ -237,6 +265,14 @@ def fleet_total_distance(spark, folder):
     return totals.select("vin", F.round(F.col("total") * WEIGHT_GRID.step, 2).alias("total"))
 
 
+@query
+def fleet_total_distance_sliced(spark, folder):
+    """The same over hundreds of slices."""
+    dists, _ = distributions(spark, folder, "weight")
+    totals = distance.fleet_totals(distance.write_fleet(dists, slice_rows=500))
+    return totals.select("vin", F.round(F.col("total") * WEIGHT_GRID.step, 2).alias("total"))
+
+
 @query
 def central_vehicles(spark, folder):
     top = cluster.central_vehicles(written(spark, folder, "weight"), 10)
@@ -259,6 +295,37 @@ def kmedoids_k3(spark, folder):
     return cluster.kmedoids(data, 3).labels(data)
 
 
+# Reach of the smoothing that makes dense shapes of a few dozen counts.
+SMOOTH = 12
+
+
+def dense_distributions(spark, folder) -> DataFrame:
+    """Weight spectra spread over neighbouring bins by falling weights: dense and concentrated."""
+    rows = spectra.binned(cleaned(spark, folder, "weight"), WEIGHT_GRID)
+    moved = rows.select(
+        "vin", "sg_low", "bin", "mass",
+        F.explode(F.sequence(F.lit(-SMOOTH), F.lit(SMOOTH))).alias("o"),
+    ).select(
+        "vin",
+        F.col("sg_low").alias("sales_group"),
+        (F.col("bin") + F.col("o")).alias("bin"),
+        (F.col("mass") * (SMOOTH + 1 - F.abs("o"))).alias("mass"),
+    )
+    lo = WEIGHT_GRID.center_of("bin") - WEIGHT_GRID.step / 2
+    smooth = (
+        moved.where(F.col("bin").between(0, WEIGHT_GRID.n - 1))
+        .groupBy("vin", "sales_group", interval_text(lo, WEIGHT_GRID.step).alias("x1_interval"))
+        .agg(F.sum("mass").alias("count"))
+    )
+    return spectra.to_distributions(smooth, WEIGHT_GRID)
+
+
+@query
+def kmedoids_dense_k3(spark, folder):
+    data = distance.write_fleet(dense_distributions(spark, folder))
+    return cluster.kmedoids(data, 3).labels(data)
+
+
 @query
 def kmedoids_labels_velocity(spark, folder):
     """The flagship: velocity spectra to ``vin, sales_group, cluster_wasserstein``."""
@@ -331,40 +398,40 @@ def multi_signal_k2(spark, folder):
 
 @query
 def cluster_sizes(spark, folder):
-    return fleet.cluster_sizes(stand_in_codes(spark, folder))
+    return fleet.cluster_sizes(codes(spark, folder))
 
 
 @query
 def cluster_sales_group_crosstab(spark, folder):
-    return fleet.crosstab(stand_in_codes(spark, folder), GROUPS)
+    return fleet.crosstab(codes(spark, folder), GROUPS)
 
 
 @query
 def cluster_share_all(spark, folder):
-    return fleet.cluster_share(stand_in_codes(spark, folder), codes=range(3))
+    return fleet.cluster_share(codes(spark, folder), codes=range(3))
 
 
 @query
 def cluster_share_selected(spark, folder):
-    codes = stand_in_codes(spark, folder, "weight")
-    share = fleet.cluster_share(codes, range(2), SELECTED_GROUPS, digits=0)
+    rows = codes(spark, folder, "weight")
+    share = fleet.cluster_share(rows, range(2), SELECTED_GROUPS, digits=0)
     return share.orderBy("position", "cluster")
 
 
 @query
 def sales_groups_sorted(spark, folder):
-    return fleet.sorted_groups(stand_in_codes(spark, folder))
+    return fleet.sorted_groups(codes(spark, folder))
 
 
 @query
 def cluster_profile_mean(spark, folder):
-    rows = stand_ins(spark, folder, "weight").withColumnRenamed("cluster_wasserstein", "cluster")
+    rows = clusters(spark, folder, "weight").withColumnRenamed("cluster_wasserstein", "cluster")
     return rounded(profile.cluster_profile(rows, WEIGHT_GRID), 6, "mean_p")
 
 
 @query
 def cluster_density(spark, folder):
-    rows = stand_in_codes(spark, folder, "weight").withColumnRenamed(
+    rows = codes(spark, folder, "weight").withColumnRenamed(
         "cluster_wasserstein", "cluster"
     )
     mass = spectra.binned(cleaned(spark, folder, "weight"), WEIGHT_GRID)
@@ -380,7 +447,7 @@ def cluster_density(spark, folder):
 
 @query
 def density_quantiles(spark, folder):
-    rows = stand_in_codes(spark, folder, "gradient").withColumnRenamed(
+    rows = codes(spark, folder, "gradient").withColumnRenamed(
         "cluster_wasserstein", "cluster"
     )
     mass = spectra.binned(cleaned(spark, folder, "gradient"), GRADIENT_GRID)
@@ -391,14 +458,31 @@ def density_quantiles(spark, folder):
 
 @query
 def auto_labels(spark, folder):
-    dists, grid = distributions(spark, folder, "velocity")
-    rows = usage.stand_in_clusters(dists, grid, "velocity").withColumnRenamed(
-        "cluster_wasserstein", "cluster"
-    )
+    rows = clusters(spark, folder, "velocity").withColumnRenamed("cluster_wasserstein", "cluster")
+    grid = flows.signal_grid(cleaned(spark, folder, "velocity"), "velocity")
     names = profile.NAMES_BY_RANK["velocity"]
     return rounded(profile.auto_labels(rows, grid, names), 6, "mean_center")
 
 
+@query
+def auto_labels_k4(spark, folder):
+    """Four clusters for two names: the lower half is flat, the upper half hilly."""
+    found = flows.cluster_signal(
+        raw(spark, folder, "gradient"), usage.outliers(spark, folder), "gradient", 4
+    )
+    names = profile.NAMES_BY_RANK["gradient"]
+    return rounded(profile.auto_labels(found.labelled(), GRADIENT_GRID, names), 6, "mean_center")
+
+
+@query
+def weight_labels_of_best_k(spark, folder):
+    """The whole flow of one signal: sweep, best silhouette, names by mean weight."""
+    found = flows.cluster_signal(
+        raw(spark, folder, "weight"), usage.outliers(spark, folder), "weight", None
+    )
+    return flows.label_signal(found)
+
+
 @query
 def pca_2d(spark, folder):
     dists, _ = distributions(spark, folder, "velocity")
@@ -434,7 +518,7 @@ def label_map(spark, folder):
     """Every cluster code in use with its texts and vehicle count."""
     out = None
     for signal in SIGNALS:
-        sizes = fleet.cluster_sizes(stand_in_codes(spark, folder, signal)).select(
+        sizes = fleet.cluster_sizes(codes(spark, folder, signal)).select(
             F.lit(signal).alias("signal"),
             F.col("cluster_wasserstein").alias("cluster"),
             "n_vehicles",
@@ -446,7 +530,7 @@ def label_map(spark, folder):
 @query
 def unmapped_codes(spark, folder):
     """Codes left without text by a label map that is too short."""
-    rows = fleet.apply_labels(stand_in_codes(spark, folder), "velocity", {0: "Medium", 1: "High"})
+    rows = fleet.apply_labels(codes(spark, folder), "velocity", {0: "Medium", 1: "High"})
     return fleet.unmapped(rows, "velocity")
 
 
@@ -461,8 +545,8 @@ def stats_union(spark, folder):
     """Fifteen statistics tables, one per sales group, tagged and united by name."""
     pattern = _written_stats(spark, folder) + "/sales_group={}"
     stats = tables.load_numbered(spark, pattern, GROUPS)
-    return rounded(stats.select("vin", "sales_group", "mileage_km", "gc_weight_avg_kg"), 4,
-                   "gc_weight_avg_kg")
+    columns = ["vin", "sales_group", "mileage_km", *fleet.KPIS]
+    return rounded(stats.select(*columns), 4, *fleet.KPIS)
 
 
 @query
@@ -516,23 +600,28 @@ def kpi_crosstab_all_groups(spark, folder):
 
 @query
 def kpi_matrix_vehicles(spark, folder):
-    return fleet.kpi_matrix(fleet.kpi_crosstab(subpopulation(spark, folder)), "n_vehicles")
+    """Vehicles and all four KPIs, a matrix each."""
+    table = tables.materialize(fleet.kpi_crosstab(subpopulation(spark, folder)), "kpi")
+    out = None
+    for metric in ("n_vehicles", *fleet.KPIS.values()):
+        matrix = fleet.kpi_matrix(table.withColumn(metric, F.col(metric).cast("double")), metric)
+        cells = [c for c in matrix.columns if c not in ("sales_group", "velocity")]
+        matrix = rounded(matrix, 4, *cells).withColumn("metric", F.lit(metric))
+        out = matrix if out is None else out.unionByName(matrix)
+    return out
 
 
 @query
 def kpi_display(spark, folder):
-    return fleet.kpi_text(fleet.kpi_crosstab(subpopulation(spark, folder), 1), {
-        "vehicle_speed_avg_driving_kmh": "avg_speed", "gc_weight_avg_kg": "avg_weight",
-    })
+    return fleet.kpi_text(fleet.kpi_crosstab(subpopulation(spark, folder), 1))
 
 
 @query
 def config_fit(spark, folder):
     """Sales groups built for a demand of 0, 1 or 2 against the demand of their vehicles."""
     rows = flows.combine(labelled_codes(spark, folder))
-    expected = rows.select("sales_group").distinct().withColumn(
-        "expected_rank", F.col("sales_group") % 3
-    )
+    groups = spark.range(1, len(GROUPS) + 1).select(F.col("id").cast("int").alias("sales_group"))
+    expected = groups.withColumn("expected_rank", F.col("sales_group") % 3)
     return fleet.configuration_fit(rows, expected)
 
 
@@ -567,3 +656,13 @@ def spectrum_build(spark, folder):
 @query
 def spectrum_build_stream(spark, folder):
     return spectrum_of_files(spark, folder, usage.raw_samples, 10.0, "events.parquet")
+
+
+@query
+def spectrum_distributions(spark, folder):
+    """Raw samples to spectra to distributions."""
+    built = spectra.build_spectrum(usage.raw_samples(usage.table(spark, folder, "events")), 10.0)
+    built = tables.materialize(built, "spectrum")
+    grid = GridSpec.from_data(spectra.with_centers(built), 5.0, 10.0)
+    rows = spectra.long_form(spectra.to_distributions(built, grid), grid)
+    return rounded(rows.select("vin", "bin", "p", "cdf"), 6, "p", "cdf")

@@ -80,6 +80,11 @@ def read_back(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def exists(spark: SparkSession, where: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def discard(spark: SparkSession, where: str) -> None:
     """Delete what was written to a path."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspectra.functions.intervals import interval_text
-from fleetspectra.operators.grid import GridSpec
 
 # Lower edge of a line's interval and interval width, per signal.
 _EDGES = {
@@ -94,34 +93,9 @@ def vehicle_dimension(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_samples(events: DataFrame) -> DataFrame:
-    """Events as raw signal samples ``vin, signal``."""
-    return events.select(vin_of("V", "user_id").alias("vin"), F.col("value").alias("signal"))
-
-
-# Cuts on the mean bin center, and the code of each band from low to high. They stand in for
-# clusters where a query is about what follows the clustering.
-STAND_IN = {
-    "velocity": ((24.1234567, 26.7654321), (2, 0, 1)),
-    "weight": ((28123.4567,), (1, 0)),
-    "gradient": ((4.7123457,), (1, 0)),
-}
-
-
-def stand_in_clusters(dists: DataFrame, grid: GridSpec, signal: str) -> DataFrame:
-    """``vin, sales_group, probs, mean_center, cluster_wasserstein`` by cuts on the mean center."""
-    mean = F.aggregate(
-        F.zip_with("probs", grid.centers_column(), lambda p, c: p * c),
-        F.lit(0.0),
-        lambda acc, v: acc + v,
-    )
-    cuts, codes = STAND_IN[signal]
-    band = F
-    for cut, code in zip(cuts, codes):
-        band = band.when(F.col("mean_center") < cut, code)
-    return dists.withColumn("mean_center", mean).select(
-        "vin",
-        "sales_group",
-        "probs",
-        "mean_center",
-        band.otherwise(codes[-1]).cast("int").alias("cluster_wasserstein"),
+    """Events as raw signal samples ``vin, sales_group, signal``."""
+    return events.select(
+        vin_of("V", "user_id").alias("vin"),
+        (F.col("user_id") % 15 + 1).cast("int").alias("sales_group"),
+        F.col("value").alias("signal"),
     )

@@ -54,14 +54,14 @@ def test_totals_match_brute_force(spark, slice_rows):
         assert np.allclose(row["c_totals"], [d[i, own == q].sum() for q in range(3)], atol=1e-9)
 
 
-@pytest.mark.parametrize("direct", [64, 0])
+@pytest.mark.parametrize("slice_rows", [500_000, 60])
 @pytest.mark.parametrize("seed", [3, 4])
-def test_kmedoids_matches_brute_force(spark, seed, direct):
+def test_kmedoids_matches_brute_force(spark, seed, slice_rows):
     cdfs = random_cdfs(150, 8, seed)
     cdfs[30:60] = cdfs[31]
-    fleet = di.write_fleet(fleet_frame(spark, cdfs), slice_rows=500_000 if direct else 60)
+    fleet = di.write_fleet(fleet_frame(spark, cdfs), slice_rows=slice_rows)
     ks = [2, 3, 5]
-    got = cl.kmedoids_sweep(fleet, ks, direct_candidates=direct)
+    got = cl.kmedoids_sweep(fleet, ks)
     for k in ks:
         labels, medoids, n_rounds = kmedoids(distances(cdfs), k)
         assert [int(v[1:]) for v in got[k].vins] == medoids
@@ -78,24 +78,76 @@ def test_central_vehicles(spark):
     mean = np.round(distances(cdfs).mean(axis=1), 9)
     want = np.lexsort((np.arange(90), mean))[:6]
     fleet = di.write_fleet(fleet_frame(spark, cdfs), slice_rows=50)
-    for direct in (64, 0):
-        got = cl.central_vehicles(fleet, 6, direct)
-        assert [int(v[1:]) for v, _ in got] == list(want)
-        assert np.allclose([c for _, c in got], mean[want], atol=2e-9)
+    got = cl.central_vehicles(fleet, 6)
+    assert [int(v[1:]) for v, _ in got] == list(want)
+    assert np.allclose([c for _, c in got], mean[want], atol=2e-9)
+
+
+def _round_parts(fleet, frame, medoids, points):
+    labelled = cl._labelled(frame, medoids, points)
+    values = cl._values(fleet, labelled)
+    summary = cl._summary(values)
+    n = sum(map(len, medoids.values()))
+    return labelled, values, summary, cl._bounded(fleet, values, summary, n)
 
 
-def test_bounds_hold(spark):
+def test_bounds_hold_and_exact_costs_are_exact(spark):
     cdfs = random_cdfs(90, 7, 8)
+    cdfs[40:60] = cdfs[41]
     fleet = di.write_fleet(fleet_frame(spark, cdfs))
     points = {f"V{i:05d}": list(map(float, cdfs[i])) for i in (0, 1)}
-    labelled = cl._labelled(fleet.frame, {2: ["V00000", "V00001"]}, points)
-    codes = {r["vin"]: r["q"] for r in labelled.collect()}
-    own = np.array([codes[f"V{i:05d}"] for i in range(90)])
-    d = distances(cdfs)
-    for row in cl._bounded(fleet, labelled, 2).collect():
-        i = int(row["vin"][1:])
-        exact = d[i, own == own[i]].mean()
-        assert row["low"] - 1e-9 <= exact <= row["high"] + 1e-9
+    with cl._celled(fleet) as frame:
+        labelled, values, summary, bounded = _round_parts(fleet, frame, {2: ["V00000", "V00001"]}, points)
+        codes = {r["vin"]: r["codes"][0] for r in labelled.collect()}
+        own = np.array([codes[f"V{i:05d}"] for i in range(90)])
+        d = distances(cdfs)
+        for row in bounded.collect():
+            i = int(row["vin"][1:])
+            exact = d[i, own == own[i]].mean()
+            assert row["low"] - 1e-9 <= exact <= row["high"] + 1e-9
+        costs = cl._exact(fleet, values, summary, bounded.select("vin", "q"), 2).collect()
+        assert len(costs) == 90
+        for row in costs:
+            i = int(row["vin"][1:])
+            assert abs(row["cost"] - d[i, own == own[i]].mean()) < 2e-9
+
+
+def planted(n, noise, seed=0):
+    """Three dense shapes; each vehicle a shifted and noisy copy of one."""
+    rng = np.random.default_rng(seed)
+    bins = np.arange(38)
+    center = np.array([8.0, 19.0, 29.0])[np.arange(n) % 3] + rng.normal(0, 0.3, n)
+    p = np.exp(-0.5 * ((bins - center[:, None]) / 3.0) ** 2) * (1 + noise * rng.random((n, 38)))
+    return np.cumsum(p / p.sum(axis=1, keepdims=True), axis=1)
+
+
+def test_dense_concentrated_clusters(spark):
+    cdfs = planted(300, 0.2)
+    fleet = di.write_fleet(fleet_frame(spark, cdfs))
+    labels, medoids, _ = kmedoids(distances(cdfs), 3)
+    got = cl.kmedoids(fleet, 3)
+    assert [int(v[1:]) for v in got.vins] == medoids
+    rows = {r["vin"]: r["cluster"] for r in got.labels(fleet).collect()}
+    assert [rows[f"V{i:05d}"] for i in range(300)] == list(labels)
+
+
+def test_work_per_vehicle_does_not_grow(spark):
+    """Rows that a round sorts, and jobs it runs, for ten times the fleet."""
+    sorted_rows = {}
+    for n in (300, 3000):
+        cdfs = planted(n, 0.2)
+        fleet = di.write_fleet(fleet_frame(spark, cdfs))
+        points = {f"V{i:05d}": list(map(float, cdfs[i])) for i in range(3)}
+        with cl._celled(fleet) as frame:
+            _, values, summary, bounded = _round_parts(fleet, frame, {3: list(points)}, points)
+            best = bounded.groupBy("q").agg(F.min("high").alias("best"))
+            near = bounded.join(best, "q").where("low <= best").select("vin", "q")
+            asked = values.join(near, ["vin", "q"], "left_semi").select("cell").distinct()
+            sorted_rows[n] = values.join(asked, "cell", "left_semi").count()
+            widest = summary.agg(F.max(F.when(F.col("hi") > F.col("lo"), F.col("m")))).first()[0]
+            # A cell holds a share of its bin, not of the fleet: the largest sort stays a small part.
+            assert widest < n / 5
+    assert sorted_rows[3000] <= 10.5 * sorted_rows[300] and sorted_rows[3000] <= 3000 * 38
 
 
 def test_silhouette_matches_brute_force(spark):
@@ -156,22 +208,53 @@ def test_unequal_scales(spark):
     assert [int(v[1:]) for v in cl.kmedoids(fleet, 3).vins] == medoids
 
 
-def test_pairs_and_guard(spark):
+def test_stated_rows_of_the_matrix(spark, monkeypatch):
+    monkeypatch.setattr(di, "STATED_AT_ONCE", 2)
     cdfs = random_cdfs(30, 6, 9)
     df = fleet_frame(spark, cdfs)
-    pairs = di.pairwise(df, 2.0, blocks=4)
+    stated = [f"V{i:05d}" for i in (3, 7, 11, 29)]
+    rows = di.matrix_rows(df, [*stated, "unknown"], 2.0)
     d = distances(cdfs, 2.0)
-    rows = pairs.collect()
-    assert len(rows) == len({(r["vin_i"], r["vin_j"]) for r in rows}) == 30 * 29 // 2
-    assert all(r["vin_i"] < r["vin_j"] for r in rows)
-    assert np.allclose([r["distance"] for r in rows], [d[int(r["vin_i"][1:]), int(r["vin_j"][1:])] for r in rows])
-    report = di.pair_diagnostics(pairs, df, 2.0).first()
-    assert (report["n"], report["n_pairs"], report["max_diagonal"], report["n_negative"]) == (30, 435, 0.0, 0)
-    assert report["max_distance"] == pytest.approx(d.max())
-    with pytest.raises(ValueError):
-        di.pairwise(df, 2.0, max_pairs=434)
-    # Triangle inequality
-    assert all((d[i] <= d[i, j] + d[j] + 1e-12).all() for i in range(30) for j in range(30))
+    got = {(r["vin_i"], r["vin_j"]): r["distance"] for r in rows.collect()}
+    assert len(got) == 4 * 30
+    assert all(np.isclose(v, d[int(i[1:]), int(j[1:])]) for (i, j), v in got.items())
+    assert di.matrix_rows(df, [], 2.0).collect() == []
+    near = di.nearest_vehicles(rows, 3, parts=4).collect()
+    for i in (3, 7, 11, 29):
+        want = [j for j in np.argsort(d[i], kind="stable") if j != i][:3]
+        found = sorted((r["rank"], int(r["vin_j"][1:])) for r in near if r["vin_i"] == f"V{i:05d}")
+        assert [j for _, j in found] == want
+    report = di.matrix_diagnostics(rows).first()
+    assert (report["n_stated"], report["n_rows"], report["n_asymmetric"], report["n_negative"]) == (4, 120, 0, 0)
+    assert report["max_diagonal"] == 0 and report["max_distance"] <= d.max()
+
+
+def test_a_broken_distance_is_reported(spark):
+    df = fleet_frame(spark, random_cdfs(12, 6, 9))
+    stated = [f"V{i:05d}" for i in range(4)]
+
+    def lopsided(a, b, step):
+        first = F.get(a, F.lit(0)) - 2 * F.get(b, F.lit(0))
+        return first * step
+
+    report = di.matrix_diagnostics(di.matrix_rows(df, stated, 1.0, lopsided)).first()
+    assert report["n_asymmetric"] == 12 and report["max_diagonal"] != 0 and report["n_negative"] > 0
+
+
+def test_a_fleet_leaves_no_files(spark):
+    from fleetspectra.sources import tables
+
+    with di.write_fleet(fleet_frame(spark, random_cdfs(30, 6, 9)), slice_rows=20) as fleet:
+        assert di.fleet_totals(fleet).count() == 30
+        paths = list(fleet.paths)
+        assert len(paths) >= 2 and all(tables.exists(spark, p) for p in paths)
+    assert not any(tables.exists(spark, p) for p in paths)
+
+
+def test_missing_values_are_refused(spark):
+    df = spark.createDataFrame([("A", 1, [0.5, None])], "vin string, sales_group int, cdf array<double>")
+    with pytest.raises(Exception, match="missing values"):
+        di.write_fleet(df)
 
 
 def test_soft_membership(spark):
@@ -195,17 +278,21 @@ def test_bad_arguments(spark):
         cl.kmedoids(fleet, 0)
     with pytest.raises(ValueError):
         cl.choose_k(None, "fixed")
-    stopped = cl.kmedoids(fleet, 2, max_iter=1)
-    assert stopped.rounds == 1
+    many = di.write_fleet(fleet_frame(spark, random_cdfs(60, 6, 1)))
+    with pytest.raises(cl.NotConverged):
+        cl.kmedoids(many, 3, max_iter=1)
+    stopped = cl.kmedoids_sweep(many, [3], max_iter=1, must_converge=False)[3]
+    assert stopped.rounds == 1 and not stopped.converged
 
 
 def test_plans_stay_in_the_jvm_without_cartesian_products(spark):
     fleet = di.write_fleet(fleet_frame(spark, random_cdfs(50, 5, 1)), slice_rows=20)
     points = {v: p for v, p in fleet.frame.select("vin", "point").limit(2).collect()}
-    labelled = cl._labelled(fleet.frame, {2: list(points)}, points)
     label = F.lit(0)
+    with cl._celled(fleet) as frame:
+        bounded = _round_parts(fleet, frame, {2: list(points)}, points)[3]
     for df in (
-        cl._bounded(fleet, labelled, 2),
+        bounded,
         di.fleet_totals(fleet),
         cl.silhouette_vehicles(fleet, {"a": (F.pmod(F.hash("vin"), F.lit(2)), 2)}),
         di.distance_to(fleet.frame.withColumnRenamed("point", "cdf"), points, 1.0),

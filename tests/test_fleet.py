@@ -55,7 +55,9 @@ def test_kpi_crosstab(spark):
     full = cells["High", "Hilly", "High"]
     assert (full["n_vehicles"], full["avg_speed"], full["avg_weight"]) == (3, 10.0, 40.0)
     every = fl.kpi_crosstab(subpop(spark))
-    assert every.count() == 24
+    rows = every.collect()
+    assert len(rows) == 25 and sum(r["n_vehicles"] for r in rows) == subpop(spark).count()
+    assert [r["sales_group"] for r in rows if r["velocity"] is None] != []
     absent = fl.kpi_crosstab(subpop(spark), 9).collect()
     assert len(absent) == 12 and {r["n_vehicles"] for r in absent} == {0}
     matrix = {r["velocity"]: r for r in fl.kpi_matrix(fl.kpi_crosstab(subpop(spark), 1), "n_vehicles").collect()}
@@ -129,7 +131,9 @@ def test_automatic_names(spark):
     auto = pr.auto_labels(df, grid, pr.NAMES_BY_RANK["velocity"])
     assert pr.label_names(auto) == {2: "Low", 0: "Medium", 1: "High"}
     short = pr.auto_labels(df, grid, ("Low", "High"))
-    assert pr.label_names(short) == {2: "Low", 0: "High"}
+    assert pr.label_names(short) == {2: "Low", 0: "High", 1: "High"}
+    one = pr.auto_labels(df.where("cluster = 1"), grid, ("Low", "High"))
+    assert pr.label_names(one) == {1: "Low"}
 
 
 def test_save_and_load(spark, tmp_path):

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from fleetspectra.operators import fleet as fl
 from fleetspectra.plans import flows
-from fleetspectra.sources.usage import stand_in_clusters
 
 # Per signal: first lower edge, step, and the peak bin of each kind of vehicle.
 SHAPES = {
@@ -72,7 +71,6 @@ def test_joint_distributions_add_up(spark):
 
 def test_given_names_win(spark):
     outliers = spark.createDataFrame([("V9999",)], "vin string")
-    dists, grid = flows.signal_distributions(spectrum(spark, "weight"), outliers, "weight")
-    codes = stand_in_clusters(dists, grid, "weight").select("vin", "sales_group", "cluster_wasserstein")
+    codes = flows.cluster_signal(spectrum(spark, "weight"), outliers, "weight", 2).clusters
     named = fl.apply_labels(codes, "weight", {0: "Heavy", 1: "Light"})
     assert {r[0] for r in named.select("cluster_weight_text").distinct().collect()} == {"Heavy", "Light"}

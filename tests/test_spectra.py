@@ -147,3 +147,22 @@ def test_build_spectrum_weighted(spark):
     )
     rows = sp.build_spectrum(df, 10.0, weight=F.col("km")).collect()
     assert {(r["x1_interval"], r["count"]) for r in rows} == {("[10, 20)", 5.0), ("[-10, 0)", 1.0)}
+
+
+def test_missing_columns_are_named(spark):
+    short = spark.createDataFrame([("A", 1)], "vin string, sales_group int")
+    with pytest.raises(ValueError, match="x1_interval, count"):
+        sp.binned(short, GRADIENT_GRID)
+
+
+def test_a_long_grid_is_looked_up_by_arithmetic(spark):
+    grid = GridSpec(0.5, 1.0, 2_000_000_000)
+    df = spark.createDataFrame([(0.5,), (1e9 + 0.5,), (7.25,), (-0.5,), (2e9 + 0.5,)], "c double")
+    got = [r[0] for r in df.select(grid.position_of("c")).collect()]
+    assert got == [1, 1_000_000_001, None, None, None]
+
+
+def test_distributions_are_hashed_once(spark):
+    rows = spark.createDataFrame([("A", 1, "(1, 2]", 1.0)], "vin string, sales_group int, x1_interval string, count double")
+    plan = sp.to_distributions(rows, GRADIENT_GRID)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
