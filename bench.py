@@ -14,7 +14,12 @@ import time
 from pyspark.sql import SparkSession
 
 from fleetspectra.operators import cluster, distance
-from fleetspectra.plans.queries import QUERIES, distributions, supplier_distributions
+from fleetspectra.plans.queries import (
+    QUERIES,
+    dense_distributions,
+    distributions,
+    supplier_distributions,
+)
 
 
 def drain(df) -> None:
@@ -37,6 +42,8 @@ def run(spark, folder: str) -> dict[str, float]:
     timed("kmedoids_k2", lambda: drain(cluster.kmedoids(fleet, 2).labels(fleet)))
     three = timed("kmedoids_k3", lambda: cluster.kmedoids(fleet, 3))
     timed("silhouette_k3", lambda: cluster.silhouette(fleet, three.label(), 3).collect())
+    dense = distance.write_fleet(dense_distributions(spark, folder))
+    timed("kmedoids_dense_k3", lambda: drain(cluster.kmedoids(dense, 3).labels(dense)))
     timed("k_sweep", lambda: cluster.k_sweep(fleet)[1].collect())
     for name in ("kmedoids_labels_velocity", "kpi_crosstab_all_groups"):
         timed(name, lambda: drain(QUERIES[name](spark, folder)))

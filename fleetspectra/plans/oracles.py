@@ -412,6 +412,51 @@ named AS (SELECT l, CASE WHEN floor((row_number() OVER (ORDER BY round(m, 9), l)
 SELECT j AS vin, sales_group, l AS cluster_wasserstein_weight, text AS cluster_weight_text
 FROM pick JOIN named USING (l) JOIN ({_GROUP}) g ON g.vin = j"""
 
+
+
+def pca(signal: str, squarings: int = 14) -> str:
+    """``pc``: vin, pc1, pc2; ``share``: of each. Eigenvectors by repeated squaring, the second one from
+    the deflated covariance; the largest loading is positive."""
+    parts = [
+        f"""mu AS (SELECT bin, avg(p) AS m FROM d_{signal} GROUP BY bin),
+y AS MATERIALIZED (SELECT vin, bin, p - mu.m AS y FROM d_{signal} JOIN mu USING (bin)),
+cov1 AS MATERIALIZED (SELECT a.bin AS i, b.bin AS j, sum(a.y * b.y) AS v FROM y a JOIN y b USING (vin) GROUP BY 1, 2)"""
+    ]
+    for n in (1, 2):
+        parts.append(
+            f"q{n}_0 AS MATERIALIZED (SELECT i, j, v / max(abs(v)) OVER () AS v FROM cov{n})"
+        )
+        for t in range(1, squarings + 1):
+            parts.append(
+                f"""q{n}_{t} AS MATERIALIZED (SELECT i, j, v / max(abs(v)) OVER () AS v FROM (
+  SELECT a.i, b.j, sum(a.v * b.v) AS v FROM q{n}_{t - 1} a JOIN q{n}_{t - 1} b ON a.j = b.i GROUP BY 1, 2))"""
+            )
+        last = f"q{n}_{squarings}"
+        parts.append(
+            f"""e{n} AS MATERIALIZED (
+  SELECT i, v / sqrt(sum(v * v) OVER ()) * CASE WHEN abs(max(v) OVER ()) >= abs(min(v) OVER ()) THEN 1 ELSE -1 END AS v
+  FROM {last} WHERE j = (SELECT j FROM {last} WHERE i = j ORDER BY v DESC LIMIT 1)),
+l{n} AS MATERIALIZED (SELECT sum(a.v * c.v * b.v) AS l FROM e{n} a JOIN cov{n} c ON a.i = c.i JOIN e{n} b ON b.i = c.j),
+cov{n + 1} AS MATERIALIZED (
+  SELECT c.i, c.j, c.v - (SELECT l FROM l{n}) * a.v * b.v AS v
+  FROM cov{n} c JOIN e{n} a ON a.i = c.i JOIN e{n} b ON b.i = c.j)"""
+        )
+    parts.append(
+        """pc AS (SELECT vin, sum(y * e1.v) AS pc1, sum(y * e2.v) AS pc2
+  FROM y JOIN e1 ON e1.i = bin JOIN e2 ON e2.i = bin GROUP BY 1),
+trace AS (SELECT sum(v) AS s FROM cov1 WHERE i = j)"""
+    )
+    return ",\n".join(parts)
+
+
+ORACLES["pca_2d"] = f"""{head(dense("velocity"), pca("velocity"))}
+SELECT vin, round(pc1, 4) + 0.0 AS pc1, round(pc2, 4) + 0.0 AS pc2,
+  round((SELECT l FROM l1) / (SELECT s FROM trace), 5) AS pc1_share,
+  round((SELECT l FROM l2) / (SELECT s FROM trace), 5) AS pc2_share FROM pc"""
+ORACLES["pca_by_k"] = f"""{head(points("gradient"), MATRIX, *[rounds(k, 16, k) for k in _KS], pca("gradient"))},
+labs AS ({" UNION ALL ".join(f"SELECT cast({k} AS int) AS k, j, l FROM lab{k}" for k in _KS)})
+SELECT k, vin, round(pc1, 4) + 0.0 AS pc1, round(pc2, 4) + 0.0 AS pc2, l AS cluster FROM pc JOIN labs ON j = vin"""
+
 # Sub-populations
 
 ORACLES["label_map"] = f"""{head(ALL_CLUSTERS)},

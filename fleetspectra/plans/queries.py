@@ -489,10 +489,11 @@ def pca_2d(spark, folder):
     coordinates, shares = profile.pca_coordinates(tables.materialize(dists, "dists"))
     return coordinates.select(
         "vin",
-        F.round("pc1", 6).alias("pc1"),
-        F.round("pc2", 6).alias("pc2"),
-        F.format_string("%.1f%%", F.lit(100 * shares[0])).alias("pc1_variance"),
-        F.format_string("%.1f%%", F.lit(100 * shares[1])).alias("pc2_variance"),
+        # Adding zero leaves one kind of zero.
+        (F.round("pc1", 4) + 0.0).alias("pc1"),
+        (F.round("pc2", 4) + 0.0).alias("pc2"),
+        F.lit(round(shares[0], 5)).alias("pc1_share"),
+        F.lit(round(shares[1], 5)).alias("pc2_share"),
     )
 
 
@@ -502,12 +503,8 @@ def pca_by_k(spark, folder):
     dists = tables.materialize(dists, "dists")
     data = distance.write_fleet(dists)
     coordinates, _ = profile.pca_coordinates(dists)
-    return rounded(
-        profile.pca_by_k(coordinates, data, cluster.kmedoids_sweep(data, range(2, 7))),
-        6,
-        "pc1",
-        "pc2",
-    )
+    rows = profile.pca_by_k(coordinates, data, cluster.kmedoids_sweep(data, range(2, 7)))
+    return rows.withColumns({c: F.round(c, 4) + 0.0 for c in ("pc1", "pc2")})
 
 
 # Sub-populations
