@@ -16,6 +16,7 @@ Transducers, in this order:
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,9 +26,12 @@ from fleetspectra.llm.common import take
 
 # The kinds in their order, and what counts as one of them.
 KINDS = ("email", "ip", "card", "phone")
+# An address is found from its "@": what stands before it in the first class, and a domain after it.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# The leftmost match never starts inside a run of digits; saying so keeps long runs linear.
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -66,17 +70,34 @@ def luhn(digits: str) -> bool:
 
 
 def _holds(kind: str, match: str) -> bool:
-    if kind == "email":
-        return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in match.split("."))
+        parts = (p.lstrip("0") for p in match.split("."))
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
     digits = re.sub("[^0-9]", "", match)
     if kind == "card":
         return CARD_DIGITS[0] <= len(digits) <= CARD_DIGITS[1] and luhn(digits)
     return PHONE_DIGITS[0] <= len(digits) <= PHONE_DIGITS[1]
 
 
+def _emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost addresses that do not overlap; every character is looked at a bounded number of times."""
+    out, free = [], 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            free = domain.end()
+            out.append((start, free))
+        at = text.find("@", max(at + 1, free))
+    return out
+
+
 def _finds(kind: str, text: str) -> list[tuple[int, int]]:
+    if kind == "email":
+        return _emails(text)
     found = PATTERNS[kind].finditer(text)
     return [m.span() for m in found if _holds(kind, m.group())]
 
@@ -91,30 +112,48 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Tape:
-    """A text and, per character, the source span it stands for. Rules leave the rest as it is."""
+    """A text and the way back to its source. Rules leave the rest of the text as it is.
+
+    Every rewriting keeps its edits only: where they are in the new text, and what they stand for in the
+    old one. So the way back costs a search per rewriting, and long texts cost no more than their edits.
+    """
 
     def __init__(self, text: str):
         self.text = text
-        self.starts: list[int] | range = range(len(text))
-        self.ends: list[int] | range = range(1, len(text) + 1)
+        self.rewritings: list[tuple[list[int], list[int], list[int], list[int]]] = []
 
     def rewrite(self, pattern: re.Pattern, fn) -> None:
         """Replace each match by ``fn(match)``, or keep it where that gives None."""
-        out, starts, ends, at = [], [], [], 0
+        out, at, size = [], 0, 0
+        edits: tuple[list[int], list[int], list[int], list[int]] = ([], [], [], [])
         for m in pattern.finditer(self.text):
             new = fn(m)
             if new is None:
                 continue
             a, b = m.span()
             out += [self.text[at:a], new]
-            starts += [*self.starts[at:a], *[self.starts[a]] * len(new)]
-            ends += [*self.ends[at:a], *[self.ends[b - 1]] * len(new)]
+            size += a - at
+            for values, v in zip(edits, (size, size + len(new), a, b)):
+                values.append(v)
+            size += len(new)
             at = b
-        if at:
+        if out:
             out.append(self.text[at:])
-            starts += self.starts[at:]
-            ends += self.ends[at:]
-            self.text, self.starts, self.ends = "".join(out), starts, ends
+            self.text = "".join(out)
+            self.rewritings.append(edits)
+
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """The source span of a span of the rewritten text."""
+        first, last = start, end - 1
+        for new_start, new_end, old_start, old_end in reversed(self.rewritings):
+            i, j = bisect_right(new_start, first) - 1, bisect_right(new_start, last) - 1
+            if i >= 0:
+                inside = first < new_end[i]
+                first = old_start[i] if inside else first + old_end[i] - new_end[i]
+            if j >= 0:
+                inside = last < new_end[j]
+                last = old_end[j] - 1 if inside else last + old_end[j] - new_end[j]
+        return first, last + 1
 
 
 _FOLD = re.compile(
@@ -191,7 +230,7 @@ def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[
         return []
     out = []
     for a, b, k in plain_spans(tape.text):
-        start, end = tape.starts[a], tape.ends[b - 1]
+        start, end = tape.source(a, b)
         # A plain span that covers it says the same or more.
         if not any(s <= start and end <= e for s, e, _ in plain):
             out.append((start, end, k))

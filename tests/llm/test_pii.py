@@ -1,8 +1,9 @@
+import random
 import re
 
 import pytest
 
-from fleetspectra.llm.pii import disguised_spans, find_pii, luhn, normalised, plain_spans
+from fleetspectra.llm.pii import Tape, disguised_spans, find_pii, luhn, normalised, plain_spans
 from fleetspectra.llm.queries import QUERIES
 
 CARD = "4111 1111 1111 1111"
@@ -80,7 +81,41 @@ def test_prose_is_left_alone(text):
 def test_unchanged_texts_have_no_tape():
     assert normalised("nothing here at all") is None
     tape = normalised("a​b")
-    assert (tape.text, list(tape.starts), list(tape.ends)) == ("ab", [0, 2], [1, 3])
+    assert (tape.text, tape.source(0, 1), tape.source(1, 2), tape.source(0, 2)) == ("ab", (0, 1), (2, 3), (0, 3))
+
+
+def test_random_texts_match_the_rules():
+    rng = random.Random(3)
+    pieces = ["a", "b.c", "@", "1", "25", ".", "-", " ", "+", "(", ")", "_", "4111111111111111", "é", "10.0.0.1", "x@y.z"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))
+        assert plain_spans(text) == brute(text), text
+
+
+def test_rewritings_lead_back_character_by_character():
+    """A chain of random rewritings, followed with one marked character at a time."""
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 30)))
+        tape = Tape(text)
+        spans = [(i, i + 1) for i in range(len(text))]
+        for _ in range(3):
+            letter, new = rng.choice("abcdxy"), rng.choice(["", "x", "yy", "xyx"])
+            pattern = re.compile(f"{letter}+")
+            moved, at = [], 0
+            for m in pattern.finditer(tape.text):
+                moved += spans[at : m.start()] + [(spans[m.start()][0], spans[m.end() - 1][1])] * len(new)
+                at = m.end()
+            spans = moved + spans[at:]
+            tape.rewrite(pattern, lambda m: new)
+        assert len(spans) == len(tape.text)
+        assert [tape.source(i, i + 1) for i in range(len(spans))] == spans
+
+
+def test_long_runs_stay_linear():
+    for text in ("a" * 300_000 + " @", "1" * 300_000, "1." * 150_000, "+1" * 150_000, "0" * 5000 + ".1.1.1"):
+        assert len(plain_spans(text)) <= 50_000
+        disguised_spans(text, [])
 
 
 def test_plain_spans_stay(spark):
