@@ -5,7 +5,7 @@
 2. A source's documents fall into blocks of about ``block_words`` words by a hash, that is, in permuted
    order. Whole passes over all blocks come first; of the last pass the first blocks are taken until the
    target is reached. The block on the border is taken in part: its documents in permuted order, each that
-   still fits.
+   still fits, and one more if that ends nearer to the target.
 3. The blocks taken are exact quotas per source. A binary tree splits them among the output shards: at
    each node the left half gets as many blocks as its shards hold, and how many of them come from each
    source is drawn from the multivariate hypergeometric distribution, source by source. So every shard
@@ -324,8 +324,20 @@ def mix(
             .alias("taken"),
         )
 
+    def finish(state: Column) -> Column:
+        """One more document if it ends nearer to the target above than the sum is below."""
+        left = F.filter("docs", lambda d: ~F.array_contains(state["taken"], d["row_id"]))
+        by_size = F.transform(left, lambda d: F.struct(*[d[n].alias(n) for n in ("size", "order_key", "row_id")]))
+        return let(
+            F.array_min(by_size),
+            lambda d: F.when(
+                d["size"] - state["room"] < state["room"],
+                F.concat(state["taken"], F.array(d["row_id"])),
+            ).otherwise(state["taken"]),
+        )
+
     part = lists.select(
-        F.explode(F.aggregate("docs", start, fill, lambda s: s["taken"])).alias("r")
+        F.explode(F.aggregate("docs", start, fill, finish)).alias("r")
     ).withColumn("fits", F.lit(1).cast("long"))
     slim = placed.select(
         "row_id", "doc_id", "source_no", "block", "size", "source_size", "target", "order_key"
