@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from fleetspectra.functions.intervals import is_finite, let
 
 
+# A vehicle's distribution is one array on the grid, so a grid from data longer than this is refused.
+MAX_BINS = 1_000_000
+
+
 @dataclass(frozen=True)
 class GridSpec:
     """``n`` bin centers ``first, first + step, ...``."""
@@ -32,13 +36,20 @@ class GridSpec:
     def from_data(
         cls, centers: DataFrame, start: float, step: float, cap: float | None = None
     ) -> GridSpec:
-        """A grid reaching the largest finite ``bin_center`` of the fleet, or a stated cap."""
+        """A grid reaching the largest finite ``bin_center`` of the fleet, or a stated cap.
+
+        One stray interval far out would make every distribution as long as the way to it, so more than
+        ``MAX_BINS`` bins raise: drop the stray rows, take a wider step, or state a cap.
+        """
         top = cap
         if top is None:
             top = center_bounds(centers).first()["max_center"]
         if top is None:
             raise ValueError("no finite bin center to build a grid from")
-        return cls.between(start, top + step, step)
+        grid = cls.between(start, top + step, step)
+        if grid.n > MAX_BINS:
+            raise ValueError(f"the center {top} makes a grid of {grid.n} bins; at most {MAX_BINS} are built")
+        return grid
 
     @property
     def centers(self) -> list[float]:
