@@ -85,6 +85,9 @@ class Words:
     """The words of a batch of texts: ``codes`` into ``vocabulary``, cut by ``starts`` per text."""
 
     def __init__(self, texts: pa.Array, lower: bool = True):
+        if texts.offset:
+            # String kernels misread slices, so a slice is copied first.
+            texts = texts.take(pa.array(np.arange(len(texts))))
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if lower:
             texts = pc.ascii_lower(texts)
@@ -111,11 +114,14 @@ class Words:
 
 
 # A batch of texts is handled in pieces of about so many bytes.
-PIECE_BYTES = 24_000_000
+PIECE_BYTES = 6_000_000
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches cut so that a piece holds about ``PIECE_BYTES`` of text, or one longer text."""
+    """Batches cut so that a piece holds about ``PIECE_BYTES`` of text, or one longer text.
+
+    What Arrow keeps of a piece's memory is handed back, as an executor runs several workers.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -123,4 +129,5 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         part = np.cumsum(sizes, dtype=np.int64) // PIECE_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
-            yield batch.slice(a, b - a)
+            yield batch.take(pa.array(np.arange(a, b)))
+            pa.default_memory_pool().release_unused()

@@ -64,15 +64,18 @@ def text_features(rows: DataFrame) -> DataFrame:
         for part in pieces(batches):
             words = Words(part.column("text"))
             hashes = word_hashes(words)
-            lists = []
-            for a, b in zip(words.starts, words.starts[1:]):
-                h, n = np.unique(hashes[words.codes[a:b]], return_counts=True)
-                lists.append([{"h": x, "n": y} for x, y in zip(h.tolist(), n.tolist())])
+            kinds, kind = np.unique(hashes, return_inverse=True)
+            row = np.repeat(np.arange(len(words.counts)), words.counts)
+            pair, n = np.unique(row * max(1, len(kinds)) + kind[words.codes], return_counts=True)
+            found = pa.StructArray.from_arrays(
+                [pa.array(kinds[pair % max(1, len(kinds))]), pa.array(n)], fields=list(item)
+            )
+            cuts = np.searchsorted(pair, np.arange(len(words.counts) + 1) * max(1, len(kinds)))
             yield pa.record_batch(
                 {
                     "doc_id": part.column("doc_id"),
                     "grade": part.column("grade"),
-                    "words": pa.array(lists, pa.list_(item)),
+                    "words": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), found),
                 }
             )
 
@@ -165,17 +168,34 @@ def fit_toxicity(
     if not len(hashes):
         return none
     # Per sampled row only the chosen words: sample size times number of words at most.
-    wanted = F.array(*[F.lit(int(h)) for h in hashes])
-    rows = sample.select(
-        "grade", F.filter("words", lambda x: F.array_contains(wanted, x["h"])).alias("w")
-    ).toArrow()
+    def chosen_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            flat = lists.flatten()
+            h = np.asarray(flat.field("h"))
+            at = np.searchsorted(hashes, h).clip(0, len(hashes) - 1)
+            hit = hashes[at] == h
+            upto = np.concatenate([[0], np.cumsum(hit)])
+            cuts = np.asarray(lists.offsets)
+            cuts = pa.array(upto[cuts - cuts[0]].astype(np.int32))
+            yield pa.record_batch(
+                {
+                    "grade": batch.column("grade"),
+                    "at": pa.ListArray.from_arrays(cuts, pa.array(at[hit])),
+                    "n": pa.ListArray.from_arrays(cuts, pa.array(np.asarray(flat.field("n"))[hit])),
+                }
+            )
+
+    rows = (
+        sample.select("grade", "words")
+        .mapInArrow(chosen_words, "grade int, at array<long>, n array<long>")
+        .toArrow()
+    )
     grades = np.asarray(rows.column("grade")).astype(np.int64).clip(0)
-    found = rows.column("w").combine_chunks()
-    n_each = np.diff(np.asarray(found.offsets))
-    flat = found.flatten()
-    x_row = np.repeat(np.arange(len(grades)), n_each)
-    x_word = np.searchsorted(hashes, np.asarray(flat.field("h")))
-    counts = np.asarray(flat.field("n"))
+    found = rows.column("at").combine_chunks()
+    x_row = np.repeat(np.arange(len(grades)), np.diff(np.asarray(found.offsets)))
+    x_word = np.asarray(found.flatten())
+    counts = np.asarray(rows.column("n").combine_chunks().flatten())
     if grades.max() <= 1:
         hits = np.bincount(x_row, counts, minlength=len(grades))
         grades = grades * (1 + sum((hits >= s).astype(np.int64) for s in GRADE_STEPS))
