@@ -113,6 +113,23 @@ class Words:
         ).view(np.int64)
 
 
+# Texts handed to a Python worker at once; Spark's own default of 10,000 is meant for narrow rows.
+BATCH_ROWS = 2_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself, after lowering its session's batch size to ``BATCH_ROWS`` where it is larger.
+
+    Every running task holds a batch of whole texts in the JVM and again in its worker.
+    """
+    spark = df.sparkSession
+    now = int(spark.conf.get(_BATCH_SETTING))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return df
+
+
 # A batch of texts is handled in pieces of about so many bytes.
 PIECE_BYTES = 6_000_000
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspectra.llm.common import Words, pieces, take
+from fleetspectra.llm.common import Words, pieces, small_batches, take
 from fleetspectra.sources.tables import materialize
 
 WINDOW = 13
@@ -220,7 +220,7 @@ def contaminated(
     """
     spark = docs.sparkSession
     items = materialize(benchmark_windows(benchmark, item_id, item_text, window), "items")
-    rows = take(docs, doc_id=doc_id, text=text).select(
+    rows = take(small_batches(docs), doc_id=doc_id, text=text).select(
         F.monotonically_increasing_id().alias("row_id"), "doc_id", "text"
     )
     known = items.select("width", "hash").distinct()

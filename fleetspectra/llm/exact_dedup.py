@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspectra.llm.common import take
+from fleetspectra.llm.common import small_batches, take
 from fleetspectra.sources.tables import materialize
 
 # Deleted before texts are compared (fixed values: space and U+0009 to U+000D).
@@ -237,7 +237,7 @@ def grace_dedup(
     all others. Repeated rows stay apart: exactly one row of a group is ``kept``. An empty table gives
     an empty result; further columns are ignored.
     """
-    rows = take(docs, doc_id=doc_id, text=text)
+    rows = take(small_batches(docs), doc_id=doc_id, text=text)
     parts = materialize(rows.mapInArrow(_partition(table_bytes), RECORDS), "copies", "zstd")
     records = parts.filter(F.col("content").isNotNull())
     # One exchange moves the contents, and as it is asked for by name no task splits a bucket's hash.

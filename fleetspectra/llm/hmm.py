@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetspectra.llm.common import Words, pieces, take
+from fleetspectra.llm.common import Words, pieces, small_batches, take
 from fleetspectra.sources.tables import materialize
 
 STATES = 6
@@ -424,7 +424,7 @@ def score_documents(
     any training text all counts are zero. An empty table gives an empty result; further columns are
     ignored. ``docs`` must read the same rows in the same order again, as a table or files do.
     """
-    rows = take(docs, doc_id=doc_id, text=text)
+    rows = take(small_batches(docs), doc_id=doc_id, text=text)
     rows = rows.select(
         F.monotonically_increasing_id().alias("row_id"),
         "doc_id",

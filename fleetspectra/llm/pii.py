@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fleetspectra.llm.common import take
+from fleetspectra.llm.common import small_batches, take
 
 # The kinds in their order, and what counts as one of them.
 KINDS = ("email", "ip", "card", "phone")
@@ -270,6 +270,6 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             )
 
     spans = "array<struct<start: bigint, end: bigint, kind: string>>"
-    return take(docs, doc_id=doc_id, text=text).mapInArrow(
+    return take(small_batches(docs), doc_id=doc_id, text=text).mapInArrow(
         run, f"doc_id long, plain {spans}, disguised {spans}"
     )

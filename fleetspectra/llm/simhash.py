@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetspectra.llm.common import take
+from fleetspectra.llm.common import small_batches, take
 from fleetspectra.llm.components import components
 from fleetspectra.sources.tables import materialize
 
@@ -198,7 +198,7 @@ def simhash_groups(
     further columns are ignored. ``docs`` must read the same rows in the same order again, as a table or
     files do; ``row_id`` then numbers them.
     """
-    rows = take(docs, doc_id=doc_id, text=text).withColumn(
+    rows = take(small_batches(docs), doc_id=doc_id, text=text).withColumn(
         "row_id", F.monotonically_increasing_id()
     )
     prints = materialize(fingerprints(rows, shingle_words), "fingerprints")

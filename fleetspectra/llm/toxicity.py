@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspectra.llm.common import Words, pieces, take
+from fleetspectra.llm.common import Words, pieces, small_batches, take
 from fleetspectra.sources.tables import materialize
 
 SAMPLE_ROWS = 20_000
@@ -138,7 +138,7 @@ def fit_toxicity(
         .limit(sample_rows)
     )
     # Bounded by the sample size.
-    rows = take(docs, doc_id=doc_id, text=text).join(
+    rows = take(small_batches(docs), doc_id=doc_id, text=text).join(
         F.broadcast(chosen), F.col("doc_id") == F.col("id")
     )
     sample = materialize(text_features(rows), "sample")
@@ -248,7 +248,7 @@ def score_toxicity(
     >= 1) is at least ``at``. A null or empty text has no features, so its score is that of a clean text;
     repeated rows are scored each; an empty table gives an empty result; further columns are ignored.
     """
-    rows = take(docs, doc_id=doc_id, text=text)
+    rows = take(small_batches(docs), doc_id=doc_id, text=text)
     scored = rows.select("doc_id", severity_udf(model)("text").alias("s"))
     return scored.select(
         "doc_id",
