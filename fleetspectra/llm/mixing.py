@@ -34,6 +34,8 @@ MAX_REPEATS = 2
 BLOCK_WORDS = 65_536
 SHARDS = 16
 SEED = 20_240_101
+# A shard's rows are written in 2 ** PIECE_BITS pieces.
+PIECE_BITS = 8
 # Tables of sources and of blocks are broadcast up to so many rows, and shuffled beyond.
 BROADCAST_ROWS = 20_000
 # Blocks of a source summed up in one piece.
@@ -399,16 +401,20 @@ def mix(
     )
 
 
-def mixed_documents(docs: DataFrame, mixed: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as drawn, dealt by shard and shuffled inside it."""
+def mixed_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as drawn, dealt by shard and shuffled inside it.
+
+    A shard is written in pieces, ranges of its position key, so that few shards are many tasks too.
+    """
     names = docs.columns
     tagged = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn(
         "row", F.monotonically_increasing_id()
     )
     side = mixed.select(F.col("row_id").alias("drawn"), F.explode("draws").alias("draw"))
+    piece = F.shiftright("draw.position_key", 64 - PIECE_BITS)
     return (
         tagged.join(side, F.col("row") == F.col("drawn"))
-        .repartition(shards, "draw.shard")
+        .repartition("draw.shard", piece)
         .sortWithinPartitions("draw.shard", "draw.position_key")
         .select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
     )

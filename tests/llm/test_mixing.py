@@ -118,7 +118,7 @@ def test_mixed_rows_follow_the_draws(spark, tmp_path):
     frame(spark, corpus()).repartition(5).write.parquet(f"{tmp_path}/docs")
     docs = spark.read.parquet(f"{tmp_path}/docs")
     mixed = mix(docs, block_words=100, shards=4)
-    out = mixed_documents(docs, mixed, 4)
+    out = mixed_documents(docs, mixed)
     assert out.columns == docs.columns
     want = Counter()
     for r in mixed.collect():
