@@ -6,6 +6,11 @@ template. Windows of ``WINDOW`` template tokens of the benchmark are hash-joined
 documents. For each place where an item fits a document, the slots of the matched windows are compared: every
 value of the item must turn into one and the same value everywhere, or the window is a chance match.
 
+A text is read in three ways, each a stream of tokens of its own, so that what surrounds a passage hides
+nothing: ``v``, its bare words without placeholders, whatever their case, spacing and punctuation; ``n``,
+where every capitalised word is a name; ``p``, where one that may just open a sentence is plain. Of items
+there is ``f`` as well, which is ``n`` with a plain first word.
+
 Each task holds the hashes of the benchmark's windows to see which of its own windows can match; the
 benchmark is taken in blocks of a stated size, one pass over the documents each, so a benchmark of any size
 is served by bounded memory. The join proper, on hash and complete template, is Spark's.
@@ -14,7 +19,7 @@ is served by bounded memory. The join proper, on hash and complete template, is
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +31,25 @@ from fleetspectra.llm.common import Words, pieces, small_batches, take
 from fleetspectra.sources.tables import materialize
 
 WINDOW = 13
-# Items of fewer tokens match too much by chance and are left out; shorter than a window they match whole.
+# Items shorter than a window match whole. With other values, those of fewer tokens match too much by chance.
 LEAST_TOKENS = 6
-# A window needs so many tokens that are not placeholders.
+# With other values, a window needs so many tokens that are not placeholders.
 LEAST_PLAIN = 5
+# Word for word as well.
+LEAST_WORDS = LEAST_TOKENS
 # Windows of the benchmark that tasks hold at a time.
 BLOCK_WINDOWS = 500_000
 
+# The ways to read documents, and with what stream of theirs each form of an item is met.
+STREAMS = ("v", "n", "p")
+FORMS = {"v": "v", "n": "n", "f": "n", "p": "p"}
+
+# Words that are no name where they are capitalised, as far as LEAST_PLAIN counts.
+OPENERS = (
+    "the this that these those there then an and but or if in on at of for from to with by as is are was were "
+    "do does did has have had can could should would he she it they we you his her its their our your my what "
+    "which who whose whom when where why how after before later now each every all some many much find"
+)
 # Number words and units.
 NUMBER_WORDS = (
     "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
@@ -51,13 +68,20 @@ MARKS = {"n": b"\x01n", "u": b"\x01u", "c": b"\x01c"}
 _NUMBER_WORDS = {w.encode() for w in NUMBER_WORDS.split()}
 _UNITS = "|".join(re.escape(u) for u in sorted(UNITS.split(), key=len, reverse=True))
 # Punctuation is a gap between words, marks of placeholders are kept.
-_GAPS = bytes(32 if chr(i) in "!\"#$&'()*+,-./:;<=>?@[\\]^_`{|}~%\x02\x03" else i for i in range(256))
+_GAPS = bytes(32 if chr(i) in "!\"#$&'()*+,-./:;<=>?@[\\]^_`{|}~%\x05\x06" else i for i in range(256))
+_OPENERS = {b"\x01c" + w.encode() for w in OPENERS.split()}
+# An ambiguous word stands between two marks, and its inner punctuation is marked.
+_INNER = str.maketrans("'-’", "\x05\x06\x07")
+_QUOTES = "“”‘’„«»…–—¿¡"
 _CAPITAL = "A-ZÀ-ÖØ-Þ"
 _VALUE = re.compile(
     rf"[$£€]?\d+(?:[.,]\d+)*(?:\s?(%|°[CF]?|(?i:{_UNITS})(?![\w])))?"
     rf"|[{_CAPITAL}][\w'’-]*"
 )
 _SENTENCE_END = ".!?:;\"“”«»\n\r"
+_SPACES = re.compile(r"\s\s+|[^\S ]")
+# The first word of a text if it is ambiguous.
+_FIRST = re.compile(r"[^\w\x01-\x03]*\x02[^\x03]*\x03")
 
 
 def _placeholder(m: re.Match) -> str:
@@ -69,18 +93,65 @@ def _placeholder(m: re.Match) -> str:
         return f" \x01n{digits} " + (f"\x01u{unit.strip('%').lower() or 'pct'} " if unit else "")
     text, at = m.string, m.start()
     before = text[max(0, at - 2) : at]
-    # A capital opens a sentence, or is inside a word, or is a short or an all-capital word: no name.
-    if at == 0 or not before.strip() or before[-1] != " " or before[0] in _SENTENCE_END:
+    # A capital inside a word, or a short or an all-capital word, or a number: no name.
+    if len(word) < 2 or not word[1].islower() or word.lower().encode() in _NUMBER_WORDS:
         return word
-    if len(word) < 2 or not word[1].islower():
+    if before[-1:].isalnum():
         return word
+    # Where a sentence may open it is ambiguous.
+    if at == 0 or before[-1] != " " or before[0] in _SENTENCE_END:
+        return "\x02" + word.translate(_INNER) + "\x03"
     return "\x01c" + re.sub(r"[^\w]", "", word) + " "
 
 
+def _marked(text: str | None) -> str:
+    """The text in one line, with placeholders, and ambiguous words between marks."""
+    text = text or ""
+    for mark in "\x01\x02\x03\x05\x06\x07":
+        text = text.replace(mark, " ")
+    return _VALUE.sub(_placeholder, _SPACES.sub(" ", text))
+
+
+def _as_plain(marked: str) -> bytes:
+    marked = marked.replace("\x07", "’").lower()
+    return marked.encode("utf-8").translate(_GAPS, b"\x02\x03")
+
+
+def _as_names(marked: str) -> bytes:
+    marked = marked.replace("\x02", " \x01c").replace("\x03", " ").lower()
+    return marked.encode("utf-8").translate(_GAPS, b"\x05\x06\x07")
+
+
 def template(text: str | None) -> bytes:
-    """Template tokens with a space between; a placeholder carries its value behind its mark."""
-    marked = _VALUE.sub(_placeholder, (text or "").replace("\x01", " "))
-    return marked.lower().encode("utf-8").translate(_GAPS)
+    """Template tokens with a space between, ambiguous words plain; a placeholder carries its value behind
+    its mark."""
+    return _as_plain(_marked(text))
+
+
+def bare_words(text: str | None) -> bytes:
+    """Lowered words with a space between, whatever their spacing and punctuation."""
+    text = (text or "").replace("\x01", " ")
+    if not text.isascii():
+        for mark in _QUOTES:
+            text = text.replace(mark, " ")
+        text = " ".join(text.split())
+    return text.lower().encode("utf-8").translate(_GAPS)
+
+
+def readings(text: str | None, forms: Iterable[str]) -> list[bytes]:
+    """The tokens of each form."""
+    marked = _marked(text)
+    out = []
+    for form in forms:
+        if form == "v":
+            out.append(bare_words(text))
+        elif form == "p":
+            out.append(_as_plain(marked))
+        elif form == "f" and (first := _FIRST.match(marked)):
+            out.append(_as_plain(first.group()) + _as_names(marked[first.end() :]))
+        else:
+            out.append(_as_names(marked))
+    return out
 
 
 def _kinds(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +159,8 @@ def _kinds(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     digest = xxhash.xxh64_intdigest
     shown = [MARKS["n"] if w in _NUMBER_WORDS else w[:2] if w[:1] == b"\x01" else w for w in vocabulary]
     hashes = np.fromiter((digest(w) for w in shown), np.uint64, len(shown))
-    return hashes, np.fromiter((w[:1] != b"\x01" for w in shown), bool, len(shown))
+    plain = (w[:1] != b"\x01" or v in _OPENERS for w, v in zip(shown, vocabulary))
+    return hashes, np.fromiter(plain, bool, len(shown))
 
 
 def _shown(token: bytes) -> tuple[str, str | None]:
@@ -105,53 +177,75 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    out = np.zeros(n, np.uint64)
+    # By windows of doubled width, so that a width costs its binary digits.
+    base, out, done = 0x9E3779B97F4A7C15, None, 0
     with np.errstate(over="ignore"):
-        for i in range(width):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
+        power, size = hashes, 1
+        while True:
+            if width & size:
+                right = power[done : done + n]
+                factor = np.uint64(pow(base, size, 1 << 64))
+                out = right.copy() if out is None else out * factor + right
+                done += size
+            if size * 2 > width:
+                break
+            factor = np.uint64(pow(base, size, 1 << 64))
+            power, size = power[:-size] * factor + power[size:], size * 2
     return out.view(np.int64)
 
 
-def _windows(batch: pa.RecordBatch, widths: list[int], filters: dict | None, whole_below: int = 0):
-    """Windows of a batch as (row, width, place, hash, template, slots).
+def _windows(batch: pa.RecordBatch, forms: Iterable[str], widths: dict, filters: dict | None, whole_below: int = 0):
+    """Windows of a batch as (row, form, width, place, hash, template, slots), of the widths of each form.
 
-    With ``filters``, only windows whose hash is among those of their width. With ``whole_below``, a text of
-    fewer tokens gives the one window it is, as benchmark items do.
+    With ``filters``, only windows whose hash is among those of their form and width. With ``whole_below``, a
+    text of fewer tokens gives the one window it is, as benchmark items do. Windows of bare words have no
+    slots and any share of numbers and names.
     """
-    texts = pa.array([template(t.as_py()) for t in batch.column("text")], pa.large_binary())
-    words = Words(texts.cast(pa.large_string()), lower=False)
-    kinds, plain = _kinds(words.vocabulary)
-    hashes, is_plain = kinds[words.codes], plain[words.codes]
-    plain_upto = np.concatenate([[0], np.cumsum(is_plain)])
-    text_of = np.repeat(np.arange(len(words.counts)), words.counts)
-    for width in widths:
-        found = window_hashes(hashes, width)
-        at = np.arange(len(found))
-        inside = text_of[at] == text_of[at + width - 1] if len(at) else np.zeros(0, bool)
-        enough = plain_upto[at + width] - plain_upto[at] >= min(LEAST_PLAIN, width)
-        good = inside & enough
-        if filters is not None:
-            table, values = filters[width]
-            good &= table[found & (len(table) - 1)]
-            good[good] = np.isin(found[good], values)
-        if whole_below:
-            n = words.counts[text_of[at]]
-            good &= (n == width) | (n >= whole_below) & (width == whole_below)
-        for i in np.flatnonzero(good):
-            row = int(text_of[i])
-            tokens = [_shown(words.vocabulary[c]) for c in words.codes[i : i + width]]
-            yield (
-                row,
-                width,
-                int(i - words.starts[row]),
-                int(found[i]),
-                " ".join(t for t, _ in tokens),
-                [v for _, v in tokens if v is not None],
-            )
+    read = [readings(t.as_py(), forms) for t in batch.column("text")]
+    for k, form in enumerate(forms):
+        words = Words(pa.array([r[k] for r in read], pa.large_binary()).cast(pa.large_string()), lower=False)
+        if form == "v":
+            kinds, plain = words.hashes().view(np.uint64), np.ones(len(words.vocabulary), bool)
+        else:
+            kinds, plain = _kinds(words.vocabulary)
+        hashes = kinds[words.codes]
+        ends = words.starts[1:]
+        for width in widths.get(form, ()):
+            found = window_hashes(hashes, width)
+            if filters is None:
+                at = np.arange(len(found))
+            else:
+                # The rest is looked at only where a window of the benchmark may be.
+                table, values = filters[form, width]
+                at = np.flatnonzero(table[found & (len(table) - 1)])
+                at = at[np.isin(found[at], values)]
+            text_of = np.searchsorted(ends, at, side="right")
+            good = at + width <= ends[text_of] if len(at) else np.zeros(0, bool)
+            at, text_of = at[good], text_of[good]
+            n_plain = plain[words.codes[at[:, None] + np.arange(width)]].sum(axis=1)
+            good = n_plain >= min(LEAST_PLAIN, width)
+            if whole_below:
+                n = words.counts[text_of]
+                good &= (n == width) | (n >= whole_below) & (width == whole_below)
+            for i, row in zip(at[good].tolist(), text_of[good].tolist()):
+                tokens = [words.vocabulary[c] for c in words.codes[i : i + width]]
+                if form == "v":
+                    tokens = [(t.decode("utf-8", "replace"), None) for t in tokens]
+                else:
+                    tokens = [_shown(t) for t in tokens]
+                yield (
+                    row,
+                    form,
+                    width,
+                    int(i - words.starts[row]),
+                    int(found[i]),
+                    " ".join(t for t, _ in tokens),
+                    [v for _, v in tokens if v is not None],
+                )
 
 
 WINDOW_SCHEMA = (
-    "row_id long, doc_id long, width int, place int, hash long, template string, slots array<string>"
+    "row_id long, doc_id long, form string, width int, place int, hash long, template string, slots array<string>"
 )
 
 
@@ -162,42 +256,59 @@ def _emit(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
         {
             "row_id": batch.column("row_id").take(take_rows),
             "doc_id": batch.column("doc_id").take(take_rows),
-            "width": pa.array([f[1] for f in found], pa.int32()),
-            "place": pa.array([f[2] for f in found], pa.int32()),
-            "hash": pa.array([f[3] for f in found], pa.int64()),
-            "template": pa.array([f[4] for f in found], pa.string()),
-            "slots": pa.array([f[5] for f in found], pa.list_(pa.string())),
+            "form": pa.array([f[1] for f in found], pa.string()),
+            "width": pa.array([f[2] for f in found], pa.int32()),
+            "place": pa.array([f[3] for f in found], pa.int32()),
+            "hash": pa.array([f[4] for f in found], pa.int64()),
+            "template": pa.array([f[5] for f in found], pa.string()),
+            "slots": pa.array([f[6] for f in found], pa.list_(pa.string())),
         }
     )
 
 
-def _filters(hashes: np.ndarray, widths: np.ndarray) -> dict:
-    """Per width a table of low bits, for a fast no, and the sorted hashes."""
+def _filters(streams: np.ndarray, hashes: np.ndarray, widths: np.ndarray) -> dict:
+    """Per stream and width a table of low bits, for a fast no, and the sorted hashes."""
     out = {}
-    for width in np.unique(widths):
-        values = np.unique(hashes[widths == width])
-        table = np.zeros(1 << max(16, int(np.ceil(np.log2(len(values) * 16)))), bool)
-        table[values & (len(table) - 1)] = True
-        out[int(width)] = (table, values)
+    for stream in STREAMS:
+        for width in np.unique(widths[streams == stream]):
+            values = np.unique(hashes[(streams == stream) & (widths == width)])
+            table = np.zeros(1 << max(16, int(np.ceil(np.log2(len(values) * 16)))), bool)
+            table[values & (len(table) - 1)] = True
+            out[stream, int(width)] = (table, values)
     return out
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
-    """``item_id, width, place, hash, template, slots`` of every item with enough tokens."""
+    """``item_id, form, stream, width, place, hash, template, slots`` of every item with enough tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
-            widths = list(range(LEAST_TOKENS, window + 1))
-            found = list(_windows(part, widths, None, whole_below=window))
+            least = {form: LEAST_WORDS if form == "v" else LEAST_TOKENS for form in FORMS}
+            widths = {form: range(n, window + 1) for form, n in least.items()}
+            found = list(_windows(part, tuple(FORMS), widths, None, whole_below=window))
             if found:
                 yield _emit(part, found)
 
     rows = take(benchmark, doc_id=item_id, text=text).withColumn("row_id", F.lit(0).cast("long"))
     return rows.select("row_id", "doc_id", "text").mapInArrow(run, WINDOW_SCHEMA).select(
-        F.col("doc_id").alias("item_id"), "width", "place", "hash", "template", "slots"
+        F.col("doc_id").alias("item_id"),
+        "form",
+        F.when(F.col("form") == "f", "n").otherwise(F.col("form")).alias("stream"),
+        "width",
+        "place",
+        "hash",
+        "template",
+        "slots",
     )
 
 
+def _equal(keys: list[str]):
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return on
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -211,10 +322,13 @@ def contaminated(
     """One row per contaminated row and item: ``row_id, doc_id, item_id, n_windows, item_windows,
     first_token, reparameterised``.
 
-    ``n_windows`` counts the item's windows found with consistent slots at the best place, out of
-    ``item_windows``; ``reparameterised`` says that some slot has another value there. Null and empty texts
-    hold no windows; items of fewer than ``LEAST_TOKENS`` tokens are never found, those shorter than a window
-    only whole. Repeated rows and items are found each; null ids are kept. Empty tables give an empty result;
+    ``n_windows`` counts the item's windows found at the best place, out of ``item_windows``;
+    ``reparameterised`` says that some slot has another value there. All three, and ``first_token``, are in the
+    form of the item that the greatest share was found of: bare words or template. Windows that touch or
+    overlap are judged together, those apart for themselves: with other values their slots must be consistent;
+    with the item's own they always count. Null and empty texts hold no windows; items shorter than a window
+    are found only whole, with other values those of ``LEAST_TOKENS`` tokens or more, word for word those of
+    ``LEAST_WORDS`` or more. Repeated rows and items are found each; null ids are kept. Empty tables give an empty result;
     further columns are ignored. ``docs`` must read the same rows in the same order again, as a table or
     files do; ``row_id`` then numbers them.
     """
@@ -223,13 +337,14 @@ def contaminated(
     rows = take(small_batches(docs), doc_id=doc_id, text=text).select(
         F.monotonically_increasing_id().alias("row_id"), "doc_id", "text"
     )
-    known = items.select("width", "hash").distinct()
+    known = items.select("stream", "width", "hash").distinct()
     n_blocks = -(-known.count() // block_windows) or 1
     found = None
     for block in range(n_blocks):
         # By hash, so blocks are even; each holds about BLOCK_WINDOWS of them.
         some = known.filter(F.pmod(F.xxhash64("hash"), F.lit(n_blocks)) == block).toArrow()
         filters = _filters(
+            np.asarray(some.column("stream").to_pylist(), object),
             np.asarray(some.column("hash")).astype(np.int64),
             np.asarray(some.column("width")).astype(np.int64),
         )
@@ -237,8 +352,9 @@ def contaminated(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             filters = shared.value
+            widths = {f: sorted(w for s, w in filters if s == f) for f in STREAMS}
             for part in pieces(batches):
-                hits = list(_windows(part, sorted(filters), filters))
+                hits = list(_windows(part, STREAMS, widths, filters))
                 if hits:
                     yield _emit(part, hits)
 
@@ -247,51 +363,70 @@ def contaminated(
     found = materialize(found, "windows")
     its = items.select(
         "item_id",
+        F.col("form").alias("item_form"),
+        F.col("stream").alias("s"),
         F.col("width").alias("w"),
         F.col("hash").alias("h"),
         F.col("template").alias("t"),
         F.col("place").alias("item_place"),
         F.col("slots").alias("item_slots"),
     )
-    met = found.join(
-        its, (F.col("hash") == F.col("h")) & (F.col("width") == F.col("w")) & (F.col("template") == F.col("t"))
-    ).withColumn("shift", F.col("place") - F.col("item_place"))
-    at = ["row_id", "doc_id", "item_id", "shift"]
-    # What each value of the item turns into, over all windows of one place of the item.
-    turned = (
-        met.select(
-            *at,
-            "item_place",
-            F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("s"),
-        )
-        .groupBy(*at, F.col("s.item_slots").alias("value"))
-        .agg(
-            F.count_distinct("s.slots").alias("n"),
-            F.max(F.coalesce(F.col("s.item_slots") != F.col("s.slots"), F.lit(False))).alias("other"),
+    met = (
+        found.join(
+            its,
+            (F.col("hash") == F.col("h"))
+            & (F.col("width") == F.col("w"))
+            & (F.col("form") == F.col("s"))
+            & (F.col("template") == F.col("t")),
         )
+        .withColumn("shift", F.col("place") - F.col("item_place"))
+        .withColumn("other", F.col("item_slots") != F.col("slots"))
     )
-    places = turned.groupBy(*at).agg(F.max("n").alias("most"), F.max("other").alias("other"))
-    n_windows = met.groupBy(*at).agg(
-        F.count_distinct("item_place").alias("n_windows"), F.min("place").alias("first_token")
+    at = ["row_id", "doc_id", "item_id", "item_form", "shift"]
+    met = met.withColumn("run", F.lit(0))
+    met = materialize(met.select(*at, "run", "item_place", "place", "item_slots", "slots", "other"), "met")
+    # What each value of the item turns into, over all windows of a run with other values.
+    run = [*at, "run"]
+    changed = met.join(
+        met.filter("other").select(*[F.col(k).alias(f"_{k}") for k in run]).distinct(),
+        _equal(run),
+        "left_semi",
     )
-    consistent = n_windows.withColumnsRenamed({k: f"_{k}" for k in at}).join(
-        places.filter(F.col("most") <= 1),
-        (F.col("_row_id") == F.col("row_id"))
-        & F.col("_item_id").eqNullSafe(F.col("item_id"))
-        & (F.col("_shift") == F.col("shift")),
+    turned = (
+        changed.select(*run, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+        .groupBy(*run, F.col("s.item_slots").alias("value"))
+        .agg(F.count_distinct("s.slots").alias("n"))
+    )
+    loose = turned.filter("n > 1").select(*[F.col(k).alias(f"_{k}") for k in run]).distinct()
+    counted = met.join(loose, _equal(run), "left_anti")
+    consistent = counted.groupBy(*at).agg(
+        F.count_distinct("item_place").alias("n_windows"),
+        F.min("place").alias("first_token"),
+        F.max("other").alias("other"),
+    )
+    sizes = items.groupBy(F.col("item_id").alias("i"), F.col("form").alias("f")).agg(
+        F.count_distinct("place").alias("item_windows")
     )
-    sizes = items.groupBy(F.col("item_id").alias("i")).agg(F.count_distinct("place").alias("item_windows"))
-    best = consistent.groupBy("row_id", "doc_id", "item_id").agg(
+    sized = consistent.join(
+        sizes, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_form") == F.col("f"))
+    )
+    best = sized.groupBy("row_id", "doc_id", "item_id").agg(
         F.max(
-            F.struct("n_windows", (-F.col("first_token")).alias("earlier"), "other")
+            F.struct(
+                (F.col("n_windows") / F.col("item_windows")).alias("part"),
+                (~F.col("other")).alias("same"),
+                "n_windows",
+                "item_windows",
+                (-F.col("first_token")).alias("earlier"),
+            )
         ).alias("b")
     )
-    return best.join(sizes, F.col("item_id").eqNullSafe(F.col("i"))).select(
+    return best.select(
         "row_id",
         "doc_id",
         "item_id",
         F.col("b.n_windows").alias("n_windows"),
-        "item_windows",
+        F.col("b.item_windows").alias("item_windows"),
         (-F.col("b.earlier")).alias("first_token"),
-        F.col("b.other").alias("reparameterised"),
+        (~F.col("b.same")).alias("reparameterised"),
     )

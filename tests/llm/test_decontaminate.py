@@ -97,3 +97,31 @@ def test_empty_tables(spark):
     d, b = frames(spark, [(1, QUESTION)])
     assert contaminated(d.limit(0), b).collect() == []
     assert contaminated(d, b.limit(0)).collect() == []
+
+
+TOM = "Tom has 5 red apples in his bag. Tom gives 3 apples to Ann. How many apples does Tom have left?"
+BEN = "Ben has 8 red apples in his bag. Ben gives 2 apples to Eve. How many apples does Ben have left?"
+CAPITAL = "What is the capital of France"
+
+
+def found_in(spark, docs, items):
+    d, b = frames(spark, docs, items)
+    return {(r["doc_id"], r["item_id"]): r for r in contaminated(d, b).collect()}
+
+
+def test_surroundings_case_and_line_ends_hide_nothing(spark):
+    docs = [
+        (1, "Lorem ipsum. " + BEN),
+        (2, "lorem " + QUESTION.lower() + " dolor"),
+        (3, QUESTION.replace(" ", "\n\t")),
+        (4, QUESTION.replace(" ", "  ")),
+        (5, "lorem What is the capital of France today"),
+        (6, "lorem what is the capital of france today"),
+        (7, "So (" + TOM + ")"),
+        (8, "lorem “" + CAPITAL + "” ipsum"),
+        (10, "nothing of the kind stands here"),
+        (11, CHANGED.replace(" ", "\n")),
+    ]
+    got = found_in(spark, docs, [(1, QUESTION), (2, TOM), (3, CAPITAL)])
+    assert set(got) == {(1, 2), (2, 1), (3, 1), (4, 1), (5, 3), (6, 3), (7, 2), (8, 3), (11, 1)}
+    assert {k for k, r in got.items() if r["reparameterised"]} == {(1, 2), (11, 1)}
