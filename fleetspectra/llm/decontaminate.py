@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetspectra.llm.common import Words, pieces, small_batches, take
@@ -383,7 +384,9 @@ def contaminated(
         .withColumn("other", F.col("item_slots") != F.col("slots"))
     )
     at = ["row_id", "doc_id", "item_id", "item_form", "shift"]
-    met = met.withColumn("run", F.lit(0))
+    # A run is a stretch of windows of which each begins one token after the one before.
+    in_order = W.partitionBy(*at).orderBy("item_place")
+    met = met.withColumn("run", F.col("item_place") - F.dense_rank().over(in_order))
     met = materialize(met.select(*at, "run", "item_place", "place", "item_slots", "slots", "other"), "met")
     # What each value of the item turns into, over all windows of a run with other values.
     run = [*at, "run"]
@@ -398,7 +401,10 @@ def contaminated(
         .agg(F.count_distinct("s.slots").alias("n"))
     )
     loose = turned.filter("n > 1").select(*[F.col(k).alias(f"_{k}") for k in run]).distinct()
-    counted = met.join(loose, _equal(run), "left_anti")
+    # Windows with the item's own values count whatever stands around them.
+    counted = met.filter(~F.col("other")).unionByName(
+        met.filter("other").join(loose, _equal(run), "left_anti")
+    )
     consistent = counted.groupBy(*at).agg(
         F.count_distinct("item_place").alias("n_windows"),
         F.min("place").alias("first_token"),

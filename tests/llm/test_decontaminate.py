@@ -125,3 +125,16 @@ def test_surroundings_case_and_line_ends_hide_nothing(spark):
     got = found_in(spark, docs, [(1, QUESTION), (2, TOM), (3, CAPITAL)])
     assert set(got) == {(1, 2), (2, 1), (3, 1), (4, 1), (5, 3), (6, 3), (7, 2), (8, 3), (11, 1)}
     assert {k for k, r in got.items() if r["reparameterised"]} == {(1, 2), (11, 1)}
+
+
+def test_one_edit_does_not_clear_what_stands_around_it(spark):
+    long = (
+        QUESTION + " Her neighbour counts the remaining fruit twice before the market closes, and Mary Miller "
+        "writes every sale into a small green book that lies beside the old wooden scale."
+    )
+    edited = long.replace("and Mary Miller writes", "and Paula Jones writes")
+    # Renamed throughout, but in two ways on the two sides of reworded sentences.
+    apart = CHANGED + " Then all went quietly home to rest, and Paula Jones " + long.split("and Mary Miller ")[1]
+    got = found_in(spark, [(1, edited), (2, apart), (3, MIXED_UP)], [(1, long)])
+    assert set(got) == {(1, 1), (2, 1)}
+    assert not got[1, 1]["reparameterised"] and got[2, 1]["reparameterised"]
