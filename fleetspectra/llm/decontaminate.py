@@ -36,8 +36,8 @@ WINDOW = 13
 LEAST_TOKENS = 6
 # With other values, a window needs so many tokens that are not placeholders.
 LEAST_PLAIN = 5
-# Word for word as well.
-LEAST_WORDS = LEAST_TOKENS
+# Word for word, items of one or two words are the only ones left out.
+LEAST_WORDS = 3
 # Windows of the benchmark that tasks hold at a time.
 BLOCK_WINDOWS = 500_000
 

@@ -138,3 +138,12 @@ def test_one_edit_does_not_clear_what_stands_around_it(spark):
     got = found_in(spark, [(1, edited), (2, apart), (3, MIXED_UP)], [(1, long)])
     assert set(got) == {(1, 1), (2, 1)}
     assert not got[1, 1]["reparameterised"] and got[2, 1]["reparameterised"]
+
+
+def test_word_for_word_needs_no_least_length_or_share_of_words(spark):
+    sums = "What is 12 + 7 - 3 + 9 - 4 + 8 - 2 + 6 - 1 + 5 equal to?"
+    short = "What is 17 times 24?"
+    docs = [(1, "lorem " + sums), (2, "lorem " + short + " ipsum"), (3, sums.replace("12", "13")),
+            (4, short.replace("24", "25")), (5, "too short")]
+    got = found_in(spark, docs, [(1, sums), (2, short), (3, "too short")])
+    assert set(got) == {(1, 1), (2, 2)} and not any(r["reparameterised"] for r in got.values())
