@@ -255,6 +255,8 @@ def _parsed(headers: list[tuple[str, str]], block: bytes) -> tuple:
     )
 
 
+# Endings of compressed files that Spark never cuts.
+WHOLE_FILES = (".gz", ".deflate", ".snappy", ".lz4", ".zst")
 # Records handed on at once, by bytes of their blocks.
 BATCH_BYTES = 8_000_000
 
@@ -262,6 +264,9 @@ BATCH_BYTES = 8_000_000
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """All records of the archives in a folder, plain or gzipped as whole files.
 
+    A gzipped file is one task's. Spark cuts plain files into splits, so the lines of these are brought
+    together by file and sorted back into file order first, which costs a shuffle of their bytes.
+
     A response's digest is computed from its payload; that of a revisit is the stated one, as is its
     size, read from the HTTP header it repeats. ``fields`` holds the lines of a metadata record.
     """
@@ -295,12 +300,32 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
         if found:
             yield rows_of(found)
 
-    # A file that is not compressed must not be cut in two, hence the whole-file split size.
     lines = spark.read.option("lineSep", "\n").text(folder)
-    return lines.select(
-        F.xxhash64(F.col("_metadata.file_path")).alias("file"),
-        F.col("value").cast("binary").alias("line"),
-    ).mapInArrow(run, RECORD)
+    name = F.lower(F.col("_metadata.file_name"))
+    is_whole = F.lit(False)
+    for suffix in WHOLE_FILES:
+        is_whole = is_whole | F.endswith(name, F.lit(suffix))
+
+    def lines_of(rows: DataFrame, *more: Column) -> DataFrame:
+        return rows.select(
+            F.xxhash64(F.col("_metadata.file_path")).alias("file"),
+            F.col("value").cast("binary").alias("line"),
+            *more,
+        )
+
+    if all(f.lower().endswith(WHOLE_FILES) for f in lines.inputFiles()):
+        return lines_of(lines).mapInArrow(run, RECORD)
+    # Lines of a split are numbered as they are read, splits by where they begin.
+    split = F.col("_metadata.file_block_start").alias("split")
+    number = F.monotonically_increasing_id().alias("number")
+    in_order = (
+        lines_of(lines.filter(~is_whole), split, number)
+        .repartition("file")
+        .sortWithinPartitions("file", "split", "number")
+        .select("file", "line")
+    )
+    whole = lines_of(lines.filter(is_whole)).mapInArrow(run, RECORD)
+    return whole.unionByName(in_order.mapInArrow(run, RECORD))
 
 
 def assemble(records: DataFrame) -> DataFrame:

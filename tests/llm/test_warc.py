@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -113,3 +114,31 @@ def test_query_with_missing_values(spark, tmp_path):
     assert [g[0] for g in got] == [0, 1, 1, 3]
     assert sorted(g[1] for g in got) == ["response", "revisit", "revisit", "revisit"]
     assert all(g[2] == 1 for g in got if g[1] == "revisit")
+
+
+def test_plain_archives_in_several_splits(spark, tmp_path):
+    """Two plain files and a gzipped one; the plain ones are cut inside records, and at false marks."""
+    mark = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    want = {}
+    for f in range(3):
+        stream = []
+        for i in range(120):
+            block = (mark * 20 + b"%d %d\n" % (f, i)) if i % 3 else b"\r\n" * i
+            want[f"<{f}-{i}>"] = block
+            head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <{f}-{i}>\r\nContent-Length: {len(block)}"
+            stream.append(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+        (tmp_path / "w").mkdir(exist_ok=True)
+        data = b"".join(stream)
+        name = tmp_path / "w" / f"{f}.warc"
+        name.write_bytes(data) if f else (tmp_path / "w" / "0.warc.gz").write_bytes(gzip.compress(data))
+    settings = {"spark.sql.files.maxPartitionBytes": "5000", "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert spark.read.text(f"{tmp_path}/w").rdd.getNumPartitions() > 20
+        rows = warc.read_records(spark, f"{tmp_path}/w").select("record_id", "payload").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(rows) == len(want) and {r[0]: bytes(r[1]) for r in rows} == want
