@@ -8,7 +8,8 @@ Transducers, in this order:
 
 1. ``fold``: full-width forms, digits of other scripts and look-alike letters become ASCII; invisible
    characters vanish.
-2. ``digits``: runs of spelled digits ("four one double five") become digits, "plus" before them a plus.
+2. ``digits``: runs of spelled digits ("four one double five") become digits, "plus" before them a plus;
+   "dot" and the like join runs to one ("one nine two dot one") and become dots.
 3. ``marks``: "[at]", "(dot)", " dot " and the like become ``@`` and ``.``; a bare " at " only in front of a
    domain that is disguised itself or ends in a well-known label.
 """
@@ -57,7 +58,7 @@ DIGIT_WORDS = {
 REPEATS = {"double": 2, "triple": 3}
 # Last labels of a domain that let a bare " at " count.
 KNOWN_LABELS = "com org net edu gov io info biz de fr es uk eu us"
-# A run of fewer spelled digits is prose.
+# A run of fewer spelled digits is prose, unless it makes a whole IP address.
 LEAST_DIGITS = 3
 
 
@@ -161,12 +162,15 @@ _FOLD = re.compile(
 )
 _WORD = "|".join([*DIGIT_WORDS, *REPEATS])
 _GAP = r"[\x20,.\t-]{1,3}"
-_SPELLED = re.compile(
-    rf"(?i)(?<![^\W_])(?:(plus)\x20)?((?:{_WORD}|[0-9]+)(?:{_GAP}(?:{_WORD}|[0-9]+))*)(?![^\W_])"
-)
-# Where a spelled run can be at all: two digit words in a row.
-_SPELLED_HINT = re.compile(rf"(?i)(?<![^\W_])(?:{_WORD}){_GAP}(?:{_WORD})(?![^\W_])")
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
+_DOT = rf"(?:\x20(?:dot|punkt|point|punto)\x20|\s?{_OPEN}\s?(?:dot|\.)\s?{_SHUT}\s?)"
+_RUN = rf"(?:{_WORD}|[0-9]+)(?:{_GAP}(?:{_WORD}|[0-9]+))*"
+_SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:(plus)\x20)?({_RUN}(?:{_DOT}{_RUN})*)(?![^\W_])")
+_SPELLED_DOT = re.compile(rf"(?i)({_DOT})")
+# Where a spelled run can be at all: a digit word next to another one or to a number.
+_SPELLED_HINT = re.compile(
+    rf"(?i)(?<![^\W_])(?:(?:{_WORD})(?:{_GAP}|{_DOT})(?:{_WORD}|[0-9]+)|[0-9]+(?:{_GAP}|{_DOT})(?:{_WORD}))(?![^\W_])"
+)
 _BRACKET_AT = re.compile(rf"(?i)\s?{_OPEN}\s?(?:at|@)\s?{_SHUT}\s?")
 _BRACKET_DOT = re.compile(rf"(?i)\s?{_OPEN}\s?(?:dot|\.)\s?{_SHUT}\s?")
 _LABEL = r"[A-Za-z0-9-]+"
@@ -190,10 +194,10 @@ def _fold(m: re.Match) -> str:
     return " " if c == "\u3000" else str(int(c))
 
 
-def _spelled(m: re.Match) -> str | None:
-    """Digits of a spelled run; the run may hold plain numbers, but needs spelled ones as well."""
+def _digits(run: str) -> tuple[str, int] | None:
+    """Digits of a run without dots and how many are spelled, or None where it ends in a repeat."""
     out, times, spoken = [], 1, 0
-    for word in re.findall(r"[A-Za-z]+|[0-9]+", m.group(2)):
+    for word in re.findall(r"[A-Za-z]+|[0-9]+", run):
         lower = word.lower()
         if lower in REPEATS:
             times = REPEATS[lower]
@@ -201,10 +205,39 @@ def _spelled(m: re.Match) -> str | None:
         spoken += lower in DIGIT_WORDS
         out.append(DIGIT_WORDS.get(lower, word) * times)
         times = 1
-    digits = "".join(out)
-    if spoken < LEAST_DIGITS or times != 1:
+    return ("".join(out), spoken) if times == 1 else None
+
+
+def _address(read: list[tuple[str, int] | None]) -> str | None:
+    """The IP address that four runs make, if some digit of it is spelled."""
+    if len(read) != 4 or None in read or not any(spoken for _, spoken in read):
+        return None
+    text = ".".join(digits for digits, _ in read)
+    return text if _holds("ip", text) else None
+
+
+def _spelled(m: re.Match) -> str | None:
+    """Digits of a spelled run; the run may hold plain numbers, but needs spelled ones as well."""
+    plus = "+" if m.group(1) else ""
+    parts = _SPELLED_DOT.split(m.group(2))
+    read = [_digits(r) for r in parts[::2]]
+    if not plus:
+        address = _address(read)
+        if address is None and len(parts) == 1 and parts[0].count(".") == 3:
+            address = _address([_digits(r) for r in parts[0].split(".")])
+        if address:
+            return address
+    if None not in read:
+        if sum(spoken for _, spoken in read) < LEAST_DIGITS:
+            return None
+        return plus + ".".join(digits for digits, _ in read)
+    # Where a part makes no sense, each stands for itself.
+    good = [r is not None and r[1] >= LEAST_DIGITS for r in read]
+    if not any(good):
         return None
-    return ("+" if m.group(1) else "") + digits
+    parts[::2] = [r[0] if ok else old for r, ok, old in zip(read, good, parts[::2])]
+    head = "" if not plus else plus if good[0] else m.string[m.start() : m.start(2)]
+    return head + "".join(parts)
 
 
 def normalised(text: str) -> Tape | None:
@@ -213,7 +246,7 @@ def normalised(text: str) -> Tape | None:
     if not text.isascii():
         tape.rewrite(_FOLD, _fold)
     if _SPELLED_HINT.search(tape.text):
-        # "dot" between spelled numbers is an address, so dots come first there.
+        # "dot" between spelled numbers joins them, so it is read together with them.
         tape.rewrite(_SPELLED, _spelled)
     if _HINT.search(tape.text):
         tape.rewrite(_BRACKET_AT, lambda m: "@")

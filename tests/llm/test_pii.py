@@ -139,3 +139,26 @@ def test_query_columns(spark, tmp_path):
     rows = {r["doc_id"]: r for r in QUERIES["op9_deobfuscated_pii"](spark, str(tmp_path)).collect()}
     assert rows[1]["spans"] == "email:0:6,phone:7:22" and rows[1]["n_phone"] == 1
     assert rows[2]["spans"] == "" and rows[2]["n_email"] == 0
+
+
+@pytest.mark.parametrize(
+    "kind,shown",
+    [
+        (1, "one nine two dot one six eight dot zero dot one"),
+        (1, "192 dot 168 dot zero dot one"),
+        (1, "one nine two [dot] one six eight (.) zero [.] one"),
+        (1, "zero point zero point zero point one"),
+        (1, "192.168.zero.one"),
+        (2, "4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one"),
+        (3, "plus one dot seven four three dot five five five dot three eight two four"),
+    ],
+)
+def test_spelled_runs_with_dots_and_between_numbers(kind, shown):
+    text = f"host {shown}, up"
+    found = disguised_spans(text, plain_spans(text))
+    assert [(text[a:b], k) for a, b, k in found] == [(shown, kind)]
+
+
+def test_a_run_that_makes_no_sense_leaves_the_others():
+    assert normalised("see one two three dot double").text == "see 123 dot double".replace(" dot ", ".")
+    assert normalised("version two point five") is None or plain_spans(normalised("version two point five").text) == []
