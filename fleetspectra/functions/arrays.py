@@ -59,6 +59,43 @@ def w1_probs(probs_a: Column, probs_b: Column, centers: Sequence[float]) -> Colu
     return F.aggregate(steps, start, add, lambda state: state["total"])
 
 
+def w1_sparse(cells_a: Column, cells_b: Column) -> Column:
+    """The same distance from two ascending arrays of structs with ``center`` and ``p``, on no grid.
+
+    The two lists are merged; between two neighbouring centers the difference of the running shares counts
+    by the gap. The work depends on how many centers the two have, not on how far these reach.
+    """
+
+    def signed(cells: Column, sign: float) -> Column:
+        return F.transform(cells, lambda c: F.struct(c["center"].alias("at"), (c["p"] * sign).alias("p")))
+
+    merged = F.array_sort(
+        F.concat(signed(cells_a, 1.0), signed(cells_b, -1.0)),
+        lambda x, y: F.when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).otherwise(0),
+    )
+    start = F.struct(F.lit(0.0).alias("at"), F.lit(0.0).alias("gap"), F.lit(0.0).alias("total"))
+
+    def add(state: Column, v: Column) -> Column:
+        more = F.when(state["gap"] == 0, 0.0).otherwise(F.abs(state["gap"]) * (v["at"] - state["at"]))
+        return F.struct(
+            v["at"].alias("at"), (state["gap"] + v["p"]).alias("gap"), (state["total"] + more).alias("total")
+        )
+
+    return F.aggregate(merged, start, add, lambda state: state["total"])
+
+
+def block_sums(point: Column, n_bins: int, blocks: int) -> Column:
+    """A point's sums over ``blocks`` runs of neighbouring bins.
+
+    The L1 distance of two points' block sums never exceeds the distance of the points: a coarser view of
+    the same axis bounds the fine one from below.
+    """
+    cuts = [n_bins * i // blocks for i in range(blocks + 1)]
+    return F.array(
+        *[array_total(F.slice(point, a + 1, b - a)) for a, b in zip(cuts, cuts[1:])]
+    )
+
+
 def differences(col: Column | str) -> Column:
     """What each element adds to the one before: the inverse of prefix sums."""
     before = F.concat(F.array(F.lit(0.0)), F.slice(col, F.lit(1), F.size(col) - 1))

@@ -220,39 +220,49 @@ def distance_to(
     return dists.select("vin", F.inline(pairs))
 
 
-# Stated vehicles whose vectors one pass carries along.
-STATED_AT_ONCE = 200
+# Stated vehicles of one block, on average.
+BLOCK_VEHICLES = 64
+# Stated vectors of up to so many bytes go to every task; beyond, blocks are dealt to parts of the fleet.
+BLOCK_BYTES = 16_000_000
 
 
 def matrix_rows(
-    dists: DataFrame, stated: Sequence[str], step: float, metric: Callable = w1
+    dists: DataFrame,
+    stated: DataFrame,
+    step: float,
+    metric: Callable = w1,
+    value: str = "cdf",
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Rows of the distance matrix for a stated list of vehicles: ``vin_i`` (stated), ``vin_j, distance``.
+    """Rows of the distance matrix for a table of stated vehicles: ``vin_i`` (stated), ``vin_j, distance``.
 
-    Every vehicle meets the list in a map-only pass, list x fleet rows in all; a long list is taken in
-    blocks. Listed vehicles that are not in the fleet give no rows.
+    ``stated`` has ``vin``; names that are not in the fleet give no rows. Their vectors are put together in
+    blocks, and every vehicle of the fleet meets each block once, list x fleet rows in all. While all blocks
+    are small by measure they are broadcast and the fleet stays where it is; beyond, the fleet is cut into
+    parts, and each part meets each block in a shuffle. No vector or name passes through the driver.
     """
-    out = None
-    for low in range(0, max(1, len(stated)), STATED_AT_ONCE):
-        block = list(stated[low : low + STATED_AT_ONCE])
-        found = dists.where(F.col("vin").isin(block)).select("vin", "cdf").collect()
-        if not found:
-            continue
-        pairs = F.array(
-            *[
-                F.struct(
-                    F.lit(vin).alias("vin_i"),
-                    metric(double_array(cdf), F.col("cdf"), step).alias("distance"),
-                )
-                for vin, cdf in found
-            ]
-        )
-        rows = dists.select(F.col("vin").alias("vin_j"), F.inline(pairs))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        none = [F.lit(None).cast(t).alias(n) for n, t in (("vin_i", "string"), ("distance", "double"))]
-        out = dists.where(F.lit(False)).select(F.col("vin").alias("vin_j"), *none)
-    return out.select("vin_i", "vin_j", "distance")
+    wanted = stated.select(F.col("vin").alias("vin_i")).where("vin_i is not null").distinct()
+    rows = dists.select(F.col("vin").alias("vin_i"), F.col(value).alias("v")).join(wanted, "vin_i")
+    sizes = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("s")).first()
+    n_blocks = max(1, -(-sizes["n"] // BLOCK_VEHICLES))
+    # Three doubles an element at most (a dense vector has one) and the names.
+    measured = 24 * sizes["s"] + 64 * sizes["n"]
+    n_parts = 1 if measured <= block_bytes else 4 * dists.sparkSession.sparkContext.defaultParallelism
+    blocks = (
+        rows.groupBy(F.pmod(F.xxhash64("vin_i"), F.lit(n_blocks)).alias("block"))
+        .agg(F.collect_list(F.struct("vin_i", "v")).alias("vehicles"))
+        .select("vehicles", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"))
+    )
+    part = F.pmod(F.xxhash64("vin"), F.lit(n_parts)).cast("int")
+    side = F.broadcast(blocks) if n_parts == 1 else blocks
+    pairs = F.transform(
+        "vehicles",
+        lambda b: F.struct(
+            b["vin_i"].alias("vin_i"), metric(b["v"], F.col("own"), step).alias("distance")
+        ),
+    )
+    fleet = dists.select(F.col("vin").alias("vin_j"), F.col(value).alias("own"), part.alias("part"))
+    return fleet.join(side, "part").select("vin_j", F.inline(pairs)).select("vin_i", "vin_j", "distance")
 
 
 def nearest_vehicles(rows: DataFrame, n: int, parts: int = 64) -> DataFrame:

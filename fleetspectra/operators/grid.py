@@ -1,18 +1,21 @@
-"""Common ordered bin grids."""
+"""Common ordered bin grids, and the occupied part of long ones."""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetspectra.functions.arrays import double_array
 from fleetspectra.functions.intervals import is_finite, let
 
-
-# A vehicle's distribution is one array on the grid, so a grid from data longer than this is refused.
-MAX_BINS = 1_000_000
+# A grid from data with more bins than this is replaced by the axis of its occupied bins.
+WIDE_GRID = 4096
+# Axes of at most so many places are broadcast.
+AXIS_ROWS = 400_000
 
 
 @dataclass(frozen=True)
@@ -38,18 +41,19 @@ class GridSpec:
     ) -> GridSpec:
         """A grid reaching the largest finite ``bin_center`` of the fleet, or a stated cap.
 
-        One stray interval far out would make every distribution as long as the way to it, so more than
-        ``MAX_BINS`` bins raise: drop the stray rows, take a wider step, or state a cap.
+        One stray interval far out makes a very long grid; ``Axis`` holds what is occupied of it.
         """
         top = cap
         if top is None:
             top = center_bounds(centers).first()["max_center"]
         if top is None:
             raise ValueError("no finite bin center to build a grid from")
-        grid = cls.between(start, top + step, step)
-        if grid.n > MAX_BINS:
-            raise ValueError(f"the center {top} makes a grid of {grid.n} bins; at most {MAX_BINS} are built")
-        return grid
+        return cls.between(start, top + step, step)
+
+    @property
+    def number_type(self) -> str:
+        """Type of bin numbers."""
+        return "int" if self.n < 2**31 - 1 else "bigint"
 
     @property
     def centers(self) -> list[float]:
@@ -76,7 +80,7 @@ class GridSpec:
         def checked(value: Column, i: Column) -> Column:
             off = F.abs(value - self.center_of(i))
             on_grid = i.between(0, self.n - 1) & (off <= F.lit(float(tolerance)))
-            return F.when(on_grid, i.cast("int") + 1)
+            return F.when(on_grid, i.cast(self.number_type) + 1)
 
         return let(
             c,
@@ -86,6 +90,59 @@ class GridSpec:
         )
 
 
+@dataclass(frozen=True)
+class Axis:
+    """The occupied bins of a grid, each reaching to the next one.
+
+    Between two neighbouring places of the axis no vehicle's cumulative share changes, so distances on the
+    axis, with its ``widths``, are those on the whole grid, however far the grid reaches. Bins are numbered
+    along the axis.
+    """
+
+    grid: GridSpec
+    places: tuple[int, ...]
+
+    @classmethod
+    def from_data(cls, centers: DataFrame, grid: GridSpec) -> Axis:
+        """The bins of ``grid`` that rows with a ``bin_center`` fall into: one number each on the driver."""
+        place = grid.position_of("bin_center") - 1
+        found = centers.select(place.alias("place")).where("place is not null").distinct().collect()
+        if not found:
+            raise ValueError("no finite bin center on the grid to build an axis from")
+        return cls(grid, tuple(sorted(r["place"] for r in found)))
+
+    @property
+    def n(self) -> int:
+        return len(self.places)
+
+    @property
+    def step(self) -> float:
+        return self.grid.step
+
+    @cached_property
+    def widths(self) -> tuple[float, ...]:
+        """Steps from each place to the next, and one after the last."""
+        return tuple(float(b - a) for a, b in zip(self.places, (*self.places[1:], self.places[-1] + 1)))
+
+    @cached_property
+    def centers(self) -> list[float]:
+        return [self.grid.first + i * self.grid.step for i in self.places]
+
+    def centers_column(self) -> Column:
+        return double_array(self.centers)
+
+    def center_of(self, index: Column | str) -> Column:
+        return F.get(self.centers_column(), F.col(index) if isinstance(index, str) else index)
+
+    def number(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``bin`` of the grid, renumbered along the axis; bins that it lacks are left out."""
+        spark = rows.sparkSession
+        kind = self.grid.number_type
+        table = spark.createDataFrame(list(enumerate(self.places)), f"along int, bin {kind}")
+        side = F.broadcast(table) if self.n <= AXIS_ROWS else table
+        return rows.join(side, "bin").withColumn("bin", F.col("along")).drop("along")
+
+
 # The weight grid has 38 bins of 1000 kg from 12500, the gradient grid 10 bins from 0.5.
 WEIGHT_GRID = GridSpec(12500.0, 1000.0, 38)
 GRADIENT_GRID = GridSpec(0.5, 1.0, 10)
@@ -97,6 +154,8 @@ def center_bounds(centers: DataFrame) -> DataFrame:
     return centers.agg(F.min(c).alias("min_center"), F.max(c).alias("max_center"))
 
 
-def grid_table(spark, grid: GridSpec) -> DataFrame:
-    """The grid as rows ``bin, bin_center``."""
-    return spark.range(1).select(F.posexplode(grid.centers_column()).alias("bin", "bin_center"))
+def grid_table(spark, grid: GridSpec | Axis) -> DataFrame:
+    """The grid, of any length, as rows ``bin, bin_center``."""
+    kind = "int" if isinstance(grid, Axis) else grid.number_type
+    rows = spark.range(grid.n).select(F.col("id").cast(kind).alias("bin"))
+    return rows.withColumn("bin_center", grid.center_of("bin"))

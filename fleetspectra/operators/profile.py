@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from fleetspectra.operators.cluster import Medoids
 from fleetspectra.operators.distance import Fleet
-from fleetspectra.operators.grid import GridSpec
+from fleetspectra.operators.grid import Axis, GridSpec
 
 
-def cluster_profile(labelled: DataFrame, grid: GridSpec) -> DataFrame:
+def cluster_profile(labelled: DataFrame, grid: GridSpec | Axis) -> DataFrame:
     """Mean probability per bin: ``cluster, bin, bin_center, mean_p`` from ``cluster, probs``."""
     return (
         labelled.select("cluster", F.posexplode("probs").alias("bin", "p"))
@@ -25,7 +25,7 @@ def cluster_profile(labelled: DataFrame, grid: GridSpec) -> DataFrame:
     )
 
 
-def medoid_profile(dists: DataFrame, vins: Sequence[str], grid: GridSpec) -> DataFrame:
+def medoid_profile(dists: DataFrame, vins: Sequence[str], grid: GridSpec | Axis) -> DataFrame:
     """The spectra of the medoids: ``cluster, vin, bin, bin_center, p``."""
     order = F.array(*[F.lit(v) for v in vins])
     return (
@@ -39,7 +39,7 @@ def medoid_profile(dists: DataFrame, vins: Sequence[str], grid: GridSpec) -> Dat
     )
 
 
-def cluster_density(labelled: DataFrame, binned: DataFrame, grid: GridSpec) -> DataFrame:
+def cluster_density(labelled: DataFrame, binned: DataFrame, grid: GridSpec | Axis) -> DataFrame:
     """Density of a signal per cluster, weighted by mass: ``cluster, bin, bin_center, density,
     cumulative``.
 
@@ -74,7 +74,7 @@ def density_quantiles(density: DataFrame, shares: Sequence[float]) -> DataFrame:
     )
 
 
-def mean_centers(labelled: DataFrame, grid: GridSpec) -> DataFrame:
+def mean_centers(labelled: DataFrame, grid: GridSpec | Axis) -> DataFrame:
     """Mean of the signal per cluster, and its rank from low to high."""
     mean = F.aggregate(
         F.zip_with("probs", grid.centers_column(), lambda p, c: p * c),
@@ -95,7 +95,7 @@ NAMES_BY_RANK = {
 }
 
 
-def auto_labels(labelled: DataFrame, grid: GridSpec, names: Sequence[str]) -> DataFrame:
+def auto_labels(labelled: DataFrame, grid: GridSpec | Axis, names: Sequence[str]) -> DataFrame:
     """Name clusters by their mean signal: ``cluster, mean_center, rank, label``.
 
     Names are spread over the ranks, the first for the lowest and the last for the highest mean, so

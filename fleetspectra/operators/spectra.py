@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetspectra.functions.intervals import bin_center, interval_text, is_finite
-from fleetspectra.operators.grid import GridSpec
+from fleetspectra.operators.grid import Axis, GridSpec
 
 SPECTRUM_COLUMNS = ("vin", "sales_group", "x1_interval", "count")
 
@@ -34,9 +34,11 @@ def _mass() -> Column:
     return F.when(is_finite("count"), F.col("count"))
 
 
-def binned(spectra: DataFrame, grid: GridSpec, tolerance: float = 0.0) -> DataFrame:
+def binned(spectra: DataFrame, grid: GridSpec | Axis, tolerance: float = 0.0) -> DataFrame:
     """Summed count per (vin, bin), on-grid bins only: ``vin, bin, mass, sg_low, sg_high``."""
     require_columns(spectra, *SPECTRUM_COLUMNS)
+    if isinstance(grid, Axis):
+        return grid.number(binned(spectra, grid.grid, tolerance))
     return (
         spectra.where(F.col("vin").isNotNull())
         .select(
@@ -59,23 +61,18 @@ def binned(spectra: DataFrame, grid: GridSpec, tolerance: float = 0.0) -> DataFr
 
 
 def to_distributions(
-    spectra: DataFrame, grid: GridSpec, tolerance: float = 0.0, check_groups: bool = True
+    spectra: DataFrame, grid: GridSpec | Axis, tolerance: float = 0.0, check_groups: bool = True
 ) -> DataFrame:
     """One row per vehicle with mass on the grid: ``vin, sales_group, probs, cdf``.
 
     A vehicle found in two sales groups raises at run time unless ``check_groups`` is off, in which
     case its lowest group is kept. A group here is one vehicle and holds at most ``grid.n`` rows.
     """
-    low, high = F.min("sg_low"), F.max("sg_high")
-    group = low
-    if check_groups:
-        clash = F.raise_error(F.concat(F.lit("several sales groups for vin "), F.col("vin")))
-        group = F.when(low < high, clash.cast("int")).otherwise(low)
     cells = (
         _running_shares(binned(spectra, grid, tolerance), grid.n)
         .groupBy("vin")
         .agg(
-            group.alias("sales_group"),
+            _one_group(check_groups).alias("sales_group"),
             F.sort_array(F.collect_list(F.struct("bin", "p", "cdf", "reach"))).alias("cells"),
         )
     )
@@ -94,6 +91,48 @@ def to_distributions(
     )
 
 
+def _one_group(check: bool) -> Column:
+    low, high = F.min("sg_low"), F.max("sg_high")
+    if not check:
+        return low
+    clash = F.raise_error(F.concat(F.lit("several sales groups for vin "), F.col("vin")))
+    return F.when(low < high, clash.cast("int")).otherwise(low)
+
+
+def sparse_distributions(spectra: DataFrame, check_groups: bool = True) -> DataFrame:
+    """Distributions without any grid: ``vin, sales_group, cells`` of vehicles with mass.
+
+    ``cells`` are the occupied centers, ascending, with each one's share and the share up to it: structs
+    ``center, p, cdf``. Their number is that of a vehicle's own intervals, wherever these lie.
+    """
+    require_columns(spectra, *SPECTRUM_COLUMNS)
+    center = bin_center("x1_interval")
+    rows = (
+        spectra.where(F.col("vin").isNotNull())
+        .select("vin", "sales_group", center.alias("center"), _mass().alias("mass"))
+        .where(is_finite("center"))
+        .repartition("vin")
+        .groupBy("vin", "center")
+        .agg(
+            F.coalesce(F.sum("mass"), F.lit(0.0)).alias("mass"),
+            F.min("sales_group").alias("sg_low"),
+            F.max("sales_group").alias("sg_high"),
+        )
+    )
+    ordered = W.partitionBy("vin").orderBy("center")
+    running = F.sum("mass").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow))
+    total = F.sum("mass").over(W.partitionBy("vin"))
+    shares = rows.select("*", total.alias("total"), running.alias("running")).where("total > 0")
+    cell = F.struct(
+        "center",
+        (F.col("mass") / F.col("total")).alias("p"),
+        (F.col("running") / F.col("total")).alias("cdf"),
+    )
+    return shares.groupBy("vin").agg(
+        _one_group(check_groups).alias("sales_group"), F.sort_array(F.collect_list(cell)).alias("cells")
+    )
+
+
 def _running_shares(rows: DataFrame, n: int) -> DataFrame:
     """Add ``p``, ``cdf`` and ``reach`` (bins up to the next occupied one, or the end).
 
@@ -114,7 +153,7 @@ def _running_shares(rows: DataFrame, n: int) -> DataFrame:
     )
 
 
-def long_form(dists: DataFrame, grid: GridSpec) -> DataFrame:
+def long_form(dists: DataFrame, grid: GridSpec | Axis) -> DataFrame:
     """Dense rows ``vin, bin, bin_center, p, cdf``."""
     return dists.select(
         "vin", F.posexplode(F.arrays_zip("probs", "cdf")).alias("bin", "pc")

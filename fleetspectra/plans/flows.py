@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspectra.functions.arrays import differences
+from fleetspectra.functions.arrays import differences, double_array
 from fleetspectra.operators.cluster import Medoids, best_k, kmedoids, k_sweep
 from fleetspectra.operators.distance import Fleet, write_fleet
 from fleetspectra.operators.fleet import SIGNALS, apply_labels, join_subpopulations
-from fleetspectra.operators.grid import GRADIENT_GRID, WEIGHT_GRID, GridSpec
+from fleetspectra.operators.grid import GRADIENT_GRID, WEIGHT_GRID, WIDE_GRID, Axis, GridSpec
 from fleetspectra.operators.profile import NAMES_BY_RANK, auto_labels, label_names
 from fleetspectra.operators.spectra import remove_outliers, to_distributions, with_centers
 
@@ -22,7 +22,7 @@ CLUSTER_COUNTS = {"velocity": 3, "weight": None, "gradient": 2}
 @dataclass(frozen=True)
 class ClusteredSignal:
     signal: str
-    grid: GridSpec
+    grid: GridSpec | Axis
     dists: DataFrame
     fleet: Fleet
     medoids: Medoids
@@ -35,26 +35,42 @@ class ClusteredSignal:
 
     def labelled(self) -> DataFrame:
         """``vin, sales_group, probs, cluster``, from the written fleet."""
+        cdf = F.col("point")
+        if isinstance(self.grid, Axis):
+            cdf = F.zip_with(cdf, double_array(self.grid.widths), lambda x, w: x / w)
         return self.fleet.frame.select(
             "vin",
             "sales_group",
-            differences("point").alias("probs"),
+            differences(cdf).alias("probs"),
             self.medoids.label().alias("cluster"),
         )
 
 
-def signal_grid(cleaned: DataFrame, signal: str) -> GridSpec:
-    """The fixed grid of weight and gradient, or the velocity grid reaching the fleet's maximum."""
+def signal_grid(cleaned: DataFrame, signal: str) -> GridSpec | Axis:
+    """The fixed grid of weight and gradient, or the velocity grid reaching the fleet's maximum.
+
+    Of a velocity grid beyond ``WIDE_GRID`` bins only the occupied ones are kept, as an axis.
+    """
     if signal == "weight":
         return WEIGHT_GRID
     if signal == "gradient":
         return GRADIENT_GRID
-    return GridSpec.from_data(with_centers(cleaned), 0.5, 1.0)
+    centers = with_centers(cleaned)
+    grid = GridSpec.from_data(centers, 0.5, 1.0)
+    return grid if grid.n <= WIDE_GRID else Axis.from_data(centers, grid)
+
+
+def grid_fleet(dists: DataFrame, grid: GridSpec | Axis) -> Fleet:
+    """Write distributions on a grid, or on an axis with each share weighted by the width it holds for."""
+    if not isinstance(grid, Axis):
+        return write_fleet(dists)
+    wide = F.zip_with("cdf", double_array(grid.widths), lambda x, w: x * w)
+    return write_fleet(dists.withColumn("cdf", wide), grid.widths)
 
 
 def signal_distributions(
     spectra: DataFrame, outliers: DataFrame, signal: str
-) -> tuple[DataFrame, GridSpec]:
+) -> tuple[DataFrame, GridSpec | Axis]:
     cleaned = remove_outliers(spectra, outliers)
     grid = signal_grid(cleaned, signal)
     return to_distributions(cleaned, grid), grid
@@ -70,7 +86,7 @@ def cluster_signal(
     if k == "default":
         k = CLUSTER_COUNTS[signal]
     dists, grid = signal_distributions(spectra, outliers, signal)
-    fleet = write_fleet(dists)
+    fleet = grid_fleet(dists, grid)
     if k is None:
         outcomes, scores = k_sweep(fleet)
         return ClusteredSignal(

@@ -235,17 +235,7 @@ FROM d_gradient GROUP BY vin"""
 
 # Distances
 
-SUPPLIERS = """c AS MATERIALIZED (
-  SELECT v, b, sum(m) OVER (PARTITION BY v ORDER BY b) / sum(m) OVER (PARTITION BY v) AS x FROM (
-    SELECT v, b, coalesce(m, 0) AS m
-    FROM (SELECT DISTINCT 'S' || lpad(cast(l_suppkey AS varchar), 8, '0') AS v FROM lineitem
-          WHERE floor(l_extendedprice / 1000) BETWEEN 12 AND 49)
-    CROSS JOIN (SELECT unnest(range(38)) AS b)
-    LEFT JOIN (SELECT 'S' || lpad(cast(l_suppkey AS varchar), 8, '0') AS v,
-                      cast(floor(l_extendedprice / 1000) AS int) - 12 AS b, count(*) AS m
-               FROM lineitem GROUP BY 1, 2) USING (v, b)))"""
-
-_STATED = f"""WITH {SUPPLIERS}, {MATRIX},
+_STATED = f"""{head(points("weight"), MATRIX)},
 r AS (SELECT i, j, d * 1000 AS d FROM dm WHERE cast(substr(i, 2) AS bigint) % 20 = 0)"""
 ORACLES["w1_pairs"] = f"{_STATED} SELECT i AS vin_i, j AS vin_j, round(d, 4) AS distance FROM r"
 ORACLES["w1_nearest"] = f"""{_STATED},
@@ -259,7 +249,21 @@ SELECT (SELECT count(*) FROM r a JOIN r b ON a.i = b.j AND a.j = b.i WHERE abs(a
   round(max(d) FILTER (WHERE i <> j), 4) AS max_distance,
   count(*) FILTER (WHERE d < 0) AS n_negative FROM r"""
 
-ORACLES["w1_leading_matrix"] = f"""WITH {SUPPLIERS}, {MATRIX},
+ORACLES["nearest_all"] = f"""{head(points("weight"), MATRIX)},
+o AS (SELECT i, j, d, cast(row_number() OVER (PARTITION BY i ORDER BY round(d, 9), j) AS int) AS rank FROM dm WHERE i <> j)
+SELECT i AS vin, rank, j AS neighbour, round(round(d, 9) * 1000, 4) AS distance FROM o WHERE rank <= 5"""
+ORACLES["w1_pairs_sparse"] = f"""{head()},
+m AS (SELECT vin, cast(round(l_extendedprice * 100) AS bigint) AS x, count(*) AS n FROM usage
+      WHERE vin NOT IN (SELECT vin FROM outliers) GROUP BY ALL),
+p AS MATERIALIZED (SELECT vin, x, n / sum(n) OVER (PARTITION BY vin) AS p FROM m),
+v AS (SELECT DISTINCT vin FROM p),
+e AS (SELECT a.vin AS i, v.vin AS j, a.x, a.p FROM p a CROSS JOIN v WHERE cast(substr(a.vin, 2) AS bigint) % 20 = 0
+      UNION ALL SELECT s.vin, b.vin, b.x, -b.p FROM p b CROSS JOIN v s WHERE cast(substr(s.vin, 2) AS bigint) % 20 = 0),
+g AS (SELECT i, j, sum(p) OVER (w ROWS UNBOUNDED PRECEDING) AS f, lead(x) OVER w - x AS gap
+      FROM e WINDOW w AS (PARTITION BY i, j ORDER BY x))
+SELECT i AS vin_i, j AS vin_j, round(sum(abs(f) * coalesce(gap, 0)) + 1e-7, 2) AS distance FROM g GROUP BY 1, 2"""
+
+ORACLES["w1_leading_matrix"] = f"""{head(points("weight"), MATRIX)},
 top AS (SELECT DISTINCT v FROM c ORDER BY v LIMIT 5)
 SELECT i AS vin_i, j AS vin_j, round(d * 1000, 4) AS distance FROM dm
 WHERE i IN (SELECT v FROM top) AND j IN (SELECT v FROM top)"""
@@ -303,6 +307,17 @@ SELECT j AS vin, sales_group, l AS cluster FROM lab JOIN ({_GROUP}) g ON g.vin =
 ORACLES["kmedoids_labels_velocity"] = f"""{head(points("velocity"), MATRIX, rounds(3))}
 SELECT j AS vin, sales_group, l AS cluster_wasserstein FROM lab JOIN ({_GROUP}) g ON g.vin = j"""
 
+ORACLES["kmedoids_velocity_stray"] = f"""{head(clean("velocity"))},
+far AS (SELECT vin, lo, count FROM clean_velocity
+        UNION ALL SELECT min(vin), 1000000000, 1.0 FROM clean_velocity),
+axis AS (SELECT lo, coalesce(lead(lo) OVER (ORDER BY lo) - lo, 1) AS w FROM (SELECT DISTINCT lo FROM far)),
+c AS MATERIALIZED (
+  SELECT v.vin AS v, a.lo AS b, a.w * sum(coalesce(f.count, 0)) OVER (PARTITION BY v.vin ORDER BY a.lo)
+    / sum(coalesce(f.count, 0)) OVER (PARTITION BY v.vin) AS x
+  FROM (SELECT DISTINCT vin FROM far) v CROSS JOIN axis a LEFT JOIN far f ON f.vin = v.vin AND f.lo = a.lo),
+{MATRIX}, {rounds(3)}
+SELECT j AS vin, sales_group, l AS cluster_wasserstein FROM lab JOIN ({_GROUP}) g ON g.vin = j"""
+
 ORACLES["medoid_profile"] = f"""{head(points("weight"), MATRIX, rounds(3))}
 SELECT l AS cluster, vin, bin, center AS bin_center, round(p, 6) AS p FROM m_16 JOIN d_weight ON vin = i"""
 

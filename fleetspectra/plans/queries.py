@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspectra.functions.arrays import double_array, w1_probs
+from fleetspectra.functions.arrays import double_array, w1_probs, w1_sparse
 from fleetspectra.functions.intervals import interval_text
-from fleetspectra.operators import cluster, distance, fleet, profile, spectra
+from fleetspectra.operators import cluster, distance, fleet, nearest, profile, spectra
 from fleetspectra.operators.grid import (
     GRADIENT_GRID,
     WEIGHT_GRID,
@@ -51,10 +51,6 @@ def distributions(spark, folder, signal="weight") -> tuple[DataFrame, GridSpec]:
     )
 
 
-def supplier_distributions(spark, folder):
-    return spectra.to_distributions(usage.spectra(spark, folder, "weight", "S"), WEIGHT_GRID)
-
-
 def written(spark, folder, signal="weight") -> distance.Fleet:
     return distance.write_fleet(distributions(spark, folder, signal)[0])
 
@@ -208,20 +204,41 @@ def spectra_pivot_wide(spark, folder):
 # Distances
 
 
+def _stated(dists: DataFrame) -> DataFrame:
+    """Every twentieth vehicle."""
+    return dists.where(F.substring("vin", 2, 20).cast("bigint") % 20 == 0).select("vin")
+
+
 def _stated_rows(spark, folder) -> DataFrame:
-    """Every twentieth supplier against all suppliers."""
-    dists = tables.materialize(supplier_distributions(spark, folder), "suppliers")
-    number = F.substring("vin", 2, 20).cast("bigint")
-    stated = [r["vin"] for r in dists.where(number % 20 == 0).select("vin").collect()]
-    return distance.matrix_rows(dists, sorted(stated), WEIGHT_GRID.step)
+    """Every twentieth vehicle against the whole fleet."""
+    dists = tables.materialize(distributions(spark, folder, "weight")[0], "vehicles")
+    return distance.matrix_rows(dists, _stated(dists), WEIGHT_GRID.step)
 
 
 @query
 def w1_pairs(spark, folder):
-    """Rows of the distance matrix of stated suppliers, seen as vehicles."""
+    """Rows of the distance matrix of stated vehicles."""
     return rounded(_stated_rows(spark, folder), 4, "distance")
 
 
+@query
+def w1_pairs_sparse(spark, folder):
+    """The same over prices by the cent: each vehicle's own intervals, on a line of millions of bins."""
+    cents = usage.usage(spark, folder).select(
+        "vin",
+        "sales_group",
+        interval_text(F.round(F.col("l_extendedprice") * 100).cast("bigint"), 1).alias("x1_interval"),
+        F.lit(1.0).alias("count"),
+    )
+    own = spectra.remove_outliers(cents, usage.outliers(spark, folder))
+    cells = tables.materialize(spectra.sparse_distributions(own), "sparse")
+    rows = distance.matrix_rows(
+        cells, _stated(cells), 1.0, lambda a, b, _: w1_sparse(a, b), value="cells"
+    )
+    # Many distances lie exactly between two rounded values; the nudge settles them all upwards.
+    return rounded(rows.withColumn("distance", F.col("distance") + 1e-7), 2, "distance")
+
+
 @query
 def w1_nearest(spark, folder):
     rows = _stated_rows(spark, folder)
@@ -234,9 +251,18 @@ def w1_diagnostics(spark, folder):
     return rounded(out, 4, "max_diagonal", "min_distance", "max_distance")
 
 
+@query
+def nearest_all(spark, folder):
+    """The five nearest others of every vehicle."""
+    with written(spark, folder, "weight") as data:
+        rows = tables.materialize(nearest.nearest_neighbours(data, 5), "nearest")
+    scaled = F.col("distance") * WEIGHT_GRID.step
+    return rounded(rows.withColumn("distance", scaled), 4, "distance")
+
+
 @query
 def w1_leading_matrix(spark, folder):
-    dists = supplier_distributions(spark, folder)
+    dists, _ = distributions(spark, folder, "weight")
     return rounded(distance.leading_matrix(dists, WEIGHT_GRID.step), 4, "distance")
 
 
@@ -335,6 +361,27 @@ def kmedoids_labels_velocity(spark, folder):
     return found.clusters
 
 
+STRAY = 1_000_000_000
+
+
+def stray_spectra(spark, folder) -> DataFrame:
+    """Velocity spectra in which one vehicle has an interval far out."""
+    data = raw(spark, folder, "velocity")
+    first = data.join(usage.outliers(spark, folder), "vin", "left_anti").agg(F.min("vin").alias("vin"))
+    far = data.join(first, "vin").groupBy("vin", "sales_group").agg(F.lit(1.0).alias("count"))
+    text = interval_text(F.lit(STRAY), 1)
+    return data.unionByName(far.withColumn("x1_interval", text))
+
+
+@query
+def kmedoids_velocity_stray(spark, folder):
+    """Velocity clusters of a fleet whose grid would have a thousand million bins."""
+    found = flows.cluster_signal(
+        stray_spectra(spark, folder), usage.outliers(spark, folder), "velocity"
+    )
+    return found.clusters
+
+
 @query
 def medoid_profile(spark, folder):
     dists, grid = distributions(spark, folder, "weight")
