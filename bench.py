@@ -14,12 +14,7 @@ import time
 from pyspark.sql import SparkSession
 
 from fleetspectra.operators import cluster, distance
-from fleetspectra.plans.queries import (
-    QUERIES,
-    dense_distributions,
-    distributions,
-    supplier_distributions,
-)
+from fleetspectra.plans.queries import QUERIES, dense_distributions, distributions
 
 
 def drain(df) -> None:
@@ -65,9 +60,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     # Start-up and first compilation in the JVM are not what is measured.
-    drain(distributions(spark, folder, "gradient")[0])
-    suppliers = distance.write_fleet(supplier_distributions(spark, folder))
-    cluster.k_sweep(suppliers, (2, 3))[1].collect()
+    with distance.write_fleet(distributions(spark, folder, "gradient")[0]) as warm:
+        cluster.k_sweep(warm, (2, 3))[1].collect()
     times = run(spark, folder)
     print(
         json.dumps(

@@ -60,25 +60,28 @@ def w1_probs(probs_a: Column, probs_b: Column, centers: Sequence[float]) -> Colu
 
 
 def w1_sparse(cells_a: Column, cells_b: Column) -> Column:
-    """The same distance from two ascending arrays of structs with ``center`` and ``p``, on no grid.
+    """The same distance from two ascending arrays of structs with ``center`` and ``cdf``, on no grid.
 
-    The two lists are merged; between two neighbouring centers the difference of the running shares counts
+    The two lists are merged; between two neighbouring centers the difference of the cumulative shares counts
     by the gap. The work depends on how many centers the two have, not on how far these reach.
     """
 
-    def signed(cells: Column, sign: float) -> Column:
-        return F.transform(cells, lambda c: F.struct(c["center"].alias("at"), (c["p"] * sign).alias("p")))
+    def of_side(cells: Column, side: int) -> Column:
+        return F.transform(
+            cells, lambda c: F.struct(c["center"].alias("at"), F.lit(side).alias("side"), c["cdf"].alias("cdf"))
+        )
 
-    merged = F.array_sort(
-        F.concat(signed(cells_a, 1.0), signed(cells_b, -1.0)),
-        lambda x, y: F.when(x["at"] < y["at"], -1).when(x["at"] > y["at"], 1).otherwise(0),
-    )
-    start = F.struct(F.lit(0.0).alias("at"), F.lit(0.0).alias("gap"), F.lit(0.0).alias("total"))
+    merged = F.sort_array(F.concat(of_side(cells_a, 0), of_side(cells_b, 1)))
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("at"), zero.alias("a"), zero.alias("b"), zero.alias("total"))
 
     def add(state: Column, v: Column) -> Column:
-        more = F.when(state["gap"] == 0, 0.0).otherwise(F.abs(state["gap"]) * (v["at"] - state["at"]))
+        more = F.abs(state["a"] - state["b"]) * (v["at"] - state["at"])
         return F.struct(
-            v["at"].alias("at"), (state["gap"] + v["p"]).alias("gap"), (state["total"] + more).alias("total")
+            v["at"].alias("at"),
+            F.when(v["side"] == 0, v["cdf"]).otherwise(state["a"]).alias("a"),
+            F.when(v["side"] == 1, v["cdf"]).otherwise(state["b"]).alias("b"),
+            (state["total"] + more).alias("total"),
         )
 
     return F.aggregate(merged, start, add, lambda state: state["total"])

@@ -123,11 +123,10 @@ def sparse_distributions(spectra: DataFrame, check_groups: bool = True) -> DataF
     running = F.sum("mass").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow))
     total = F.sum("mass").over(W.partitionBy("vin"))
     shares = rows.select("*", total.alias("total"), running.alias("running")).where("total > 0")
-    cell = F.struct(
-        "center",
-        (F.col("mass") / F.col("total")).alias("p"),
-        (F.col("running") / F.col("total")).alias("cdf"),
-    )
+    # Whole at the last center, whatever the order of summing made of it: gaps may be wide.
+    last = F.lead("center").over(ordered).isNull()
+    shares = shares.withColumn("cdf", F.when(last, 1.0).otherwise(F.col("running") / F.col("total")))
+    cell = F.struct("center", (F.col("mass") / F.col("total")).alias("p"), "cdf")
     return shares.groupBy("vin").agg(
         _one_group(check_groups).alias("sales_group"), F.sort_array(F.collect_list(cell)).alias("cells")
     )
@@ -145,11 +144,13 @@ def _running_shares(rows: DataFrame, n: int) -> DataFrame:
             "*",
             F.sum("mass").over(W.partitionBy("vin")).alias("total"),
             F.sum("mass").over(running).alias("running"),
+            F.lead("bin").over(ordered).isNull().alias("last"),
             (F.coalesce(F.lead("bin").over(ordered), F.lit(n)) - F.col("bin")).alias("reach"),
         )
         .where(F.col("total") > 0)
         .withColumn("p", F.col("mass") / F.col("total"))
-        .withColumn("cdf", F.col("running") / F.col("total"))
+        # Whole at the last bin, whatever the order of summing made of it: widths may be large.
+        .withColumn("cdf", F.when(F.col("last"), 1.0).otherwise(F.col("running") / F.col("total")))
     )
 
 

@@ -132,9 +132,10 @@ def test_dense_concentrated_clusters(spark):
 
 
 def test_work_per_vehicle_does_not_grow(spark):
-    """Rows that a round sorts, and jobs it runs, for ten times the fleet."""
-    sorted_rows = {}
-    for n in (300, 3000):
+    """Survivors of the bounds stay few, and a survivor sorts a like share of the fleet at every size."""
+    sizes = (300, 1000, 3000, 10000)
+    survivors, share = [], []
+    for n in sizes:
         cdfs = planted(n, 0.2)
         fleet = di.write_fleet(fleet_frame(spark, cdfs))
         points = {f"V{i:05d}": list(map(float, cdfs[i])) for i in range(3)}
@@ -143,11 +144,26 @@ def test_work_per_vehicle_does_not_grow(spark):
             best = bounded.groupBy("q").agg(F.min("high").alias("best"))
             near = bounded.join(best, "q").where("low <= best").select("vin", "q")
             asked = values.join(near, ["vin", "q"], "left_semi").select("cell").distinct()
-            sorted_rows[n] = values.join(asked, "cell", "left_semi").count()
+            sorted_rows = values.join(asked, "cell", "left_semi").count()
+            survivors.append(near.count())
+            share.append(sorted_rows / n / survivors[-1])
             widest = summary.agg(F.max(F.when(F.col("hi") > F.col("lo"), F.col("m")))).first()[0]
             # A cell holds a share of its bin, not of the fleet: the largest sort stays a small part.
             assert widest < n / 5
-    assert sorted_rows[3000] <= 10.5 * sorted_rows[300] and sorted_rows[3000] <= 3000 * 38
+    # A cluster starts with one survivor at least; more of them must not come with the fleet.
+    assert max(survivors) <= 3 * 4, survivors
+    slope = np.polyfit(np.log(sizes), np.log(share), 1)[0]
+    assert slope <= 0.05, (share, slope)
+
+
+def test_cuts_are_the_same_on_any_number_of_tasks(spark):
+    cdfs = planted(200, 0.2)
+    found = []
+    for parts in (1, 7):
+        fleet = di.write_fleet(fleet_frame(spark, cdfs).repartition(parts))
+        with cl._celled(fleet) as frame:
+            found.append({r["vin"]: r["cells"] for r in frame.select("vin", "cells").collect()})
+    assert found[0] == found[1]
 
 
 def test_silhouette_matches_brute_force(spark):
@@ -208,17 +224,25 @@ def test_unequal_scales(spark):
     assert [int(v[1:]) for v in cl.kmedoids(fleet, 3).vins] == medoids
 
 
-def test_stated_rows_of_the_matrix(spark, monkeypatch):
-    monkeypatch.setattr(di, "STATED_AT_ONCE", 2)
+def vins(spark, names):
+    return spark.createDataFrame([(n,) for n in names], "vin string")
+
+
+@pytest.mark.parametrize("block_bytes", [di.BLOCK_BYTES, 0])
+def test_stated_rows_of_the_matrix(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(di, "BLOCK_VEHICLES", 2)
     cdfs = random_cdfs(30, 6, 9)
     df = fleet_frame(spark, cdfs)
     stated = [f"V{i:05d}" for i in (3, 7, 11, 29)]
-    rows = di.matrix_rows(df, [*stated, "unknown"], 2.0)
+    named = vins(spark, [*stated, "unknown", stated[0], None])
+    rows = di.matrix_rows(df, named, 2.0, block_bytes=block_bytes)
     d = distances(cdfs, 2.0)
     got = {(r["vin_i"], r["vin_j"]): r["distance"] for r in rows.collect()}
     assert len(got) == 4 * 30
     assert all(np.isclose(v, d[int(i[1:]), int(j[1:])]) for (i, j), v in got.items())
-    assert di.matrix_rows(df, [], 2.0).collect() == []
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not any(w in plan for w in ("Cartesian", "NestedLoop", "Python"))
+    assert di.matrix_rows(df, vins(spark, []), 2.0, block_bytes=block_bytes).collect() == []
     near = di.nearest_vehicles(rows, 3, parts=4).collect()
     for i in (3, 7, 11, 29):
         want = [j for j in np.argsort(d[i], kind="stable") if j != i][:3]
@@ -237,7 +261,7 @@ def test_a_broken_distance_is_reported(spark):
         first = F.get(a, F.lit(0)) - 2 * F.get(b, F.lit(0))
         return first * step
 
-    report = di.matrix_diagnostics(di.matrix_rows(df, stated, 1.0, lopsided)).first()
+    report = di.matrix_diagnostics(di.matrix_rows(df, vins(spark, stated), 1.0, lopsided)).first()
     assert report["n_asymmetric"] == 12 and report["max_diagonal"] != 0 and report["n_negative"] > 0
 
 
