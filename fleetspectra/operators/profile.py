@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fleetspectra.functions.intervals import is_finite
 from fleetspectra.operators.cluster import Medoids
 from fleetspectra.operators.distance import Fleet
 from fleetspectra.operators.grid import Axis, GridSpec
@@ -74,6 +75,39 @@ def density_quantiles(density: DataFrame, shares: Sequence[float]) -> DataFrame:
     )
 
 
+# Size of a quantile sketch; its rank error is about 1.7 per cent with 99 per cent confidence.
+SKETCH_K = 200
+
+
+def signal_sketches(samples: DataFrame, labelled: DataFrame, signal: str = "signal") -> DataFrame:
+    """A quantile sketch of raw samples per cluster: ``cluster, sketch``.
+
+    ``samples`` gives ``vin`` and the signal, ``labelled`` gives ``vin, cluster``. Nulls and NaN are left out.
+    Sketches are bounded in size whatever the number of samples, and made per task before they are shuffled.
+    """
+    rows = samples.where(is_finite(signal)).join(labelled.select("vin", "cluster"), "vin")
+    return rows.groupBy("cluster").agg(
+        F.kll_sketch_agg_double(F.col(signal).cast("double"), F.lit(SKETCH_K)).alias("sketch")
+    )
+
+
+def merged_sketches(sketches: DataFrame) -> DataFrame:
+    """Sketches of one cluster, of batches or parts, as one: ``cluster, sketch``."""
+    return sketches.groupBy("cluster").agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """``cluster, n_samples`` and a column ``q25``, ... per share."""
+    return sketches.select(
+        "cluster",
+        F.kll_sketch_get_n_double("sketch").alias("n_samples"),
+        *[
+            F.kll_sketch_get_quantile_double("sketch", F.lit(float(s))).alias(f"q{round(100 * s)}")
+            for s in shares
+        ],
+    )
+
+
 def mean_centers(labelled: DataFrame, grid: GridSpec | Axis) -> DataFrame:
     """Mean of the signal per cluster, and its rank from low to high."""
     mean = F.aggregate(

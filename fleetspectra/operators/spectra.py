@@ -220,6 +220,41 @@ def group_conflicts(spectra: DataFrame) -> DataFrame:
     )
 
 
+def audit(spectra: DataFrame, outliers: DataFrame, grid: GridSpec | Axis) -> DataFrame:
+    """One row on a run: ``n_raw, n_outliers, n_cleaned, n_zero_mass, n_group_conflicts, total, kept,
+    dropped_share``.
+
+    Vehicles in the spectra, in the outlier list and left after it; of those left, vehicles without mass on
+    the grid or with several sales groups, their count in all and on the grid, and the share lost. Each
+    table is read once and grouped by vin once; distinct counts need no expansion, as rows are vehicles then.
+    """
+    whole = grid.grid if isinstance(grid, Axis) else grid
+    on_grid = F.when(whole.position_of(bin_center("x1_interval")) > 0, _mass())
+    vehicles = (
+        spectra.where(F.col("vin").isNotNull())
+        .groupBy("vin")
+        .agg(
+            F.coalesce(F.sum(_mass()), F.lit(0.0)).alias("total"),
+            F.coalesce(F.sum(on_grid), F.lit(0.0)).alias("kept"),
+            (F.min("sales_group") < F.max("sales_group")).alias("conflict"),
+        )
+    )
+    listed = outliers.select("vin").where(F.col("vin").isNotNull()).distinct().withColumn("listed", F.lit(True))
+    # Rows here are whole vehicles, so all counts follow from one pass over them.
+    seen = F.col("total").isNotNull()
+    clean = seen & F.col("listed").isNull()
+    row = vehicles.join(listed, "vin", "full").agg(
+        F.count_if(seen).alias("n_raw"),
+        F.count("listed").alias("n_outliers"),
+        F.count_if(clean).alias("n_cleaned"),
+        F.count_if(clean & (F.col("kept") <= 0)).alias("n_zero_mass"),
+        F.count_if(clean & F.col("conflict")).alias("n_group_conflicts"),
+        F.sum(F.when(clean, F.col("total"))).alias("total"),
+        F.sum(F.when(clean, F.col("kept"))).alias("kept"),
+    )
+    return row.withColumn("dropped_share", F.try_divide(F.col("total") - F.col("kept"), F.col("total")))
+
+
 def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     """Distinct vehicles per named stage, as rows ``stage, n_vehicles``."""
     out = None

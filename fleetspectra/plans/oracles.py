@@ -182,6 +182,16 @@ SELECT 'raw' AS stage, count(DISTINCT vin) AS n_vehicles FROM raw_velocity
 UNION ALL SELECT 'outliers', count(DISTINCT vin) FROM outliers
 UNION ALL SELECT 'cleaned', count(DISTINCT vin) FROM clean_velocity"""
 
+ORACLES["fleet_audit"] = f"""{head(clean("weight"))},
+v AS (SELECT vin, vin IN (SELECT vin FROM outliers) AS listed, sum(count) AS total,
+        coalesce(sum(count) FILTER (WHERE lo BETWEEN 12000 AND 49000), 0) AS kept FROM raw_weight GROUP BY 1)
+SELECT count(*) AS n_raw, (SELECT count(DISTINCT vin) FROM outliers) AS n_outliers,
+  count(*) FILTER (WHERE NOT listed) AS n_cleaned,
+  count(*) FILTER (WHERE NOT listed AND kept = 0) AS n_zero_mass, 0::BIGINT AS n_group_conflicts,
+  sum(total) FILTER (WHERE NOT listed) AS total, sum(kept) FILTER (WHERE NOT listed) AS kept,
+  round(1 - sum(kept) FILTER (WHERE NOT listed) / sum(total) FILTER (WHERE NOT listed), 6) AS dropped_share
+FROM v"""
+
 ORACLES["outlier_anti_join"] = f"""{head(clean("velocity"))}
 SELECT vin, sales_group, '[' || lo || ', ' || (lo + 1) || ')' AS x1_interval, count FROM clean_velocity"""
 
@@ -571,3 +581,5 @@ t AS (SELECT vin, sum(count) AS total FROM b WHERE bin >= 0 GROUP BY 1)
 SELECT vin, cast(bin AS int) AS bin, round(coalesce(count, 0) / total, 6) AS p,
  round(sum(coalesce(count, 0)) OVER (PARTITION BY vin ORDER BY bin) / total, 6) AS cdf
 FROM t CROSS JOIN g LEFT JOIN b USING (vin, bin)"""
+
+ORACLES["subpopulation_bucketed"] = ORACLES["subpopulation_stats"]

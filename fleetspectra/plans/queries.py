@@ -57,23 +57,32 @@ def written(spark, folder, signal="weight") -> distance.Fleet:
 
 # Clusters per signal in the reports: three by two by two sub-populations.
 REPORT_K = {"velocity": 3, "weight": 2, "gradient": 2}
-_CLUSTERED: dict[tuple[str, str, str], str] = {}
+
+
+def _report(spark, folder) -> str:
+    """Where the reports on a folder keep what they share; other files in the folder give another place."""
+    sources = [f"{folder}/{t}.parquet" for t in ("lineitem", "orders", "customer")]
+    return f"{tables.shared_folder(spark)}/report-{tables.fingerprint(spark, *sources)}"
+
+
+def report_usage(spark, folder) -> DataFrame:
+    """Usage rows of all vehicles, joined once for the three signals and the statistics."""
+    return tables.kept(spark, f"{_report(spark, folder)}/usage", lambda: usage.usage(spark, folder))
 
 
 def clusters(spark, folder, signal) -> DataFrame:
     """``vin, sales_group, probs, cluster_wasserstein`` by k-medoids.
 
-    Reports share one clustering per application and folder, as they share a table in a catalog.
+    Reports share one clustering as long as the tables' files stay the same.
     """
-    key = (spark.sparkContext.applicationId, folder, signal)
-    if key not in _CLUSTERED or not tables.exists(spark, _CLUSTERED[key]):
-        found = flows.cluster_signal(
-            raw(spark, folder, signal), usage.outliers(spark, folder), signal, REPORT_K[signal]
-        )
-        rows = found.labelled().withColumnRenamed("cluster", "cluster_wasserstein")
-        _CLUSTERED[key] = tables.write_aside(rows, f"clusters-{signal}")
-        found.fleet.close()
-    return spark.read.parquet(_CLUSTERED[key])
+    where = f"{_report(spark, folder)}/clusters-{signal}"
+    if not tables.exists(spark, f"{where}/_SUCCESS"):
+        rows = usage.spectra_of(report_usage(spark, folder), signal)
+        found = flows.cluster_signal(rows, usage.outliers(spark, folder), signal, REPORT_K[signal])
+        with found.fleet:
+            named = found.labelled().withColumnRenamed("cluster", "cluster_wasserstein")
+            named.write.mode("overwrite").parquet(where)
+    return spark.read.parquet(where)
 
 
 def codes(spark, folder, signal="velocity") -> DataFrame:
@@ -85,7 +94,7 @@ def labelled_codes(spark, folder) -> dict[str, DataFrame]:
 
 
 def subpopulation(spark, folder) -> DataFrame:
-    return flows.combine(labelled_codes(spark, folder), usage.vehicle_stats(spark, folder))
+    return flows.combine(labelled_codes(spark, folder), usage.stats_of(report_usage(spark, folder)))
 
 
 # Cleaning and checks
@@ -101,6 +110,15 @@ def stage_counts(spark, folder):
     )
 
 
+@query
+def fleet_audit(spark, folder):
+    """Counts, zero rows, dropped mass and group conflicts of a run, from one pass over each table."""
+    data = spectra.audit(
+        raw(spark, folder, "weight"), usage.outliers(spark, folder), WEIGHT_GRID
+    )
+    return rounded(data, 6, "dropped_share")
+
+
 @query
 def outlier_anti_join(spark, folder):
     return cleaned(spark, folder, "velocity")
@@ -503,6 +521,18 @@ def density_quantiles(spark, folder):
     )
 
 
+@query
+def signal_quantiles(spark, folder):
+    """Quantiles of raw samples per weight cluster, from sketches that are made apart and merged."""
+    samples = usage.raw_samples(usage.table(spark, folder, "events"))
+    rows = codes(spark, folder, "weight").withColumnRenamed("cluster_wasserstein", "cluster")
+    halves = [samples.where(F.pmod(F.xxhash64("signal"), F.lit(2)) == i) for i in range(2)]
+    first, second = (profile.signal_sketches(h, rows) for h in halves)
+    return profile.sketch_quantiles(
+        profile.merged_sketches(first.unionByName(second)), (0.25, 0.5, 0.75)
+    )
+
+
 @query
 def auto_labels(spark, folder):
     rows = clusters(spark, folder, "velocity").withColumnRenamed("cluster_wasserstein", "cluster")
@@ -616,6 +646,17 @@ def subpopulation_stats(spark, folder):
     return rounded(subpopulation(spark, folder), 4, *fleet.KPIS)
 
 
+@query
+def subpopulation_bucketed(spark, folder):
+    """The four tables saved in buckets by vin, and joined where they lie."""
+    parts = {**labelled_codes(spark, folder), "stats": usage.stats_of(report_usage(spark, folder))}
+    saved = {}
+    for name, rows in parts.items():
+        table = f"{name}_{uuid.uuid4().hex}"
+        saved[name] = tables.save_bucketed(rows, table, f"{tables.shared_folder(spark)}/{table}")
+    return rounded(flows.combine(saved, saved["stats"]), 4, *fleet.KPIS)
+
+
 @query
 def subpopulation_saved(spark, folder):
     """Written, overwritten from itself, and read back."""

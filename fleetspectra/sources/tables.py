@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,11 +49,28 @@ def save(
         writer.saveAsTable(target)
 
 
+def save_bucketed(df: DataFrame, table: str, path: str, key: str = "vin", buckets: int = 16) -> DataFrame:
+    """Save a table whose rows are dealt by ``key`` into sorted buckets, a file each; returns the table.
+
+    Tables of equally many buckets join by the key, and are grouped by it, without another shuffle. Rows are
+    hashed before they are written as the buckets are, so no task writes more than its own buckets.
+    """
+    (
+        df.repartition(buckets, key)
+        .write.bucketBy(buckets, key)
+        .sortBy(key)
+        .option("path", path)
+        .mode("overwrite")
+        .saveAsTable(table)
+    )
+    return df.sparkSession.table(table)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This application's part of the folder that all executors share.
 
-    The session names it in ``spark.checkpoint.dir``; without that setting a folder in the warehouse
-    is taken, which is shared as well.
+    The session names it in ``spark.checkpoint.dir``. Without that setting a folder in the warehouse is
+    taken; a warehouse on a machine's own disk is refused where executors may run on other machines.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -61,9 +79,49 @@ def shared_folder(spark: SparkSession) -> str:
         root = set_by_hand.get() if set_by_hand.isDefined() else None
     if not root:
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+        require_shared(context, root)
     return f"{root.rstrip('/')}/{context.applicationId}"
 
 
+def require_shared(context, root: str) -> None:
+    """Raise if ``root`` lies on a local disk and the executors are not threads of the driver."""
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    scheme = path.getFileSystem(context._jsc.hadoopConfiguration()).getUri().getScheme()
+    if scheme == "file" and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError(f"{root} is no folder that executors share; name one in spark.checkpoint.dir")
+
+
+def children(spark: SparkSession, where: str) -> list[str]:
+    """Names of the folders and files in a folder; none if it is not there."""
+    if not exists(spark, where):
+        return []
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(path))
+
+
+def fingerprint(spark: SparkSession, *sources: str) -> str:
+    """A digest of the names, sizes and times of all files below the given paths."""
+    seen = hashlib.sha256()
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for source in sources:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+        files = path.getFileSystem(conf).listFiles(path, True)
+        found = []
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        seen.update(repr((source, sorted(found))).encode())
+    return seen.hexdigest()[:32]
+
+
+def kept(spark: SparkSession, where: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows written to ``where`` before, or else made and written now."""
+    if not exists(spark, f"{where}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(where)
+    return spark.read.parquet(where)
+
+
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: short lineage that survives executors."""
     return read_back(df.sparkSession, write_aside(df, name, compression), df.schema)

@@ -47,10 +47,14 @@ def usage(spark: SparkSession, folder: str, entity: str = "V") -> DataFrame:
 
 def spectra(spark: SparkSession, folder: str, signal: str, entity: str = "V") -> DataFrame:
     """``vin, sales_group, x1_interval, count`` of a signal."""
+    return spectra_of(usage(spark, folder, entity), signal)
+
+
+def spectra_of(lines: DataFrame, signal: str) -> DataFrame:
+    """The same from usage rows."""
     edge, width = _EDGES[signal]
     return (
-        usage(spark, folder, entity)
-        .groupBy("vin", "sales_group", edge().cast("bigint").alias("lo"))
+        lines.groupBy("vin", "sales_group", edge().cast("bigint").alias("lo"))
         .agg(F.count("*").cast("double").alias("count"))
         .select("vin", "sales_group", interval_text(F.col("lo"), width).alias("x1_interval"), "count")
     )
@@ -62,9 +66,12 @@ def outliers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vehicle_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return stats_of(usage(spark, folder))
+
+
+def stats_of(lines: DataFrame) -> DataFrame:
     return (
-        usage(spark, folder)
-        .groupBy("vin", "sales_group")
+        lines.groupBy("vin", "sales_group")
         .agg(
             F.avg("l_quantity").alias("vehicle_speed_avg_driving_kmh"),
             F.avg("l_extendedprice").alias("gc_weight_avg_kg"),
