@@ -85,9 +85,12 @@ def join_subpopulations(
     hashed already; sales groups are compared.
     """
     out = velocity
+    # Said so that the optimizer does not make the group a second join key: tables that are dealt by vin
+    # alone would be shuffled for it.
+    same_group = F.array_contains(F.array("_group"), F.col("sales_group"))
     for side in (weight, gradient, *([] if stats is None else [stats])):
         other = side.withColumnRenamed("sales_group", "_group")
-        out = out.join(other, "vin").where(F.col("sales_group") == F.col("_group")).drop("_group")
+        out = out.join(other, "vin").where(same_group).drop("_group")
     return out
 
 
