@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from fleetspectra.functions.intervals import is_finite
 from fleetspectra.operators.cluster import Medoids
 from fleetspectra.operators.distance import Fleet
 from fleetspectra.operators.grid import Axis, GridSpec
+from fleetspectra.sources.tables import materialize
 
 
 def cluster_profile(labelled: DataFrame, grid: GridSpec | Axis) -> DataFrame:
@@ -147,11 +149,96 @@ def label_names(auto: DataFrame) -> dict[int, str]:
     return {r["cluster"]: r["label"] for r in auto.collect()}
 
 
+# Distributions of more bins are projected without a matrix of bins by bins on the driver.
+DENSE_BINS = 1024
+# Directions carried beside the wanted ones, and the rounds after which an unsettled projection is an error.
+SPARE = 8
+PCA_ROUNDS = 60
+_SETTLED = 1e-11
+
+
+def pca_sparse(cells: DataFrame, n: int = 2) -> tuple[DataFrame, list[float]]:
+    """The same as ``pca_coordinates`` from rows ``vin, place, p``, on any number of places.
+
+    Subspace iteration with ``n + SPARE`` directions: a round multiplies the centered shares with the
+    directions and their transpose with the outcome, two joins with sums that combine before the shuffle.
+    The driver holds sums of directions by directions, never a place or a vehicle. Directions start from a
+    hash of their place, so reruns agree. Raises if the variances along the wanted directions still move.
+    """
+    r = n + SPARE
+    q, z = [f"q{j}" for j in range(r)], [f"z{j}" for j in range(r)]
+    cells = materialize(
+        cells.select("vin", "place", F.col("p").cast("double").alias("p")).where("p != 0"), "pca-cells"
+    )
+    size = cells.agg(F.count_distinct("vin").alias("n"), F.sum(F.col("p") * F.col("p")).alias("s")).first()
+    if not size["n"]:
+        raise ValueError("no vehicles to project")
+    means = cells.groupBy("place").agg((F.sum("p") / size["n"]).alias("m"))
+    spread = (F.lit(1.0) / F.lit(float(2**63))).cast("double")
+    basis = materialize(
+        means.select("place", "m", *[(F.xxhash64("place", F.lit(j)) * spread).alias(c) for j, c in enumerate(q)]),
+        "pca-basis",
+    )
+
+    def products(rows: DataFrame, names: Sequence[str]) -> np.ndarray:
+        pairs = [(i, j) for i in range(r) for j in range(i, r)]
+        found = rows.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"_{i}_{j}") for i, j in pairs]).first()
+        out = np.zeros((r, r))
+        for i, j in pairs:
+            out[i, j] = out[j, i] = found[f"_{i}_{j}"]
+        return out
+
+    def turned(names: Sequence[str], matrix: np.ndarray, to: Sequence[str]) -> list[Column]:
+        return [
+            sum((F.col(c) * F.lit(float(matrix[i, j])) for i, c in enumerate(names)), F.lit(0.0)).alias(t)
+            for j, t in enumerate(to)
+        ]
+
+    def scores(basis: DataFrame) -> DataFrame:
+        shift = basis.agg(*[F.sum(F.col("m") * F.col(c)).alias(c) for c in q]).first()
+        sums = cells.join(basis, "place").groupBy("vin")
+        return sums.agg(*[(F.sum(F.col("p") * F.col(a)) - F.lit(shift[a])).alias(b) for a, b in zip(q, z)])
+
+    before = None
+    for _ in range(PCA_ROUNDS):
+        # The scores add up to zero, so means drop out of the way back.
+        back = cells.join(scores(basis), "vin").groupBy("place")
+        rows = back.agg(*[F.sum(F.col("p") * F.col(c)).alias(c) for c in z]).join(means, "place")
+        rows = materialize(rows, "pca-round")
+        values, vectors = np.linalg.eigh(products(rows, z))
+        values, vectors = values[::-1], vectors[:, ::-1]
+        # Directions without variance are kept as zeros.
+        real = values > max(values[0], 0.0) * 1e-24
+        unit = np.where(real, vectors / np.sqrt(np.where(real, values, 1.0)), 0.0)
+        basis = materialize(rows.select("place", "m", *turned(z, unit, q)), "pca-basis")
+        now = np.sqrt(np.maximum(values[:n], 0.0))
+        if before is not None and np.all(np.abs(now - before) <= _SETTLED * max(now[0], 1e-300)):
+            break
+        before = now
+    else:
+        raise RuntimeError(f"the projection still moves after {PCA_ROUNDS} rounds")
+    last = materialize(scores(basis), "pca-scores")
+    values, vectors = np.linalg.eigh(products(last, z))
+    lead = vectors[:, ::-1][:, :n]
+    names = [f"pc{i + 1}" for i in range(n)]
+    loadings = basis.select(*turned(q, lead, names))
+    ends = loadings.agg(*[f(c).alias(f"{k}_{c}") for c in names for k, f in (("a", F.max), ("b", F.min))]).first()
+    signs = [1.0 if abs(ends[f"a_{c}"]) >= abs(ends[f"b_{c}"]) else -1.0 for c in names]
+    squares = means.agg(F.sum(F.col("m") * F.col("m"))).first()[0]
+    total = size["s"] - size["n"] * squares
+    shares = [float(v / total) if total > 0 else 0.0 for v in values[::-1][:n]]
+    return last.select("vin", *turned(z, lead * np.array(signs), names)), shares
+
+
 def pca_coordinates(dists: DataFrame, n: int = 2) -> tuple[DataFrame, list[float]]:
     """Centered principal coordinates ``vin, pc1 ... pcn`` and the share of variance of each.
 
-    The sign is fixed so that the loading of largest magnitude is positive.
+    The sign is fixed so that the loading of largest magnitude is positive. Beyond ``DENSE_BINS`` bins
+    ``pca_sparse`` finds the same.
     """
+    bins = dists.select(F.size("probs").alias("b")).first()
+    if bins is not None and bins["b"] > DENSE_BINS:
+        return pca_sparse(dists.select("vin", F.posexplode("probs").alias("place", "p")), n)
     vectors = dists.select("vin", array_to_vector("probs").alias("v"))
     scaler = StandardScaler(inputCol="v", outputCol="centered", withMean=True, withStd=False)
     centered = scaler.fit(vectors).transform(vectors)
