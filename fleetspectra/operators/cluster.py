@@ -25,6 +25,7 @@ from fleetspectra.functions.arrays import (
     double_matrix,
     nearest,
 )
+from fleetspectra.functions.intervals import let
 from fleetspectra.operators.distance import Fleet, cluster_totals
 
 # Rows of the cluster summary (clusters x bins x cells) up to which it is broadcast.
@@ -164,11 +165,15 @@ def _cells(fleet: Fleet) -> Column:
     )
     edges = [[r["low"], *r["cuts"], r["high"]] for r in rows]
 
-    def cell(x: Column, cuts: Column) -> Column:
-        part = F.size(F.filter(F.slice(cuts, 2, PARTS - 1), lambda v: v < x))
+    def inner(x: Column, cuts: Column, part: Column) -> Column:
         low, high = F.get(cuts, part), F.get(cuts, part + 1)
         inside = F.ceil(F.coalesce(F.try_divide(x - low, high - low), F.lit(0.0)) * SUBCELLS)
-        number = part * (SUBCELLS + 1) + F.least(F.greatest(inside, F.lit(0)), F.lit(SUBCELLS)) + 1
+        return part * (SUBCELLS + 1) + F.least(F.greatest(inside, F.lit(0)), F.lit(SUBCELLS)) + 1
+
+    def cell(x: Column, cuts: Column) -> Column:
+        # The lowest edge lies below x here, so the edges below it are one more than the cuts.
+        part = F.aggregate(cuts, F.lit(-1), lambda n, v: n + (v < x).cast("int"))
+        number = let(part, lambda p: inner(x, cuts, p))
         top = F.get(cuts, F.lit(PARTS))
         bottom = F.get(cuts, F.lit(0))
         return F.when(x >= top, _width() - 1).when(x <= bottom, 0).otherwise(number).cast("int")
@@ -254,15 +259,25 @@ def _bounded(fleet: Fleet, values: DataFrame, summary: DataFrame, n_clusters: in
 
 
 def _exact(
-    fleet: Fleet, values: DataFrame, summary: DataFrame, survivors: DataFrame, n_clusters: int
+    fleet: Fleet,
+    values: DataFrame,
+    summary: DataFrame,
+    survivors: DataFrame,
+    n_clusters: int,
+    labelled: DataFrame | None = None,
 ) -> DataFrame:
     """Exact mean distance of each survivor (``vin, q``) to its cluster: ``vin, q, cost``, rounded.
 
+    With the ``labelled`` rows behind ``values``, only survivors are taken apart into values again.
+
     A survivor's value needs count and sum of the members at or below it. Below its cell they are in the
     summary; inside they come from sorting the cell, where survivors are laid between the members. Order
     among equal values does not matter.
     """
-    asked = values.join(survivors.select("vin", "q"), ["vin", "q"], "left_semi")
+    own = values
+    if labelled is not None:
+        own = _values(fleet, labelled.join(survivors.select("vin").distinct(), "vin", "left_semi"))
+    asked = own.join(survivors.select("vin", "q"), ["vin", "q"], "left_semi")
     mixed = F.col("hi") > F.col("lo")
     wide = summary.where(mixed).select("cell")
     contested = asked.select("cell").distinct().join(wide, "cell", "left_semi")
@@ -293,7 +308,8 @@ def _exact(
 
 def _central(fleet: Fleet, frame: DataFrame, n: int) -> list[tuple[str, float]]:
     """The most central vehicles: bounds first, exact costs for those that may be among them."""
-    values = _values(fleet, frame.withColumn("codes", F.array(F.lit(0))))
+    labelled = frame.withColumn("codes", F.array(F.lit(0)))
+    values = _values(fleet, labelled)
     summary = _summary(values).persist()
     bounded = _bounded(fleet, values, summary, 1).persist()
     try:
@@ -301,7 +317,7 @@ def _central(fleet: Fleet, frame: DataFrame, n: int) -> list[tuple[str, float]]:
         near = bounded.where(F.col("low") <= reach + _SLACK + 1e-12 * reach)
         # One vehicle stands for all of its distribution.
         kinds = near.groupBy("q", "sig").agg(F.min("vin").alias("vin"))
-        costs = _exact(fleet, values, summary, kinds, 1).join(kinds, ["vin", "q"]).select("sig", "cost")
+        costs = _exact(fleet, values, summary, kinds, 1, labelled).join(kinds, ["vin", "q"]).select("sig", "cost")
         best = near.select("vin", "sig").join(costs, "sig").orderBy("cost", "vin").limit(n)
         return [(r["vin"], r["cost"]) for r in best.select("vin", "cost").collect()]
     finally:
@@ -341,7 +357,7 @@ def _update(
                 rivals = candidates.where(F.col("q").isin(open_))
                 rank = F.struct("cost", (F.col("vin") != mine).alias("other"), "vin")
                 rows = (
-                    _exact(fleet, values, summary, rivals, n_clusters)
+                    _exact(fleet, values, summary, rivals, n_clusters, labelled)
                     .groupBy("q")
                     .agg(F.min(rank).alias("rank"))
                     .collect()
