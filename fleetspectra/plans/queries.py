@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +91,10 @@ def codes(spark, folder, signal="velocity") -> DataFrame:
 
 
 def labelled_codes(spark, folder) -> dict[str, DataFrame]:
+    """Labels of the three signals, whose clusterings run side by side: each alone leaves cores idle."""
+    report_usage(spark, folder)
+    with ThreadPoolExecutor(len(SIGNALS)) as pool:
+        list(pool.map(lambda s: clusters(spark, folder, s), SIGNALS))
     return {s: fleet.apply_labels(codes(spark, folder, s), s) for s in SIGNALS}
 
 
