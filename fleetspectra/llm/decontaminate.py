@@ -4,12 +4,15 @@ A text is rewritten to a template: numbers, units after numbers, and names becom
 other words are lowered and bared of punctuation. A question that was given new numbers and names keeps its
 template. Windows of ``WINDOW`` template tokens of the benchmark are hash-joined with all windows of all
 documents. For each place where an item fits a document, the slots of the matched windows are compared: every
-value of the item must turn into one and the same value everywhere, or the window is a chance match.
+value of the item must turn into one and the same value everywhere, and no two of its names into one, or the
+window is a chance match.
 
-A text is read in three ways, each a stream of tokens of its own, so that what surrounds a passage hides
-nothing: ``v``, its bare words without placeholders, whatever their case, spacing and punctuation; ``n``,
-where every capitalised word is a name; ``p``, where one that may just open a sentence is plain. Of items
-there is ``f`` as well, which is ``n`` with a plain first word.
+A text is split at white space once, each distinct piece is taken apart once a batch, and three streams of tokens
+come from it, so that what surrounds a passage hides nothing: ``v``, its bare words without placeholders,
+whatever their case, spacing and punctuation; ``n``, where a run of capitalised words is one name ("Bill
+Smith", "University of Texas"), a run of numbers one number ("twenty-five", "1 1/2") and a unit behind it one
+unit; ``p``, which is ``n`` with capitalised words plain where they may just open a sentence. Of items there
+is ``f`` as well, which is ``n`` with a plain first word.
 
 Each task holds the hashes of the benchmark's windows to see which of its own windows can match; the
 benchmark is taken in blocks of a stated size, one pass over the documents each, so a benchmark of any size
@@ -20,11 +23,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,113 +69,229 @@ UNITS = (
     "minutes min hour hours hr hrs h day days week weeks month months year years dollar dollars cent cents "
     "euro euros usd eur gbp percent pct degree degrees km/h mph kph kb mb gb tb hz khz mhz ghz w kw kwh v a"
 )
-MARKS = {"n": b"\x01n", "u": b"\x01u", "c": b"\x01c"}
-
-_NUMBER_WORDS = {w.encode() for w in NUMBER_WORDS.split()}
+# Number words that "and" may follow, words inside names, and short forms whose dot ends no sentence.
+SCALES = "hundred thousand million billion"
+PARTICLES = "of de del della der den di da du la le van von bin ibn al el y"
+TITLES = "Mr Mrs Ms Dr Prof St Jr Sr Mt"
+# Marks of placeholders by kind; a plain token has kind 0.
+NUMBER, UNIT, NAME = 1, 2, 3
+MARKS = {NUMBER: "\x01n", UNIT: "\x01u", NAME: "\x01c"}
+
+# What is known of a token by itself.
+_NUM, _UNIT, _MAYBE_UNIT, _NAME, _INITIAL, _PARTICLE, _AND, _SCALE, _OPENER, _JOINS = (1 << i for i in range(10))
+_WORD_FLAGS: dict[str, int] = {}
+for _words, _flag in (
+    (NUMBER_WORDS, _NUM),
+    (UNITS, _MAYBE_UNIT),
+    (SCALES, _SCALE),
+    (PARTICLES, _PARTICLE),
+    ("and", _AND),
+):
+    for _word in _words.split():
+        _WORD_FLAGS[_word] = _WORD_FLAGS.get(_word, 0) | _flag
+_OPENERS = frozenset(OPENERS.split())
+_UNIT_WORDS = frozenset(UNITS.split())
 _UNITS = "|".join(re.escape(u) for u in sorted(UNITS.split(), key=len, reverse=True))
-# Punctuation is a gap between words, marks of placeholders are kept.
-_GAPS = bytes(32 if chr(i) in "!\"#$&'()*+,-./:;<=>?@[\\]^_`{|}~%\x05\x06" else i for i in range(256))
-_OPENERS = {b"\x01c" + w.encode() for w in OPENERS.split()}
-# An ambiguous word stands between two marks, and its inner punctuation is marked.
-_INNER = str.maketrans("'-’", "\x05\x06\x07")
-_QUOTES = "“”‘’„«»…–—¿¡"
 _CAPITAL = "A-ZÀ-ÖØ-Þ"
-_VALUE = re.compile(
-    rf"[$£€]?\d+(?:[.,]\d+)*(?:\s?(%|°[CF]?|(?i:{_UNITS})(?![\w])))?"
-    rf"|[{_CAPITAL}][\w'’-]*"
+_WORD = re.compile(r"[^\W_]+")
+_PART = re.compile(
+    rf"(?P<num>[$£€]?\d+(?:[.,]\d+)*(?:/\d+)?|[½¼¾⅓⅔])(?:(?i:st|nd|rd|th)(?![^\W_]))?"
+    rf"(?P<unit>(?:%|°[CF]?|(?i:{_UNITS}))(?![^\W_]))?"
+    rf"|(?P<name>[{_CAPITAL}](?:['’][{_CAPITAL}])?[^\W\d_]+(?:-[{_CAPITAL}][^\W\d_]+)*)"
+    rf"|[^\W_]+"
 )
-_SENTENCE_END = ".!?:;\"“”«»\n\r"
-_SPACES = re.compile(r"\s\s+|[^\S ]")
-# The first word of a text if it is ambiguous.
-_FIRST = re.compile(r"[^\w\x01-\x03]*\x02[^\x03]*\x03")
-
-
-def _placeholder(m: re.Match) -> str:
-    word = m.group()
-    if word[0].isdigit() or word[0] in "$£€":
-        unit = m.group(1)
-        number = word[: len(word) - len(unit)] if unit else word
-        digits = re.sub(r"[^0-9]", "x", number.strip())
-        return f" \x01n{digits} " + (f"\x01u{unit.strip('%').lower() or 'pct'} " if unit else "")
-    text, at = m.string, m.start()
-    before = text[max(0, at - 2) : at]
-    # A capital inside a word, or a short or an all-capital word, or a number: no name.
-    if len(word) < 2 or not word[1].islower() or word.lower().encode() in _NUMBER_WORDS:
-        return word
-    if before[-1:].isalnum():
-        return word
-    # Where a sentence may open it is ambiguous.
-    if at == 0 or before[-1] != " " or before[0] in _SENTENCE_END:
-        return "\x02" + word.translate(_INNER) + "\x03"
-    return "\x01c" + re.sub(r"[^\w]", "", word) + " "
-
-
-def _marked(text: str | None) -> str:
-    """The text in one line, with placeholders, and ambiguous words between marks."""
-    text = text or ""
-    for mark in "\x01\x02\x03\x05\x06\x07":
-        text = text.replace(mark, " ")
-    return _VALUE.sub(_placeholder, _SPACES.sub(" ", text))
-
-
-def _as_plain(marked: str) -> bytes:
-    marked = marked.replace("\x07", "’").lower()
-    return marked.encode("utf-8").translate(_GAPS, b"\x02\x03")
-
-
-def _as_names(marked: str) -> bytes:
-    marked = marked.replace("\x02", " \x01c").replace("\x03", " ").lower()
-    return marked.encode("utf-8").translate(_GAPS, b"\x05\x06\x07")
-
-
-def template(text: str | None) -> bytes:
-    """Template tokens with a space between, ambiguous words plain; a placeholder carries its value behind
-    its mark."""
-    return _as_plain(_marked(text))
-
-
-def bare_words(text: str | None) -> bytes:
-    """Lowered words with a space between, whatever their spacing and punctuation."""
-    text = (text or "").replace("\x01", " ")
-    if not text.isascii():
-        for mark in _QUOTES:
-            text = text.replace(mark, " ")
-        text = " ".join(text.split())
-    return text.lower().encode("utf-8").translate(_GAPS)
-
-
-def readings(text: str | None, forms: Iterable[str]) -> list[bytes]:
-    """The tokens of each form."""
-    marked = _marked(text)
-    out = []
-    for form in forms:
-        if form == "v":
-            out.append(bare_words(text))
-        elif form == "p":
-            out.append(_as_plain(marked))
-        elif form == "f" and (first := _FIRST.match(marked)):
-            out.append(_as_plain(first.group()) + _as_names(marked[first.end() :]))
-        else:
-            out.append(_as_names(marked))
-    return out
+_SHORT_FORM = re.compile(rf"(?:[{_CAPITAL}]|{'|'.join(TITLES.split())})\.")
+_SENTENCE_END = frozenset(".!?:;\"“”«»")
+
+
+class _Raw(NamedTuple):
+    """A piece of text between white space: its bare words, its tokens as (flags, word), whether its edges are
+    free of punctuation, and whether a sentence may end with it."""
+
+    words: tuple[str, ...]
+    tokens: tuple[tuple[int, str], ...]
+    head: bool
+    tail: bool
+    ends: bool
+
+
+def _take_apart(raw: str) -> _Raw:
+    if raw.isalpha() and raw.islower():
+        return _Raw((raw,), ((_WORD_FLAGS.get(raw, 0), raw),), True, True, False)
+    words = tuple(w.lower() for w in _WORD.findall(raw))
+    short = _SHORT_FORM.fullmatch(raw) is not None
+    if short and len(raw) == 2:
+        return _Raw(words, ((_INITIAL, words[0]),), True, True, False)
+    bare = raw.strip(".,;:!?()\"'").lower()
+    if "/" in bare and bare in _UNIT_WORDS:
+        at = raw.lower().index(bare)
+        return _Raw(words, ((_MAYBE_UNIT, bare),), not at, at + len(bare) == len(raw), raw[-1] in _SENTENCE_END)
+    tokens: list[tuple[int, str]] = []
+    end, first = 0, None
+    for m in _PART.finditer(raw):
+        gap, end = raw[end : m.start()], m.end()
+        joins = _JOINS if not gap or gap.isspace() else 0
+        if first is None:
+            first = m.start()
+        if m["num"]:
+            tokens.append((_NUM | joins, m["num"]))
+            if m["unit"]:
+                tokens.append((_UNIT | _JOINS, m["unit"].lower().replace("%", "pct")))
+            continue
+        word = m.group().lower()
+        flags = _WORD_FLAGS.get(word, 0)
+        # Words of a number stand together across a hyphen.
+        if flags & _NUM and gap == "-":
+            joins = _JOINS
+        name = m["name"]
+        if name and not flags & _NUM and (name[1].islower() or name[1] in "'’"):
+            flags |= _NAME | (_OPENER if word in _OPENERS else 0)
+            word = "".join(_WORD.findall(word))
+        tokens.append((flags | joins, word))
+    if first is None:
+        return _Raw(words, (), False, False, any(c in _SENTENCE_END for c in raw))
+    tail = raw[end:]
+    return _Raw(
+        words,
+        tuple(tokens),
+        not first or raw[:first].isspace(),
+        short or not tail or tail.isspace(),
+        not short and any(c in _SENTENCE_END for c in tail),
+    )
 
 
-def _kinds(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each token as the template has it, and whether it is plain."""
+# Short pieces come again in the next batch; a stated number of them is kept.
+_known_raw = lru_cache(maxsize=30_000)(_take_apart)
+
+
+def _spread(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each code's lot of a flat list, one after another: positions in the list, and where each lot begins."""
+    n = sizes[codes]
+    begins = np.concatenate([[0], np.cumsum(n)])
+    return np.arange(begins[-1]) + np.repeat(starts[codes] - begins[:-1], n), begins
+
+
+class _Stream(NamedTuple):
+    """Tokens of a batch in one form: hash, whether plain, first of their parts, and starts of texts."""
+
+    hashes: np.ndarray
+    plain: np.ndarray
+    kinds: np.ndarray | None
+    parts: np.ndarray
+    first: np.ndarray | None
+    starts: np.ndarray
+
+
+class Tokens:
+    """The streams of a batch of texts, from one split at white space."""
+
+    def __init__(self, texts: pa.Array):
+        self.raw = Words(texts, lower=False)
+        words: dict[str, int] = {}
+        tokens: dict[tuple[int, str], int] = {}
+        word_list, token_list, word_sizes, token_sizes, edges = [], [], [], [], []
+        for piece in self.raw.vocabulary:
+            text = piece.decode("utf-8", "replace")
+            r = _known_raw(text) if len(text) <= 40 else _take_apart(text)
+            word_list.extend([words.setdefault(w, len(words)) for w in r.words])
+            token_list.extend([tokens.setdefault(t, len(tokens)) for t in r.tokens])
+            word_sizes.append(len(r.words))
+            token_sizes.append(len(r.tokens))
+            edges.append((r.head, r.tail, r.ends))
+        self.words, self.tokens = list(words), list(tokens)
+        self._word_list = np.array(word_list, np.int64), np.array(word_sizes, np.int64)
+        self._token_list = np.array(token_list, np.int64), np.array(token_sizes, np.int64)
+        self._edges = np.array(edges, bool).reshape(-1, 3)
+
+    def _flat(self, lot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, sizes = lot
+        at, begins = _spread(self.raw.codes, np.cumsum(sizes) - sizes, sizes)
+        return flat[at], begins
+
+    def bare(self) -> _Stream:
+        codes, begins = self._flat(self._word_list)
+        hashes = _hashes(self.words)[codes]
+        return _Stream(hashes, np.ones(len(codes), bool), None, codes, None, begins[self.raw.starts])
+
+    def template(self, form: str) -> _Stream:
+        codes, begins = self._flat(self._token_list)
+        flags = np.array([f for f, _ in self.tokens], np.int64)[codes]
+        starts = begins[self.raw.starts]
+        n = len(codes)
+        # Whether a token stands next to the one before, nothing but white space between.
+        joins = flags & _JOINS != 0
+        heads = begins[:-1]
+        full = np.flatnonzero(heads < begins[1:])
+        at, raw = heads[full], self.raw.codes[full]
+        before = self.raw.codes[np.maximum(full - 1, 0)]
+        joins[at] = self._edges[raw, 0] & self._edges[before, 1]
+        opens = np.zeros(n, bool)
+        opens[at] = ~self._edges[raw, 0] | self._edges[before, 2]
+        texts = starts[:-1][starts[:-1] < starts[1:]]
+        joins[texts], opens[texts] = False, True
+
+        def after(x: np.ndarray) -> np.ndarray:
+            out = np.zeros(n, bool)
+            out[:-1] = x[1:] & joins[1:]
+            return out
+
+        def behind(x: np.ndarray) -> np.ndarray:
+            out = np.zeros(n, bool)
+            out[1:] = x[:-1] & joins[1:]
+            return out
+
+        name = flags & _NAME != 0
+        if form == "p":
+            name &= ~opens
+        elif form == "f":
+            name[texts] = False
+        name |= (flags & _INITIAL != 0) & after(name | (flags & _INITIAL != 0))
+        particle = flags & _PARTICLE != 0
+        one = particle & behind(name) & after(name)
+        two = particle & behind(name) & after(particle & after(name))
+        name |= one | two | (particle & behind(two))
+        number = flags & _NUM != 0
+        number |= (flags & _AND != 0) & behind(flags & _SCALE != 0) & after(number)
+        unit = (flags & _MAYBE_UNIT != 0) & behind(number) & ~name
+        number &= ~unit
+        kinds = np.select([unit | (flags & _UNIT != 0), number, name], [UNIT, NUMBER, NAME], 0)
+        same = np.zeros(n, bool)
+        same[1:] = joins[1:] & (kinds[1:] == kinds[:-1]) & ((kinds[1:] == NUMBER) | (kinds[1:] == NAME))
+        first = np.flatnonzero(~same)
+        kinds = kinds[first]
+        hashes = _hashes([w for _, w in self.tokens])[codes[first]]
+        for kind, mark in MARKS.items():
+            hashes[kinds == kind] = xxhash.xxh64_intdigest(mark)
+        alone = np.diff(first, append=n) == 1
+        plain = (kinds == 0) | ((kinds == NAME) & alone & (flags[first] & _OPENER != 0))
+        return _Stream(hashes, plain, kinds, codes, first, np.searchsorted(first, starts))
+
+    def stream(self, form: str) -> _Stream:
+        return self.bare() if form == "v" else self.template(form)
+
+    def shown(self, s: _Stream, i: int, width: int) -> list[tuple[str, str | None]]:
+        """Tokens from ``i`` on as the template has them, each placeholder with its typed value."""
+        if s.kinds is None:
+            return [(self.words[c], None) for c in s.parts[i : i + width]]
+        out = []
+        for j in range(i, i + width):
+            end = s.first[j + 1] if j + 1 < len(s.first) else len(s.parts)
+            value = " ".join(self.tokens[c][1] for c in s.parts[s.first[j] : end])
+            mark = MARKS.get(int(s.kinds[j]))
+            out.append((mark, mark[1:] + value) if mark else (value, None))
+        return out
+
+
+def _hashes(words: list[str]) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    shown = [MARKS["n"] if w in _NUMBER_WORDS else w[:2] if w[:1] == b"\x01" else w for w in vocabulary]
-    hashes = np.fromiter((digest(w) for w in shown), np.uint64, len(shown))
-    plain = (w[:1] != b"\x01" or v in _OPENERS for w, v in zip(shown, vocabulary))
-    return hashes, np.fromiter(plain, bool, len(shown))
+    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
 
 
-def _shown(token: bytes) -> tuple[str, str | None]:
-    """A token's template form and, of a placeholder, its typed value."""
-    if token in _NUMBER_WORDS:
-        return "\x01n", "n" + token.decode()
-    if token[:1] == b"\x01":
-        return token[:2].decode(), token[1:].decode("utf-8", "replace")
-    return token.decode("utf-8", "replace"), None
+def template(text: str | None, form: str = "p") -> list[str]:
+    """Template tokens of one text; a placeholder carries its value behind its mark."""
+    tokens = Tokens(pa.array([text], pa.string()))
+    s = tokens.stream(form)
+    return [t if v is None else "\x01" + v for t, v in tokens.shown(s, 0, len(s.hashes))]
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -202,17 +323,13 @@ def _windows(batch: pa.RecordBatch, forms: Iterable[str], widths: dict, filters:
     text of fewer tokens gives the one window it is, as benchmark items do. Windows of bare words have no
     slots and any share of numbers and names.
     """
-    read = [readings(t.as_py(), forms) for t in batch.column("text")]
-    for k, form in enumerate(forms):
-        words = Words(pa.array([r[k] for r in read], pa.large_binary()).cast(pa.large_string()), lower=False)
-        if form == "v":
-            kinds, plain = words.hashes().view(np.uint64), np.ones(len(words.vocabulary), bool)
-        else:
-            kinds, plain = _kinds(words.vocabulary)
-        hashes = kinds[words.codes]
-        ends = words.starts[1:]
+    tokens = Tokens(batch.column("text"))
+    for form in forms:
+        s = tokens.stream(form)
+        ends, counts = s.starts[1:], np.diff(s.starts)
+        plain_before = np.concatenate([[0], np.cumsum(s.plain)])
         for width in widths.get(form, ()):
-            found = window_hashes(hashes, width)
+            found = window_hashes(s.hashes, width)
             if filters is None:
                 at = np.arange(len(found))
             else:
@@ -223,25 +340,20 @@ def _windows(batch: pa.RecordBatch, forms: Iterable[str], widths: dict, filters:
             text_of = np.searchsorted(ends, at, side="right")
             good = at + width <= ends[text_of] if len(at) else np.zeros(0, bool)
             at, text_of = at[good], text_of[good]
-            n_plain = plain[words.codes[at[:, None] + np.arange(width)]].sum(axis=1)
-            good = n_plain >= min(LEAST_PLAIN, width)
+            good = plain_before[at + width] - plain_before[at] >= min(LEAST_PLAIN, width)
             if whole_below:
-                n = words.counts[text_of]
+                n = counts[text_of]
                 good &= (n == width) | (n >= whole_below) & (width == whole_below)
             for i, row in zip(at[good].tolist(), text_of[good].tolist()):
-                tokens = [words.vocabulary[c] for c in words.codes[i : i + width]]
-                if form == "v":
-                    tokens = [(t.decode("utf-8", "replace"), None) for t in tokens]
-                else:
-                    tokens = [_shown(t) for t in tokens]
+                shown = tokens.shown(s, i, width)
                 yield (
                     row,
                     form,
                     width,
-                    int(i - words.starts[row]),
+                    int(i - s.starts[row]),
                     int(found[i]),
-                    " ".join(t for t, _ in tokens),
-                    [v for _, v in tokens if v is not None],
+                    " ".join(t for t, _ in shown),
+                    [v for _, v in shown if v is not None],
                 )
 
 
@@ -321,13 +433,14 @@ def contaminated(
     block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """One row per contaminated row and item: ``row_id, doc_id, item_id, n_windows, item_windows,
-    first_token, reparameterised``.
+    first_token, reparameterised, numbers_merged``.
 
     ``n_windows`` counts the item's windows found at the best place, out of ``item_windows``;
-    ``reparameterised`` says that some slot has another value there. All three, and ``first_token``, are in the
+    ``reparameterised`` says that some slot has another value there. All four, and ``first_token``, are in the
     form of the item that the greatest share was found of: bare words or template. Windows that touch or
-    overlap are judged together, those apart for themselves: with other values their slots must be consistent;
-    with the item's own they always count. Null and empty texts hold no windows; items shorter than a window
+    overlap are judged together, those apart for themselves: with other values their slots must be consistent,
+    one value becoming one value everywhere and no two names one name (that two numbers did is only told, by
+    ``numbers_merged``); with the item's own values they always count. Null and empty texts hold no windows; items shorter than a window
     are found only whole, with other values those of ``LEAST_TOKENS`` tokens or more, word for word those of
     ``LEAST_WORDS`` or more. Repeated rows and items are found each; null ids are kept. Empty tables give an empty result;
     further columns are ignored. ``docs`` must read the same rows in the same order again, as a table or
@@ -395,20 +508,45 @@ def contaminated(
         _equal(run),
         "left_semi",
     )
-    turned = (
-        changed.select(*run, F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-        .groupBy(*run, F.col("s.item_slots").alias("value"))
-        .agg(F.count_distinct("s.slots").alias("n"))
+    pairs = changed.select(*run, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(
+        *run, F.col("s.item_slots").alias("value"), F.col("s.slots").alias("became")
+    )
+    pairs = materialize(pairs.distinct(), "slots")
+    run_keys = [F.col(k).alias(f"_{k}") for k in run]
+    # A number or unit becomes one value; that two numbers become one is only told.
+    is_name = F.col("value").startswith("c")
+    parted = pairs.filter(~is_name).groupBy(*run, "value").agg(F.count("*").alias("n")).filter("n > 1")
+    fused = pairs.filter(F.col("value").startswith("n")).groupBy(*run, "became").agg(F.count("*").alias("n"))
+    fused = fused.filter("n > 1").select(*run_keys).distinct()
+    # Names are compared by their words, as "Mary Miller" may also be "Mary" or "Later Mary": if all words of one
+    # value are in another, what the two become must share a word, and the other way round. The item's distinct
+    # names bound the sets.
+    common = F.array(*[F.lit(w) for w in f"{OPENERS} {PARTICLES}".split()])
+
+    def name_words(column: str) -> Column:
+        return F.array_except(F.split(F.substr(column, F.lit(2)), " "), common)
+
+    def unlike(x: Column, y: Column, one: str, other: str) -> Column:
+        inside = F.size(F.array_except(x[one], y[one])) == 0
+        return inside & ~F.arrays_overlap(x[other], y[other])
+
+    names = pairs.filter(is_name).select(*run, name_words("value").alias("v"), name_words("became").alias("b"))
+    names = names.filter("size(v) > 0 and size(b) > 0").groupBy(*run).agg(F.collect_set(F.struct("v", "b")).alias("s"))
+    mixed_up = names.filter(
+        F.exists("s", lambda x: F.exists("s", lambda y: unlike(x, y, "v", "b") | unlike(x, y, "b", "v")))
     )
-    loose = turned.filter("n > 1").select(*[F.col(k).alias(f"_{k}") for k in run]).distinct()
+    loose = parted.select(*run_keys).unionByName(mixed_up.select(*run_keys)).distinct()
     # Windows with the item's own values count whatever stands around them.
-    counted = met.filter(~F.col("other")).unionByName(
-        met.filter("other").join(loose, _equal(run), "left_anti")
+    kept = met.filter("other").join(loose, _equal(run), "left_anti")
+    kept = kept.join(fused.withColumn("fused", F.lit(True)), _equal(run), "left")
+    counted = met.withColumn("fused", F.lit(False)).filter(~F.col("other")).unionByName(
+        kept.select(*met.columns, F.coalesce("fused", F.lit(False)).alias("fused"))
     )
     consistent = counted.groupBy(*at).agg(
         F.count_distinct("item_place").alias("n_windows"),
         F.min("place").alias("first_token"),
         F.max("other").alias("other"),
+        F.max("fused").alias("fused"),
     )
     sizes = items.groupBy(F.col("item_id").alias("i"), F.col("form").alias("f")).agg(
         F.count_distinct("place").alias("item_windows")
@@ -424,6 +562,7 @@ def contaminated(
                 "n_windows",
                 "item_windows",
                 (-F.col("first_token")).alias("earlier"),
+                "fused",
             )
         ).alias("b")
     )
@@ -435,4 +574,5 @@ def contaminated(
         F.col("b.item_windows").alias("item_windows"),
         (-F.col("b.earlier")).alias("first_token"),
         (~F.col("b.same")).alias("reparameterised"),
+        F.col("b.fused").alias("numbers_merged"),
     )

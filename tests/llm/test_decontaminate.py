@@ -30,9 +30,22 @@ def frames(spark, docs, items=None):
 
 
 def test_templates():
-    assert template("Then Bob Lee ran 3.5 km.").split() == [b"then", b"\x01cbob", b"\x01clee", b"ran", b"\x01n3x5", b"\x01ukm"]
-    assert template("He said $5 or 20% of it; NASA").split()[2:] == [b"\x01nx5", b"or", b"\x01n20", b"\x01upct", b"of", b"it", b"nasa"]
-    assert template(None) == b"" and template("\x01n") == b" n"
+    assert template("Then Bob Lee ran 3.5 km.") == ["then", "\x01cbob lee", "ran", "\x01n3.5", "\x01ukm"]
+    assert template("He said $5 or 20% of it; NASA")[2:] == ["\x01n$5", "or", "\x01n20", "\x01upct", "of", "it", "nasa"]
+    assert template(None) == [] and template("\x01n") == ["n"]
+
+
+def test_runs_are_one_slot():
+    assert template("one hundred and five, twenty-five and 1 1/2 cups") == [
+        "\x01none hundred and five", "\x01ntwenty five", "and", "\x01n1 1/2", "\x01ucups",
+    ]
+    assert template("when Dr. John F. Kennedy met Ludwig van der Berg, Ann and New York's Jean-Luc at 50 km/h") == [
+        "when", "\x01cdr john f kennedy", "met", "\x01cludwig van der berg", "\x01cann", "and", "\x01cnew york",
+        "s", "\x01cjeanluc", "at", "\x01n50", "\x01ukm/h",
+    ]
+    assert template("in 10:30, 3-4, 5, 6") == ["in"] + [f"\x01n{n}" for n in (10, 30, 3, 4, 5, 6)]
+    assert template("Later Mary came. Later", "n") == ["\x01clater mary", "came", "\x01clater"]
+    assert template("A red\nKite\xa0Runner — Ann", "v") == ["a", "red", "kite", "runner", "ann"]
 
 
 @pytest.mark.parametrize("block_windows", [decontaminate.BLOCK_WINDOWS, 7])
@@ -147,3 +160,40 @@ def test_word_for_word_needs_no_least_length_or_share_of_words(spark):
             (4, short.replace("24", "25")), (5, "too short")]
     got = found_in(spark, docs, [(1, sums), (2, short), (3, "too short")])
     assert set(got) == {(1, 1), (2, 2)} and not any(r["reparameterised"] for r in got.values())
+
+
+STORY = (
+    "Mary gave 5 apples to Tom while they were waiting near Boston for the late bus, and then Mary kept 3 apples "
+    "for herself. How many apples did Mary hold before she met Tom near Boston?"
+)
+
+
+def renamed(mary="Jane", tom="Bob", boston="Denver", five="7", three="2"):
+    text = STORY.replace("Mary", mary).replace("Tom", tom).replace("Boston", boston)
+    return text.replace(" 5 ", f" {five} ").replace(" 3 ", f" {three} ")
+
+
+def test_values_of_another_length_are_found(spark):
+    docs = [
+        (1, renamed(mary="Bill Smith", boston="New York")),
+        (2, renamed(five="twenty-five", three="one hundred and two")),
+        (3, "lorem ipsum Yesterday " + renamed(mary="Ludwig van der Berg", tom="J. R. Miller", five="1 1/2")),
+        (4, renamed(mary="Jane", tom="Jane", boston="Jane")),
+        (5, renamed(five="4", three="4")),
+        (6, STORY),
+        (7, renamed(tom="Mary")),
+        (8, "Jane Jane 3 Jane gave 3 Jane " * 30),
+        (9, renamed(mary="Anna Lee").replace("did Anna Lee hold", "did Anna hold")),
+    ]
+    got = found_in(spark, docs, [(1, STORY)])
+    # In document 7 a name of the item stands for another one, each for one only.
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (7, 1), (9, 1)}
+    assert {k[0] for k, r in got.items() if r["numbers_merged"]} == {5}
+    assert {k[0] for k, r in got.items() if not r["reparameterised"]} == {6}
+    assert {k[0] for k, r in got.items() if r["n_windows"] < r["item_windows"]} <= {3}
+
+
+def test_null_and_repeated_items_and_very_long_pieces(spark):
+    docs = [(1, "x" * 3_000_000 + " " + renamed()), (2, "Ab1.5-" * 300_000), (3, STORY)]
+    got = found_in(spark, docs, [(None, STORY), (None, None), (7, STORY), (7, STORY)])
+    assert set(got) == {(1, None), (1, 7), (3, None), (3, 7)}
