@@ -8,6 +8,7 @@ and leaves the old one readable, so a reader can pin a version and only the slot
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetspectra.llm.common import take
-from fleetspectra.sources.tables import materialize
+from fleetspectra.sources.tables import exists, materialize, shared_folder
 
 SHARDS = 40
 SLOTS = 8192
@@ -113,7 +114,7 @@ def slotted(
     slots: int = SLOTS,
     overhead: int = OVERHEAD,
 ) -> DataFrame:
-    """``row_id, doc_id, size, text_crc32, virtual_slot``, written to the shared folder.
+    """``row_id, doc_id, size, text_crc32, content, virtual_slot``, written to the shared folder.
 
     The slot depends on the record's id and content alone. A null text has no bytes, a null id counts as
     a value like any other.
@@ -125,11 +126,35 @@ def slotted(
         "doc_id",
         (F.octet_length(body) + overhead).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id", body), F.lit(slots)).cast("int").alias("virtual_slot"),
-    )
+        F.xxhash64("doc_id", body).alias("content"),
+    ).withColumn("virtual_slot", F.pmod("content", F.lit(slots)).cast("int"))
     return materialize(plain, "slotted")
 
 
+def spread_copies(records: DataFrame, loads: Sequence[int], slots: int = SLOTS) -> DataFrame:
+    """Rows equal in id and content that outweigh a mean slot together go to all slots, by their row number.
+
+    Such rows are interchangeable, so it does not matter which of them lies where. They make their slot heavy, so
+    only slots above twice the mean are searched, at most half of all, and at most ``slots`` contents are found.
+    """
+    mean = sum(loads) / slots
+    heavy = [i for i, b in enumerate(loads) if b > 2 * mean]
+    if not heavy:
+        return records
+    found = (
+        records.filter(F.col("virtual_slot").isin(heavy))
+        .groupBy(F.col("content").alias("c"))
+        .agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+        .filter((F.col("n") > 1) & (F.col("b") > mean))
+        .select("c")
+    )
+    # Their bytes bound their number by that of the slots.
+    joined = records.join(F.broadcast(found), F.col("content") == F.col("c"), "left")
+    salted = F.pmod(F.xxhash64("content", "row_id"), F.lit(slots)).cast("int")
+    slot = F.when(F.col("c").isNull(), F.col("virtual_slot")).otherwise(salted)
+    return materialize(joined.withColumn("virtual_slot", slot).drop("c"), "spread")
+
+
 def slot_loads(records: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
     """Bytes and rows of every slot: ``slots`` numbers each, whatever the corpus."""
     loads, rows = [0] * slots, [0] * slots
@@ -168,22 +193,41 @@ def shard_documents(
     shards: int = SHARDS,
     slots: int = SLOTS,
     overhead: int = OVERHEAD,
+    map_path: str | None = None,
 ) -> tuple[DataFrame, SlotMap]:
     """``row_id, doc_id, size, text_crc32, virtual_slot, shard, slot`` for every row, and the map.
 
     Sizes per shard are near equal: the law is ``bytes``. Rows equal in id and text share a virtual slot,
-    in the order met. An empty table gives an empty result and a map of no loads; further columns are
+    in the order met, but for those that outweigh a mean slot (``spread_copies``). The map is stored in
+    ``map_path``, by default a folder of its own in the shared one, and read back from there: the first run makes
+    version 1, a later one edits the newest version, moving only the slots that more shards or new loads
+    ask for, and stores it as the next if it differs. An empty table gives an empty result and a map of no loads; further columns are
     ignored.
     """
     records = slotted(docs, doc_id, text, slots, overhead)
     loads, rows = slot_loads(records, slots)
-    slot_map = balanced(loads, shards)
-    return assign(records, slot_map, rows), slot_map
+    spread = spread_copies(records, loads, slots)
+    if spread is not records:
+        records, (loads, rows) = spread, slot_loads(spread, slots)
+    spark = docs.sparkSession
+    path = map_path or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    if not exists(spark, path):
+        save_version(balanced(loads, shards), spark, path)
+    else:
+        stored = load_version(spark, path)
+        if len(stored.shard_of) != slots or stored.shards > shards:
+            raise ValueError(f"the map in {path} has {len(stored.shard_of)} slots and {stored.shards} shards")
+        fitting = grown(stored, loads, shards) if shards > stored.shards else rebalanced(stored, loads)
+        if fitting.shard_of != stored.shard_of:
+            save_version(fitting, spark, path)
+    slot_map = load_version(spark, path)
+    return assign(records, slot_map, rows).drop("content"), slot_map
 
 
 def save_version(slot_map: SlotMap, spark: SparkSession, path: str) -> None:
-    """Append a version to the stored maps."""
-    slot_map.frame(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Store a version beside the earlier ones; one that is there already is refused."""
+    rows = slot_map.frame(spark).drop("version").coalesce(1)
+    rows.write.mode("error").parquet(f"{path}/version={slot_map.version}")
 
 
 def load_version(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:

@@ -75,9 +75,41 @@ def test_versions_are_stored_side_by_side(spark, tmp_path):
         sharding.save_version(m, spark, f"{tmp_path}/maps")
     assert sharding.load_version(spark, f"{tmp_path}/maps") == two
     assert sharding.load_version(spark, f"{tmp_path}/maps", 1) == one
+    with pytest.raises(Exception, match="(?i)exist"):
+        sharding.save_version(one, spark, f"{tmp_path}/maps")
+    assert sharding.load_version(spark, f"{tmp_path}/maps", 1) == one
     assert isinstance(one, SlotMap)
 
 
 def test_empty_table(spark):
     df, slot_map = shard_documents(frame(spark, []), shards=3, slots=8)
     assert df.collect() == [] and len(slot_map.shard_of) == 8
+
+
+def test_rows_repeated_beyond_a_slot_are_spread(spark):
+    rng = random.Random(8)
+    rows = [(i, "x" * rng.randint(0, 400)) for i in range(3000)] + [(7000, "same text " * 20)] * 1500
+    rows += [(None, None)] * 700
+    df, slot_map = shard_documents(frame(spark, rows).repartition(5), shards=10, slots=1024)
+    got = df.collect()
+    loads, places = Counter(), {}
+    for r in got:
+        loads[r["shard"]] += r["size"]
+        places.setdefault(r["shard"], []).append(r["slot"])
+        assert slot_map.shard_of[r["virtual_slot"]] == r["shard"]
+    assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in rows)
+    assert max(loads.values()) < 1.05 * sum(loads.values()) / 10
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_a_stored_map_is_read_and_edited(spark, tmp_path):
+    where = f"{tmp_path}/map"
+    docs = frame(spark, corpus())
+    first, one = shard_documents(docs, shards=4, slots=256, map_path=where)
+    again, same = shard_documents(docs, shards=4, slots=256, map_path=where)
+    assert same == one and sorted(first.drop("row_id").collect(), key=str) == sorted(again.drop("row_id").collect(), key=str)
+    _, two = shard_documents(docs, shards=5, slots=256, map_path=where)
+    assert (two.version, two.shards) == (2, 5) and sharding.load_version(spark, where) == two
+    assert {b for a, b in zip(one.shard_of, two.shard_of) if a != b} == {4}
+    with pytest.raises(ValueError):
+        shard_documents(docs, shards=3, slots=256, map_path=where)
