@@ -2,7 +2,8 @@
 
 1. Every source gets a target in words: its share of the whole by weight, at most ``max_repeats`` times
    its own size, the excess going to the others by weight (water level over sorted caps).
-2. A source's documents fall into blocks of about ``block_words`` words by a hash, that is, in permuted
+2. A source's documents fall into blocks of about ``block_words`` words, or of fewer where the shards would
+   else be drawn from fewer than ``SHARD_BLOCKS`` blocks each, by a hash, that is, in permuted
    order. Whole passes over all blocks come first; of the last pass the first blocks are taken until the
    target is reached. The block on the border is taken in part: its documents in permuted order, each that
    still fits, and one more if that ends nearer to the target.
@@ -32,6 +33,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
 BLOCK_WORDS = 65_536
+# Small corpora have smaller blocks, so that a shard is drawn from about so many.
+SHARD_BLOCKS = 512
 SHARDS = 16
 SEED = 20_240_101
 # A shard's rows are written in 2 ** PIECE_BITS pieces.
@@ -261,9 +264,11 @@ def mix(
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(per_source, weights, total_share, max_repeats)
     whole = F.col("source_size").cast("double")
+    mixed_words = F.sum("target").over(W.partitionBy())
+    block = F.least(F.lit(block_words), F.greatest(F.lit(1), F.ceil(mixed_words / (shards * SHARD_BLOCKS))))
     plan = plan.withColumns(
         {
-            "n_blocks": F.greatest(F.lit(1), F.ceil(whole / block_words)).cast("long"),
+            "n_blocks": F.greatest(F.lit(1), F.ceil(whole / block)).cast("long"),
             "passes": F.when(whole > 0, F.floor(F.col("target") / whole))
             .otherwise(F.lit(0))
             .cast("long"),

@@ -146,3 +146,24 @@ def test_many_small_sources_are_shuffled_instead_of_broadcast(spark, monkeypatch
 def test_native_plan(spark):
     plan = mix(frame(spark, corpus(50)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_each_shard_has_the_shares_of_the_mix(spark):
+    """With the production sizes, also where a source has few words: a draw of documents, not of whole sources."""
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.randint(20, 120), "hot" if i % 3 == 0 else f"s{i % 8}") for i in range(6000)]
+    got = mix(frame(spark, rows), shards=8).collect()
+    source = {i: s for i, _, s in rows}
+    words, whole, weight = Counter(), Counter(), Counter()
+    for r in got:
+        for d in r["draws"]:
+            words[d["shard"], source[r["doc_id"]]] += r["size"]
+            whole[d["shard"]] += r["size"]
+            weight[source[r["doc_id"]]] += r["size"]
+    total = sum(whole.values())
+    assert len(whole) == 8 and max(whole.values()) < 1.25 * total / 8
+    for s, taken in weight.items():
+        drawn = taken / 70
+        for shard in whole:
+            # A fair draw of documents of about 70 words, five standard deviations and those of block sizes.
+            assert abs(words[shard, s] / 70 - drawn / 8) < 6 * 1.5 * math.sqrt(drawn / 8)
