@@ -124,9 +124,9 @@ def fit_toxicity(
     grade: str = "toxic",
     sample_rows: int = SAMPLE_ROWS,
 ) -> Model:
-    """Learn from at most ``sample_rows`` labelled ids, taken in the order of a hash of the id.
+    """Learn from at most ``sample_rows`` labelled rows: ids in the order of a hash of the id, a row of each.
 
-    Repeated labels of an id count as their highest; null ids and null grades are left out. Grades are 0 for
+    ``docs`` must read the same rows in the same order again, as a table or files do. Repeated labels of an id count as their highest; null ids and null grades are left out. Grades are 0 for
     clean and 1, 2, ... for rising severity; if none exceeds 1, toxic rows are graded by ``GRADE_STEPS``.
     Without labels of both kinds the model has no words and finds nothing toxic.
     """
@@ -137,10 +137,15 @@ def fit_toxicity(
         .orderBy(F.xxhash64("id"), "id")
         .limit(sample_rows)
     )
-    # Bounded by the sample size.
-    rows = take(small_batches(docs), doc_id=doc_id, text=text).join(
-        F.broadcast(chosen), F.col("doc_id") == F.col("id")
+    chosen = materialize(chosen, "chosen")
+    # Bounded by the sample size. Of each id one row, so that the sample is bounded in rows too.
+    numbered = take(small_batches(docs), doc_id=doc_id, text=text).withColumn(
+        "row_id", F.monotonically_increasing_id()
     )
+    of_chosen = numbered.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    one_each = of_chosen.groupBy("id").agg(F.min(F.struct(F.xxhash64("row_id"), "row_id"))["row_id"].alias("r"))
+    one_each = materialize(one_each.select("r"), "sampled")
+    rows = of_chosen.join(F.broadcast(one_each), F.col("row_id") == F.col("r"), "left_semi")
     sample = materialize(text_features(rows), "sample")
     kinds = sample.agg(
         F.count(F.when(F.col("grade") > 0, 1)).alias("toxic"),
