@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,11 @@ class Words:
         self.starts = kept[ends - ends[0]].astype(np.int64)
         coded = flat.filter(pa.array(full)).dictionary_encode()
         self.codes = np.asarray(coded.indices).astype(np.int64)
-        self.vocabulary: list[bytes] = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        self.dictionary: pa.Array = coded.dictionary
+
+    @cached_property
+    def vocabulary(self) -> list[bytes]:
+        return self.dictionary.cast(pa.large_binary()).to_pylist()
 
     @property
     def counts(self) -> np.ndarray:

@@ -28,6 +28,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -164,15 +165,20 @@ def _take_apart(raw: str) -> _Raw:
 _known_raw = lru_cache(maxsize=30_000)(_take_apart)
 
 
-def _spread(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each code's lot of a flat list, one after another: positions in the list, and where each lot begins."""
-    n = sizes[codes]
-    begins = np.concatenate([[0], np.cumsum(n)])
-    return np.arange(begins[-1]) + np.repeat(starts[codes] - begins[:-1], n), begins
+# Most pieces are a word, in small letters or with a capital one, and its punctuation: they need no loop.
+_TAIL = ".,;:!?#$%&*"
+_PLAIN_RAW = rf"^[{_CAPITAL}]?\p{{Ll}}+[{_TAIL}]*$"
+_TITLES = pa.array([f"{t}." for t in TITLES.split()], pa.large_string())
+_FLAGGED = sorted({*_WORD_FLAGS, *_OPENERS})
+_FLAGGED_WORDS = pa.array(_FLAGGED, pa.large_string())
+# By place in the list, and 0 behind it for all other words.
+_SMALL_FLAGS = np.array([*(_WORD_FLAGS.get(w, 0) for w in _FLAGGED), 0], np.int64)
+_OPENER_FLAGS = np.array([*(_OPENER * (w in _OPENERS) for w in _FLAGGED), 0], np.int64)
 
 
 class _Stream(NamedTuple):
-    """Tokens of a batch in one form: hash, whether plain, first of their parts, and starts of texts."""
+    """Tokens of a batch in one form: hash, whether plain, kind, their parts and the first of each, and starts
+    of texts."""
 
     hashes: np.ndarray
     plain: np.ndarray
@@ -186,36 +192,65 @@ class Tokens:
     """The streams of a batch of texts, from one split at white space."""
 
     def __init__(self, texts: pa.Array):
-        self.raw = Words(texts, lower=False)
-        words: dict[str, int] = {}
-        tokens: dict[tuple[int, str], int] = {}
-        word_list, token_list, word_sizes, token_sizes, edges = [], [], [], [], []
-        for piece in self.raw.vocabulary:
-            text = piece.decode("utf-8", "replace")
-            r = _known_raw(text) if len(text) <= 40 else _take_apart(text)
-            word_list.extend([words.setdefault(w, len(words)) for w in r.words])
-            token_list.extend([tokens.setdefault(t, len(tokens)) for t in r.tokens])
-            word_sizes.append(len(r.words))
-            token_sizes.append(len(r.tokens))
-            edges.append((r.head, r.tail, r.ends))
-        self.words, self.tokens = list(words), list(tokens)
-        self._word_list = np.array(word_list, np.int64), np.array(word_sizes, np.int64)
-        self._token_list = np.array(token_list, np.int64), np.array(token_sizes, np.int64)
-        self._edges = np.array(edges, bool).reshape(-1, 3)
-
-    def _flat(self, lot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        flat, sizes = lot
-        at, begins = _spread(self.raw.codes, np.cumsum(sizes) - sizes, sizes)
-        return flat[at], begins
+        self.raw = raw = Words(texts, lower=False)
+        pieces_ = raw.dictionary.cast(pa.large_string())
+        mask = pc.and_not(pc.match_substring_regex(pieces_, _PLAIN_RAW), pc.is_in(pieces_, _TITLES))
+        easy = np.asarray(mask)
+        chosen = pieces_.filter(mask)
+        bare = pc.utf8_rtrim(chosen, _TAIL)
+        small = pc.utf8_lower(bare)
+        known = np.asarray(pc.fill_null(pc.index_in(small, _FLAGGED_WORDS), len(_FLAGGED)))
+        capital = np.asarray(pc.not_equal(bare, small))
+        flags = _SMALL_FLAGS[known]
+        capital &= flags & _NUM == 0
+        flags = flags | capital * (_NAME | _OPENER_FLAGS[known])
+
+        n, n_easy = len(easy), len(chosen)
+        self._edges = np.ones((n, 3), bool)
+        self._edges[easy, 1] = np.asarray(pc.equal(pc.binary_length(bare), pc.binary_length(chosen)))
+        self._edges[easy, 2] = np.asarray(pc.match_substring_regex(chosen, "[.:;!?]"))
+        hard = [
+            _known_raw(t) if len(t) <= 40 else _take_apart(t)
+            for t in pieces_.filter(pc.invert(mask)).to_pylist()
+        ]
+        if hard:
+            self._edges[~easy] = [(r.head, r.tail, r.ends) for r in hard]
+        hard_words = [w for r in hard for w in r.words]
+        hard_tokens = [t for r in hard for t in r.tokens]
+        more = pa.array([*hard_words, *(w for _, w in hard_tokens)], pa.large_string())
+        pool = pa.chunked_array([small, more]).combine_chunks().dictionary_encode()
+        self.pool = pool.dictionary
+        digest = xxhash.xxh64_intdigest
+        shown = self.pool.to_pylist()
+        self._hashes = np.fromiter((digest(w) for w in shown), np.uint64, len(shown))
+        ids = np.asarray(pool.indices).astype(np.int64)
+        cut = n_easy + len(hard_words)
+        flags = np.concatenate([flags, np.array([f for f, _ in hard_tokens], np.int64)])
+        self._words = self._spread(easy, [len(r.words) for r in hard], ids[:cut])
+        token_ids = np.concatenate([ids[:n_easy], ids[cut:]])
+        self._tokens = self._spread(easy, [len(r.tokens) for r in hard], token_ids, flags)
+
+    def _spread(self, easy: np.ndarray, sizes: list[int], *flat: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where each piece's lot begins in the batch, and what the lots hold, one after another: easy pieces
+        have one thing each in the flat lists, the others theirs behind these."""
+        size = np.ones(len(easy), np.int64)
+        size[~easy] = sizes
+        start = np.zeros(len(easy), np.int64)
+        n_easy = int(easy.sum())
+        start[easy] = np.arange(n_easy)
+        start[~easy] = n_easy + np.cumsum(size[~easy]) - size[~easy]
+        n = size[self.raw.codes]
+        begins = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(begins[-1]) + np.repeat(start[self.raw.codes] - begins[:-1], n)
+        return begins, *(f[at] for f in flat)
 
     def bare(self) -> _Stream:
-        codes, begins = self._flat(self._word_list)
-        hashes = _hashes(self.words)[codes]
-        return _Stream(hashes, np.ones(len(codes), bool), None, codes, None, begins[self.raw.starts])
+        begins, codes = self._words
+        plain = np.ones(len(codes), bool)
+        return _Stream(self._hashes[codes], plain, None, codes, None, begins[self.raw.starts])
 
     def template(self, form: str) -> _Stream:
-        codes, begins = self._flat(self._token_list)
-        flags = np.array([f for f, _ in self.tokens], np.int64)[codes]
+        begins, codes, flags = self._tokens
         starts = begins[self.raw.starts]
         n = len(codes)
         # Whether a token stands next to the one before, nothing but white space between.
@@ -254,12 +289,13 @@ class Tokens:
         number |= (flags & _AND != 0) & behind(flags & _SCALE != 0) & after(number)
         unit = (flags & _MAYBE_UNIT != 0) & behind(number) & ~name
         number &= ~unit
-        kinds = np.select([unit | (flags & _UNIT != 0), number, name], [UNIT, NUMBER, NAME], 0)
+        kinds = np.zeros(n, np.int8)
+        kinds[name], kinds[number], kinds[unit | (flags & _UNIT != 0)] = NAME, NUMBER, UNIT
         same = np.zeros(n, bool)
         same[1:] = joins[1:] & (kinds[1:] == kinds[:-1]) & ((kinds[1:] == NUMBER) | (kinds[1:] == NAME))
         first = np.flatnonzero(~same)
         kinds = kinds[first]
-        hashes = _hashes([w for _, w in self.tokens])[codes[first]]
+        hashes = self._hashes[codes[first]]
         for kind, mark in MARKS.items():
             hashes[kinds == kind] = xxhash.xxh64_intdigest(mark)
         alone = np.diff(first, append=n) == 1
@@ -272,21 +308,17 @@ class Tokens:
     def shown(self, s: _Stream, i: int, width: int) -> list[tuple[str, str | None]]:
         """Tokens from ``i`` on as the template has them, each placeholder with its typed value."""
         if s.kinds is None:
-            return [(self.words[c], None) for c in s.parts[i : i + width]]
+            return [(w, None) for w in self.pool.take(pa.array(s.parts[i : i + width])).to_pylist()]
+        cuts = [*s.first[i : i + width].tolist(), s.first[i + width] if i + width < len(s.first) else len(s.parts)]
+        words = self.pool.take(pa.array(s.parts[cuts[0] : cuts[-1]])).to_pylist()
         out = []
-        for j in range(i, i + width):
-            end = s.first[j + 1] if j + 1 < len(s.first) else len(s.parts)
-            value = " ".join(self.tokens[c][1] for c in s.parts[s.first[j] : end])
-            mark = MARKS.get(int(s.kinds[j]))
+        for kind, a, b in zip(s.kinds[i : i + width].tolist(), cuts, cuts[1:]):
+            value = " ".join(words[a - cuts[0] : b - cuts[0]])
+            mark = MARKS.get(kind)
             out.append((mark, mark[1:] + value) if mark else (value, None))
         return out
 
 
-def _hashes(words: list[str]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
-
-
 def template(text: str | None, form: str = "p") -> list[str]:
     """Template tokens of one text; a placeholder carries its value behind its mark."""
     tokens = Tokens(pa.array([text], pa.string()))

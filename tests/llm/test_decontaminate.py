@@ -162,6 +162,15 @@ def test_word_for_word_needs_no_least_length_or_share_of_words(spark):
     assert set(got) == {(1, 1), (2, 2)} and not any(r["reparameterised"] for r in got.values())
 
 
+def test_easy_pieces_are_read_as_the_others(monkeypatch):
+    rng = random.Random(3)
+    words = "Mary mary. Élan über, ÜBER Twenty twenty-five and hundred 5 km km. Of of second The the Mr. J. I A x ß%%% Ωmega"
+    texts = [" ".join(rng.choice(words.split()) for _ in range(40)) for _ in range(60)] + [None, ""]
+    fast = [template(t, form) for t in texts for form in "vnpf"]
+    monkeypatch.setattr(decontaminate, "_PLAIN_RAW", "^$")
+    assert [template(t, form) for t in texts for form in "vnpf"] == fast
+
+
 STORY = (
     "Mary gave 5 apples to Tom while they were waiting near Boston for the late bus, and then Mary kept 3 apples "
     "for herself. How many apples did Mary hold before she met Tom near Boston?"
