@@ -93,3 +93,19 @@ def test_texts_are_read_whole_and_in_pieces(spark, monkeypatch):
     eta = [3 * np.log1p(n) for n in (1, 1, 0, 0, 2)]
     want = [1 / (1 + np.exp(1 - e)) for e in eta]
     assert np.allclose([r["s"]["p_toxic"] for r in rows], want)
+
+
+def test_a_repeated_labelled_id_gives_one_row_of_the_sample(spark, monkeypatch):
+    rows, labels = corpus(300)
+    docs, marks = frames(spark, rows + [(1, "w1 w2")] * 900, labels)
+    sizes = {}
+    write = toxicity.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(toxicity, "materialize", counted)
+    fit_toxicity(docs, marks, sample_rows=100)
+    assert sizes["sample"] == sizes["sampled"] == 100
