@@ -6,23 +6,26 @@ the system turn, then repeats the last turns before its span as far as they fit
 ``history_tokens``. The loss mask covers the texts of assistant turns in the span; repeated turns are
 context and masked out, so each assistant text is a target exactly once.
 
-Turns are numbered and summed in pieces of ``CHUNK`` turn numbers, so one endless conversation is many
-tasks; a window never reaches over a piece, except for its repeated history.
+Turns are numbered by a range sort and summed in pieces of ``CHUNK`` positions, so one endless conversation
+is many tasks, whatever its turn numbers are; a window never reaches over a piece, except for its repeated
+history. Spans are chosen without the texts, which join their windows at the end.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetspectra.llm.common import WORD_CLASS, prefix_sums, take
+from fleetspectra.llm.ordering import chunked, spans, with_positions
 from fleetspectra.sources.tables import materialize
 
 BUDGET = 1024
 HISTORY_TURNS = 2
 HISTORY_TOKENS = 256
 CHUNK = 1024
+# Characters of role and text by which turns of one number are ordered before a digest decides.
+ROLE_KEY, TEXT_KEY = 64, 256
 
 # The marks of the template.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -56,48 +59,72 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD_CLASS))
 
 
-def _turns(rows: DataFrame, tokens) -> DataFrame:
-    """Turns in order with ``pos`` from 0 and ``before``, the tokens of all turns that come earlier."""
+def _texts(rows: DataFrame, tokens) -> DataFrame:
+    """Turns in the order of their conversation, cut into slices: ``chunk`` and ``at`` are a turn's address.
+
+    Sort keys are sampled on the driver, so they hold the first ``ROLE_KEY`` and ``TEXT_KEY`` characters
+    only, then a digest of the whole.
+    """
     turns = rows.select(
         "conv_id",
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-        F.col("turn"),
-        F.floor(F.coalesce("turn", F.lit(2**62)) / CHUNK).alias("chunk"),
+        "turn",
     )
     # Marks and role count as four tokens.
-    turns = turns.withColumns(
-        {"n": F.lit(1).cast("long"), "tokens": tokens(F.col("text")).cast("long") + 4}
+    turns = turns.withColumn("tokens", tokens(F.col("text")).cast("long") + 4)
+    order = [
+        F.col("turn").asc_nulls_last(),
+        F.left("role", F.lit(ROLE_KEY)),
+        F.left("text", F.lit(TEXT_KEY)),
+        F.xxhash64("role", "text"),
+    ]
+    return chunked(turns, "conv_id", order, "chat-texts").drop("turn")
+
+
+def _turns(texts: DataFrame) -> DataFrame:
+    """Turns without their texts: ``conv_id, chunk, at, tokens``, the position ``pos`` from 0, the number
+    ``n`` of turns, ``system_tokens`` of the first turn if it is a system turn, else 0, and ``before``, the
+    tokens of all turns that come earlier."""
+    lead = texts.groupBy("conv_id").agg(
+        F.min_by(
+            F.when(F.col("role") == SYSTEM, F.col("tokens")).otherwise(0), F.struct("chunk", "at")
+        ).alias("system_tokens")
     )
-    order = [F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
-    return prefix_sums(turns, ["conv_id"], "chunk", order, pos="n", before="tokens")
+    reach = spans(texts, "conv_id").join(
+        lead.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c"))
+    )
+    reach = materialize(reach.drop("c"), "chat-reach")
+    slim = texts.select("conv_id", "chunk", "at", "tokens", F.struct("chunk", "at").alias("address"))
+    placed = with_positions(slim, "conv_id", reach, reach.count())
+    placed = placed.withColumn("piece", F.floor(F.col("pos") / CHUNK))
+    return prefix_sums(placed, ["conv_id"], "piece", [F.col("pos")], before="tokens")
 
 
 def _spans(turns: DataFrame, budget: int, history_tokens: int) -> DataFrame:
-    """Adds ``span``, the position of the first turn of its window.
+    """Adds ``span``, the position of the first turn of its window; null for a system turn.
 
     Per piece of a conversation, a window is closed when the prefix sum behind the next turn is more
     than its share past the prefix sum where it began. A turn larger than the share stands alone.
     """
-    system = (
-        turns.filter((F.col("pos") == 0) & (F.col("role") == SYSTEM))
-        .select(F.col("conv_id").alias("c"), F.col("tokens").alias("system_tokens"))
-    )
-    body = turns.join(system, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
-    body = body.withColumn("system_tokens", F.coalesce("system_tokens", F.lit(0)))
-    share = F.greatest(
-        F.lit(1), F.lit(budget) - F.first("system_tokens") - F.lit(history_tokens)
-    ).alias("share")
     is_system = (F.col("pos") == 0) & (F.col("system_tokens") > 0)
+    kept = ["pos", "before", "tokens", "n", "system_tokens", "address"]
     pieces = (
-        body.filter(~is_system)
-        .groupBy("conv_id", "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "before", "tokens"))).alias("turns"), share)
+        turns.filter(~is_system)
+        .groupBy("conv_id", "piece")
+        .agg(
+            F.sort_array(F.collect_list(F.struct(*kept))).alias("turns"),
+            F.first("system_tokens").alias("system_tokens"),
+        )
+        .withColumn(
+            "share",
+            F.greatest(F.lit(1), F.lit(budget) - F.col("system_tokens") - F.lit(history_tokens)),
+        )
     )
     start = F.struct(
         F.lit(-1).cast("long").alias("first"),
         F.lit(0).cast("long").alias("base"),
-        F.array().cast("array<struct<pos:bigint,span:bigint>>").alias("out"),
+        F.array().cast("array<bigint>").alias("spans"),
     )
 
     def step(state: Column, turn: Column) -> Column:
@@ -105,21 +132,50 @@ def _spans(turns: DataFrame, budget: int, history_tokens: int) -> DataFrame:
             turn["before"] + turn["tokens"] - state["base"] > F.col("share")
         )
         first = F.when(closed, turn["pos"]).otherwise(state["first"])
-        base = F.when(closed, turn["before"]).otherwise(state["base"])
-        mine = F.struct(turn["pos"].alias("pos"), first.alias("span"))
         return F.struct(
             first.alias("first"),
-            base.alias("base"),
-            F.concat(state["out"], F.array(mine)).alias("out"),
+            F.when(closed, turn["before"]).otherwise(state["base"]).alias("base"),
+            F.concat(state["spans"], F.array(first)).alias("spans"),
         )
 
-    placed = pieces.select(
+    spans_of = F.aggregate("turns", start, step, lambda s: s["spans"]).alias("spans")
+    placed = pieces.select("conv_id", F.arrays_zip("turns", spans_of).alias("zipped")).select(
+        "conv_id", F.explode("zipped").alias("x")
+    )
+    systems = turns.filter(is_system).select("conv_id", *kept, F.lit(None).cast("long").alias("span"))
+    return placed.select(
+        "conv_id", *[F.col(f"x.turns.{c}").alias(c) for c in kept], F.col("x.spans").alias("span")
+    ).unionByName(systems)
+
+
+def _places(turns: DataFrame, history_turns: int, history_tokens: int) -> DataFrame:
+    """Which turn stands in which window: ``window, pos, old, tokens, address``."""
+    new = turns.filter(F.col("span").isNotNull())
+    fresh = new.select("conv_id", F.col("span").alias("window"), "pos", "tokens", "address", F.lit(False).alias("old"))
+    # Each window looks back at the system turn and at its last turns before.
+    has_system = F.col("system_tokens") > 0
+    window = F.col("span")
+    lowest = F.greatest(has_system.cast("long"), window - history_turns)
+    recent = F.when((window > lowest) & F.lit(history_turns > 0), F.sequence(lowest, window - 1))
+    none = F.array().cast("array<bigint>")
+    lead = F.when(has_system, F.array(F.lit(0).cast("long"))).otherwise(none)
+    back = new.filter(F.col("pos") == window).select(
         F.col("conv_id").alias("c"),
-        F.explode(F.aggregate("turns", start, step, lambda s: s["out"])).alias("x"),
-    ).select("c", F.col("x.pos").alias("p"), F.col("x.span").alias("span"))
-    return body.join(
-        placed, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") == F.col("p")), "left"
-    ).drop("c", "p")
+        window.alias("window"),
+        F.col("before").alias("window_before"),
+        F.explode(F.concat(lead, F.coalesce(recent, none))).alias("p"),
+    )
+    seen = turns.select("conv_id", "pos", "before", "tokens", "address", F.col("span").isNull().alias("lead"))
+    old = (
+        seen.join(back, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") == F.col("p")))
+        .filter(F.col("lead") | (F.col("window_before") - F.col("before") <= history_tokens))
+        .select("conv_id", "window", "pos", "tokens", "address", (~F.col("lead") | (F.col("window") > 1)).alias("old"))
+    )
+    # A conversation of a system turn alone has no span; it is a window of that turn.
+    alone = turns.filter(F.col("span").isNull() & (F.col("n") == 1)).select(
+        "conv_id", F.lit(0).cast("long").alias("window"), "pos", "tokens", "address", F.lit(False).alias("old")
+    )
+    return fresh.unionByName(old).unionByName(alone).drop("conv_id")
 
 
 def chat_windows(
@@ -141,45 +197,15 @@ def chat_windows(
     numbered by the position of their first new turn.
 
     The system turn is the first turn if its role says so; alone in its conversation it makes a window.
-    A null role or text is empty, a null turn comes last, and turns of one number are ordered by role and
-    text, so repeated rows keep their place and nothing is lost. A null conversation is one of its own.
+    A null role or text is empty, a null turn comes last, and turns of one number are ordered by the start
+    of role and text, then by a digest, so repeated rows keep their place and nothing is lost. A null conversation is one of its own.
     A turn beyond the budget stands in a window that exceeds it. An empty table gives no windows; further
     columns are ignored.
     """
     rows = take(conversations, conv_id=conv_id, turn=turn, role=role, text=text)
-    turns = materialize(_spans(_turns(rows, tokens), budget, history_tokens), "turns")
-    key = F.col("conv_id")
-    new = turns.filter(F.col("span").isNotNull())
-    fresh = new.select("conv_id", F.col("span").alias("window"), "pos", F.lit(False).alias("old"))
-    heads = new.filter(F.col("pos") == F.col("span")).select(
-        "conv_id", F.col("span").alias("window"), "before", "system_tokens"
-    )
-    first = (F.col("system_tokens") > 0).cast("long")
-    back = heads.filter((F.col("window") > first) & F.lit(history_turns > 0)).select(
-        "conv_id",
-        "window",
-        F.col("before").alias("window_before"),
-        F.explode(
-            F.sequence(F.greatest(first, F.col("window") - history_turns), F.col("window") - 1)
-        ).alias("pos"),
-    )
-    place = turns.select(F.col("conv_id").alias("c"), F.col("pos").alias("p"), F.col("before").alias("b"))
-    history = (
-        back.join(place, key.eqNullSafe(F.col("c")) & (F.col("pos") == F.col("p")))
-        .filter(F.col("window_before") - F.col("b") <= history_tokens)
-        .select("conv_id", "window", "pos", F.lit(True).alias("old"))
-    )
-    lead = heads.filter(F.col("system_tokens") > 0).select(
-        "conv_id", "window", F.lit(0).cast("long").alias("pos"), (F.col("window") > 1).alias("old")
-    )
-    # A conversation of a system turn alone has no span; it is a window of that turn.
-    with_span = new.select(F.col("conv_id").alias("c")).distinct()
-    alone = (
-        turns.filter(F.col("span").isNull())
-        .join(with_span, key.eqNullSafe(F.col("c")), "left_anti")
-        .select("conv_id", F.lit(0).cast("long").alias("window"), "pos", F.lit(False).alias("old"))
-    )
-    parts = fresh.unionByName(history).unionByName(lead).unionByName(alone)
+    texts = _texts(rows, tokens)
+    turns = materialize(_spans(_turns(texts), budget, history_tokens), "chat-turns")
+    places = _places(turns, history_turns, history_tokens)
     piece = F.concat(
         F.lit(START),
         escape_role(F.col("role")),
@@ -187,15 +213,18 @@ def chat_windows(
         escape(F.col("text")),
         F.lit(END + "\n"),
     )
-    texts = turns.select(
-        F.col("conv_id").alias("c"),
-        F.col("pos").alias("p"),
-        "tokens",
+    pieces = texts.select(
+        "conv_id",
+        "chunk",
+        "at",
         piece.alias("piece"),
         F.length(escape(F.col("text"))).alias("chars"),
         (F.col("role") == TARGET).alias("target"),
     )
-    filled = parts.join(texts, key.eqNullSafe(F.col("c")) & (F.col("pos") == F.col("p")))
+    # Only here do texts meet their windows, by address.
+    filled = pieces.join(
+        places, (F.col("chunk") == F.col("address.chunk")) & (F.col("at") == F.col("address.at"))
+    )
     windows = filled.groupBy("conv_id", "window").agg(
         F.sort_array(F.collect_list(F.struct("pos", "old", "piece", "chars", "target"))).alias("t"),
         F.sum("tokens").alias("n_tokens"),

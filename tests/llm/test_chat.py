@@ -107,3 +107,26 @@ def test_empty_table_and_native_plan(spark):
     assert windows.collect() == [] and read_turns(windows).collect() == []
     plan = conversation_digests(chat_windows(frame(spark)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_turns_without_a_number_are_cut_like_others(spark, monkeypatch):
+    """Null and equal turn numbers, repeated rows and a null conversation far beyond a piece."""
+    monkeypatch.setattr(chat, "CHUNK", 8)
+    rows = [(None, None, "assistant", f"t{i % 50:02d} " + "x " * (i % 7)) for i in range(150)]
+    rows += [(7, 3, "user", "the same")] * 60 + [(7, 3, "assistant", "y" * 300 + str(i)) for i in range(30)]
+    got = {r["conv_id"]: r for r in conversation_digests(chat_windows(frame(spark, rows), budget=300)).collect()}
+    convs = ordered(rows)
+    assert set(got) == set(convs)
+    for conv, turns in convs.items():
+        assert got[conv]["n_turns"] == len(turns)
+        assert got[conv]["loss_chars"] == sum(len(x) for role, x in turns if role == "assistant")
+    body = "".join(f"{role}\n{text}\n" for role, text in convs[None])
+    assert got[None]["turns_sha256"] == hashlib.sha256(body.encode()).hexdigest()
+
+
+def test_no_piece_is_larger_than_its_positions(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK", 8)
+    rows = [(1, None, "user", "same")] * 100
+    texts = chat._texts(frame(spark, rows).drop("pos", "TOKENS"), chat.word_tokens)
+    sizes = [r["count"] for r in chat._turns(texts).groupBy("conv_id", "piece").count().collect()]
+    assert sum(sizes) == 100 and max(sizes) <= 8
