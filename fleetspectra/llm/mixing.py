@@ -27,12 +27,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetspectra.llm.common import WORD_CLASS, attach, prefix_sums, take
+from fleetspectra.llm.ordering import numbered
 from fleetspectra.sources.tables import materialize
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
 BLOCK_WORDS = 65_536
+# Documents of a border block that are judged in one go.
+STRETCH = 256
 # Small corpora have smaller blocks, so that a shard is drawn from about so many.
 SHARD_BLOCKS = 512
 SHARDS = 16
@@ -234,6 +237,73 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     ).select("shard", F.col("x.sources").alias("source_no"), F.col("x.q").alias("blocks"))
 
 
+def _copy_numbers(sized: DataFrame) -> DataFrame:
+    """``row_id, copy`` of the second and further rows of each ``doc_id``, in order of source and size.
+
+    Rows without an id count as copies of one another. A hot id is numbered over slices of a range sort.
+    """
+    repeated = sized.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("d"))
+    twins = sized.join(repeated, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    placed = numbered(
+        twins.select("row_id", "doc_id", "source", "size"), "doc_id", ["source", "size", "row_id"], "copies"
+    )
+    return placed.filter("pos > 0").select("row_id", F.col("pos").alias("copy"))
+
+
+def _filled(docs: Column, room: Column) -> Column:
+    """The ``row_id`` of the documents that fill ``room``: in their order each that still fits, and one more
+    if that ends nearer to it. Read in stretches of ``STRETCH``, so that no list grows one by one."""
+    none = F.array().cast("array<boolean>")
+
+    def one(state: Column, doc: Column) -> Column:
+        fits = doc["size"] <= state["room"]
+        return F.struct(
+            F.when(fits, state["room"] - doc["size"]).otherwise(state["room"]).alias("room"),
+            F.concat(state["taken"], F.array(fits)).alias("taken"),
+        )
+
+    def stretch(state: Column, part: Column) -> Column:
+        begin = F.struct(state["room"].alias("room"), none.alias("taken"))
+        return let(
+            F.aggregate(part, begin, one),
+            lambda end: F.struct(
+                end["room"].alias("room"), F.concat(state["taken"], end["taken"]).alias("taken")
+            ),
+        )
+
+    stretches = F.transform(
+        F.sequence(F.lit(1), F.size(docs), F.lit(STRETCH)), lambda i: F.slice(docs, i, F.lit(STRETCH))
+    )
+
+    def finish(state: Column) -> Column:
+        judged = F.zip_with(
+            docs,
+            state["taken"],
+            lambda d, t: F.struct(
+                d["size"].alias("size"), d["order_key"].alias("order_key"), d["row_id"].alias("row_id"), t.alias("taken")
+            ),
+        )
+        return let(
+            judged,
+            lambda all_docs: let(
+                F.array_min(F.filter(all_docs, lambda d: ~d["taken"])),
+                lambda least: F.transform(
+                    F.filter(
+                        all_docs,
+                        lambda d: d["taken"]
+                        | (
+                            (d["row_id"] == least["row_id"])
+                            & (least["size"] - state["room"] < state["room"])
+                        ),
+                    ),
+                    lambda d: d["row_id"],
+                ),
+            ),
+        )
+
+    return F.aggregate(stretches, F.struct(room.alias("room"), none.alias("taken")), stretch, finish)
+
+
 def mix(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -261,6 +331,7 @@ def mix(
         words_of(F.col("text")).alias("size"),
     )
     sized = materialize(rows, "sizes")
+    copies = _copy_numbers(sized)
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(per_source, weights, total_share, max_repeats)
     whole = F.col("source_size").cast("double")
@@ -278,11 +349,12 @@ def mix(
     n_sources = plan.count()
 
     placed = attach(sized, plan, ["source"], n_sources, BROADCAST_ROWS)
-    stable = F.coalesce("doc_id", "row_id")
+    placed = placed.join(copies.withColumnRenamed("row_id", "r"), F.col("row_id") == F.col("r"), "left").drop("r")
+    # Rows are told apart by id and copy, not by their place in the files; hashes skip nulls.
     placed = placed.withColumns(
         {
-            "block": F.pmod(F.xxhash64(F.lit(seed), stable), F.col("n_blocks")),
-            "order_key": F.xxhash64(F.lit(seed + 1), stable),
+            "block": F.pmod(F.xxhash64(F.lit(seed), "doc_id", "copy"), F.col("n_blocks")),
+            "order_key": F.xxhash64(F.lit(seed + 1), "doc_id", "copy"),
         }
     )
     blocks = placed.groupBy("source_no", "block").agg(
@@ -318,34 +390,9 @@ def mix(
         F.sort_array(F.collect_list(F.struct("order_key", "row_id", "size"))).alias("docs"),
         F.first("room").alias("room"),
     )
-    start = F.struct(
-        F.col("room").alias("room"), F.array().cast("array<bigint>").alias("taken")
+    part = lists.select(F.explode(_filled(F.col("docs"), F.col("room"))).alias("r")).withColumn(
+        "fits", F.lit(1).cast("long")
     )
-
-    def fill(state: Column, doc: Column) -> Column:
-        fits = doc["size"] <= state["room"]
-        return F.struct(
-            F.when(fits, state["room"] - doc["size"]).otherwise(state["room"]).alias("room"),
-            F.when(fits, F.concat(state["taken"], F.array(doc["row_id"])))
-            .otherwise(state["taken"])
-            .alias("taken"),
-        )
-
-    def finish(state: Column) -> Column:
-        """One more document if it ends nearer to the target above than the sum is below."""
-        left = F.filter("docs", lambda d: ~F.array_contains(state["taken"], d["row_id"]))
-        by_size = F.transform(left, lambda d: F.struct(*[d[n].alias(n) for n in ("size", "order_key", "row_id")]))
-        return let(
-            F.array_min(by_size),
-            lambda d: F.when(
-                d["size"] - state["room"] < state["room"],
-                F.concat(state["taken"], F.array(d["row_id"])),
-            ).otherwise(state["taken"]),
-        )
-
-    part = lists.select(
-        F.explode(F.aggregate("docs", start, fill, finish)).alias("r")
-    ).withColumn("fits", F.lit(1).cast("long"))
     slim = placed.select(
         "row_id", "doc_id", "source_no", "block", "size", "source_size", "target", "order_key"
     )

@@ -167,3 +167,51 @@ def test_each_shard_has_the_shares_of_the_mix(spark):
         for shard in whole:
             # A fair draw of documents of about 70 words, five standard deviations and those of block sizes.
             assert abs(words[shard, s] / 70 - drawn / 8) < 6 * 1.5 * math.sqrt(drawn / 8)
+
+
+def filled(docs, room):
+    taken = []
+    for _, row, size in docs:
+        if size <= room:
+            taken.append(row)
+            room -= size
+    left = [(size, key, row) for key, row, size in docs if row not in taken]
+    if left and min(left)[0] - room < room:
+        taken.append(min(left)[2])
+    return set(taken)
+
+
+def test_border_block_is_filled_in_order(spark):
+    """Lists below, at and above a stretch, and thousands of texts of one word."""
+    rng = random.Random(8)
+    cases = [([(0, 9, 5)], 2.0), ([(0, 9, 5)], 3.0), ([(0, 9, 5)], 5.0)]
+    for n in (1, 255, 256, 257, 700):
+        docs = [(k, k * 7, rng.randint(1, 90)) for k in range(n)]
+        cases.append((docs, rng.random() * sum(d[2] for d in docs)))
+    cases.append(([(k, k, 1) for k in range(20_000)], 12_345.6))
+    df = spark.createDataFrame(
+        cases, "docs array<struct<order_key:bigint,row_id:bigint,size:bigint>>, room double"
+    )
+    rows = df.select("docs", "room", mixing._filled(F.col("docs"), F.col("room")).alias("taken")).collect()
+    for r in rows:
+        assert set(r["taken"]) == filled([tuple(d) for d in r["docs"]], r["room"])
+        assert len(set(r["taken"])) == len(r["taken"])
+
+
+@pytest.mark.parametrize("hot", [5, None])
+def test_rows_of_a_repeated_id_fall_into_blocks_of_their_own(spark, tmp_path, hot):
+    rows = [(hot, "w " * (i % 9 + 1), "a") for i in range(3000)]
+    rows += [(100 + i, "w " * (i % 9 + 1), "ab"[i % 2]) for i in range(3000)]
+    frame(spark, rows).repartition(4).write.parquet(f"{tmp_path}/docs")
+    got = mix(spark.read.parquet(f"{tmp_path}/docs"), shards=4).collect()
+    words = Counter()
+    for r in got:
+        for d in r["draws"]:
+            if r["doc_id"] == hot:
+                words[d["shard"]] += r["size"]
+    assert len(words) == 4 and max(words.values()) < 1.3 * min(words.values())
+    # Another layout of the same rows gives the same mix.
+    frame(spark, rows).repartition(2).write.parquet(f"{tmp_path}/again")
+    again = mix(spark.read.parquet(f"{tmp_path}/again"), shards=4).collect()
+    taken = [sorted((str(r["doc_id"]), r["size"], len(r["draws"])) for r in x) for x in (got, again)]
+    assert taken[0] == taken[1]
