@@ -5,15 +5,24 @@ share of them, however concentrated they are. A round labels the fleet against c
 each cluster by (bin, cell), and bounds every member's in-cluster cost from these sums. Members whose
 bounds overlap the best one are survivors. Their exact costs follow from the same sums once the members
 that share a cell with a survivor's value are sorted inside that cell; with one survivor per cluster there
-is nothing to sort. No list of candidates is collected, and all k of a sweep share every job.
+is nothing to sort. All k of a sweep share every job.
+
+Up to ``TABLE_ROWS`` cells of all clusters, a task works on whole vehicles as NumPy rows: it labels them, adds
+them up by cell, and looks the bounds up in tables of the cells, so a vehicle is never taken apart into a
+row per value. Up to ``DIRECT`` survivors are then measured against all members the same way. Wider grids and
+more survivors go by joins and sorted cells; both ways are exact.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +35,11 @@ from fleetspectra.functions.arrays import (
     nearest,
 )
 from fleetspectra.functions.intervals import let
-from fleetspectra.operators.distance import Fleet, cluster_totals
+from fleetspectra.operators.distance import Fleet, cluster_totals, looked_up_totals
+from fleetspectra.sources.tables import materialize
+
+# Task functions travel whole, so executors need no copy of this package.
+register_pickle_by_value(sys.modules[__name__])
 
 # Rows of the cluster summary (clusters x bins x cells) up to which it is broadcast.
 SUMMARY_ROWS = 250_000
@@ -39,6 +52,14 @@ CUT_VEHICLES = 5000
 _SLACK = 2 * 10.0**-TIE_DECIMALS
 
 
+# Cells of all clusters up to which their sums are tables on the driver and in every task.
+TABLE_ROWS = 1_000_000
+# Survivors of a round that are measured against all members.
+DIRECT = 1024
+# Values that a task holds as one NumPy block.
+BLOCK_VALUES = 500_000
+
+
 class NotConverged(RuntimeError):
     """Medoids still moved in the last allowed round."""
 
@@ -67,7 +88,7 @@ def central_vehicles(fleet: Fleet, n: int) -> list[tuple[str, float]]:
     The lowest vin wins a tie.
     """
     with _celled(fleet) as frame:
-        return _central(fleet, frame, n)
+        return _central(fleet, frame, n, _ranges(fleet, frame, 1))
 
 
 def kmedoids(fleet: Fleet, k: int, max_iter: int = 300) -> Medoids:
@@ -91,7 +112,8 @@ def kmedoids_sweep(
     if fleet.n < ks[-1]:
         raise ValueError(f"{fleet.n} vehicles cannot form {ks[-1]} clusters")
     with _celled(fleet) as frame:
-        start = [vin for vin, _ in _central(fleet, frame, ks[-1])]
+        ranges = _ranges(fleet, frame, sum(ks))
+        start = [vin for vin, _ in _central(fleet, frame, ks[-1], ranges)]
         points = _points_of(frame, start)
         state = {k: start[:k] for k in ks}
         done: dict[int, Medoids] = {}
@@ -99,7 +121,7 @@ def kmedoids_sweep(
         while len(done) < len(ks) and rounds < max_iter:
             rounds += 1
             moving = {k: state[k] for k in ks if k not in done}
-            moved = _update(fleet, frame, moving, points)
+            moved = _update(fleet, frame, moving, points, ranges)
             for k, vins in moved.items():
                 if vins == state[k]:
                     done[k] = _outcome(k, vins, points, rounds, True)
@@ -306,37 +328,254 @@ def _exact(
     )
 
 
-def _central(fleet: Fleet, frame: DataFrame, n: int) -> list[tuple[str, float]]:
-    """The most central vehicles: bounds first, exact costs for those that may be among them."""
-    labelled = frame.withColumn("codes", F.array(F.lit(0)))
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, points and places in the (bin, cell) table of runs of a batch's vehicles."""
+    n = batch.num_rows
+    if not n:
+        return
+    x = batch.column("point").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    at = batch.column("cells").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    at = at + np.arange(x.shape[1], dtype=np.int64) * _width()
+    step = max(1, BLOCK_VALUES // x.shape[1])
+    for first in range(0, n, step):
+        yield first, x[first : first + step], at[first : first + step]
+
+
+def _clusters(x: np.ndarray, refs: list[np.ndarray]) -> list[np.ndarray]:
+    """Per run the cluster of every row, numbered over all runs; as ``_labelled`` does it."""
+    out, first = [], 0
+    for points in refs:
+        d = np.stack([np.abs(x - p).sum(axis=1) for p in points])
+        out.append(np.floor(d * 10.0**TIE_DECIMALS + 0.5).argmin(axis=0) + first)
+        first += len(points)
+    return out
+
+
+def _refs(medoids: dict[int, list[str]], points: dict[str, list[float]]) -> list[np.ndarray]:
+    return [np.array([points[v] for v in vins]) for vins in medoids.values()]
+
+
+def _table(rows: DataFrame, size: int) -> list[np.ndarray]:
+    """Rows ``at`` and values, one per cell at most, as arrays over all cells; absent ones are 0."""
+    found = rows.toArrow()
+    at = found.column("at").to_numpy()
+    out = []
+    for name in rows.columns[1:]:
+        values = np.zeros(size)
+        values[at] = found.column(name).to_numpy()
+        out.append(values)
+    return out
+
+
+def _ranges(fleet: Fleet, frame: DataFrame, n_clusters: int) -> list[np.ndarray] | None:
+    """Lowest and highest value of each (bin, cell) in the fleet; None if the tables were too large."""
+    size = fleet.n_bins * _width()
+    if n_clusters * size > TABLE_ROWS:
+        return None
+
+    def run(batches):
+        low, high = np.full(size, np.inf), np.full(size, -np.inf)
+        for batch in batches:
+            for _, x, at in _blocks(batch):
+                np.minimum.at(low, at.ravel(), x.ravel())
+                np.maximum.at(high, at.ravel(), x.ravel())
+        at = np.flatnonzero(low <= high)
+        yield pa.RecordBatch.from_pydict({"at": at, "lo": low[at], "hi": high[at]})
+
+    rows = frame.select("point", "cells").mapInArrow(run, "at long, lo double, hi double")
+    return _table(rows.groupBy("at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), size)
+
+
+def _sums(fleet: Fleet, frame: DataFrame, refs: list[np.ndarray]) -> list[np.ndarray]:
+    """Members and their sum per (cluster, bin, cell)."""
+    per_cluster = fleet.n_bins * _width()
+    size = sum(map(len, refs)) * per_cluster
+
+    def run(batches):
+        count, total = np.zeros(size), np.zeros(size)
+        for batch in batches:
+            for _, x, at in _blocks(batch):
+                for codes in _clusters(x, refs):
+                    place = (at + codes[:, None] * per_cluster).ravel()
+                    first, end = codes.min() * per_cluster, (codes.max() + 1) * per_cluster
+                    count[first:end] += np.bincount(place - first, minlength=end - first)
+                    total[first:end] += np.bincount(place - first, x.ravel(), minlength=end - first)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_pydict({"at": at, "m": count[at], "s": total[at]})
+
+    rows = frame.select("point", "cells").mapInArrow(run, "at long, m double, s double")
+    return _table(rows.groupBy("at").agg(F.sum("m").alias("m"), F.sum("s").alias("s")), size)
+
+
+def _lines(fleet: Fleet, sums: list[np.ndarray], ranges: list[np.ndarray]) -> list[np.ndarray]:
+    """Per (cluster, bin, cell) the factors of ``_bounded``, and the members of each cluster."""
+    m, s = (v.reshape(-1, fleet.n_bins, _width()) for v in sums)
+    lo, hi = (v.reshape(1, fleet.n_bins, _width()) for v in ranges)
+    size = np.maximum(m.sum(axis=2, keepdims=True), 1.0)
+    m_below, s_below = np.cumsum(m, axis=2) - m, np.cumsum(s, axis=2) - s
+    wide = hi > lo
+    span = np.where(wide, hi - lo, 1.0)
+    chord = (m * (hi + lo) - 2 * s) / span
+    lines = (
+        (2 * m_below + m - size) / size,
+        (s.sum(axis=2, keepdims=True) - s - 2 * s_below) / size,
+        np.where(wide, m / size, 0.0),
+        np.where(wide, s / size, 0.0),
+        np.where(wide, chord / size, 0.0),
+        np.where(wide, (s - m * lo - lo * chord) / size, 0.0),
+    )
+    return [v.ravel() for v in lines]
+
+
+def _near(
+    fleet: Fleet, frame: DataFrame, refs: list[np.ndarray], lines: list[np.ndarray], n: int
+) -> DataFrame:
+    """``vin, q, sig, low, high`` of members that may be among the ``n`` best of their cluster.
+
+    A task leaves out whom its own members rule out; the caller compares the rest.
+    """
+    per_cluster = fleet.n_bins * _width()
+    n_clusters = sum(map(len, refs))
+
+    def run(batches):
+        slope, const, pull, pivot, chord_slope, chord_const = lines
+        best = [np.empty(0) for _ in range(n_clusters)]
+        for batch in batches:
+            vins, a, b = (batch.column(c) for c in ("vin", "a", "b"))
+            for first, x, at in _blocks(batch):
+                for codes in _clusters(x, refs):
+                    place = at + codes[:, None] * per_cluster
+                    outside = x * slope[place] + const[place]
+                    low = (outside + np.abs(pull[place] * x - pivot[place])).sum(axis=1)
+                    high = (outside + x * chord_slope[place] + chord_const[place]).sum(axis=1)
+                    reach = np.full(n_clusters, np.inf)
+                    for q in np.unique(codes):
+                        best[q] = np.sort(np.concatenate([best[q], high[codes == q]]))[:n]
+                        if len(best[q]) == n:
+                            reach[q] = best[q][-1] + _SLACK + 1e-12 * abs(best[q][-1])
+                    kept = np.flatnonzero(low <= reach[codes])
+                    rows = pa.array(kept + first)
+                    sig = pa.StructArray.from_arrays([a.take(rows), b.take(rows)], ["a", "b"])
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "vin": vins.take(rows),
+                            "q": pa.array(codes[kept].astype(np.int32)),
+                            "sig": sig,
+                            "low": low[kept],
+                            "high": high[kept],
+                        }
+                    )
+
+    schema = "vin string, q int, sig struct<a: bigint, b: int>, low double, high double"
+    return frame.select("vin", "point", "cells", "sig.a", "sig.b").mapInArrow(run, schema)
+
+
+def _direct(
+    frame: DataFrame, refs: list[np.ndarray], asked: list[tuple[int, Sequence[float]]]
+) -> list[float]:
+    """Mean distance of each asked (cluster, point) to the members of the cluster, rounded."""
+    by_cluster: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i, (q, point) in enumerate(asked):
+        by_cluster.setdefault(q, []).append((i, np.array(point)))
+
+    def run(batches):
+        totals, counts = np.zeros(len(asked)), np.zeros(len(asked), dtype=np.int64)
+        for batch in batches:
+            for _, x, _ in _blocks(batch):
+                for codes in _clusters(x, refs):
+                    for q in np.unique(codes):
+                        members = x[codes == q] if q in by_cluster else None
+                        for i, point in by_cluster.get(q, ()):
+                            totals[i] += np.abs(members - point).sum()
+                            counts[i] += len(members)
+        yield pa.RecordBatch.from_pydict({"i": np.arange(len(asked)), "total": totals, "n": counts})
+
+    rows = frame.select("point", "cells").mapInArrow(run, "i long, total double, n long")
+    cost = F.round(F.sum("total") / F.sum("n"), TIE_DECIMALS)
+    found = dict(rows.groupBy("i").agg(cost.alias("cost")).collect())
+    return [found[i] for i in range(len(asked))]
+
+
+def _costs(
+    fleet: Fleet,
+    frame: DataFrame,
+    medoids: dict[int, list[str]] | None,
+    points: dict[str, list[float]],
+    refs: list[np.ndarray],
+    survivors: DataFrame,
+    n: int,
+) -> DataFrame:
+    """``vin, q, cost`` of ``n`` survivors (``vin, q``): measured if they are few, else by sorted cells."""
+    if n <= DIRECT:
+        rows = survivors.select("vin", "q").collect()
+        vectors = _points_of(frame, [r["vin"] for r in rows])
+        costs = _direct(frame, refs, [(r["q"], vectors[r["vin"]]) for r in rows])
+        table = [(r["vin"], r["q"], c) for r, c in zip(rows, costs)]
+        return frame.sparkSession.createDataFrame(table, "vin string, q int, cost double")
+    if medoids is None:
+        labelled = frame.withColumn("codes", F.array(F.lit(0)))
+    else:
+        labelled = _labelled(frame, medoids, points)
     values = _values(fleet, labelled)
-    summary = _summary(values).persist()
-    bounded = _bounded(fleet, values, summary, 1).persist()
+    return _exact(fleet, values, _summary(values), survivors, sum(map(len, refs)), labelled)
+
+
+def _central(
+    fleet: Fleet, frame: DataFrame, n: int, ranges: list[np.ndarray] | None
+) -> list[tuple[str, float]]:
+    """The most central vehicles: bounds first, exact costs for those that may be among them."""
+    # One cluster, whatever its medoid.
+    refs = [np.zeros((1, fleet.n_bins))]
+    if ranges is not None:
+        lines = _lines(fleet, _sums(fleet, frame, refs), ranges)
+        bounded = _near(fleet, frame, refs, lines, n).persist()
+    else:
+        labelled = frame.withColumn("codes", F.array(F.lit(0)))
+        values = _values(fleet, labelled)
+        summary = _summary(values).persist()
+        bounded = _bounded(fleet, values, summary, 1).persist()
     try:
         reach = bounded.orderBy("high").limit(n).agg(F.max("high")).first()[0]
         near = bounded.where(F.col("low") <= reach + _SLACK + 1e-12 * reach)
         # One vehicle stands for all of its distribution.
         kinds = near.groupBy("q", "sig").agg(F.min("vin").alias("vin"))
-        costs = _exact(fleet, values, summary, kinds, 1, labelled).join(kinds, ["vin", "q"]).select("sig", "cost")
+        if ranges is not None:
+            costs = _costs(fleet, frame, None, {}, refs, kinds, kinds.count())
+        else:
+            costs = _exact(fleet, values, summary, kinds, 1, labelled)
+        costs = costs.join(kinds, ["vin", "q"]).select("sig", "cost")
         best = near.select("vin", "sig").join(costs, "sig").orderBy("cost", "vin").limit(n)
         return [(r["vin"], r["cost"]) for r in best.select("vin", "cost").collect()]
     finally:
         bounded.unpersist()
-        summary.unpersist()
+        if ranges is None:
+            summary.unpersist()
 
 
 def _update(
-    fleet: Fleet, frame: DataFrame, medoids: dict[int, list[str]], points: dict[str, list[float]]
+    fleet: Fleet,
+    frame: DataFrame,
+    medoids: dict[int, list[str]],
+    points: dict[str, list[float]],
+    ranges: list[np.ndarray] | None = None,
 ) -> dict[int, list[str]]:
     """One round for all given runs. Vectors of new medoids are added to ``points``."""
     current = [v for vins in medoids.values() for v in vins]
     n_clusters = len(current)
-    # Labels are made once a round; everything below reads them.
-    labelled = _labelled(frame, medoids, points).persist()
-    values = _values(fleet, labelled)
-    summary = _summary(values).persist()
-    bounded = _bounded(fleet, values, summary, n_clusters).persist()
+    held = []
     try:
+        if ranges is not None:
+            refs = _refs(medoids, points)
+            lines = _lines(fleet, _sums(fleet, frame, refs), ranges)
+            bounded = _near(fleet, frame, refs, lines, 1).persist()
+        else:
+            # Labels are made once a round; everything below reads them.
+            labelled = _labelled(frame, medoids, points).persist()
+            values = _values(fleet, labelled)
+            summary = _summary(values).persist()
+            bounded = _bounded(fleet, values, summary, n_clusters).persist()
+            held += [labelled, summary]
+        held.append(bounded)
         best_high = bounded.groupBy("q").agg(F.min("high").alias("best"))
         slack = F.lit(_SLACK) + F.lit(1e-12) * F.abs("best")
         mine = F.get(F.array(*[F.lit(v) for v in current]), F.col("q"))
@@ -349,26 +588,22 @@ def _update(
             .agg(F.min("vin").alias("low_vin"), F.max(F.col("vin") == mine).alias("stays"))
             .select("q", F.when(F.col("stays"), mine).otherwise(F.col("low_vin")).alias("vin"))
         ).persist()
-        try:
-            found = candidates.groupBy("q").agg(F.min("vin").alias("vin"), F.count("*").alias("n")).collect()
-            chosen = {r["q"]: r["vin"] for r in found if r["n"] == 1}
-            open_ = [r["q"] for r in found if r["n"] > 1]
-            if open_:
-                rivals = candidates.where(F.col("q").isin(open_))
-                rank = F.struct("cost", (F.col("vin") != mine).alias("other"), "vin")
-                rows = (
-                    _exact(fleet, values, summary, rivals, n_clusters, labelled)
-                    .groupBy("q")
-                    .agg(F.min(rank).alias("rank"))
-                    .collect()
-                )
-                chosen.update({r["q"]: r["rank"]["vin"] for r in rows})
-        finally:
-            candidates.unpersist()
+        held.append(candidates)
+        found = candidates.groupBy("q").agg(F.min("vin").alias("vin"), F.count("*").alias("n")).collect()
+        chosen = {r["q"]: r["vin"] for r in found if r["n"] == 1}
+        open_ = {r["q"]: r["n"] for r in found if r["n"] > 1}
+        if open_:
+            rivals = candidates.where(F.col("q").isin(list(open_)))
+            rank = F.struct("cost", (F.col("vin") != mine).alias("other"), "vin")
+            if ranges is not None:
+                costs = _costs(fleet, frame, medoids, points, refs, rivals, sum(open_.values()))
+            else:
+                costs = _exact(fleet, values, summary, rivals, n_clusters, labelled)
+            rows = costs.groupBy("q").agg(F.min(rank).alias("rank")).collect()
+            chosen.update({r["q"]: r["rank"]["vin"] for r in rows})
     finally:
-        bounded.unpersist()
-        summary.unpersist()
-        labelled.unpersist()
+        for rows in reversed(held):
+            rows.unpersist()
     new = [chosen.get(q, vin) for q, vin in enumerate(current)]
     missing = [v for v in new if v not in points]
     if missing:
@@ -387,16 +622,21 @@ def silhouette_vehicles(fleet: Fleet, runs: dict[str, tuple[Column, int]]) -> Da
     only member of a cluster and where all distances are 0, and NULL unless at least two clusters
     have members and not every vehicle stands alone.
     """
-    spark = fleet.frame.sparkSession
-    counts = fleet.frame.select(*[c.cast("int").alias(r) for r, (c, _) in runs.items()]).agg(
+    # Labels are made once; counts, totals and scores read them.
+    coded = materialize(
+        fleet.frame.select("vin", "point", *[c.cast("int").alias(r) for r, (c, _) in runs.items()]), "coded"
+    )
+    counts = coded.agg(
         *[
             F.count_if(F.col(r) == q).alias(f"{r}_{q}")
             for r, (_, k) in runs.items()
             for q in range(k)
         ]
     ).first()
-    totals = cluster_totals(fleet, runs)
-    labels = fleet.frame.select("vin", *[c.cast("int").alias(r) for r, (c, _) in runs.items()])
+    totals = looked_up_totals(fleet, coded, {r: k for r, (_, k) in runs.items()})
+    if totals is None:
+        totals = cluster_totals(fleet, runs)
+    labels = coded.select("vin", *runs)
     scores = []
     for r, (_, k) in runs.items():
         sizes = [counts[f"{r}_{q}"] for q in range(k)]
