@@ -4,7 +4,10 @@ import numpy as np
 from brute import distances
 from pyspark.sql import functions as F
 
+from fleetspectra.functions.arrays import w1_sparse
+from fleetspectra.operators import cluster as cl
 from fleetspectra.operators import distance as di
+from fleetspectra.operators import spectra as sp
 from test_cluster import fleet_frame, random_cdfs
 
 
@@ -18,3 +21,59 @@ def test_small_slices_make_no_more_tasks_or_files(spark):
     assert sizes.count() >= 720 and sizes.agg(F.max("count")).first()[0] <= 5
     got = {r["vin"]: r["total"] for r in di.fleet_totals(fleet).collect()}
     assert np.allclose([got[f"V{i:05d}"] for i in range(400)], distances(cdfs).sum(axis=1), rtol=1e-12)
+
+
+def test_rounds_take_no_vehicle_apart(spark, monkeypatch):
+    """Tables serve a usual grid; rows per value are for wider grids, and for more survivors, alike in outcome."""
+    fleet = di.write_fleet(fleet_frame(spark, random_cdfs(150, 8, 3)))
+    with monkeypatch.context() as m:
+        m.setattr(cl, "_values", None)
+        few = cl.kmedoids(fleet, 3)
+    for name, value in (("TABLE_ROWS", 0), ("DIRECT", 0)):
+        with monkeypatch.context() as m:
+            m.setattr(cl, name, value)
+            assert cl.kmedoids(fleet, 3) == few
+
+
+def test_totals_are_looked_up_or_sorted_alike(spark, monkeypatch):
+    fleet = di.write_fleet(fleet_frame(spark, random_cdfs(80, 6, 5)))
+    label = F.pmod(F.hash("vin"), F.lit(3))
+    with monkeypatch.context() as m:
+        m.setattr(cl, "cluster_totals", None)
+        a = sorted(cl.silhouette(fleet, label, 3, "vehicle").collect())
+    with monkeypatch.context() as m:
+        m.setattr(di, "VALUE_TABLE", 0)
+        b = sorted(cl.silhouette(fleet, label, 3, "vehicle").collect())
+    assert np.allclose([r["silhouette"] for r in a], [r["silhouette"] for r in b], atol=1e-9)
+
+
+def test_blocks_keep_the_nearest_and_few_more(spark, monkeypatch):
+    cdfs = random_cdfs(300, 7, 6)
+    cdfs[20:60] = cdfs[20]
+    df = fleet_frame(spark, cdfs).repartition(1)
+    stated = df.where("vin in ('V00003', 'V00030')").select("vin")
+    whole = di.matrix_rows(df, stated, 1.0)
+    cut = di.matrix_rows(df, stated, 1.0, nearest=5)
+    assert whole.count() == 600 and cut.count() <= 2 * 6
+    assert sorted(di.nearest_vehicles(cut, 5).collect()) == sorted(di.nearest_vehicles(whole, 5).collect())
+
+
+def test_sparse_blocks_match_merged_lists(spark):
+    rng = np.random.default_rng(7)
+    rows = [
+        (f"V{i:05d}", 1, f"[{lo}, {lo + 1})", float(rng.integers(1, 4)))
+        for i in range(40)
+        for lo in rng.choice(10**7 if i % 2 else 9, size=1 + i % 8, replace=False).tolist()
+    ]
+    df = spark.createDataFrame(rows, "vin string, sales_group int, x1_interval string, count double")
+    cells = sp.sparse_distributions(df)
+    sides = []
+    for sparse in (True, False):
+        found = di.matrix_rows(
+            cells, cells.select("vin"), 1.0, lambda a, b, _: w1_sparse(a, b), value="cells", sparse=sparse
+        )
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ("MapInArrow" in plan) == sparse
+        sides.append({(r["vin_i"], r["vin_j"]): r["distance"] for r in found.collect()})
+    assert len(sides[0]) == 1600 and sides[0].keys() == sides[1].keys()
+    assert all(abs(v - sides[1][k]) < 1e-7 for k, v in sides[0].items())
