@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetspectra.functions.arrays import w1_sparse
 from fleetspectra.operators import cluster as cl
 from fleetspectra.operators import distance as di
+from fleetspectra.operators import nearest as ne
 from fleetspectra.operators import spectra as sp
 from test_cluster import fleet_frame, random_cdfs
 
@@ -77,3 +78,21 @@ def test_sparse_blocks_match_merged_lists(spark):
         sides.append({(r["vin_i"], r["vin_j"]): r["distance"] for r in found.collect()})
     assert len(sides[0]) == 1600 and sides[0].keys() == sides[1].keys()
     assert all(abs(v - sides[1][k]) < 1e-7 for k, v in sides[0].items())
+
+
+def test_nearest_classes_are_few_per_group(spark, monkeypatch):
+    """No pair but the nearest of a group leaves its task, also where most distances are tied."""
+    rng = np.random.default_rng(8)
+    cdfs = np.cumsum(rng.multinomial(3, np.ones(12) / 12, size=600) / 3, axis=1)
+    fleet = di.write_fleet(fleet_frame(spark, cdfs))
+    classes = ne.materialize(ne._classes(fleet, 4), "classes")
+    assert ne.candidate_pairs(classes, 4).count() == 5 * classes.count()
+    monkeypatch.setattr(ne, "CELL_ROWS", 100)
+    want = np.round(distances(cdfs), 9)
+    got = {}
+    for r in ne.nearest_neighbours(fleet, 4).collect():
+        got.setdefault(int(r["vin"][1:]), {})[r["rank"]] = (int(r["neighbour"][1:]), r["distance"])
+    for i in range(600):
+        near = [j for j in np.argsort(want[i], kind="stable") if j != i][:4]
+        assert [got[i][k][0] for k in range(1, 5)] == near
+        assert np.allclose([got[i][k][1] for k in range(1, 5)], want[i][near])
