@@ -96,3 +96,18 @@ def test_nearest_classes_are_few_per_group(spark, monkeypatch):
         near = [j for j in np.argsort(want[i], kind="stable") if j != i][:4]
         assert [got[i][k][0] for k in range(1, 5)] == near
         assert np.allclose([got[i][k][1] for k in range(1, 5)], want[i][near])
+
+
+def test_distances_are_rounded_in_blocks_as_by_spark(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.random(3000) * 10.0 ** rng.integers(-6, 12, 3000), np.arange(400) / 256 / 3.90625, np.arange(400) / 256])
+    values = np.concatenate([values, -values, [1.00005, 2.67545, 0.00005, 1e300]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", F.round("v", 4).alias("r"))
+    rows = df.collect()
+    assert (di._rounded(np.array([r["v"] for r in rows]), 4) == np.array([r["r"] for r in rows])).all()
+    fleet = fleet_frame(spark, random_cdfs(50, 9, 2)).repartition(1)
+    cut = di.matrix_rows(fleet, fleet.limit(20).select("vin"), 1000.0, digits=4)
+    whole = di.matrix_rows(fleet, fleet.limit(20).select("vin"), 1000.0, block_bytes=0, digits=4)
+    assert "MapInArrow" in cut._jdf.queryExecution().executedPlan().toString()
+    assert "round" not in cut._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert sorted(cut.collect()) == sorted(whole.collect()) and cut.count() == 1000
