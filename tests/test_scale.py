@@ -1,6 +1,7 @@
 """Work and files that must grow with the fleet and no faster."""
 
 import numpy as np
+import pytest
 from brute import distances
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from fleetspectra.operators import cluster as cl
 from fleetspectra.operators import distance as di
 from fleetspectra.operators import nearest as ne
 from fleetspectra.operators import spectra as sp
+from fleetspectra.operators.grid import GridSpec
 from test_cluster import fleet_frame, random_cdfs
 
 
@@ -98,6 +100,23 @@ def test_nearest_classes_are_few_per_group(spark, monkeypatch):
         assert np.allclose([got[i][k][1] for k in range(1, 5)], want[i][near])
 
 
+def test_smoothing_takes_no_vehicle_apart(spark):
+    """Spread masses are those of a row per bin and weight, without such rows."""
+    grid, weights = GridSpec(0.5, 1.0, 6), [1.0, 2.0, 1.0]
+    mass = {"V1": {0: 3.0, 4: 1.0}, "V2": {5: 2.0}, "V3": {2: 0.0}}
+    rows = [(v, b, m, 7, 7) for v, bins in mass.items() for b, m in bins.items()]
+    binned = spark.createDataFrame(rows, "vin string, bin int, mass double, sg_low int, sg_high int")
+    out = sp.smoothed_distributions(binned, grid, weights)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    found = {r["vin"]: r for r in out.collect()}
+    assert found.keys() == {"V1", "V2"} and found["V1"]["sales_group"] == 7
+    assert found["V1"]["probs"] == [6 / 13, 3 / 13, 0.0, 1 / 13, 2 / 13, 1 / 13]
+    assert found["V2"]["probs"] == [0, 0, 0, 0, 2 / 6, 4 / 6] and found["V2"]["cdf"][-1] == 1.0
+    clash = binned.union(spark.createDataFrame([("V1", 1, 1.0, 8, 8)], binned.schema))
+    with pytest.raises(Exception, match="several sales groups for vin V1"):
+        sp.smoothed_distributions(clash, grid, weights).collect()
+
+
 def test_distances_are_rounded_in_blocks_as_by_spark(spark):
     rng = np.random.default_rng(4)
     values = np.concatenate([rng.random(3000) * 10.0 ** rng.integers(-6, 12, 3000), np.arange(400) / 256 / 3.90625, np.arange(400) / 256])
