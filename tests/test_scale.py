@@ -11,6 +11,7 @@ from fleetspectra.operators import distance as di
 from fleetspectra.operators import nearest as ne
 from fleetspectra.operators import spectra as sp
 from fleetspectra.operators.grid import GridSpec
+from fleetspectra.sources import usage as us
 from test_cluster import fleet_frame, random_cdfs
 
 
@@ -117,6 +118,20 @@ def test_smoothing_takes_no_vehicle_apart(spark):
         sp.smoothed_distributions(clash, grid, weights).collect()
 
 
+def test_vins_are_made_per_interval(spark):
+    """Usage rows are grouped by number; long numbers, which share a cut vin, are grouped by vin."""
+    keys = [(5, 2.5), (5, 2.0), (None, 1.0), (123456789, 1.0), (123456784, 1.0)]
+    lines = spark.createDataFrame(keys, "key long, l_quantity double").select(
+        "key",
+        F.when(F.col("key") < 10**8, F.raise_error(F.lit("made per line"))).otherwise(us.vin_of("V", "key")).alias("vin"),
+        F.lit(1).alias("sales_group"), "l_quantity"
+    )
+    out = us.spectra_of(lines, "velocity")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(
+        [("V00000005", 1, "[2, 3)", 2.0), (None, 1, "[1, 2)", 1.0), ("V12345678", 1, "[1, 2)", 2.0)], key=str
+    )
+
+
 def test_distances_are_rounded_in_blocks_as_by_spark(spark):
     rng = np.random.default_rng(4)
     values = np.concatenate([rng.random(3000) * 10.0 ** rng.integers(-6, 12, 3000), np.arange(400) / 256 / 3.90625, np.arange(400) / 256])
