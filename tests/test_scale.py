@@ -11,6 +11,7 @@ from fleetspectra.operators import distance as di
 from fleetspectra.operators import nearest as ne
 from fleetspectra.operators import spectra as sp
 from fleetspectra.operators.grid import GridSpec
+from fleetspectra.sources import tables
 from fleetspectra.sources import usage as us
 from test_cluster import fleet_frame, random_cdfs
 
@@ -145,3 +146,29 @@ def test_distances_are_rounded_in_blocks_as_by_spark(spark):
     assert "MapInArrow" in cut._jdf.queryExecution().executedPlan().toString()
     assert "round" not in cut._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
     assert sorted(cut.collect()) == sorted(whole.collect()) and cut.count() == 1000
+
+
+def test_vehicles_of_equal_shares_meet_as_blocks(spark, monkeypatch):
+    """Blocks follow the numbers of shares, not the stated vehicles; other shares go by cells and agree."""
+    rng = np.random.default_rng(9)
+    rows = [
+        (f"V{i:05d}", 1, f"[{lo}, {lo + 1})", float(rng.random()) if i >= 56 else float(1 + (lo + i) % 2) * (1 + i % 3))
+        for i in range(60)
+        for lo in rng.choice(10**7 if i % 2 else 9, size=3, replace=False).tolist()
+    ]
+    df = spark.createDataFrame(rows, "vin string, sales_group int, x1_interval string, count double")
+    cells = tables.materialize(sp.sparse_distributions(df).repartition(1), "sparse")
+    metric = lambda a, b, _: w1_sparse(a, b)
+    whole = di.matrix_rows(cells, cells.select("vin"), 1.0, metric, value="cells")
+    got = di.matrix_rows(cells, cells.select("vin"), 1.0, metric, value="cells", sparse=True, digits=2, nudge=1e-7)
+    want = {(r["vin_i"], r["vin_j"]): r["distance"] for r in whole.collect()}
+    found = {(r["vin_i"], r["vin_j"]): r["distance"] for r in got.collect()}
+    assert found.keys() == want.keys() and len(found) == 3600
+    assert all(abs(found[k] - want[k]) <= 0.005 + 1e-6 for k in want)
+    assert "round(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(di, "_unfolded", lambda blocks: blocks)
+    alike = cells.where("vin < 'V00056'").repartition(1)
+    stated = alike.where("vin < 'V00050'").select("vin", "cells").withColumnRenamed("cells", "v")
+    blocks = di._sparse_rows(alike.select("vin", F.col("cells").alias("v")), stated.withColumnRenamed("vin", "vin_i"))
+    # Three intervals of one or two counts: three to six shares.
+    assert blocks.count() <= 4 * 4
