@@ -172,3 +172,20 @@ def test_vehicles_of_equal_shares_meet_as_blocks(spark, monkeypatch):
     blocks = di._sparse_rows(alike.select("vin", F.col("cells").alias("v")), stated.withColumnRenamed("vin", "vin_i"))
     # Three intervals of one or two counts: three to six shares.
     assert blocks.count() <= 4 * 4
+
+
+def test_diagnostics_gather_no_pairs_on_the_driver(spark):
+    """Rows among stated vehicles meet their other direction by a shuffle, whatever their source's size says."""
+    df = tables.materialize(fleet_frame(spark, random_cdfs(40, 6, 5)), "vehicles")
+    stated = df.where("vin < 'V00012'").select("vin")
+    rows = di.matrix_rows(df, stated, 1.0)
+    between = di.matrix_rows(df.join(stated, "vin", "left_semi"), stated, 1.0)
+    found, alone = di.matrix_diagnostics(rows, between), di.matrix_diagnostics(rows)
+    assert found.collect() == alone.collect()
+    assert (found.first()["n_stated"], found.first()["n_rows"], found.first()["n_asymmetric"]) == (12, 480, 0)
+    broken = between.withColumn("distance", F.col("distance") + F.when(F.col("vin_i") < F.col("vin_j"), 1.0).otherwise(0.0))
+    assert di.matrix_diagnostics(rows, broken).first()["n_asymmetric"] == 12 * 11
+    for report in (found, alone):
+        plan = report._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [vin_i" in plan
+        assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "vin_i" in x]
