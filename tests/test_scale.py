@@ -189,3 +189,19 @@ def test_diagnostics_gather_no_pairs_on_the_driver(spark):
         plan = report._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin [vin_i" in plan
         assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "vin_i" in x]
+
+
+def test_nearest_of_many_stated_are_searched(spark, monkeypatch):
+    """Beyond a number of pairs groups of neighbours are searched, with the same nearest, copies and ties included."""
+    rng = np.random.default_rng(8)
+    cdfs = np.cumsum(rng.multinomial(4, np.ones(12) / 12, size=500) / 4, axis=1)
+    cdfs[100:200] = cdfs[100]
+    df = tables.materialize(fleet_frame(spark, cdfs), "vehicles")
+    stated = df.where("cast(substring(vin, 2, 9) as int) % 7 = 0").select("vin")
+    want = sorted(di.nearest_vehicles(di.matrix_rows(df, stated, 1000.0), 5).collect())
+    monkeypatch.setattr(di, "SEARCH_PAIRS", 100)
+    for cell_rows in (ne.CELL_ROWS, 60):
+        monkeypatch.setattr(ne, "CELL_ROWS", cell_rows)
+        rows = di.matrix_rows(df, stated, 1000.0, nearest=5, block_bytes=0)
+        assert rows.count() <= 6 * stated.count()
+        assert sorted(di.nearest_vehicles(rows, 5).collect()) == want
